@@ -1,6 +1,8 @@
 """The queries of this subpackage and the SQL that some of them can be held against."""
 
+from .chat import OP3_SQL, op3_chat_format
+from .media import op7_media
 from .substring import OP1_SQL, op1_substring_dedup
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup}
-SQL = {"op1_substring_dedup": OP1_SQL}
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op3_chat_format": op3_chat_format, "op7_media": op7_media}
+SQL = {"op1_substring_dedup": OP1_SQL, "op3_chat_format": OP3_SQL}
