@@ -2,7 +2,15 @@
 
 from .chat import OP3_SQL, op3_chat_format
 from .media import op7_media
+from .packing import op8_best_fit_packing
 from .substring import OP1_SQL, op1_substring_dedup
+from .urls import op10_url_filter
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op3_chat_format": op3_chat_format, "op7_media": op7_media}
+QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op3_chat_format": op3_chat_format,
+    "op7_media": op7_media,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op10_url_filter": op10_url_filter,
+}
 SQL = {"op1_substring_dedup": OP1_SQL, "op3_chat_format": OP3_SQL}
