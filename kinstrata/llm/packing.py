@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -17,11 +16,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import Scratch, slices, table
 
 END_ID = 2
-_RAGGED = re.compile(r"\s (?: |$)|^ | $")
 
 
 class ChunkIds(dict):
-    """Token ids (little-endian unsigned 32-bit) of chunks: a blank and what follows up to the next blank.
+    """Token ids (little-endian unsigned 32-bit) by chunk: what stands from one blank to the next, with the blank before it.
 
     The vocabulary's splitting never crosses from one chunk to the next, so new chunks are encoded together and cut by
     the tokens' byte lengths.
@@ -40,13 +38,13 @@ class ChunkIds(dict):
             self.sizes[rank] = len(token)
 
     def learn(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self]
+        new = list(chunks.difference(self))
         if len(self) + len(new) > self.LIMIT:
             self.clear()
             new = list(chunks)
         if new:
-            ids = np.array(self.encode("".join(new)), np.int64)
-            ends = np.cumsum([len(c.encode()) for c in new])
+            ids = np.array(self.encode(" " + " ".join(new)), np.int64)
+            ends = np.cumsum([len(c.encode()) + 1 for c in new])
             cuts = (np.searchsorted(np.cumsum(self.sizes[ids]), ends, "left") + 1) * 4
             flat = ids.astype("<u4").tobytes()
             self.update(zip(new, (flat[i:j] for i, j in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)), strict=True))
@@ -60,18 +58,17 @@ def _encoder(json_path: str, ranks_path: str):
     with open(ranks_path, "rb") as f:
         cache = ChunkIds({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
     whole = Tokenizer.from_file(json_path)
-    special = re.compile("|".join(re.escape(t.content) for t in whole.get_added_tokens_decoder().values()) or r"(?!)")
+    special = [t.content for t in whole.get_added_tokens_decoder().values()]
 
     def encode(texts: list[str]) -> list[bytes]:
         out, parts = [], {}
         for i, text in enumerate(texts):
-            if special.search(text):
+            if any(x in text for x in special):
                 out.append(np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
-            elif "  " in text or _RAGGED.search(text):
+            elif "  " in text or text[:1] == " " or text[-1:] == " ":
                 out.append(np.array(cache.encode(text), "<u4").tobytes())
             else:
-                first, *rest = text.split(" ")
-                parts[i] = [" " + x for x in rest]
+                first, *parts[i] = text.split(" ")
                 out.append(np.array(cache.encode(first), "<u4").tobytes())
         cache.learn(set(chain.from_iterable(parts.values())))
         for i, chunks in parts.items():
