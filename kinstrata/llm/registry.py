@@ -1,16 +1,20 @@
 """The queries of this subpackage and the SQL that some of them can be held against."""
 
 from .chat import OP3_SQL, op3_chat_format
+from .html_main import op6_html_extraction
 from .media import op7_media
 from .packing import op8_best_fit_packing
+from .quality import op9_quality
 from .substring import OP1_SQL, op1_substring_dedup
 from .urls import op10_url_filter
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_chat_format": op3_chat_format,
+    "op6_html_extraction": op6_html_extraction,
     "op7_media": op7_media,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_quality": op9_quality,
     "op10_url_filter": op10_url_filter,
 }
 SQL = {"op1_substring_dedup": OP1_SQL, "op3_chat_format": OP3_SQL}
