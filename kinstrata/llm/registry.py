@@ -1,6 +1,7 @@
 """The queries of this subpackage and the SQL that some of them can be held against."""
 
 from .chat import OP3_SQL, op3_chat_format
+from .embeddings import OP2_SQL, op2_near_vectors
 from .html_main import op6_html_extraction
 from .media import op7_media
 from .packing import op8_best_fit_packing
@@ -10,6 +11,7 @@ from .urls import op10_url_filter
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_near_vectors": op2_near_vectors,
     "op3_chat_format": op3_chat_format,
     "op6_html_extraction": op6_html_extraction,
     "op7_media": op7_media,
@@ -17,4 +19,4 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_url_filter": op10_url_filter,
 }
-SQL = {"op1_substring_dedup": OP1_SQL, "op3_chat_format": OP3_SQL}
+SQL = {"op1_substring_dedup": OP1_SQL, "op2_near_vectors": OP2_SQL, "op3_chat_format": OP3_SQL}
