@@ -3,6 +3,7 @@
 from .chat import OP3_SQL, op3_chat_format
 from .embeddings import OP2_SQL, op2_near_vectors
 from .html_main import op6_html_extraction
+from .jaccard import OP5_SQL, op5_jaccard_join
 from .media import op7_media
 from .packing import op8_best_fit_packing
 from .quality import op9_quality
@@ -13,10 +14,11 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_near_vectors": op2_near_vectors,
     "op3_chat_format": op3_chat_format,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_html_extraction": op6_html_extraction,
     "op7_media": op7_media,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality": op9_quality,
     "op10_url_filter": op10_url_filter,
 }
-SQL = {"op1_substring_dedup": OP1_SQL, "op2_near_vectors": OP2_SQL, "op3_chat_format": OP3_SQL}
+SQL = {"op1_substring_dedup": OP1_SQL, "op2_near_vectors": OP2_SQL, "op3_chat_format": OP3_SQL, "op5_jaccard_join": OP5_SQL}
