@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .common import shared_dir, slices, small_batches, table
 
 FOLDS, THRESHOLD, SAMPLE = 5, 0.3, 20_000
+SCORE = "__quality"  # no name that a table is likely to have
 _PUNCT = [c for c in range(33, 127) if not chr(c).isalnum()]
 
 
@@ -117,9 +118,9 @@ def quality_scores(docs: DataFrame, model, keep: list[str] = ()) -> DataFrame:
             for part in slices(batch, "text"):
                 texts = part.column("text").to_pylist()
                 s = score(np.array([features(t) for t in texts]), model) if model else np.full(len(texts), 0.5)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(s)], [*keep, "quality_score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(s)], [*keep, SCORE])
 
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "quality_score double"])
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"{SCORE} double"])
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
@@ -127,7 +128,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     """(doc_id, held_out, score, predicted) of each document. Null and repeated doc_ids stay (a null one is not held out); empty tables give no rows."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     out = quality_scores(docs, train(docs, labels, sample), ["doc_id"])
-    return out.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from .html_main import op6_html_extraction
 from .jaccard import OP5_SQL, op5_jaccard_join
 from .media import op7_media
 from .packing import op8_best_fit_packing
+from .pieces import op4_sentencepiece
 from .quality import op9_quality
 from .substring import OP1_SQL, op1_substring_dedup
 from .urls import op10_url_filter
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_near_vectors": op2_near_vectors,
     "op3_chat_format": op3_chat_format,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_html_extraction": op6_html_extraction,
     "op7_media": op7_media,
