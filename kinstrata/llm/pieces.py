@@ -94,8 +94,8 @@ class Pieces:
             h = h * np.uint64(BASES[0]) + units[:, e].astype(np.uint64) + np.uint64(1)
         return _mixed(h, units.shape[1])
 
-    def viterbi(self, words: list[str]) -> list[list[int]]:
-        """The best segmentation of equally long words. Ties go to the longer last piece; a character that is no piece is unknown, and then bytes."""
+    def viterbi(self, words: list[str]) -> list[bytes]:
+        """Ids of the best segmentation of equally long words. Ties go to the longer last piece; a character that is no piece is unknown, and then bytes."""
         units = self._units(words)
         n, size = units.shape
         best = np.full((n, size + 1), -np.inf)
@@ -119,20 +119,25 @@ class Pieces:
             pick = total.argmax(1)
             rows = np.arange(n)
             best[:, e], length[:, e], piece[:, e] = total[rows, pick], k[pick], ids[rows, pick]
-        out: list[list[int]] = []
-        for i, word in enumerate(words):
-            ids: list[int] = []
-            e = size
-            while e:
-                p = int(piece[i, e])
+        rows, e, path = np.arange(n), np.full(n, size), []
+        while e.any():  # all words go back a piece at a time; column 0 is no piece
+            path.append(np.where(e > 0, piece[rows, e], -2))
+            e = e - length[rows, e]
+        back = np.stack(path[::-1], 1)
+        cuts = np.cumsum((back >= 0).sum(1)) * 4
+        flat = back[back >= 0].astype("<u4").tobytes()
+        out = [flat[i:j] for i, j in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
+        for i in np.flatnonzero((back == -1).any(1)).tolist():
+            ids, at = [], 0
+            for p in back[i].tolist():
                 if p >= 0:
                     ids.append(p)
-                elif self.bytes:
-                    ids.extend(self.bytes[b] for b in reversed(word[e - 1].encode("utf-8", "surrogatepass")))
-                else:
-                    ids.append(self.unknown_id)
-                e -= int(length[i, e])
-            out.append(ids[::-1])
+                    at += len(self.names[p])
+                elif p == -1:
+                    raw = words[i][at].encode("utf-8", "surrogatepass")
+                    ids.extend([self.bytes[b] for b in raw] if self.bytes else [self.unknown_id])
+                    at += 1
+            out[i] = np.array(ids, "<u4").tobytes()
         return out
 
     def segment(self, words: list[str], cells: int = 1 << 20) -> dict[str, bytes]:
@@ -145,7 +150,7 @@ class Pieces:
             step = max(1, cells // (size + self.longest))
             for at in range(0, len(group), step):
                 part = group[at : at + step]
-                out.update(zip(part, (np.array(x, "<u4").tobytes() for x in self.viterbi(part)), strict=True))
+                out.update(zip(part, self.viterbi(part), strict=True))
         return out
 
     def decode(self, ids: bytes) -> str:
@@ -172,7 +177,7 @@ class Encoder:
         if len(self.known) + len(new) > self.LIMIT:
             self.known.clear()
             new = set(chain.from_iterable(chunks))
-        self.known.update(self.pieces.segment(sorted(new)))
+        self.known.update(self.pieces.segment(list(new)))
         return [b"".join(map(self.known.__getitem__, c)) for c in chunks]
 
 
