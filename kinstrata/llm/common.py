@@ -10,7 +10,6 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -84,21 +83,6 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
         at = to
 
 
-class WordHashes(dict):
-    """64-bit hashes of words (bytes), kept for the next look. Its size is bounded."""
-
-    LIMIT = 1_000_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def rolling(f, a: np.ndarray, k: int) -> np.ndarray:
     """f over each k neighbours, in about log2(k) passes; f is np.minimum or the like."""
     out, w = a, 1
@@ -115,6 +99,23 @@ def mix(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """64-bit hashes of the words between ASCII white space (as bytes.split() finds them), from prefix sums over the bytes."""
+    b = np.frombuffer(raw, np.uint8)
+    if not len(b):
+        return np.zeros(0, np.uint64)
+    inside = ~_SPACE[b]
+    turns = np.concatenate([[0] * int(inside[0]), np.flatnonzero(inside[1:] != inside[:-1]) + 1, [len(b)] * int(inside[-1])]).astype(np.int64)
+    start, end = turns[::2], turns[1::2]
+    up, down = Windows.powers(BASES[0], len(b))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((b + np.uint64(1)) * up[: len(b)], dtype=np.uint64)])
+    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(BASES[1]))
+
+
 class Windows:
     """Polynomial hashes of all windows of a length, from prefix sums modulo 2**64."""
 
@@ -122,11 +123,11 @@ class Windows:
 
     def __init__(self, h: np.ndarray, base: int):
         self.n = len(h)
-        up, self.down = self._of(base, self.n)
+        up, self.down = self.powers(base, self.n)
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[: self.n], dtype=np.uint64)])
 
     @classmethod
-    def _of(cls, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def powers(cls, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         got = cls._powers.get(base)
         if got is None or len(got[0]) < n:
             size = max(1 << 16, 1 << max(0, n - 1).bit_length())

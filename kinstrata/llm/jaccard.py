@@ -11,19 +11,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import BASES, Scratch, Windows, WordHashes, components, mix, slices, table
+from .common import BASES, Scratch, Windows, components, mix, slices, table, word_hashes
 
 GROUPS, LEAF, BLOCK = 64, 16, 2000
-_words = WordHashes()
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles of a text, A-Z lower-cased; of a shorter text, one for all its words."""
-    words = text.encode().lower().split() if text else []
-    if not words:
+    words = word_hashes(text.encode().lower()) if text else ()
+    if not len(words):
         return np.zeros(0, np.uint64)
     n = min(k, len(words))
-    found = np.unique(Windows(_words.of(words), BASES[0]).of(n))
+    found = np.unique(Windows(words, BASES[0]).of(n))
     return found if n == k else mix(found ^ np.uint64(n))
 
 
