@@ -173,7 +173,7 @@ def _bound(num: int, den: int):
             p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<i4").reshape(-1, GROUPS) for c in ("pa", "pb"))
             total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
             ok = np.minimum(p, q).sum(1) >= needed(total, num, den)
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
+            yield batch.select(["a", "b", "na"]).filter(pa.array(ok))
 
     return run
 
@@ -193,7 +193,10 @@ def _verify(num: int, den: int):
 
 
 def _linked(pairs: DataFrame, points: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
-    """Of distinct pairs (a, b), those that link: first by their points, then by their sets."""
+    """Of distinct pairs (a, b), those that link: first by their points, then by their sets.
+
+    Sets travel with pairs, so pairs are dealt into so many rounds that each moves about twice what all points hold.
+    """
 
     def with_both(p: DataFrame, *cols: str) -> DataFrame:
         for end in "ab":
@@ -201,17 +204,26 @@ def _linked(pairs: DataFrame, points: DataFrame, scratch: Scratch, num: int, den
             p = p.join(named, end)
         return p
 
-    left = scratch.write(with_both(pairs, "point", "n").select("a", "b", "pa", "pb", "na", "nb").mapInArrow(_bound(num, den), "a long, b long"), "bounded")
-    return scratch.write(with_both(left, "elements").select("a", "b", "pa", "pb").mapInArrow(_verify(num, den), "a long, b long"), "links")
+    left = with_both(pairs, "point", "n").select("a", "b", "pa", "pb", "na", "nb").mapInArrow(_bound(num, den), "a long, b long, na long")
+    left = scratch.write(left, "bounded")
+    moved = left.agg(F.coalesce(F.sum("na"), F.lit(0))).first()[0]
+    held = points.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rounds = max(1, -(-moved // max(1, 2 * held)))
+    out = None
+    for r in range(rounds):
+        some = left.select("a", "b") if rounds == 1 else left.where(F.pmod(F.xxhash64("a", "b"), F.lit(rounds)) == r).select("a", "b")
+        found = scratch.write(with_both(some, "elements").select("a", "b", "pa", "pb").mapInArrow(_verify(num, den), "a long, b long"), "links")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def jaccard_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row: texts link when den * |A & B| >= num * |A | B| of their sets of shingles.
 
-    Equal sets are one class. Classes that share the content of a part (SizeClasses) are candidates. Of each such bucket all
-    members are first held against its smallest; what is in one component then needs no more comparing, and an R-tree of
-    count vectors finds the pairs across components that may still link. Survivors are verified by their whole sets. A bucket of over ``block`` classes
-    is dealt out as pairs of blocks. Components are exact; pairs inside a component that add nothing are not listed.
+    Equal sets are one class. Classes that share the content of a part (SizeClasses) are candidates. Each class is
+    first held against one small member of its buckets, then components that still meet against one another; what is in
+    one component needs no more comparing, and an R-tree of count vectors finds all pairs across components that may yet
+    link. Survivors are verified by their whole sets. A bucket of over ``block`` classes is dealt out as pairs of blocks. Components are exact; pairs inside a component that add nothing are not listed.
 
     Null and empty texts have no shingles and link with nothing. Null doc_ids link with nothing; their component is null.
     Rows that repeat a doc_id are one node, and each gets a row. Other columns are ignored; an empty table gives no rows.
@@ -236,20 +248,42 @@ def jaccard_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
     wanted = buckets.select(F.col("id").alias("doc_id")).distinct()
     points = scratch.write(docs.join(wanted, "doc_id").mapInArrow(_points(words), "id long, n long, point binary, elements binary"), "points")
 
-    first = _linked(buckets.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct(), points, scratch, num, den)
-    found = components(first, scratch)
-    with_comp = buckets.where("id <> low").join(found, F.col("id") == F.col("node"), "left").select("sig", "id", F.coalesce("component", "id").alias("comp"))
-    mixed = with_comp.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi")
-    mixed = mixed.select("sig", F.ceil(F.col("m") / block).cast("int").alias("nb"))
-    dealt = with_comp.join(mixed, "sig").join(points.select("id", "n", "point"), "id")
+    # one pair for each class: with the smallest member that most of its buckets have
+    star = buckets.where("id <> low").groupBy("id", "low").agg(F.count("*").alias("m"))
+    tried = scratch.write(star.groupBy("id").agg(F.max_by("low", F.struct("m", -F.col("low"))).alias("a")).select("a", F.col("id").alias("b")), "stars")
+    links = _linked(tried, points, scratch, num, den)
+    found = components(links, scratch)
+
+    def mixed(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Buckets' rows with their components, and the buckets that have more than one."""
+        now = buckets.select("sig", "id").join(found, F.col("id") == F.col("node"), "left").select("sig", "id", F.coalesce("component", "id").alias("comp"))
+        return now, now.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi")
+
+    # one pair for each two components that meet: of their smallest members, those that meet most often
+    now, several = mixed(found)
+    heads = now.join(several.select("sig", "lo"), "sig").groupBy("sig", "lo", "comp").agg(F.min("id").alias("head"))
+    base = heads.where("comp = lo").select("sig", F.col("head").alias("a"))
+    met = heads.where("comp <> lo").join(base, "sig").groupBy("lo", "comp", "a", F.col("head").alias("b")).agg(F.count("*").alias("m"))
+    met = met.groupBy("lo", "comp").agg(F.max_by(F.struct("a", "b"), F.struct("m", -F.col("a"), -F.col("b"))).alias("p"))
+    ends = [F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")]
+    met = scratch.write(met.select(*ends).distinct().join(tried, ["a", "b"], "left_anti"), "meetings")
+    more = _linked(met, points, scratch, num, den)
+    if not more.isEmpty():
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), scratch)
+
+    # all that the trees' bounds leave of the pairs across components
+    now, several = mixed(found)
+    several = several.select("sig", F.ceil(F.col("m") / block).cast("int").alias("nb"))
+    dealt = now.join(several, "sig").join(points.select("id", "n", "point"), "id")
     dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     dealt = dealt.withColumns({"x": F.least("mine", "other"), "y": F.greatest("mine", "other")})
     dealt = dealt.withColumn("side", F.when(F.col("x") == F.col("y"), 2).otherwise((F.col("mine") == F.col("y")).cast("int")))
     dealt = dealt.select("sig", "x", "y", "side", "id", "comp", "n", "point").repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y")
     rest = dealt.mapInArrow(_cross(num, den), "a long, b long").distinct()
-    second = _linked(rest, points, scratch, num, den)
-    if not second.isEmpty():
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second), scratch)
+    rest = scratch.write(rest.join(tried.unionByName(met), ["a", "b"], "left_anti"), "rest")
+    last = _linked(rest, points, scratch, num, den)
+    if not last.isEmpty():
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(last), scratch)
     named = rows.join(found, F.col("id") == F.col("node"), "left")
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id", "doc_id").alias("component_id"))
 
