@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import BASES, Scratch, Windows, components, mix, slices, table, word_hashes
 
-GROUPS, LEAF, BLOCK = 64, 16, 2000
+GROUPS, LEAF, BLOCK = 256, 16, 2000
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -29,22 +29,28 @@ def shingles(text: str | None, k: int) -> np.ndarray:
 class SizeClasses:
     """Set sizes in steps of 1/t, so that sets with Jaccard t or more are in the same class or in neighbours.
 
-    Two such sets, the larger in class K, differ in at most D(K) elements. Among D(K)+1 parts of the hash range, they agree
-    in one at least: the parts' contents are what candidates must share.
+    Two such sets, the larger in class K, differ in at most D(K) elements. Of m > D(K) parts of the hash range they agree in
+    m - D(K) at least, so they share the content of a part. Empty parts say little: a set with fewer than m - D(K) of them
+    leaves them out, as one of the agreeing parts then has elements; other (very small) sets list their empty parts too.
     """
 
     def __init__(self, num: int, den: int):
-        self.num, self.den, self.starts = num, den, [1]
+        self.num, self.den, self.starts, self.known = num, den, [1], {}
 
     def of(self, n: int) -> int:
         while self.starts[-1] <= n:
             self.starts.append(self.starts[-1] * self.den // self.num + 1)
         return bisect_right(self.starts, n) - 1
 
-    def parts(self, k: int) -> int:
+    def parts(self, k: int) -> tuple[int, int]:
+        """(m, D) of class k, with room for the empty parts that its smallest sets are likely to have."""
         while len(self.starts) <= k + 1:
             self.starts.append(self.starts[-1] * self.den // self.num + 1)
-        return (self.den - self.num) * 2 * (self.starts[k + 1] - 1) // (self.den + self.num) + 1
+        d = (self.den - self.num) * 2 * (self.starts[k + 1] - 1) // (self.den + self.num)
+        m, least = d + 1, self.starts[max(0, k - 1)]
+        for _ in range(8 * bool(d)):
+            m = d + 3 + int(1.3 * m * np.exp(-least / m))
+        return m, d
 
     def signatures(self, s: np.ndarray) -> np.ndarray:
         """Hashes of the parts of a sorted set under its own class and the next."""
@@ -52,11 +58,13 @@ class SizeClasses:
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s), dtype=np.uint64)])
         out = []
         for scheme in (k, k + 1):
-            m = self.parts(scheme)
+            m, d = self.known[scheme] = self.known.get(scheme) or self.parts(scheme)
             part = np.arange(m + 1, dtype=np.float64) * (2.0**64 / m)
             cut = np.concatenate([[0], np.searchsorted(s, part[1:-1].astype(np.uint64)), [len(s)]])
             which = np.arange(m, dtype=np.uint64) + np.uint64(scheme << 40)
-            out.append(mix(mix(sums[cut[1:]] - sums[cut[:-1]] + which * np.uint64(BASES[1])) + which))
+            sig = mix(mix(sums[cut[1:]] - sums[cut[:-1]] + which * np.uint64(BASES[1])) + which)
+            full = cut[1:] > cut[:-1]
+            out.append(sig[full] if m - int(full.sum()) < m - d else sig)
         return np.concatenate(out)
 
 
@@ -85,14 +93,18 @@ def _scan(k: int, num: int, den: int):
     return run
 
 
+def point(s: np.ndarray) -> bytes:
+    """Counts of a set's hashes by group, as unsigned 16-bit numbers; where one is too great, all are, which bounds nothing wrongly."""
+    counts = np.bincount((s >> np.uint64(64 - GROUPS.bit_length() + 1)).astype(np.int64), minlength=GROUPS)
+    return (counts if counts.max() < 65536 else np.full(GROUPS, 65535)).astype("<u2").tobytes()
+
+
 def _points(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shift = np.uint64(64 - GROUPS.bit_length() + 1)
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 sets = [shingles(t, k) for t in part.column("text").to_pylist()]
-                counts = [np.bincount((s >> shift).astype(np.int64), minlength=GROUPS).astype("<i4").tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(counts, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "n", "point", "elements"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([point(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "n", "point", "elements"])
 
     return run
 
@@ -106,7 +118,7 @@ class RTree:
     """Points packed by size and counts into boxes of LEAF, and boxes of boxes; a node keeps its greatest counts and least size."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        half = points[:, : GROUPS // 2].sum(1)
+        half = points[:, : GROUPS // 2].sum(1, dtype=np.int64)
         self.order = np.lexsort([half, sizes // max(1, int(sizes.max()) // 50)])
         hi, low = points[self.order], sizes[self.order]
         self.levels = [(hi, low)]
@@ -129,7 +141,7 @@ class RTree:
             keep = np.zeros(len(a), bool)
             for at in range(0, len(a), 1 << 14):
                 i, j = a[at : at + (1 << 14)], b[at : at + (1 << 14)]
-                keep[at : at + (1 << 14)] = np.minimum(hi[i], hi[j]).sum(1) >= needed(low[i] + low[j], num, den)
+                keep[at : at + (1 << 14)] = np.minimum(hi[i], hi[j]).sum(1, dtype=np.int64) >= needed(low[i] + low[j], num, den)
             a, b = a[keep], b[keep]
         if len(self.levels) == 1:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -144,7 +156,7 @@ def _cross(num: int, den: int):
         ids, comp, side = (t.column(c).to_numpy() for c in ("id", "comp", "side"))
         if t.num_rows < 2 or comp.min() == comp.max():
             return None
-        points = np.frombuffer(b"".join(t.column("point").to_pylist()), "<i4").reshape(-1, GROUPS)
+        points = np.frombuffer(b"".join(t.column("point").to_pylist()), "<u2").reshape(-1, GROUPS)
         i, j = RTree(points, t.column("n").to_numpy()).pairs(num, den)
         ok = (comp[i] != comp[j]) & ((side[i] != side[j]) | (side[i] == 2))
         i, j = ids[i[ok]], ids[j[ok]]
@@ -170,9 +182,9 @@ def _cross(num: int, den: int):
 def _bound(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<i4").reshape(-1, GROUPS) for c in ("pa", "pb"))
+            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, GROUPS) for c in ("pa", "pb"))
             total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
-            ok = np.minimum(p, q).sum(1) >= needed(total, num, den)
+            ok = np.minimum(p, q).sum(1, dtype=np.int64) >= needed(total, num, den)
             yield batch.select(["a", "b", "na"]).filter(pa.array(ok))
 
     return run
