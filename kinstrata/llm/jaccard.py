@@ -246,7 +246,7 @@ def jaccard_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
     scan = scratch.write(docs.mapInArrow(_scan(words, num, den), _SCAN), "scan")
     rows, sigs = scan.where("n is not null").drop("sig"), scan.where("sig is not null").select("sig", "doc_id")
     classes = rows.where("n > 0 and doc_id is not null").groupBy("c1", "c2").agg(F.min("doc_id").alias("id"))
-    rows = scratch.write(rows.join(classes, ["c1", "c2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("id")).alias("id")), "rows")
+    rows = scratch.write(rows.join(classes, ["c1", "c2"], "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("id")).alias("id")), "rows")
 
     def shared(who: DataFrame, node: str) -> DataFrame:
         return who.groupBy("sig").agg(F.min(node).alias("low"), F.max(node).alias("high")).where("low < high").select("sig", "low")
