@@ -46,7 +46,7 @@ def flatten(spark: SparkSession, path: str) -> DataFrame:
         if "GT" in h["format"]:
             df = df.withColumns({f"allele_{i}": allele(F.col("sample_GT"), i, F.col("REF"), F.col("alt_raw")) for i in (1, 2)})
     df = df.withColumns({f"info_{k}": info_field(F.col("INFO"), k) for k in h["info"] if k != "ANN"})
-    df = df.select("*", F.posexplode(F.split("alt_raw", ",")).alias("alt_index", "alt")).withColumn("alt_index", F.col("alt_index") + 1)
+    df = df.drop("ALT").select("*", F.posexplode(F.split("alt_raw", ",")).alias("alt_index", "alt")).withColumn("alt_index", F.col("alt_index") + 1)
     entries = F.transform(F.split(F.coalesce(info_field(F.col("INFO"), "ANN"), F.lit("")), ","), lambda e: F.split(e, r"\|"))
     mine = F.filter(entries, lambda e: F.try_element_at(e, F.lit(1)) == F.col("alt"))
     df = df.withColumn("__a", mine).select("*", F.explode_outer("__a").alias("__e"))
