@@ -93,3 +93,25 @@ def collapse_all(families: DataFrame, d: Dialect = GENOME) -> DataFrame:
         F.count("*").alias("n_families"), F.array_join(F.array_sort(F.collect_set("family_id")), ",").alias("family_ids"), *(f(c).alias(c) for c in ("n_patients", "n_cancer", "n_noncancer")),
         F.max("score").alias("score"), F.array_join(F.array_sort(F.collect_set("integrated_class")), ",").alias("classes"),
     )
+
+
+def collapse_runs(rows: DataFrame, run: Column) -> DataFrame:
+    """Somatic rows to runs, then to a row per patient and locus: repeats summed, runs counted, greatest depth and fraction."""
+    one = rows.withColumn("run", run).groupBy("patient_id", *LOCUS, "run").agg(F.count("*").alias("n"), F.max("dp").alias("dp"), F.max("vaf").alias("vaf"))
+    return one.groupBy("patient_id", *LOCUS).agg(F.sum("n").alias("repeats"), F.count("*").alias("n_runs"), F.max("dp").alias("dp_som"), F.max("vaf").alias("vaf_som"))
+
+
+def score_points(df: DataFrame) -> DataFrame:
+    """Five-axis score 0..12 of a family variant with n_cancer, n_noncancer, n_both, strict, partial, row_pass, germ_pass, germ_tier,
+    segregation, count_ge_2, pathway_hit, dna_repair, both_origins: family_points, points and points_class."""
+    b = lambda c: c.cast("int")
+    fam = F.when(F.col("n_cancer") >= 2, 2).when(F.col("n_cancer") == 1, 1).otherwise(0) + b(F.col("n_both") >= 1) + 2 * F.col("strict") + b((F.col("strict") == 0) & (F.col("partial") == 1)) + F.col("row_pass")
+    fam = F.least(fam, F.when(F.col("n_noncancer") > 0, 2).otherwise(4))
+    seg = F.when(F.col("segregation") >= 4, 3).when(F.col("segregation") == 3, 2).when(F.col("segregation") == 2, 1).otherwise(0)
+    df = df.withColumn("family_points", fam)
+    axis = seg + F.when(F.col("family_points") >= 4, 2).when(F.col("family_points") == 3, 1).otherwise(0) + b((seg == 0) & (F.col("count_ge_2") == 1))
+    germ = 2 * F.col("germ_pass") + F.when(F.col("germ_tier") == 1, 2).when(F.col("germ_tier") == 2, 1).otherwise(0)
+    two = 3 * F.col("strict") + b((F.col("strict") == 0) & (F.col("partial") == 1))
+    p = F.least(germ + two + axis + F.col("pathway_hit") + F.col("dna_repair") + F.col("both_origins"), F.lit(12))
+    df = df.withColumn("points", p)
+    return df.withColumn("points_class", F.when(F.col("points") >= 9, "TOP").when(F.col("points") >= 7, "HIGH").when(F.col("points") >= 4, "MODERATE").otherwise("LOW"))

@@ -43,3 +43,22 @@ def stratified(df: DataFrame, key: str, label: str, per_label: int, seed: int =
 def held_out_families(df: DataFrame, families: Column, held: list[str]) -> DataFrame:
     """split: test where any of a row's families is held out."""
     return df.withColumn("split", F.when(F.arrays_overlap(families, F.array(*map(F.lit, held))), "test").otherwise("train"))
+
+
+def multi_hot(c: Column, terms: list[str]) -> dict[str, Column]:
+    return {f"has_{t}": F.coalesce(F.lower(c).contains(t).cast("int"), F.lit(0)) for t in terms}
+
+
+def hash_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """The n rows with the least hashes of their key: a seeded sample that repeats."""
+    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+
+
+def classification_metrics(df: DataFrame, label: str, pred: str) -> DataFrame:
+    """One row: accuracy, macro precision, recall and F1, weighted F1, from one count per label and prediction."""
+    cells = df.where(F.col(label).isNotNull() & F.col(pred).isNotNull()).groupBy(F.col(label).alias("l"), F.col(pred).alias("p")).agg(F.count("*").alias("n"))
+    both = cells.select("n", (F.col("l") == F.col("p")).alias("hit"), F.explode(F.array(F.struct(F.col("l").alias("c"), F.lit(1).alias("is_label")), F.struct(F.col("p").alias("c"), F.lit(0).alias("is_label")))).alias("x"))
+    by = both.groupBy("x.c").agg(F.coalesce(F.sum(F.when(F.col("x.is_label") == 1, F.col("n"))), F.lit(0)).alias("support"), F.coalesce(F.sum(F.when(F.col("x.is_label") == 0, F.col("n"))), F.lit(0)).alias("predicted"), F.coalesce(F.sum(F.when(F.col("hit") & (F.col("x.is_label") == 1), F.col("n"))), F.lit(0)).alias("tp"))
+    zero = F.lit(0.0)
+    by = by.withColumns({"precision": F.coalesce(F.try_divide("tp", "predicted"), zero), "recall": F.coalesce(F.try_divide("tp", "support"), zero), "f1": F.coalesce(F.try_divide(2 * F.col("tp"), F.col("support") + F.col("predicted")), zero)})
+    return by.agg((F.sum("tp") / F.sum("support")).alias("accuracy"), F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"), F.avg("f1").alias("macro_f1"), (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("weighted_f1"))

@@ -56,3 +56,59 @@ def wasserstein_1d(df: DataFrame, group: list[str], side: Column, value: Column)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumn("gap", F.abs(F.try_divide(F.sum("a").over(run), F.sum("a").over(whole)) - F.try_divide(F.sum("b").over(run), F.sum("b").over(whole))) * (F.lead("x").over(w) - F.col("x")))
     return t.groupBy(*group).agg(F.when((F.sum("a") > 0) & (F.sum("b") > 0), F.coalesce(F.sum("gap"), F.lit(0.0))).alias("w1"))
+
+
+def two_view_pairs(df: DataFrame, block: str, key: str, left: Column, right: Column) -> DataFrame:
+    """(block, i, j, sim): cosine of row i's left vector and row j's right one, i = j included, inside a block."""
+    a = df.select(F.col(block).alias("block"), F.col(key).alias("i"), normalized(left).alias("a"))
+    b = df.select(F.col(block).alias("block"), F.col(key).alias("j"), normalized(right).alias("b"))
+    return a.join(b, "block").select("block", "i", "j", dot(F.col("a"), F.col("b")).alias("sim"))
+
+
+def infonce(pairs: DataFrame, tau: float = 0.07) -> DataFrame:
+    """(block, loss): mean over both directions of -log softmax(sim / tau) at i = j."""
+    x = pairs.withColumn("x", F.col("sim") / tau)
+
+    def direction(end: str) -> DataFrame:
+        top = x.withColumn("m", F.max("x").over(Window.partitionBy("block", end)))
+        return top.groupBy("block", end).agg((F.max("m") + F.log(F.sum(F.exp(F.col("x") - F.col("m")))) - F.max(F.when(F.col("i") == F.col("j"), F.col("x")))).alias("l")).select("block", "l")
+
+    return direction("i").unionByName(direction("j")).groupBy("block").agg(F.avg("l").alias("loss"))
+
+
+def recall_at_k(pairs: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """(block, recall_k ...): share of rows whose own partner is among the k most similar, mean of both directions."""
+
+    def direction(end: str, other: str) -> DataFrame:
+        r = F.row_number().over(Window.partitionBy("block", end).orderBy(F.desc("sim"), other))
+        return pairs.withColumn("r", r).where("i = j").select("block", "r")
+
+    both = direction("i", "j").unionByName(direction("j", "i"))
+    return both.groupBy("block").agg(*(F.avg((F.col("r") <= k).cast("double")).alias(f"recall_{k}") for k in ks))
+
+
+def field_pool(fields: list[tuple[Column, Column, float]], eps: float = 1e-8) -> Column:
+    """Weighted mean of vectors: sum(w * m * e) / (sum(w * m) + eps) over (vector, presence, weight)."""
+    total = sum((m.cast("double") * w for _, m, w in fields), F.lit(0.0)) + eps
+
+    def scale(v: Column, m: Column, w: float) -> Column:
+        return F.transform(v, lambda x: x.cast("double") * m.cast("double") * w)
+
+    scaled = [scale(*f) for f in fields]
+    out = scaled[0]
+    for s in scaled[1:]:
+        out = F.zip_with(out, s, lambda x, y: x + y)
+    return F.transform(out, lambda x: x / total)
+
+
+def mutation_features(ref: Column, alt: Column) -> Column:
+    """ref, alt, alt - ref, |alt - ref| and alt * ref, end to end."""
+    delta = F.zip_with(ref, alt, lambda r, a: a - r)
+    return F.concat(ref, alt, delta, F.transform(delta, F.abs), F.zip_with(ref, alt, lambda r, a: a * r))
+
+
+def centroid_distances(df: DataFrame, block: str, vector: str) -> DataFrame:
+    """(a, b, d2): squared distances of the blocks' mean vectors, the coarse level of a two-level diffusion. It has a row per pair of blocks, not of rows."""
+    mean = df.select(F.col(block).alias("block"), F.posexplode(vector).alias("at", "x")).groupBy("block", "at").agg(F.avg("x").alias("x"))
+    other = mean.select(F.col("block").alias("b"), "at", F.col("x").alias("y"))
+    return mean.join(other, "at").where("block < b").groupBy(F.col("block").alias("a"), "b").agg(F.sum((F.col("x") - F.col("y")) * (F.col("x") - F.col("y"))).alias("d2"))
