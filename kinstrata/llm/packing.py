@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -16,13 +17,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import Scratch, slices, table
 
 END_ID = 2
+#: White space and then a blank: only there can a token hold a blank past its first place (as blank, NBSP, blank, NBSP does).
+CROSSED = re.compile(r"\s ")
 
 
 class ChunkIds(dict):
     """Token ids (little-endian unsigned 32-bit) by chunk: what stands from one blank to the next, with the blank before it.
 
-    The vocabulary's splitting never crosses from one chunk to the next, so new chunks are encoded together and cut by
-    the tokens' byte lengths.
+    In texts without CROSSED the vocabulary's splitting never crosses from one chunk to the next, so new chunks are encoded
+    together and cut by the tokens' byte lengths. A text's last chunk may end in white space; that is encoded alone.
     """
 
     LIMIT = 1_000_000
@@ -42,6 +45,9 @@ class ChunkIds(dict):
         if len(self) + len(new) > self.LIMIT:
             self.clear()
             new = list(chunks)
+        last = [c for c in new if c[-1].isspace()]
+        self.update((c, np.array(self.encode(" " + c), "<u4").tobytes()) for c in last)
+        new = [c for c in new if not c[-1].isspace()] if last else new
         if new:
             ids = np.array(self.encode(" " + " ".join(new)), np.int64)
             ends = np.cumsum([len(c.encode()) + 1 for c in new])
@@ -65,7 +71,7 @@ def _encoder(json_path: str, ranks_path: str):
         for i, text in enumerate(texts):
             if any(x in text for x in special):
                 out.append(np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
-            elif "  " in text or text[:1] == " " or text[-1:] == " ":
+            elif text[:1] == " " or text[-1:] == " " or CROSSED.search(text):
                 out.append(np.array(cache.encode(text), "<u4").tobytes())
             else:
                 first, *parts[i] = text.split(" ")

@@ -177,6 +177,21 @@ def test_packing(spark):
     assert len({(p.doc_id, p.start) for p in got if p.doc_id not in (5, None)}) == len([p for p in got if p.doc_id not in (5, None)])
 
 
+def test_packing_ids_equal_whole_text_ids():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    json_path = public_tokenizers.path("byte_bpe_50k.json")
+    whole, encode = Tokenizer.from_file(json_path), packing._encoder.__wrapped__(json_path, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    r = random.Random(6)
+    texts = ["a \xa0 \xa0 b", "a" + " \xa0" * 9, "b \xa0", "\xa0\xa0c d", "x \xa0\xa0c", "\t \n", "end b\n\n", ""]
+    texts += ["".join(r.choice(["a", "It's", "é", "7", ",", " ", " ", "\xa0", " \xa0 \xa0", "\t", "\n", "\u3000", "\x1f", "\x85"]) for _ in range(r.randint(1, 12))) for _ in range(3000)]
+    for at in range(0, len(texts), 500):  # later calls find chunks of earlier ones
+        part = texts[at : at + 500]
+        for text, ids in zip(part, encode(part), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
 def test_quality_learns_without_negatives():
     r = np.random.default_rng(0)
     good, bad = r.normal(0, 1, (500, 4)), r.normal(3, 1, (100, 4))
