@@ -161,6 +161,24 @@ def _(spark, d):
     return V.recall_at_k(_views(spark, d)).select("block", *(F.round(f"recall_{k}", 6).alias(f"recall_{k}") for k in (1, 5, 10)))
 
 
+# The same over the whole table: the queries above compare only rows of one label, as their SQL does
+TWO_ALL = "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.v[1:32], b.v[33:64]), 9) AS sim FROM e a, e b)"
+
+
+def _all_views(spark, d):
+    return V.two_view_rows(table(spark, d, "embeddings"), "vec_id", F.slice("embedding", 1, 32), F.slice("embedding", 33, 32))
+
+
+@query("infonce_all", TWO_ALL + ", l AS (SELECT ln(sum(exp(sim / 0.07))) - max(sim / 0.07) FILTER (WHERE i = j) AS l FROM p GROUP BY i UNION ALL SELECT ln(sum(exp(sim / 0.07))) - max(sim / 0.07) FILTER (WHERE i = j) FROM p GROUP BY j) SELECT round(avg(l), 6) AS loss FROM l")
+def _(spark, d):
+    return _all_views(spark, d).agg(F.round(F.avg("loss"), 6).alias("loss"))
+
+
+@query("recall_at_k_all", TWO_ALL + ", r AS (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS r FROM p UNION ALL SELECT i, j, row_number() OVER (PARTITION BY j ORDER BY sim DESC, i) FROM p) SELECT " + ", ".join(f"round(avg(CAST(r <= {k} AS INT)), 6) AS recall_{k}" for k in (1, 5, 10)) + " FROM r WHERE i = j")
+def _(spark, d):
+    return _all_views(spark, d).agg(*(F.round(F.avg((F.col("rank") <= k).cast("double")), 6).alias(f"recall_{k}") for k in (1, 5, 10)))
+
+
 @query("field_pool", "SELECT vec_id, round((CAST(embedding[1] AS DOUBLE) + 1.5 * (vec_id % 2) * CAST(embedding[64] AS DOUBLE)) / (1 + 1.5 * (vec_id % 2) + 1e-8), 6) AS x FROM embeddings")
 def _(spark, d):
     pooled = V.field_pool([(F.col("embedding"), F.lit(True), 1.0), (F.reverse("embedding"), F.col("vec_id") % 2 == 1, 1.5)])

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -112,3 +116,111 @@ def centroid_distances(df: DataFrame, block: str, vector: str) -> DataFrame:
     mean = df.select(F.col(block).alias("block"), F.posexplode(vector).alias("at", "x")).groupBy("block", "at").agg(F.avg("x").alias("x"))
     other = mean.select(F.col("block").alias("b"), "at", F.col("x").alias("y"))
     return mean.join(other, "at").where("block < b").groupBy(F.col("block").alias("a"), "b").agg(F.sum((F.col("x") - F.col("y")) * (F.col("x") - F.col("y"))).alias("d2"))
+
+
+# ---- whole tables: every row against every row, a pair of blocks at a time ----
+def block_products(left: DataFrame, right: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray], pd.DataFrame], schema: str, per_block: int = 2000) -> DataFrame:
+    """run(x, y, sim) for every pair of a block of ``left`` (i, a, ...) and one of ``right`` (j, b, ...); sim holds the rounded products a . b.
+
+    Each pair of rows is met once, whatever their keys; a block has about ``per_block`` rows, so the rows that ``run`` gives
+    must be few for a pair of blocks. The work is quadratic in the rows, the memory of a task is not.
+    """
+    m, n = (max(1, -(-df.count() // per_block)) for df in (left, right))
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def deal(df: DataFrame, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
+        place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(own_n)).cast("int")
+        return df.withColumn(own, place).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))))
+
+    def both(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if x.empty or y.empty:
+            return pd.DataFrame({c: [] for c in names})
+        return run(x, y, np.round(np.stack(x["a"]) @ np.stack(y["b"]).T, 9))[names]
+
+    a, b = deal(left, "p", m, "q", n), deal(right, "q", n, "p", m)
+    return a.groupBy("p", "q").cogroup(b.groupBy("p", "q")).applyInPandas(both, schema)
+
+
+def _sides(df: DataFrame, key: str, vector: str) -> tuple[DataFrame, DataFrame]:
+    """Rows without a key or a vector meet no other row."""
+    a = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("i"), normalized(F.col(vector)).alias("a"))
+    return a, a.select(F.col("i").alias("j"), F.col("a").alias("b"))
+
+
+def _same(x: pd.DataFrame, y: pd.DataFrame) -> np.ndarray:
+    return x["i"].to_numpy()[:, None] == y["j"].to_numpy()[None, :]
+
+
+def nearest(df: DataFrame, key: str, vector: str, k: int, per_block: int = 2000) -> DataFrame:
+    """(i, j, sim, rank): the k rows of the whole table that are most similar to each row; blocks keep k, and the lists are merged."""
+
+    def run(x: pd.DataFrame, y: pd.DataFrame, sim: np.ndarray) -> pd.DataFrame:
+        by_key = np.argsort(y["j"].to_numpy(), kind="stable")
+        sim = np.where(_same(x, y), -np.inf, sim)[:, by_key]
+        at = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+        out = pd.DataFrame({"i": np.repeat(x["i"].to_numpy(), at.shape[1]), "j": y["j"].to_numpy()[by_key][at].ravel(), "sim": np.take_along_axis(sim, at, 1).ravel()})
+        return out[np.isfinite(out["sim"])]
+
+    w = Window.partitionBy("i").orderBy(F.desc("sim"), "j")
+    return block_products(*_sides(df, key, vector), run, "i long, j long, sim double", per_block).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def softmax_top(df: DataFrame, key: str, vector: str, alpha: float, per_block: int = 2000) -> DataFrame:
+    """(i, top): the greatest softmax(sim / alpha) of each row over all other rows. Cosines are at most 1, so partial sums share that shift."""
+
+    def run(x: pd.DataFrame, y: pd.DataFrame, sim: np.ndarray) -> pd.DataFrame:
+        e = np.where(_same(x, y), 0.0, np.exp((sim - 1) / alpha))
+        return pd.DataFrame({"i": x["i"], "most": e.max(1), "e": e.sum(1)})
+
+    out = block_products(*_sides(df, key, vector), run, "i long, most double, e double", per_block).groupBy("i")
+    return out.agg(F.try_divide(F.max("most"), F.sum("e")).alias("top"))
+
+
+def median_distance(df: DataFrame, key: str, vector: str, per_block: int = 2000) -> float | None:
+    """The lower median of the squared distances of all pairs of different rows, from counts: of 65,536 bins, then of one bin's values."""
+    sides, bins = _sides(df, key, vector), 2**14
+
+    def counts(only: int | None) -> list[tuple[float, int]]:
+        def run(x: pd.DataFrame, y: pd.DataFrame, sim: np.ndarray) -> pd.DataFrame:
+            d = np.maximum(2 - 2 * sim[~_same(x, y)], 0)
+            at = np.floor(d * bins)
+            v, n = np.unique(at if only is None else d[at == only], return_counts=True)
+            return pd.DataFrame({"v": v, "n": n})
+
+        return sorted(tuple(r) for r in block_products(*sides, run, "v double, n long", per_block).groupBy("v").agg(F.sum("n").alias("n")).collect())
+
+    coarse, below = counts(None), 0
+    half = sum(n for _, n in coarse) / 2
+    for b, n in coarse:
+        if below + n >= half:
+            for v, m in counts(b):
+                below += m
+                if below >= half:
+                    return v
+        below += n
+    return None
+
+
+def nearest_affinity(df: DataFrame, key: str, vector: str, k: int, per_block: int = 2000) -> DataFrame:
+    """gaussian_affinity of the whole table: (i, j, a) from each row's k nearest rows and the median of all pairs."""
+    s2 = median_distance(df, key, vector, per_block) or 0.0
+    near = nearest(df, key, vector, k, per_block).withColumn("a", F.exp(-F.greatest(2 - 2 * F.col("sim"), F.lit(0.0)) / (2 * (s2 + 1e-8) + 1e-8)))
+    both = near.select("i", "j", "a").unionByName(near.select(F.col("j").alias("i"), F.col("i").alias("j"), "a"))
+    return both.groupBy("i", "j").agg(F.max("a").alias("a"))
+
+
+def two_view_rows(df: DataFrame, key: str, left: Column, right: Column, tau: float = 0.07, per_block: int = 2000) -> DataFrame:
+    """(side, key, loss, rank): each row's left view among all right ones (side 0) and the other way: -log softmax(sim / tau) and rank of its partner."""
+    rows = df.where(F.col(key).isNotNull() & left.isNotNull() & right.isNotNull()).select(F.col(key).cast("long").alias("i"), normalized(left).alias("a"), normalized(right).alias("b"))
+    rows = rows.withColumn("own", F.round(dot(F.col("a"), F.col("b")), 9))
+
+    def run(x: pd.DataFrame, y: pd.DataFrame, sim: np.ndarray) -> pd.DataFrame:
+        same, e, out = _same(x, y), np.exp((sim - 1) / tau), []
+        i, j = x["i"].to_numpy()[:, None], y["j"].to_numpy()[None, :]
+        for side, end, other, own, axis in ((0, i, j, x["own"].to_numpy()[:, None], 1), (1, j, i, y["mine"].to_numpy()[None, :], 0)):
+            better = ~same & ((sim > own) | ((sim == own) & (other < end)))
+            out.append(pd.DataFrame({"side": side, "key": end.ravel(), "own": own.ravel(), "e": e.sum(axis), "better": better.sum(axis)}))
+        return pd.concat(out)
+
+    sums = block_products(rows.select("i", "a", "own"), rows.select(F.col("i").alias("j"), "b", F.col("own").alias("mine")), run, "side int, key long, own double, e double, better long", per_block).groupBy("side", "key")
+    return sums.agg((F.log(F.sum("e")) + (1 - F.max("own")) / tau).alias("loss"), (F.sum("better") + 1).alias("rank"))

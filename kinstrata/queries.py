@@ -401,6 +401,32 @@ def _(spark, d):
     return V.diffusion_step(V.gaussian_affinity(_pairs(spark, d).withColumn("sim", F.round("sim", 9)), 5)).withColumn("p", F.round("p", 6))
 
 
+# The same over the whole table: the queries above compare only rows of one label, as their SQL does
+EMB_ALL = "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.v, b.v), 9) AS sim FROM e a JOIN e b ON a.vec_id <> b.vec_id)"
+
+
+@query("cosine_topk_all", EMB_ALL + " SELECT i, j, rank FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS rank FROM p) WHERE rank <= 5")
+def _(spark, d):
+    return V.nearest(table(spark, d, "embeddings"), "vec_id", "embedding", 5).select("i", "j", "rank")
+
+
+@query("row_softmax_all", EMB_ALL + " SELECT i, round(max(exp((sim - 1) / 0.3)) / sum(exp((sim - 1) / 0.3)), 6) AS top FROM p GROUP BY 1")
+def _(spark, d):
+    return V.softmax_top(table(spark, d, "embeddings"), "vec_id", "embedding", 0.3).withColumn("top", F.round("top", 6))
+
+
+@query("knn_affinity_all", EMB_ALL + """, d AS (SELECT *, greatest(2 - 2 * sim, 0) AS d2 FROM p), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS r FROM d) WHERE r <= 5),
+ a AS (SELECT i, j, exp(-d2 / (2 * ((SELECT quantile_disc(d2, 0.5) FROM d) + 1e-8) + 1e-8)) AS a FROM k), b AS (SELECT * FROM a UNION ALL SELECT j, i, a FROM a) SELECT i, j, round(max(a), 6) AS a FROM b GROUP BY ALL""")
+def _(spark, d):
+    return V.nearest_affinity(table(spark, d, "embeddings"), "vec_id", "embedding", 5).withColumn("a", F.round("a", 6))
+
+
+@query("diffusion_two_steps_all")
+def _(spark, d):
+    a = V.nearest_affinity(table(spark, d, "embeddings"), "vec_id", "embedding", 5)
+    return V.diffusion_step(a.withColumn("block", F.lit(0))).select("i", "j", F.round("p", 6).alias("p"))
+
+
 @on_variants("wasserstein_1d", ", t AS (SELECT family_id, vaf AS x, count(*) FILTER (WHERE origin = 'germline') AS a, count(*) FILTER (WHERE origin = 'somatic') AS b FROM variants GROUP BY ALL), c AS (SELECT family_id, abs(sum(a) OVER w / sum(a) OVER f - sum(b) OVER w / sum(b) OVER f) * (lead(x) OVER w - x) AS g FROM t WINDOW w AS (PARTITION BY family_id ORDER BY x), f AS (PARTITION BY family_id)) SELECT family_id, round(sum(g), 6) AS w1 FROM c GROUP BY 1")
 def _(v):
     return V.wasserstein_1d(v, ["family_id"], F.when(F.col("origin") == "germline", 0).otherwise(1), F.col("vaf")).withColumn("w1", F.round("w1", 6))

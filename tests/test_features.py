@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +81,33 @@ def test_against_sql(spark, name):
     text = lambda x: format(float(x), ".9g") if isinstance(x, (int, float)) else str(x)
     key = lambda rows: sorted(tuple(map(text, r)) for r in rows)
     assert key(df.select(cols).collect()) == key(con.execute(f"select {', '.join(cols)} from ({SQL[name]})").fetchall())
+
+
+def test_nearest_crosses_labels_and_blocks(spark):
+    x = np.random.default_rng(3).normal(size=(40, 6))
+    x[9] = x[31]  # ties
+    df = spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(x)] + [(90, 0, None), (None, 1, x[0].tolist())], "vec_id long, label int, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sim = np.round(u @ u.T, 9)
+    want = {i: sorted((j for j in range(40) if j != i), key=lambda j: (-sim[i, j], j))[:5] for i in range(40)}
+    for per_block in (7, 2000):
+        got = {}
+        for r in V.nearest(df, "vec_id", "embedding", 5, per_block).orderBy("i", "rank").collect():
+            got.setdefault(r.i, []).append(r.j)
+        assert got == want
+    assert any(j % 3 != i % 3 for i in want for j in want[i])
+    off = sim[~np.eye(40, dtype=bool)]
+    assert abs(V.median_distance(df, "vec_id", "embedding", 7) - np.sort(2 - 2 * off)[len(off) // 2 - 1]) < 1e-9
+    top = {r.i: r.top for r in V.softmax_top(df, "vec_id", "embedding", 0.3, 7).collect()}
+    e = np.where(np.eye(40, dtype=bool), 0, np.exp(sim / 0.3))
+    assert np.allclose([top[i] for i in range(40)], e.max(1) / e.sum(1))
+    s = np.round((u[:, :3] / np.linalg.norm(u[:, :3], axis=1, keepdims=True)) @ (u[:, 3:] / np.linalg.norm(u[:, 3:], axis=1, keepdims=True)).T, 9)
+    rows = V.two_view_rows(df, "vec_id", F.slice("embedding", 1, 3), F.slice("embedding", 4, 3), 0.07, 7).orderBy("side", "key").collect()
+    assert np.allclose([r.loss for r in rows], np.concatenate([np.log(np.exp(t / 0.07).sum(1)) - np.diag(t) / 0.07 for t in (s, s.T)]))
+    assert [r.rank for r in rows] == [sorted(range(40), key=lambda j: (-t[i, j], j)).index(i) + 1 for t in (s, s.T) for i in range(40)]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+@pytest.mark.parametrize("name", ["cosine_topk_all", "row_softmax_all", "knn_affinity_all", "infonce_all", "recall_at_k_all"])
+def test_whole_table_against_sql(spark, name):
+    test_against_sql(spark, name)
