@@ -135,6 +135,14 @@ def _(spark, d):
     return T.sparse_cosine(w, "item_id", F.floor(F.col("item_id") / 64)).withColumn("sim", F.round("sim", 6))
 
 
+# All pairs: tfidf_cosine compares only items of one run of 64 ids, as its SQL does
+@query("tfidf_cosine_all", f"""WITH w AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '{T.WORD}') AS ws FROM benchmark), t AS (SELECT item_id, unnest(ws) AS term FROM w UNION ALL SELECT item_id, ws[p] || ' ' || ws[p + 1] FROM (SELECT item_id, ws, unnest(generate_series(1, len(ws) - 1)) AS p FROM w)),
+ c AS (SELECT item_id, term, count(*) AS tf FROM t GROUP BY ALL), k AS (SELECT term, count(*) AS df FROM c GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 5000), r AS (SELECT item_id, term, tf * (ln((1 + (SELECT count(*) FROM benchmark)) / (1 + df)) + 1) AS w FROM c JOIN k USING (term)),
+ u AS (SELECT item_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS w FROM r) SELECT a.item_id AS i, b.item_id AS j, round(sum(a.w * b.w), 6) AS sim FROM u a JOIN u b ON a.term = b.term AND a.item_id < b.item_id GROUP BY ALL""")
+def _(spark, d):
+    return T.sparse_cosine_all(T.tfidf(table(spark, d, "benchmark"), "item_id", "text"), "item_id").withColumn("sim", F.round("sim", 6))
+
+
 @on_variants("weighted_jaccard", """, s AS (SELECT pos, list(DISTINCT origin) FILTER (WHERE vaf > 0.5) AS a1, list(DISTINCT origin) AS b1, list(DISTINCT tx) FILTER (WHERE vaf > 0.5) AS a2, list(DISTINCT tx) AS b2 FROM variants GROUP BY 1)
  SELECT pos, round((len(coalesce(a1, [])) / len(b1) + 0.5 * len(coalesce(a2, [])) / len(b2)) / 1.5, 6) AS jaccard FROM s""")
 def _(v):

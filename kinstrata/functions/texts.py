@@ -59,6 +59,16 @@ def sparse_cosine(weights: DataFrame, key: str, block: Column) -> DataFrame:
     return a.join(b, ["block", "term"]).where(F.col(key) < F.col("j")).groupBy("block", F.col(key).alias("i"), "j").agg(F.sum(F.col("w") * F.col("v")).alias("sim"))
 
 
+def sparse_cosine_all(weights: DataFrame, key: str, per_part: int = 1000) -> DataFrame:
+    """(i, j, sim), i < j, for all rows that share a term. A term's rows are dealt into parts of about ``per_part`` and its parts meet in pairs."""
+    parts = weights.groupBy("term").agg(F.ceil(F.count("*") / per_part).cast("int").alias("n"))
+    t = weights.join(parts, "term").withColumn("part", F.pmod(F.xxhash64(key), F.col("n")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    a = t.select("term", F.col(key).alias("i"), F.col("w").alias("v"), F.col("part").alias("p"), every.alias("q"))
+    b = t.select("term", F.col(key).alias("j"), F.col("w").alias("u"), F.col("part").alias("q"), every.alias("p"))
+    return a.join(b, ["term", "p", "q"]).where("i < j").groupBy("i", "j").agg(F.sum(F.col("v") * F.col("u")).alias("sim"))
+
+
 def weighted_jaccard(pairs: list[tuple[Column, Column, float]]) -> Column:
     """Weighted mean of the Jaccard similarities of pairs of term sets; two empty sets have 0."""
     total = sum(w for *_, w in pairs)

@@ -108,6 +108,13 @@ def test_nearest_crosses_labels_and_blocks(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
-@pytest.mark.parametrize("name", ["cosine_topk_all", "row_softmax_all", "knn_affinity_all", "infonce_all", "recall_at_k_all"])
+@pytest.mark.parametrize("name", ["cosine_topk_all", "row_softmax_all", "knn_affinity_all", "infonce_all", "recall_at_k_all", "tfidf_cosine_all"])
 def test_whole_table_against_sql(spark, name):
     test_against_sql(spark, name)
+
+
+def test_sparse_cosine_crosses_id_blocks(spark):
+    w = spark.createDataFrame([(i, t, 0.5) for i in (1, 70, 200, 9000) for t in (["x", "y"] if i != 200 else ["x"])], "item_id long, term string, w double")
+    for per_part in (1, 1000):
+        got = {(r.i, r.j): r.sim for r in T.sparse_cosine_all(w, "item_id", per_part).collect()}
+        assert got == {(1, 70): 0.5, (1, 200): 0.25, (1, 9000): 0.5, (70, 200): 0.25, (70, 9000): 0.5, (200, 9000): 0.25}
