@@ -149,6 +149,11 @@ def clean_sequence(s: Column) -> Column:
     return F.regexp_replace(F.upper(F.regexp_replace(s, r"\s+", "")), "[^ACGTN]", "N")
 
 
+def clean_any_sequence(s: Column) -> Column:
+    """clean_sequence for any text: white space of all scripts goes, a null is empty, each other character past ACGTN is N."""
+    return F.regexp_replace(F.upper(F.regexp_replace(F.coalesce(s, F.lit("")), r"(?U)[\s\x1c-\x1f]+", "")), "[^ACGTN]", "N")
+
+
 def split_terms(c: Column, most: int = 25) -> Column:
     """Trimmed distinct terms of a ;,| list in order, the first ``most``."""
     terms = F.transform(F.split(F.coalesce(na_if(c), F.lit("")), r"[;,|]+"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))

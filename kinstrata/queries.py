@@ -173,6 +173,17 @@ def _(spark, d):
     return table(spark, d, "benchmark").where(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("item_id", S.clean_sequence(F.col("text")).alias("seq"))
 
 
+# All rows, without SQL: the two queries above leave texts with non-ASCII characters out, as their SQL does
+@query("revcomp_all")
+def _(spark, d):
+    return table(spark, d, "benchmark").select("item_id", S.reverse_complement(F.col("text")).alias("rc"))
+
+
+@query("seq_clean_all")
+def _(spark, d):
+    return table(spark, d, "benchmark").select("item_id", S.clean_any_sequence(F.col("text")).alias("seq"))
+
+
 @on_variants("split_terms", " SELECT pathway, CASE WHEN pathway = '.' THEN '' ELSE array_to_string(list_transform(string_split_regex(pathway, '[;,|]+'), lambda x: trim(x)), '; ') END AS terms, count(*) AS n FROM variants GROUP BY ALL")
 def _(v):
     return v.groupBy("pathway", F.array_join(S.split_terms(F.col("pathway")), "; ").alias("terms")).agg(F.count("*").alias("n"))
