@@ -205,6 +205,16 @@ def _(spark, d):
     return V.centroid_distances(table(spark, d, "embeddings"), "label", "embedding").withColumn("d2", F.round("d2", 6))
 
 
+@query("diffusion_intra")
+def _(spark, d):
+    return V.hierarchical_diffusion(table(spark, d, "embeddings"), "vec_id", "embedding")[0].withColumn("d2", F.round("d2", 6))
+
+
+@query("diffusion_inter")
+def _(spark, d):
+    return V.hierarchical_diffusion(table(spark, d, "embeddings"), "vec_id", "embedding")[1].withColumn("d2", F.round("d2", 6))
+
+
 @query("classification_metrics", """WITH x AS (SELECT quality AS l, toxic AS p FROM labels), c AS (SELECT DISTINCT l AS c FROM x UNION SELECT p FROM x), s AS (SELECT c, (SELECT count(*) FROM x WHERE l = c) AS sup, (SELECT count(*) FROM x WHERE p = c) AS pre, (SELECT count(*) FROM x WHERE l = c AND p = c) AS tp FROM c),
  m AS (SELECT *, coalesce(tp / nullif(pre, 0), 0) AS pr, coalesce(tp / nullif(sup, 0), 0) AS re, coalesce(2 * tp / nullif(pre + sup, 0), 0) AS f FROM s)
  SELECT round(sum(tp) / sum(sup), 6) AS accuracy, round(avg(pr), 6) AS macro_precision, round(avg(re), 6) AS macro_recall, round(avg(f), 6) AS macro_f1, round(sum(f * sup) / sum(sup), 6) AS weighted_f1 FROM m""")

@@ -224,3 +224,46 @@ def two_view_rows(df: DataFrame, key: str, left: Column, right: Column, tau: flo
 
     sums = block_products(rows.select("i", "a", "own"), rows.select(F.col("i").alias("j"), "b", F.col("own").alias("mine")), run, "side int, key long, own double, e double, better long", per_block).groupBy("side", "key")
     return sums.agg((F.log(F.sum("e")) + (1 - F.max("own")) / tau).alias("loss"), (F.sum("better") + 1).alias("rank"))
+
+
+# ---- diffusion distances: exact inside blocks, of the centroids across blocks ----
+def walk_distances(h: np.ndarray, k: int, t: int) -> np.ndarray:
+    """sum_k (P^t_ik - P^t_jk)^2 for all i, j, where P is the row-normalised affinity of the k nearest rows (ties by place)."""
+    n = len(h)
+    if n < 2:
+        return np.zeros((n, n))
+    square = (h * h).sum(1)
+    d2 = np.maximum(square[:, None] + square[None, :] - 2 * h @ h.T, 0)
+    off = np.sort(d2[~np.eye(n, dtype=bool)])
+    near = np.exp(-d2 / (2 * (off[(len(off) - 1) // 2] + 1e-8) + 1e-8))
+    np.fill_diagonal(near, 0)
+    at = np.argsort(-near, axis=1, kind="stable")[:, : min(k, n - 1)]
+    a = np.zeros_like(near)
+    np.put_along_axis(a, at, np.take_along_axis(near, at, 1), 1)
+    a = np.maximum(a, a.T)
+    p = np.linalg.matrix_power(a / (a.sum(1, keepdims=True) + 1e-8), t)
+    square = (p * p).sum(1)
+    return np.maximum(square[:, None] + square[None, :] - 2 * p @ p.T, 0)
+
+
+def diffusion_distances(df: DataFrame, block: str, key: str, vector: str, k: int = 15, t: int = 3) -> DataFrame:
+    """(block, i, j, d2): distances of all pairs inside a block. One task holds a block's square, so blocks must be bounded."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i", ignore_index=True)
+        d, ids = walk_distances(np.stack(pdf["v"]).astype(float), k, t), pdf["i"].to_numpy()
+        return pd.DataFrame({"block": pdf["block"].iloc[0], "i": np.repeat(ids, len(ids)), "j": np.tile(ids, len(ids)), "d2": d.ravel()})
+
+    rows = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull())
+    return rows.select(F.col(block).cast("long").alias("block"), F.col(key).cast("long").alias("i"), F.col(vector).alias("v")).groupBy("block").applyInPandas(run, "block long, i long, j long, d2 double")
+
+
+def hierarchical_diffusion(df: DataFrame, key: str, vector: str, size: int = 500, k: int = 15, t: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(block, i, j, d2) inside blocks of about ``size`` rows, dealt by key, and (a, b, d2) of block centroids: every pair of rows of
+    blocks a and b has that distance. The centroids are one block of the same operator, a row per ``size`` rows."""
+    df = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull())
+    blocks = max(1, -(-df.count() // size))
+    dealt = df.withColumn("block", F.pmod(F.xxhash64(F.col(key)), F.lit(blocks)))
+    mean = dealt.select("block", F.posexplode(vector).alias("at", "x")).groupBy("block", "at").agg(F.avg("x").alias("x")).groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("v"))
+    inter = diffusion_distances(mean.withColumn("all", F.lit(0)), "all", "block", "v", k, t).where("i <> j")
+    return diffusion_distances(dealt, "block", key, vector, k, t), inter.select(F.col("i").alias("a"), F.col("j").alias("b"), "d2")

@@ -118,3 +118,38 @@ def test_sparse_cosine_crosses_id_blocks(spark):
     for per_part in (1, 1000):
         got = {(r.i, r.j): r.sim for r in T.sparse_cosine_all(w, "item_id", per_part).collect()}
         assert got == {(1, 70): 0.5, (1, 200): 0.25, (1, 9000): 0.5, (70, 200): 0.25, (70, 9000): 0.5, (200, 9000): 0.25}
+
+
+def test_hierarchical_diffusion(spark):
+    x = np.random.default_rng(5).normal(size=(60, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, None)], "vec_id long, embedding array<double>")
+
+    def brute(h, k, t):
+        n = len(h)
+        d2 = [[sum((a - b) ** 2 for a, b in zip(h[i], h[j], strict=True)) for j in range(n)] for i in range(n)]
+        pairs = sorted(d2[i][j] for i in range(n) for j in range(n) if i != j)
+        s2 = pairs[(len(pairs) - 1) // 2] + 1e-8
+        a = np.zeros((n, n))
+        for i in range(n):
+            for j in sorted((j for j in range(n) if j != i), key=lambda j: (d2[i][j], j))[:k]:
+                a[i, j] = max(a[i, j], np.exp(-d2[i][j] / (2 * s2 + 1e-8)))
+                a[j, i] = max(a[j, i], a[i, j])
+        p = a / (a.sum(1, keepdims=True) + 1e-8)
+        q = p
+        for _ in range(t - 1):
+            q = q @ p
+        return [[((q[i] - q[j]) ** 2).sum() for j in range(n)] for i in range(n)]
+
+    intra, inter = V.hierarchical_diffusion(df, "vec_id", "embedding", size=12, k=3, t=3)
+    rows, blocks = intra.collect(), {}
+    for r in rows:
+        blocks.setdefault(r.block, set()).add(r.i)
+    assert sorted(i for b in blocks.values() for i in b) == list(range(60)) and len(blocks) > 1
+    for b, ids in blocks.items():
+        ids = sorted(ids)
+        want = brute(x[ids], 3, 3)
+        assert {(r.i, r.j): pytest.approx(want[ids.index(r.i)][ids.index(r.j)], abs=1e-9) for r in rows if r.block == b} == {(r.i, r.j): r.d2 for r in rows if r.block == b}
+    order = sorted(blocks)
+    want = brute(np.array([x[sorted(blocks[b])].mean(0) for b in order]), 3, 3)
+    got = {(r.a, r.b): r.d2 for r in inter.collect()}
+    assert len(got) == len(order) * (len(order) - 1) and all(abs(d - want[order.index(a)][order.index(b)]) < 1e-9 for (a, b), d in got.items())
