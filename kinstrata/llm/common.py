@@ -23,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. A local session without one gets its own; a cluster must name it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="kinstrata-")
         spark.conf.set("spark.checkpoint.dir", path)
@@ -31,9 +31,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows and bytes, so that a batch of very long texts fits in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """Arrow batches of few rows and bytes, so that a batch of very long texts fits in a Python worker.
+
+    Spark reads these settings when a result is computed, after the operator has returned, so they stay; smaller ones are kept.
+    """
+    for name, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 16 << 20)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 @contextmanager
@@ -48,7 +54,11 @@ def shuffle_files_go(spark: SparkSession):
 
 
 class Scratch:
-    """Intermediate tables in the shared folder: they cut lineage and outlive a lost executor."""
+    """Intermediate tables in the shared folder: they cut lineage and outlive a lost executor.
+
+    What an operator's result doesn't read goes by drop(); the rest goes when the driver ends. An aggregate that is joined to
+    its own input is written first: Spark splits a hot key's rows only in a join of two shuffled tables.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.base, self.paths = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}", {}
@@ -58,17 +68,24 @@ class Scratch:
         path = f"{self.base}/{name}-{len(self.paths)}"
         with shuffle_files_go(self.spark):
             df.write.parquet(path)
+        if not self.paths:
+            fs, at = self._store(self.base)
+            fs.deleteOnExit(at)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (path, out)
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table that nothing reads any more."""
-        path, _ = self.paths.get(id(df), (None, None))
-        if path:
-            jvm = self.spark._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+    def _store(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing reads any more."""
+        for df in tables:
+            path, _ = self.paths.get(id(df), (None, None))
+            if path:
+                fs, at = self._store(path)
+                fs.delete(at, True)
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -150,26 +167,39 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
     """(node, component): the smallest node that can be reached. Nodes without an edge are not listed.
 
     Alternating large-star and small-star rounds (Kiveris et al. 2014) by aggregates and joins; each round is a written
-    table, no group is gathered, and hot nodes are aggregated before the shuffle and split by skewed joins.
+    table and no group is gathered. Each node's least neighbour is written before it is joined, so that Spark splits the
+    rows of a node with very many neighbours.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     now = scratch.write(now, "edges")
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        low = scratch.write(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "low")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = scratch.write(large, "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = scratch.write(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small")
-        scratch.drop(now)
-        scratch.drop(large)
-        state = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        least = scratch.write(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = scratch.write(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small")
+        scratch.drop(now, low, large, least)
+        state = new.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         now = new
         if seen == state:
             break
         seen = state
     tree = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = tree.select("component").distinct().select(F.col("component").alias("node"), "component")
-    return scratch.write(tree.unionByName(roots), "components")
+    out = scratch.write(tree.unionByName(roots), "components")
+    scratch.drop(now)
+    return out
+
+
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted names, with underscores in front where a column has that name (in any case) already."""
+    known, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in known:
+            name = "_" + name
+        known.add(name.lower())
+        out.append(name)
+    return out

@@ -8,8 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import BASES, Scratch, Windows, mix, rolling, slices, table, word_hashes
-
+from .common import BASES, Scratch, Windows, free_names, mix, rolling, slices, table, word_hashes
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -26,8 +25,8 @@ def _first_level(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                ids, values, owners = part.column("doc_id").to_numpy(zero_copy_only=False), [], []
-                for i, text in zip(ids, part.column("text").to_pylist(), strict=True):
+                ids, tags, values, owners = part.column("doc_id").to_numpy(), part.column("tag").to_numpy(), [], []
+                for i, text in enumerate(part.column("text").to_pylist()):
                     h = word_hashes(text.encode()) if text else ()
                     if len(h) >= n:
                         a = _anchors(h, n)
@@ -35,12 +34,13 @@ def _first_level(n: int):
                         values.append(a)
                         owners.append(np.full(len(a), i))
                 if values:
-                    yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(values))), pa.array(np.concatenate(owners))], ["anchor", "doc_id"])
+                    who = np.concatenate(owners)
+                    yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(values))), pa.array(ids[who]), pa.array(tags[who])], ["anchor", "doc_id", "tag"])
 
     return run
 
 
-_SECOND = "doc_id long, tag long, pos int, h1 long, h2 int, longer array<long>"
+_SECOND = "doc_id long, tag long, pos int, h1 long, h2 int"
 
 
 def _isin_runs(a: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -49,33 +49,21 @@ def _isin_runs(a: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.repeat(np.isin(a[first], values), np.diff(np.concatenate([first, [len(a)]])))
 
 
-def _longer(one: Windows, h1: np.ndarray, hit: np.ndarray, n: int) -> pa.Array:
-    """For each hit, null, or at winnowed places the hashes of twice, four times ... the length, as far as hits go on unbroken."""
-    at = np.flatnonzero(hit)
-    width = 2 * n
-    if len(h1) < width:
-        return pa.nulls(len(at), pa.list_(pa.int64()))
-    low = rolling(np.minimum, h1, width)
-    none = np.zeros(width - 1, np.uint64)
-    chosen = (rolling(np.maximum, np.concatenate([none, low, none]), width) == h1)[at]  # the least of some 2n neighbours
-    ends = np.flatnonzero(~np.concatenate([hit, [False]]))
-    p = at[chosen]
-    reach = ends[np.searchsorted(ends, p)] + n - 1 - p
-    most = int(reach.max()) // width if len(p) else 0
-    levels = [width << k for k in range(most.bit_length())]
-    table = np.zeros((len(p), len(levels)), np.uint64)
-    for k, length in enumerate(levels):
-        ok = reach >= length
-        table[ok, k] = mix((one.sums[p[ok] + length] - one.sums[p[ok]]) * one.down[p[ok]])
-    has = reach[:, None] >= np.array(levels, np.int64)[None, :] if levels else np.zeros((len(p), 0), bool)
-    count = np.zeros(len(at), np.int64)
-    count[np.flatnonzero(chosen)] = has.sum(1)
-    offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets, mask=np.concatenate([count == 0, [False]])), pa.array(_signed(table[has])))
+def _few_batches(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """Few large batches rather than one per document."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def _second_level(n: int):
-    """Windows of n words whose half-length anchor repeats, with the hashes of longer ones (_longer)."""
+    """Windows of n words whose half-length anchor repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,133 +71,209 @@ def _second_level(n: int):
                 h = word_hashes(text.as_py().encode())
                 if len(h) < n:
                     continue
-                hit = _isin_runs(_anchors(h, n), anchors.values.to_numpy().view(np.uint64))
-                one, two = Windows(h, BASES[0]), Windows(mix(h + np.uint64(1)), BASES[1])
-                h1, h2 = one.of(n), two.of(n)
-                at = np.flatnonzero(hit)
+                at = np.flatnonzero(_isin_runs(_anchors(h, n), anchors.values.to_numpy().view(np.uint64)))
                 if len(at):
+                    h1, h2 = Windows(h, BASES[0]).of(n)[at], Windows(mix(h + np.uint64(1)), BASES[1]).of(n)[at]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(at), doc.as_py(), np.int64)), pa.array(np.full(len(at), tag.as_py(), np.int64)), pa.array(at.astype(np.int32)),
-                         pa.array(_signed(h1[at])), pa.array((h2[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)), _longer(one, h1, hit, n)],
-                        ["doc_id", "tag", "pos", "h1", "h2", "longer"])
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Few large batches rather than one per document."""
-        held, rows = [], 0
-        for b in run(batches):
-            held.append(b)
-            rows += b.num_rows
-            if rows >= 100_000:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, rows = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                         pa.array(_signed(h1)), pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32))],
+                        ["doc_id", "tag", "pos", "h1", "h2"])
+
+    return lambda batches: _few_batches(run(batches))
+
+
+def _hits(cell: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, hash, in an earlier document too) of a document's recurring windows, in order of place."""
+    pos, h, gone = (cell.values.field(k).to_numpy(zero_copy_only=False) for k in ("pos", "h1", "gone"))
+    order = np.argsort(pos)
+    return pos[order].astype(np.int64), h[order].view(np.uint64), gone[order].astype(bool)
+
+
+def doubled(pos: np.ndarray, h: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """[(places, hashes)] of windows of 2n, 4n ... words: those whose two halves both were windows of the level before."""
+    out, length = [], n
+    while len(pos):
+        half = np.minimum(np.searchsorted(pos, pos + length), len(pos) - 1)
+        both = pos[half] == pos + length
+        pos, h = pos[both], mix(h[both] * np.uint64(BASES[0]) + mix(h[half[both]] + np.uint64(BASES[1])))
+        length *= 2
+        if len(pos):
+            out.append((pos, h))
+    return out
+
+
+def _chains(n: int):
+    """For each document, the distinct chains of hashes that its recurring windows have when they double as far as both halves recur."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, tag, hits in zip(*(batch.column(c) for c in ("doc_id", "tag", "hits")), strict=True):
+                pos, h, _ = _hits(hits)
+                levels = doubled(pos, h, n)
+                if not levels:
+                    continue
+                first = levels[0][0]
+                table = np.zeros((len(first), len(levels)), np.uint64)
+                count = np.zeros(len(first), np.int64)
+                for k, (at, hashes) in enumerate(levels):
+                    rows = np.searchsorted(first, at)
+                    table[rows, k] = hashes
+                    count[rows] = k + 1
+                key = table[np.arange(len(first)), count - 1]  # the longest window's hash stands for those that it is doubled from
+                _, once = np.unique(key, return_index=True)
+                table, count, key = table[once], count[once], key[once]
+                has = np.arange(len(levels))[None, :] < count[:, None]
+                offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(_signed(key)), pa.array(np.full(len(key), doc.as_py(), np.int64)), pa.array(np.full(len(key), tag.as_py(), np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(_signed(table[has])))],
+                    ["key", "doc_id", "tag", "chain"])
 
-    return joined
+    return lambda batches: _few_batches(run(batches), 20_000)
 
 
-_OUT = "n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string"
-_ARROW = [("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("kept", pa.string())]
+_OUT = "n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string, longest_repeat long"
+_ARROW = [("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("kept", pa.string()), ("longest_repeat", pa.int64())]
 
 
 def _remove(n: int, carry: int):
-    def one(text: str | None, at: list[int] | None, copy: bool | None) -> tuple:
+    def one(text: str | None, hits: pa.ListScalar, best: int | None, copy: bool | None) -> tuple:
         words = text.encode().split() if text else []
-        if copy and len(words) >= n:
-            return len(words), len(words), [{"start": 0, "end": len(words)}], ""
-        if not at:
-            return len(words), 0, [], b" ".join(words).decode()
+        if copy is not None and len(words) >= n:  # a whole copy: each of its windows recurs
+            longest = n << (len(words) // n).bit_length() - 1
+            if copy:
+                return len(words), len(words), [{"start": 0, "end": len(words)}], "", longest
+        else:
+            longest = n << (best or 0) if hits.is_valid else 0
+        at = None
+        if hits.is_valid:
+            pos, _, gone = _hits(hits)
+            at = pos[gone]
+        if at is None or not len(at):
+            return len(words), 0, [], b" ".join(words).decode(), longest
         edge = np.zeros(len(words) + 1, np.int64)
-        at = np.array(at)
         edge[at] += 1
         np.subtract.at(edge, at + n, 1)
         gone = np.cumsum(edge)[:-1] > 0
         turn = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))).tolist()
         kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
         spans = [{"start": a, "end": b} for a, b in zip(turn[::2], turn[1::2], strict=True)]
-        return len(words), int(gone.sum()), spans, kept.decode()
+        return len(words), int(gone.sum()), spans, kept.decode(), longest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "__text"):
-                rows = [one(*x) for x in zip(*(part.column(c).to_pylist() for c in ("__text", "__at", "__copy")), strict=True)]
+                texts, best, copies = (part.column(c).to_pylist() for c in ("__text", "__best", "__copy"))
+                rows = [one(*x) for x in zip(texts, part.column("__hits"), best, copies, strict=True)]
                 new = [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), _ARROW, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:carry], *new], [*part.schema.names[:carry], *(f"{x}" for x, _ in _ARROW)])
+                yield pa.RecordBatch.from_arrays([*part.columns[:carry], *new], [*part.schema.names[:carry], *(f"__new_{x}" for x, _ in _ARROW)])
 
     return run
 
 
-def substring_dedup(docs: DataFrame, words: int = 13, carry: list[str] = ("doc_id",), levels: list[int] | None = None) -> DataFrame:
+def _recurring(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, lo, hi) that documents of different ids share."""
+    return rows.groupBy(*keys).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+
+
+def _best_levels(covered: DataFrame, scratch: Scratch, words: int) -> DataFrame:
+    """(doc_id, tag, __best): how often a text's longest recurring window has doubled.
+
+    Windows with equal chains count once. A chain whose window recurs at one level alone is held against the next.
+    """
+    occurring = scratch.write(covered.where(F.size("hits") > words).mapInArrow(_chains(words), "key long, doc_id long, tag long, chain array<long>"), "chains")
+    alive = scratch.write(occurring.groupBy("key").agg(F.any_value("chain").alias("chain"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")), "alive")
+    levels: list[DataFrame] = []
+    while True:
+        now = alive.where(F.size("chain") > len(levels)).withColumn("h", F.col("chain")[len(levels)])
+        twice = now.groupBy("h").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).where("first < last").select("h")
+        twice = scratch.write(twice, "twice")
+        alive = scratch.write(now.join(twice, "h").select("key", "chain", "lo", "hi"), "alive")
+        if alive.isEmpty():
+            break
+        levels.append(alive.select("key", F.lit(len(levels) + 1).alias("level")))
+    if not levels:
+        return covered.sparkSession.createDataFrame([], "doc_id long, tag long, __best int")
+    every = levels[0]
+    for more in levels[1:]:
+        every = every.unionByName(more)
+    best = scratch.write(every.groupBy("key").agg(F.max("level").alias("level")), "levels")
+    out = occurring.select("key", "doc_id", "tag").join(best, "key").groupBy("doc_id", "tag").agg(F.max("level").alias("__best"))
+    out = scratch.write(out, "best")
+    scratch.drop(occurring)
+    return out
+
+
+def substring_dedup(docs: DataFrame, words: int = 13, carry: list[str] = ("doc_id",)) -> DataFrame:
     """Remove each word that lies in a window of ``words`` words which also starts in a document with a smaller doc_id.
 
-    Returns a row per input row: the columns named in carry, n_words, n_removed, spans (removed, as word offsets), kept (words joined
-    by one space). A list given as ``levels`` gets the doubled lengths (2*words, 4*words, ...) at which windows recur, taken at
-    winnowed places: a repeat of at least 4*words words more than a length is seen there. Words are split at ASCII white space and unchanged.
+    Returns a row per input row: the columns named in carry, then n_words, n_removed, spans (removed, as word offsets), kept
+    (words joined by one space) and longest_repeat: the greatest of words, 2*words, 4*words ... such that a window of so many
+    words also starts in a document of another doc_id, else 0. A new column whose name carry has gets underscores in front.
+    Words are split at ASCII white space and unchanged.
 
-    A text that an earlier document has as a whole is settled first, and goes whole if it has a window. Levels: half the length (one anchor per window, so a quarter of the places), then the length, then twice that, until no
-    window recurs. Only windows that recur at one level reach the next.
+    Levels: half the length (one anchor per window, so a quarter of the places), then the length, then twice that, until no
+    window recurs. Only windows that recur at one level reach the next. Texts that an earlier document has as a whole are
+    settled by digest first, and take no part in the levels.
 
     Null texts are empty and keep no words. Rows with a null doc_id lose nothing and remove nothing. Rows that repeat a
-    doc_id don't remove from one another, as neither id is smaller. Texts under ``words`` words lose nothing. Columns not
-    in carry are ignored. An empty table gives an empty result.
+    doc_id don't remove from one another, as neither id is smaller. Texts under ``words`` words lose nothing. Very long texts
+    are read whole, one at a time. Columns not in carry are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "substring")
     every = docs.select(*(F.col(c).alias(f"__{i}") for i, c in enumerate(carry)), F.col("doc_id").cast("long"), F.col("text").alias("__text"), F.xxhash64("text").alias("tag"))
-    docs = every.select("doc_id", F.col("__text").alias("text"), "tag")
-    named = docs.where("doc_id is not null and text is not null")
+    # a text with enough words has so many characters at least
+    named = every.select("doc_id", F.col("__text").alias("text"), "tag").where("doc_id is not null").where(F.length("text") >= 2 * words - 1)
 
-    same = named.groupBy(F.unhex(F.md5("text")).alias("md5")).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    copies = named.select("doc_id", "tag", F.unhex(F.md5("text")).alias("md5")).join(same, "md5").where("doc_id > lo").select("doc_id", "tag")
+    digest = named.select("doc_id", "tag", F.unhex(F.md5("text")).alias("md5"))
+    same = scratch.write(_recurring(digest, ["md5"]), "same")
+    copies = digest.join(same, "md5").select("doc_id", "tag", (F.col("doc_id") > F.col("lo")).alias("__copy"))
     copies = scratch.write(copies.distinct(), "copies")
+    scratch.drop(same)
 
-    first = scratch.write(named.select("doc_id", "text").mapInArrow(_first_level(words), "anchor long, doc_id long"), "anchors")
-    repeated = first.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-    flagged = scratch.write(first.join(repeated, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "flagged")
-    scratch.drop(first)
+    first = scratch.write(named.mapInArrow(_first_level(words), "anchor long, doc_id long, tag long"), "anchors")
+    repeated = scratch.write(_recurring(first, ["anchor"]).select("anchor"), "repeated")
+    flagged = first.join(repeated, "anchor").groupBy("doc_id", "tag").agg(F.collect_set("anchor").alias("anchors"))
+    flagged = scratch.write(flagged.join(copies.where("__copy").select("doc_id", "tag"), ["doc_id", "tag"], "left_anti"), "flagged")
+    scratch.drop(first, repeated)
 
-    second = named.join(flagged, "doc_id").join(copies, ["doc_id", "tag"], "left_anti")
-    second = scratch.write(second.mapInArrow(_second_level(words), _SECOND), "windows")
+    second = named.join(flagged, ["doc_id", "tag"]).mapInArrow(_second_level(words), _SECOND)
+    second = scratch.write(second, "windows")
     scratch.drop(flagged)
-    source = second.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
-    covered = second.select("doc_id", "tag", "pos", "h1", "h2").join(source, ["h1", "h2"]).where("doc_id > lo")
-    covered = scratch.write(covered.groupBy("doc_id", "tag").agg(F.collect_list("pos").alias("at")), "covered")
-
-    # twice, four times ... the length: windows in equal surroundings have equal chains of hashes and count once
-    alive = second.where("longer is not null").groupBy("longer").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    level = 0
-    while True:
-        now = alive.where(F.size("longer") > level).withColumn("h", F.col("longer")[level])
-        twice = now.groupBy("h").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).where("first < last").select("h")
-        alive = scratch.write(now.join(twice, "h").select("longer", "lo", "hi"), "longer")
-        if alive.isEmpty():
-            break
-        level += 1
-        if levels is not None:
-            levels.append(words << level)
-    scratch.drop(second)
-    spans = covered.join(copies.withColumn("__copy", F.lit(True)), ["doc_id", "tag"], "full")
-    both = every.join(spans.withColumnRenamed("at", "__at"), ["doc_id", "tag"], "left")
+    source = scratch.write(_recurring(second, ["h1", "h2"]).select("h1", "h2", "lo"), "sources")
+    covered = second.join(source, ["h1", "h2"]).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("pos", "h1", (F.col("doc_id") > F.col("lo")).alias("gone"))).alias("hits"))
+    covered = scratch.write(covered, "covered")
+    scratch.drop(second, source)
+
+    spans = covered.join(_best_levels(covered, scratch, words), ["doc_id", "tag"], "left").join(copies, ["doc_id", "tag"], "full")
+    both = every.where("doc_id is not null").join(spans.withColumnRenamed("hits", "__hits"), ["doc_id", "tag"], "left")
+    both = both.unionByName(every.where("doc_id is null"), allowMissingColumns=True)
     own = [f"__{i}" for i in range(len(carry))]
-    schema = "".join(f"{c} {every.schema[c].dataType.simpleString()}, " for c in own) + _OUT
-    out = both.select(*own, "__text", "__at", "__copy").mapInArrow(_remove(words, len(own)), schema)
-    return out.withColumnsRenamed(dict(zip(own, carry, strict=True)))
+    schema = "".join(f"{c} {every.schema[c].dataType.simpleString()}, " for c in own) + ", ".join(f"__new_{x}" for x in _OUT.split(", "))
+    out = both.select(*own, "__text", "__hits", "__best", "__copy").mapInArrow(_remove(words, len(own)), schema)
+    fresh = [n for n, _ in _ARROW]
+    return out.withColumnsRenamed(dict(zip([*own, *(f"__new_{n}" for n in fresh)], [*carry, *free_names(list(carry), *fresh)], strict=True)))
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = substring_dedup(table(spark, sf_dir, "documents"), 13, levels=[])
-    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    out = substring_dedup(table(spark, sf_dir, "documents"), 13)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"), "longest_repeat")
 
 
 OP1_SQL = r"""
-WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 win AS (SELECT doc_id, p, array_to_string(ws[p:p + 12], ' ') AS k
         FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 12)) AS p FROM w WHERE len(ws) >= 13)),
 src AS (SELECT k, min(doc_id) AS lo FROM win GROUP BY k HAVING min(doc_id) < max(doc_id)),
 cov AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, unnest(generate_series(p, p + 12)) AS i FROM win JOIN src USING (k) WHERE doc_id > lo)),
 words AS (SELECT doc_id, unnest(ws) AS word, unnest(generate_series(1, len(ws))) AS i FROM w),
-kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n FROM words ANTI JOIN cov USING (doc_id, i) GROUP BY doc_id)
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n FROM words ANTI JOIN cov USING (doc_id, i) GROUP BY doc_id),
+lev AS (SELECT doc_id, 13 AS size, list(hash(k) ORDER BY p) AS hs FROM win GROUP BY doc_id
+        UNION ALL
+        SELECT doc_id, 2 * size, list_transform(generate_series(1, len(hs) - size), lambda i: hash(hs[i], hs[i + size])) FROM lev WHERE len(hs) > size),
+rep AS (SELECT size, h FROM (SELECT doc_id, size, unnest(hs) AS h FROM lev) GROUP BY size, h HAVING min(doc_id) < max(doc_id)),
+far AS (SELECT doc_id, max(size) AS longest FROM (SELECT doc_id, size, unnest(hs) AS h FROM lev) JOIN rep USING (size, h) GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
-       sha256(coalesce(t, '')) AS kept_sha256
-FROM w LEFT JOIN kept USING (doc_id)
+       sha256(coalesce(t, '')) AS kept_sha256, CAST(coalesce(longest, 0) AS BIGINT) AS longest_repeat
+FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN far USING (doc_id)
 """
