@@ -40,6 +40,7 @@ def _first_level(n: int):
     return run
 
 
+_CHOSEN = "doc_id long, tag long, pos int, chain array<struct<a:long,b:int>>"
 _SECOND = "doc_id long, tag long, pos int, h1 long, h2 int"
 
 
@@ -62,108 +63,111 @@ def _few_batches(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iter
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def _second_level(n: int):
-    """Windows of n words whose half-length anchor repeats."""
+class _Text:
+    """A text's word hashes, the places of its windows of n words whose half-length anchor recurs, and two hashes of any window."""
+
+    def __init__(self, text: pa.Scalar, anchors: pa.ListScalar, n: int):
+        h = word_hashes(text.as_py().encode())
+        self.n, self.hit = n, np.zeros(0, bool)
+        if len(h) >= n:
+            self.hit = _isin_runs(_anchors(h, n), anchors.values.to_numpy().view(np.uint64))
+            self.one, self.two = Windows(h, BASES[0]), Windows(mix(h + np.uint64(1)), BASES[1])
+
+    def hashes(self, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        a, b = (mix((w.sums[at + length] - w.sums[at]) * w.down[at]) for w in (self.one, self.two))
+        return _signed(a), (b >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def chosen_places(hit: np.ndarray, h: np.ndarray, width: int) -> np.ndarray:
+    """Places among the hits whose hash is the least of some ``width`` neighbours: equal texts have them at equal places."""
+    v = np.where(hit, h, np.uint64(2**64 - 1))
+    if len(v) < width:
+        return np.flatnonzero(hit & (v == v.min(initial=2**64 - 1)))
+    low, none = rolling(np.minimum, v, width), np.zeros(width - 1, np.uint64)
+    return np.flatnonzero(hit & (rolling(np.maximum, np.concatenate([none, low, none]), width) == v))
+
+
+def _choose(n: int):
+    """Rows of chosen places with the hashes of n, 2n, 4n ... words from there, as far as hits go unbroken."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, tag, text, anchors in zip(*(batch.column(c) for c in ("doc_id", "tag", "text", "anchors")), strict=True):
-                h = word_hashes(text.as_py().encode())
-                if len(h) < n:
+                t = _Text(text, anchors, n)
+                if not t.hit.any():
                     continue
-                at = np.flatnonzero(_isin_runs(_anchors(h, n), anchors.values.to_numpy().view(np.uint64)))
-                if len(at):
-                    h1, h2 = Windows(h, BASES[0]).of(n)[at], Windows(mix(h + np.uint64(1)), BASES[1]).of(n)[at]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), doc.as_py(), np.int64)), pa.array(np.full(len(at), tag.as_py(), np.int64)), pa.array(at.astype(np.int32)),
-                         pa.array(_signed(h1)), pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32))],
-                        ["doc_id", "tag", "pos", "h1", "h2"])
+                p = chosen_places(t.hit, t.one.of(n), 2 * n)
+                ends = np.flatnonzero(~np.concatenate([t.hit, [False]]))
+                reach = ends[np.searchsorted(ends, p)] + n - 1 - p  # words up to the end of the last hit in a row
+                levels = [n << k for k in range(int(reach.max() // n).bit_length())]
+                a, b = np.zeros((len(p), len(levels)), np.int64), np.zeros((len(p), len(levels)), np.int32)
+                has = reach[:, None] >= np.array(levels)[None, :]
+                for k, length in enumerate(levels):
+                    a[has[:, k], k], b[has[:, k], k] = t.hashes(p[has[:, k]], length)
+                offsets = np.concatenate([[0], np.cumsum(has.sum(1))]).astype(np.int32)
+                chain = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(a[has]), pa.array(b[has])], ["a", "b"]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), doc.as_py(), np.int64)), pa.array(np.full(len(p), tag.as_py(), np.int64)), pa.array(p.astype(np.int32)), chain], ["doc_id", "tag", "pos", "chain"])
 
-    return lambda batches: _few_batches(run(batches))
+    return lambda batches: _few_batches(run(batches), 20_000)
 
 
-def _hits(cell: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, hash, in an earlier document too) of a document's recurring windows, in order of place."""
-    pos, h, gone = (cell.values.field(k).to_numpy(zero_copy_only=False) for k in ("pos", "h1", "gone"))
-    order = np.argsort(pos)
-    return pos[order].astype(np.int64), h[order].view(np.uint64), gone[order].astype(bool)
+def _pairs_of(cell: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+    """(place, words) of a text's settled spans."""
+    if not cell.is_valid:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(cell.values.field(k).to_numpy().astype(np.int64) for k in ("pos", "size"))
 
 
-def doubled(pos: np.ndarray, h: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """[(places, hashes)] of windows of 2n, 4n ... words: those whose two halves both were windows of the level before."""
-    out, length = [], n
-    while len(pos):
-        half = np.minimum(np.searchsorted(pos, pos + length), len(pos) - 1)
-        both = pos[half] == pos + length
-        pos, h = pos[both], mix(h[both] * np.uint64(BASES[0]) + mix(h[half[both]] + np.uint64(BASES[1])))
-        length *= 2
-        if len(pos):
-            out.append((pos, h))
-    return out
+def _within(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of n places lie in any [start, end)."""
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, starts, 1)
+    np.subtract.at(edge, ends, 1)
+    return np.cumsum(edge)[:-1] > 0
 
 
-def _chains(n: int):
-    """For each document, the distinct chains of hashes that its recurring windows have when they double as far as both halves recur."""
+def _second_level(n: int):
+    """Windows of n words whose half-length anchor recurs, but those inside settled spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, tag, hits in zip(*(batch.column(c) for c in ("doc_id", "tag", "hits")), strict=True):
-                pos, h, _ = _hits(hits)
-                levels = doubled(pos, h, n)
-                if not levels:
-                    continue
-                first = levels[0][0]
-                table = np.zeros((len(first), len(levels)), np.uint64)
-                count = np.zeros(len(first), np.int64)
-                for k, (at, hashes) in enumerate(levels):
-                    rows = np.searchsorted(first, at)
-                    table[rows, k] = hashes
-                    count[rows] = k + 1
-                key = table[np.arange(len(first)), count - 1]  # the longest window's hash stands for those that it is doubled from
-                _, once = np.unique(key, return_index=True)
-                table, count, key = table[once], count[once], key[once]
-                has = np.arange(len(levels))[None, :] < count[:, None]
-                offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(_signed(key)), pa.array(np.full(len(key), doc.as_py(), np.int64)), pa.array(np.full(len(key), tag.as_py(), np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(_signed(table[has])))],
-                    ["key", "doc_id", "tag", "chain"])
+            for doc, tag, text, anchors, settled in zip(*(batch.column(c) for c in ("doc_id", "tag", "text", "anchors", "settled")), strict=True):
+                t = _Text(text, anchors, n)
+                pos, size = _pairs_of(settled)
+                at = np.flatnonzero(t.hit & ~_within(len(t.hit), pos, pos + size - n + 1) if len(pos) else t.hit)
+                if len(at):
+                    h1, h2 = t.hashes(at, n)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), doc.as_py(), np.int64)), pa.array(np.full(len(at), tag.as_py(), np.int64)), pa.array(at.astype(np.int32)), pa.array(h1), pa.array(h2)], ["doc_id", "tag", "pos", "h1", "h2"])
 
-    return lambda batches: _few_batches(run(batches), 20_000)
+    return lambda batches: _few_batches(run(batches))
 
 
-_OUT = "n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string, longest_repeat long"
-_ARROW = [("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("kept", pa.string()), ("longest_repeat", pa.int64())]
+_OUT = "n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string"
+_ARROW = [("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("kept", pa.string())]
 
 
 def _remove(n: int, carry: int):
-    def one(text: str | None, hits: pa.ListScalar, best: int | None, copy: bool | None) -> tuple:
+    def one(text: str | None, at: pa.ListScalar, settled: pa.ListScalar, copy: bool | None) -> tuple:
         words = text.encode().split() if text else []
-        if copy is not None and len(words) >= n:  # a whole copy: each of its windows recurs
-            longest = n << (len(words) // n).bit_length() - 1
-            if copy:
-                return len(words), len(words), [{"start": 0, "end": len(words)}], "", longest
-        else:
-            longest = n << (best or 0) if hits.is_valid else 0
-        at = None
-        if hits.is_valid:
-            pos, _, gone = _hits(hits)
-            at = pos[gone]
-        if at is None or not len(at):
-            return len(words), 0, [], b" ".join(words).decode(), longest
-        edge = np.zeros(len(words) + 1, np.int64)
-        edge[at] += 1
-        np.subtract.at(edge, at + n, 1)
-        gone = np.cumsum(edge)[:-1] > 0
+        if copy and len(words) >= n:
+            return len(words), len(words), [{"start": 0, "end": len(words)}], ""
+        start, size = _pairs_of(settled)
+        if at.is_valid:
+            pos = at.values.to_numpy().astype(np.int64)
+            start, size = np.concatenate([start, pos]), np.concatenate([size, np.full(len(pos), n)])
+        if not len(start):
+            return len(words), 0, [], b" ".join(words).decode()
+        gone = _within(len(words), start, start + size)
         turn = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))).tolist()
         kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
         spans = [{"start": a, "end": b} for a, b in zip(turn[::2], turn[1::2], strict=True)]
-        return len(words), int(gone.sum()), spans, kept.decode(), longest
+        return len(words), int(gone.sum()), spans, kept.decode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "__text"):
-                texts, best, copies = (part.column(c).to_pylist() for c in ("__text", "__best", "__copy"))
-                rows = [one(*x) for x in zip(texts, part.column("__hits"), best, copies, strict=True)]
+                texts, copies = part.column("__text").to_pylist(), part.column("__copy").to_pylist()
+                rows = [one(*x) for x in zip(texts, part.column("__at"), part.column("__settled"), copies, strict=True)]
                 new = [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), _ARROW, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:carry], *new], [*part.schema.names[:carry], *(f"__new_{x}" for x, _ in _ARROW)])
 
@@ -175,45 +179,43 @@ def _recurring(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
 
 
-def _best_levels(covered: DataFrame, scratch: Scratch, words: int) -> DataFrame:
-    """(doc_id, tag, __best): how often a text's longest recurring window has doubled.
+def settled_spans(chosen: DataFrame, scratch: Scratch, words: int) -> DataFrame:
+    """(doc_id, tag, settled): spans of words, 2*words, 4*words ... words from chosen places that an earlier document has too.
 
-    Windows with equal chains count once. A chain whose window recurs at one level alone is held against the next.
+    A window that recurs at one length alone is held against the next; this ends when none recurs.
     """
-    occurring = scratch.write(covered.where(F.size("hits") > words).mapInArrow(_chains(words), "key long, doc_id long, tag long, chain array<long>"), "chains")
-    alive = scratch.write(occurring.groupBy("key").agg(F.any_value("chain").alias("chain"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")), "alive")
-    levels: list[DataFrame] = []
+    alive, found, level = chosen, [], 0
     while True:
-        now = alive.where(F.size("chain") > len(levels)).withColumn("h", F.col("chain")[len(levels)])
-        twice = now.groupBy("h").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).where("first < last").select("h")
-        twice = scratch.write(twice, "twice")
-        alive = scratch.write(now.join(twice, "h").select("key", "chain", "lo", "hi"), "alive")
-        if alive.isEmpty():
+        step = F.col("chain")[level]
+        now = alive.where(F.size("chain") > level).select("doc_id", "tag", "pos", "chain", step["a"].alias("a"), step["b"].alias("b"))
+        shared = scratch.write(_recurring(now, ["a", "b"]).select("a", "b", "lo"), "shared")
+        new = scratch.write(now.join(shared, ["a", "b"]).select("doc_id", "tag", "pos", "chain", (F.col("doc_id") > F.col("lo")).alias("later")), "alive")
+        scratch.drop(shared)
+        if new.isEmpty():
             break
-        levels.append(alive.select("key", F.lit(len(levels) + 1).alias("level")))
-    if not levels:
-        return covered.sparkSession.createDataFrame([], "doc_id long, tag long, __best int")
-    every = levels[0]
-    for more in levels[1:]:
+        found.append(new.where("later").select("doc_id", "tag", F.struct("pos", F.lit(words << level).alias("size")).alias("span")))
+        alive, level = new, level + 1
+    if not found:
+        return chosen.sparkSession.createDataFrame([], "doc_id long, tag long, settled array<struct<pos:int,size:int>>")
+    every = found[0]
+    for more in found[1:]:
         every = every.unionByName(more)
-    best = scratch.write(every.groupBy("key").agg(F.max("level").alias("level")), "levels")
-    out = occurring.select("key", "doc_id", "tag").join(best, "key").groupBy("doc_id", "tag").agg(F.max("level").alias("__best"))
-    out = scratch.write(out, "best")
-    scratch.drop(occurring)
-    return out
+    best = every.groupBy("doc_id", "tag", "span.pos").agg(F.max("span.size").alias("size"))
+    return scratch.write(best.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("pos", "size")).alias("settled")), "settled")
 
 
 def substring_dedup(docs: DataFrame, words: int = 13, carry: list[str] = ("doc_id",)) -> DataFrame:
     """Remove each word that lies in a window of ``words`` words which also starts in a document with a smaller doc_id.
 
     Returns a row per input row: the columns named in carry, then n_words, n_removed, spans (removed, as word offsets), kept
-    (words joined by one space) and longest_repeat: the greatest of words, 2*words, 4*words ... such that a window of so many
-    words also starts in a document of another doc_id, else 0. A new column whose name carry has gets underscores in front.
-    Words are split at ASCII white space and unchanged.
+    (words joined by one space). A new column whose name carry has gets underscores in front. Words are split at ASCII white
+    space and unchanged.
 
-    Levels: half the length (one anchor per window, so a quarter of the places), then the length, then twice that, until no
-    window recurs. Only windows that recur at one level reach the next. Texts that an earlier document has as a whole are
-    settled by digest first, and take no part in the levels.
+    Levels: half the length (one anchor per window, so a quarter of the places), and only windows whose anchor recurs go on.
+    From chosen places the length doubles as long as windows recur: a span that an earlier document has too is settled as a
+    whole, so a long copied run costs few rows. What is left is decided at ``words`` words, window by window: a window inside
+    a settled span has an earlier document, and in the earliest document that has it, it is in none; so no source is missed.
+    Texts that an earlier document has as a whole are settled by digest first, and take no part in the levels.
 
     Null texts are empty and keep no words. Rows with a null doc_id lose nothing and remove nothing. Rows that repeat a
     doc_id don't remove from one another, as neither id is smaller. Texts under ``words`` words lose nothing. Very long texts
@@ -226,54 +228,50 @@ def substring_dedup(docs: DataFrame, words: int = 13, carry: list[str] = ("doc_i
     named = every.select("doc_id", F.col("__text").alias("text"), "tag").where("doc_id is not null").where(F.length("text") >= 2 * words - 1)
 
     digest = named.select("doc_id", "tag", F.unhex(F.md5("text")).alias("md5"))
-    same = scratch.write(_recurring(digest, ["md5"]), "same")
-    copies = digest.join(same, "md5").select("doc_id", "tag", (F.col("doc_id") > F.col("lo")).alias("__copy"))
-    copies = scratch.write(copies.distinct(), "copies")
+    same = scratch.write(_recurring(digest, ["md5"]).select("md5", "lo"), "same")
+    copies = scratch.write(digest.join(same, "md5").where("doc_id > lo").select("doc_id", "tag").distinct(), "copies")
     scratch.drop(same)
 
     first = scratch.write(named.mapInArrow(_first_level(words), "anchor long, doc_id long, tag long"), "anchors")
     repeated = scratch.write(_recurring(first, ["anchor"]).select("anchor"), "repeated")
     flagged = first.join(repeated, "anchor").groupBy("doc_id", "tag").agg(F.collect_set("anchor").alias("anchors"))
-    flagged = scratch.write(flagged.join(copies.where("__copy").select("doc_id", "tag"), ["doc_id", "tag"], "left_anti"), "flagged")
+    flagged = scratch.write(flagged.join(copies, ["doc_id", "tag"], "left_anti"), "flagged")
     scratch.drop(first, repeated)
 
-    second = named.join(flagged, ["doc_id", "tag"]).mapInArrow(_second_level(words), _SECOND)
+    chosen = scratch.write(named.join(flagged, ["doc_id", "tag"]).mapInArrow(_choose(words), _CHOSEN), "chosen")
+    settled = settled_spans(chosen, scratch, words)
+    second = named.join(flagged.join(settled, ["doc_id", "tag"], "left"), ["doc_id", "tag"]).mapInArrow(_second_level(words), _SECOND)
     second = scratch.write(second, "windows")
-    scratch.drop(flagged)
+    scratch.drop(flagged, chosen)
     source = scratch.write(_recurring(second, ["h1", "h2"]).select("h1", "h2", "lo"), "sources")
-    covered = second.join(source, ["h1", "h2"]).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("pos", "h1", (F.col("doc_id") > F.col("lo")).alias("gone"))).alias("hits"))
-    covered = scratch.write(covered, "covered")
+    covered = second.select("doc_id", "tag", "pos", "h1", "h2").join(source, ["h1", "h2"]).where("doc_id > lo")
+    covered = scratch.write(covered.groupBy("doc_id", "tag").agg(F.collect_set("pos").alias("at")), "covered")
     scratch.drop(second, source)
 
-    spans = covered.join(_best_levels(covered, scratch, words), ["doc_id", "tag"], "left").join(copies, ["doc_id", "tag"], "full")
-    both = every.where("doc_id is not null").join(spans.withColumnRenamed("hits", "__hits"), ["doc_id", "tag"], "left")
+    spans = covered.join(settled, ["doc_id", "tag"], "full").join(copies.withColumn("__copy", F.lit(True)), ["doc_id", "tag"], "full")
+    both = every.where("doc_id is not null").join(spans.withColumnsRenamed({"at": "__at", "settled": "__settled"}), ["doc_id", "tag"], "left")
     both = both.unionByName(every.where("doc_id is null"), allowMissingColumns=True)
     own = [f"__{i}" for i in range(len(carry))]
     schema = "".join(f"{c} {every.schema[c].dataType.simpleString()}, " for c in own) + ", ".join(f"__new_{x}" for x in _OUT.split(", "))
-    out = both.select(*own, "__text", "__hits", "__best", "__copy").mapInArrow(_remove(words, len(own)), schema)
+    out = both.select(*own, "__text", "__at", "__settled", "__copy").mapInArrow(_remove(words, len(own)), schema)
     fresh = [n for n, _ in _ARROW]
     return out.withColumnsRenamed(dict(zip([*own, *(f"__new_{n}" for n in fresh)], [*carry, *free_names(list(carry), *fresh)], strict=True)))
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(table(spark, sf_dir, "documents"), 13)
-    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"), "longest_repeat")
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 OP1_SQL = r"""
-WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 win AS (SELECT doc_id, p, array_to_string(ws[p:p + 12], ' ') AS k
         FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 12)) AS p FROM w WHERE len(ws) >= 13)),
 src AS (SELECT k, min(doc_id) AS lo FROM win GROUP BY k HAVING min(doc_id) < max(doc_id)),
 cov AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, unnest(generate_series(p, p + 12)) AS i FROM win JOIN src USING (k) WHERE doc_id > lo)),
 words AS (SELECT doc_id, unnest(ws) AS word, unnest(generate_series(1, len(ws))) AS i FROM w),
-kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n FROM words ANTI JOIN cov USING (doc_id, i) GROUP BY doc_id),
-lev AS (SELECT doc_id, 13 AS size, list(hash(k) ORDER BY p) AS hs FROM win GROUP BY doc_id
-        UNION ALL
-        SELECT doc_id, 2 * size, list_transform(generate_series(1, len(hs) - size), lambda i: hash(hs[i], hs[i + size])) FROM lev WHERE len(hs) > size),
-rep AS (SELECT size, h FROM (SELECT doc_id, size, unnest(hs) AS h FROM lev) GROUP BY size, h HAVING min(doc_id) < max(doc_id)),
-far AS (SELECT doc_id, max(size) AS longest FROM (SELECT doc_id, size, unnest(hs) AS h FROM lev) JOIN rep USING (size, h) GROUP BY doc_id)
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n FROM words ANTI JOIN cov USING (doc_id, i) GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
-       sha256(coalesce(t, '')) AS kept_sha256, CAST(coalesce(longest, 0) AS BIGINT) AS longest_repeat
-FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN far USING (doc_id)
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
 """
