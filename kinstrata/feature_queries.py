@@ -8,7 +8,7 @@ from .functions import scalars as S, texts as T
 from .operators import aggregates as A, features as E, joins as J, sequences as Q, vectors as V
 from .plans.dialect import GENOME, MERGED
 from .plans.views import table
-from .queries import PATIENTS, families_sql, flags_sql, on_variants, query
+from .queries import QUERIES, SQL, WITH_V, chain_sql, families_of, on_variants, patients_of, query
 
 SIZE, WIDTH, HALF = 300, 51, 20
 GENOME_SQL = """WITH g AS (SELECT 'c' || item_id AS contig, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS seq FROM benchmark),
@@ -79,35 +79,17 @@ def _(v):
     return A.collapse_runs(v.where("origin = 'somatic'"), F.col("ord_line") % 2)
 
 
-@on_variants("class_ge3_unique", f", {flags_sql(MERGED)}, {PATIENTS}, e AS (SELECT *, least(5, CAST(has_germ = 1 AND coalesce(acmg_germ, 0) IN (4, 5) AS INT) + 2 * CAST(has_som = 1 AND pathway_hit = 1 AS INT) + 2 * CAST(has_germ = 1 AND has_som = 1 AND germ_pass + som_pass >= 2 AS INT)) AS class FROM patients) SELECT chrom, pos, ref, alt, tx, string_agg(DISTINCT family_id || ':' || patient_id, ',' ORDER BY family_id || ':' || patient_id) AS carriers, max(class) AS class FROM e WHERE class >= 3 GROUP BY ALL")
-def _(v):
-    p = A.collapse_patients(A.with_flags(v, MERGED))
-    pre = ((F.col("has_germ") == 1) & F.coalesce(F.col("acmg_germ"), F.lit(0)).isin(4, 5)).cast("int")
-    driver, two = ((F.col("has_som") == 1) & (F.col("pathway_hit") == 1)).cast("int"), ((F.col("has_germ") == 1) & (F.col("has_som") == 1) & (F.col("germ_pass") + F.col("som_pass") >= 2)).cast("int")
-    p = p.withColumn("class", F.least(F.lit(5), pre + 2 * driver + 2 * two)).where("class >= 3")
-    return p.groupBy(*A.LOCUS).agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "family_id", "patient_id"))), ",").alias("carriers"), F.max("class").alias("class"))
-
-
-POINTS = """, p0 AS (SELECT *, CAST(n_both >= 1 AND germ_pass + som_pass = 2 AS INT) AS strict, CAST(n_both >= 1 AND germ_pass + som_pass = 1 AS INT) AS partial FROM families),
-p1 AS (SELECT *, least((CASE WHEN n_cancer >= 2 THEN 2 WHEN n_cancer = 1 THEN 1 ELSE 0 END) + CAST(n_both >= 1 AS INT) + 2 * strict + CAST(strict = 0 AND partial = 1 AS INT) + row_pass, CASE WHEN n_noncancer > 0 THEN 2 ELSE 4 END) AS family_points,
- CASE WHEN segregation >= 4 THEN 3 WHEN segregation = 3 THEN 2 WHEN segregation = 2 THEN 1 ELSE 0 END AS seg FROM p0),
-p2 AS (SELECT *, least(12, 2 * germ_pass + 3 * strict + CAST(strict = 0 AND partial = 1 AS INT) + seg + (CASE WHEN family_points >= 4 THEN 2 WHEN family_points = 3 THEN 1 ELSE 0 END) + CAST(seg = 0 AND count_ge_2 = 1 AS INT) + pathway_hit + dna_repair + CAST(n_both >= 1 AS INT)) AS points FROM p1)
-SELECT family_id, chrom, pos, tx, family_points, points, CASE WHEN points >= 9 THEN 'TOP' WHEN points >= 7 THEN 'HIGH' WHEN points >= 4 THEN 'MODERATE' ELSE 'LOW' END AS points_class FROM p2"""
-
-
-@on_variants("integrated_points", f", {flags_sql(MERGED)}, {PATIENTS}, {families_sql(MERGED)}" + POINTS)
-def _(v):
-    f = A.collapse_families(A.collapse_patients(A.with_flags(v, MERGED)), MERGED)
-    both, passes = F.col("n_both") >= 1, F.col("germ_pass") + F.col("som_pass")
-    f = f.withColumns({"strict": (both & (passes == 2)).cast("int"), "partial": (both & (passes == 1)).cast("int"), "germ_tier": F.lit(0), "both_origins": both.cast("int")})
-    return A.score_points(f).select("family_id", "chrom", "pos", "tx", "family_points", "points", "points_class")
+@query("class_ge3_unique", f"{WITH_V}{chain_sql(MERGED)} SELECT chrom, pos, ref, alt, tx, string_agg(DISTINCT family_id || ':' || patient_id, ',' ORDER BY family_id || ':' || patient_id) AS carriers, max(evidence) AS class FROM patients WHERE evidence >= 3 GROUP BY ALL")
+def _(spark, d):
+    p = patients_of(spark, d, MERGED).where("evidence >= 3")
+    return p.groupBy(*A.LOCUS).agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "family_id", "patient_id"))), ",").alias("carriers"), F.max("evidence").alias("class"))
 
 
-@on_variants("labels", f", {flags_sql(GENOME)}, {PATIENTS}, {families_sql(GENOME)} SELECT count_ge_2 AS label, CASE integrated_class WHEN 'LOW' THEN 0 WHEN 'MODERATE' THEN 1 WHEN 'HIGH' THEN 2 WHEN 'TOP' THEN 3 ELSE -1 END AS class, count(*) AS n FROM families GROUP BY ALL")
-def _(v):
+@query("labels", f"{WITH_V}{chain_sql(GENOME)} SELECT count_ge_2 AS label, CASE integrated_class WHEN 'LOW' THEN 0 WHEN 'MODERATE' THEN 1 WHEN 'HIGH' THEN 2 WHEN 'TOP' THEN 3 ELSE -1 END AS class, count(*) AS n FROM families GROUP BY ALL")
+def _(spark, d):
     c = F.col("integrated_class")
     level = F.when(c == "LOW", 0).when(c == "MODERATE", 1).when(c == "HIGH", 2).when(c == "TOP", 3).otherwise(-1)
-    return A.collapse_families(A.collapse_patients(A.with_flags(v))).groupBy(F.col("count_ge_2").alias("label"), level.alias("class")).agg(F.count("*").alias("n"))
+    return families_of(spark, d, GENOME).groupBy(F.col("count_ge_2").alias("label"), level.alias("class")).agg(F.count("*").alias("n"))
 
 
 @on_variants("best_ref_per_variant", " SELECT pos, max(dp * vaf) AS score, arg_max(ord_key, (dp * vaf, ord_key)) AS ref_id FROM variants GROUP BY 1")
@@ -127,15 +109,6 @@ def _(v):
     return v.groupBy("consequence", *(c.alias(n) for n, c in hot.items())).agg(F.count("*").alias("n"))
 
 
-@query("tfidf_cosine", f"""WITH w AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '{T.WORD}') AS ws FROM benchmark), t AS (SELECT item_id, unnest(ws) AS term FROM w UNION ALL SELECT item_id, ws[p] || ' ' || ws[p + 1] FROM (SELECT item_id, ws, unnest(generate_series(1, len(ws) - 1)) AS p FROM w)),
- c AS (SELECT item_id, term, count(*) AS tf FROM t GROUP BY ALL), k AS (SELECT term, count(*) AS df FROM c GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 5000), r AS (SELECT item_id, term, tf * (ln((1 + (SELECT count(*) FROM benchmark)) / (1 + df)) + 1) AS w FROM c JOIN k USING (term)),
- u AS (SELECT item_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS w FROM r) SELECT a.item_id // 64 AS block, a.item_id AS i, b.item_id AS j, round(sum(a.w * b.w), 6) AS sim FROM u a JOIN u b ON a.term = b.term AND a.item_id // 64 = b.item_id // 64 AND a.item_id < b.item_id GROUP BY ALL""")
-def _(spark, d):
-    w = T.tfidf(table(spark, d, "benchmark"), "item_id", "text")
-    return T.sparse_cosine(w, "item_id", F.floor(F.col("item_id") / 64)).withColumn("sim", F.round("sim", 6))
-
-
-# All pairs: tfidf_cosine compares only items of one run of 64 ids, as its SQL does
 @query("tfidf_cosine_all", f"""WITH w AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '{T.WORD}') AS ws FROM benchmark), t AS (SELECT item_id, unnest(ws) AS term FROM w UNION ALL SELECT item_id, ws[p] || ' ' || ws[p + 1] FROM (SELECT item_id, ws, unnest(generate_series(1, len(ws) - 1)) AS p FROM w)),
  c AS (SELECT item_id, term, count(*) AS tf FROM t GROUP BY ALL), k AS (SELECT term, count(*) AS df FROM c GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 5000), r AS (SELECT item_id, term, tf * (ln((1 + (SELECT count(*) FROM benchmark)) / (1 + df)) + 1) AS w FROM c JOIN k USING (term)),
  u AS (SELECT item_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS w FROM r) SELECT a.item_id AS i, b.item_id AS j, round(sum(a.w * b.w), 6) AS sim FROM u a JOIN u b ON a.term = b.term AND a.item_id < b.item_id GROUP BY ALL""")
@@ -143,11 +116,11 @@ def _(spark, d):
     return T.sparse_cosine_all(T.tfidf(table(spark, d, "benchmark"), "item_id", "text"), "item_id").withColumn("sim", F.round("sim", 6))
 
 
-@on_variants("weighted_jaccard", """, s AS (SELECT pos, list(DISTINCT origin) FILTER (WHERE vaf > 0.5) AS a1, list(DISTINCT origin) AS b1, list(DISTINCT tx) FILTER (WHERE vaf > 0.5) AS a2, list(DISTINCT tx) AS b2 FROM variants GROUP BY 1)
- SELECT pos, round((len(coalesce(a1, [])) / len(b1) + 0.5 * len(coalesce(a2, [])) / len(b2)) / 1.5, 6) AS jaccard FROM s""")
+@on_variants("weighted_jaccard", """, s AS (SELECT pos, list(DISTINCT origin) FILTER (WHERE vaf > 0.5) AS a1, list(DISTINCT origin) FILTER (WHERE dp > 20) AS b1, list(DISTINCT tx) FILTER (WHERE vaf > 0.5) AS a2, list(DISTINCT tx) FILTER (WHERE dp > 20) AS b2 FROM variants GROUP BY 1)
+ SELECT pos, round((len(list_intersect(coalesce(a1, []), coalesce(b1, []))) / len(list_distinct(list_concat(a1, b1))) + 0.5 * len(list_intersect(coalesce(a2, []), coalesce(b2, []))) / len(list_distinct(list_concat(a2, b2)))) / 1.5, 6) AS jaccard FROM s""")
 def _(v):
     some = F.col("vaf") > 0.5
-    s = v.groupBy("pos").agg(F.collect_set(F.when(some, F.col("origin"))).alias("a1"), F.collect_set("origin").alias("b1"), F.collect_set(F.when(some, F.col("tx"))).alias("a2"), F.collect_set("tx").alias("b2"))
+    s = v.groupBy("pos").agg(F.collect_set(F.when(some, F.col("origin"))).alias("a1"), F.collect_set(F.when(F.col("dp") > 20, F.col("origin"))).alias("b1"), F.collect_set(F.when(some, F.col("tx"))).alias("a2"), F.collect_set(F.when(F.col("dp") > 20, F.col("tx"))).alias("b2"))
     return s.select("pos", F.round(T.weighted_jaccard([(F.col("a1"), F.col("b1"), 1.0), (F.col("a2"), F.col("b2"), 0.5)]), 6).alias("jaccard"))
 
 
@@ -159,17 +132,16 @@ def _views(spark, d):
     return pairs.withColumn("sim", F.round("sim", 9))
 
 
-@query("infonce", TWO + ", l AS (SELECT block, i, ln(sum(exp(sim / 0.07))) - max(sim / 0.07) FILTER (WHERE i = j) AS l FROM p GROUP BY 1, 2 UNION ALL SELECT block, j, ln(sum(exp(sim / 0.07))) - max(sim / 0.07) FILTER (WHERE i = j) FROM p GROUP BY 1, 2) SELECT block, round(avg(l), 6) AS loss FROM l GROUP BY 1")
+@query("infonce_by_label", TWO + ", l AS (SELECT block, i, ln(sum(exp(sim / 0.07))) - max(sim / 0.07) FILTER (WHERE i = j) AS l FROM p GROUP BY 1, 2 UNION ALL SELECT block, j, ln(sum(exp(sim / 0.07))) - max(sim / 0.07) FILTER (WHERE i = j) FROM p GROUP BY 1, 2) SELECT block, round(avg(l), 6) AS loss FROM l GROUP BY 1")
 def _(spark, d):
     return V.infonce(_views(spark, d)).withColumn("loss", F.round("loss", 6))
 
 
-@query("recall_at_k", TWO + ", r AS (SELECT block, i, j, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS r FROM p UNION ALL SELECT block, i, j, row_number() OVER (PARTITION BY j ORDER BY sim DESC, i) FROM p) SELECT block, " + ", ".join(f"round(avg(CAST(r <= {k} AS INT)), 6) AS recall_{k}" for k in (1, 5, 10)) + " FROM r WHERE i = j GROUP BY 1")
+@query("recall_at_k_by_label", TWO + ", r AS (SELECT block, i, j, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS r FROM p UNION ALL SELECT block, i, j, row_number() OVER (PARTITION BY j ORDER BY sim DESC, i) FROM p) SELECT block, " + ", ".join(f"round(avg(CAST(r <= {k} AS INT)), 6) AS recall_{k}" for k in (1, 5, 10)) + " FROM r WHERE i = j GROUP BY 1")
 def _(spark, d):
     return V.recall_at_k(_views(spark, d)).select("block", *(F.round(f"recall_{k}", 6).alias(f"recall_{k}") for k in (1, 5, 10)))
 
 
-# The same over the whole table: the queries above compare only rows of one label, as their SQL does
 TWO_ALL = "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.v[1:32], b.v[33:64]), 9) AS sim FROM e a, e b)"
 
 
@@ -187,17 +159,18 @@ def _(spark, d):
     return _all_views(spark, d).agg(*(F.round(F.avg((F.col("rank") <= k).cast("double")), 6).alias(f"recall_{k}") for k in (1, 5, 10)))
 
 
-@query("field_pool", "SELECT vec_id, round((CAST(embedding[1] AS DOUBLE) + 1.5 * (vec_id % 2) * CAST(embedding[64] AS DOUBLE)) / (1 + 1.5 * (vec_id % 2) + 1e-8), 6) AS x FROM embeddings")
+@query("field_pool", "SELECT vec_id, p - 1 AS place, round((CAST(embedding[p] AS DOUBLE) + 1.5 * (vec_id % 2) * CAST(embedding[65 - p] AS DOUBLE)) / (1 + 1.5 * (vec_id % 2) + 1e-8), 6) AS x FROM embeddings, generate_series(1, 64) AS s(p)")
 def _(spark, d):
     pooled = V.field_pool([(F.col("embedding"), F.lit(True), 1.0), (F.reverse("embedding"), F.col("vec_id") % 2 == 1, 1.5)])
-    return table(spark, d, "embeddings").select("vec_id", F.round(pooled[0], 6).alias("x"))
+    return table(spark, d, "embeddings").select("vec_id", F.posexplode(pooled).alias("place", "x")).select("vec_id", F.col("place").cast("long").alias("place"), F.round("x", 6).alias("x"))
 
 
-@query("mutation_features", "SELECT vec_id, 160 AS n, round(CAST(embedding[33] AS DOUBLE) - CAST(embedding[1] AS DOUBLE), 6) AS delta, round(CAST(embedding[33] AS DOUBLE) * CAST(embedding[1] AS DOUBLE), 6) AS product FROM embeddings")
+@query("mutation_features", """WITH e AS (SELECT vec_id, p, CAST(embedding[p] AS DOUBLE) AS r, CAST(embedding[p + 32] AS DOUBLE) AS a FROM embeddings, generate_series(1, 32) AS s(p)),
+ f AS (SELECT vec_id, p - 1 AS place, r AS x FROM e UNION ALL SELECT vec_id, p + 31, a FROM e UNION ALL SELECT vec_id, p + 63, a - r FROM e UNION ALL SELECT vec_id, p + 95, abs(a - r) FROM e UNION ALL SELECT vec_id, p + 127, a * r FROM e) SELECT vec_id, \"at\", round(x, 6) AS x FROM f""")
 def _(spark, d):
     e = F.transform("embedding", lambda x: x.cast("double"))
-    x = table(spark, d, "embeddings").select("vec_id", V.mutation_features(F.slice(e, 1, 32), F.slice(e, 33, 32)).alias("f"))
-    return x.select("vec_id", F.size("f").alias("n"), F.round(F.col("f")[64], 6).alias("delta"), F.round(F.col("f")[128], 6).alias("product"))
+    t = table(spark, d, "embeddings").select("vec_id", F.posexplode(V.mutation_features(F.slice(e, 1, 32), F.slice(e, 33, 32))).alias("place", "x"))
+    return t.select("vec_id", F.col("place").cast("long").alias("place"), (F.round("x", 6) + 0.0).alias("x"))
 
 
 @query("block_diffusion", "WITH m AS (SELECT label, p, avg(CAST(embedding[p] AS DOUBLE)) AS x FROM embeddings, generate_series(1, 64) AS s(p) GROUP BY ALL) SELECT a.label AS a, b.label AS b, round(sum((a.x - b.x) * (a.x - b.x)), 6) AS d2 FROM m a JOIN m b ON a.p = b.p AND a.label < b.label GROUP BY ALL")
@@ -221,3 +194,7 @@ def _(spark, d):
 def _(spark, d):
     m = E.classification_metrics(table(spark, d, "labels"), "quality", "toxic")
     return m.select(*(F.round(c, 6).alias(c) for c in m.columns))
+
+
+for _name in ("infonce", "recall_at_k", "tfidf_cosine"):
+    QUERIES[_name], SQL[_name] = QUERIES[f"{_name}_all"], SQL[f"{_name}_all"]

@@ -24,8 +24,6 @@ SEVERITY = {
 }
 
 # Text patterns.
-DNA_REPAIR = "dna repair|dna damage|double[- ]strand break|homologous recombination|mismatch repair|fanconi"
-PATHWAY = "p53|pi3k|akt|mtor|mapk|ras|wnt|notch|cell cycle|apoptosis|dna repair|fanconi"
 LITERATURE = "(cancer|tumou?r|carcinoma|leukemia|lymphoma|sarcoma|melanoma)"
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
@@ -57,7 +55,7 @@ def acmg_class(raw: Column) -> Column:
     """0..5 from a classification's text; digits pass; "conflicting ... pathogenicity" counts as pathogenic."""
     t = F.lower(F.trim(na_if(raw)))
     return (
-        F.when(t.rlike("^[0-9]+$"), t.try_cast("int")).when(t.contains("pathogenic") & ~t.contains("likely"), 5).when(t.contains("likely_pathogenic") | (t.contains("likely") & t.contains("pathog")), 4)
+        F.when(t.rlike("^[0-9]+$"), t.try_cast("int")).when(t.contains("pathogenic") & ~t.contains("likely"), 5).when(t.contains("likely") & t.contains("pathog"), 4)
         .when(t.contains("uncertain") | t.contains("vus"), 3).when(t.contains("likely") & t.contains("benign"), 2).when(t.contains("benign"), 1).when(t.contains("non") & t.contains("class"), 0)
     )
 

@@ -6,7 +6,8 @@ import itertools
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .scalars import na_if
+from ..plans.columns import CATEGORIES, CGI, CIVIC, CLINICAL, ONCOKB_LEVELS, ONTOLOGY, TITLES
+from .scalars import na_if, split_terms
 
 WORD = "[a-z0-9]{2,}"
 
@@ -17,6 +18,51 @@ def summary(most: int = 200, **fields: Column) -> Column:
     return F.concat_ws("; ", *(F.when(na_if(v).isNotNull(), F.concat(F.lit(f"{k}="), cut(v))) for k, v in fields.items()))
 
 
+def clean(c: Column) -> Column:
+    """Trimmed, runs of white space as one blank; missing tokens are empty."""
+    return F.coalesce(na_if(F.trim(F.regexp_replace(c.cast("string"), r"\s+", " "))), F.lit(""))
+
+
+def _field(df: DataFrame, name: str) -> Column:
+    return clean(F.col(f"`{name}`")) if name in df.columns else F.lit("")
+
+
+def listed(df: DataFrame, keys: tuple[str, ...], most: int = 200) -> Column:
+    """"k=v ; k=v" of the columns that df has and that aren't missing; values beyond ``most`` characters end in dots."""
+    cut = lambda v: F.when(F.length(v) > most, F.concat(F.rtrim(F.substring(v, 1, most)), F.lit("..."))).otherwise(v)
+    return F.concat_ws(" ; ", *(F.when(_field(df, k) != "", F.concat(F.lit(f"{k}="), cut(_field(df, k)))) for k in keys))
+
+
+def oncokb_summary(df: DataFrame) -> Column:
+    """"HIGHEST=...; LEVELS=...; ONCOGENIC=...; EFFECT=..." of what is there; a level counts if it is neither missing nor a no."""
+    levels = F.array_join(F.filter(F.array(*(F.when(~_field(df, c).isin("", "0", "False", "false", "NO", "No"), c) for c in ONCOKB_LEVELS)), lambda x: x.isNotNull()), ",")
+    parts = {"HIGHEST": _field(df, "HIGHEST_LEVEL"), "LEVELS": levels, "ONCOGENIC": _field(df, "ONCOGENIC"), "EFFECT": _field(df, "MUTATION_EFFECT")}
+    return F.concat_ws("; ", *(F.when(v != "", F.concat(F.lit(f"{k}="), v)) for k, v in parts.items()))
+
+
+def text_views(df: DataFrame, terms: int = 25) -> DataFrame:
+    """Adds ONTO_* (at most ``terms`` terms each, joined by "; "), TXT_*, ONTOLOGY_TEXT and CLINICAL_TEXT. Absent columns are empty."""
+    onto = {k: F.array_join(split_terms(F.col(f"`{c}`"), terms), "; ") if c in df.columns else F.lit("") for k, c in ONTOLOGY.items()}
+    texts = {k: _field(df, c) for k, c in CLINICAL.items()} | {"CIVIC": listed(df, CIVIC), "CGI": listed(df, CGI), "ONCOKB": oncokb_summary(df)}
+    out = df.withColumns({f"ONTO_{k}": v for k, v in onto.items()} | {f"TXT_{k}": v for k, v in texts.items()})
+    block = lambda prefix, k: F.when(F.col(prefix + k) != "", F.concat(F.lit(f"{TITLES.get(k, k)}: "), F.col(prefix + k)))
+    return out.withColumns({"ONTOLOGY_TEXT": F.concat_ws(" | ", *(block("ONTO_", k) for k in onto)), "CLINICAL_TEXT": F.concat_ws(" | ", *(block("TXT_", k) for k in texts))})
+
+
+def term_sets(df: DataFrame, prefix: str = "ONTO_") -> Column:
+    """A struct of the five term sets of a row."""
+    return F.struct(*((split_terms(F.col(prefix + k)) if prefix + k in df.columns else F.array().cast("array<string>")).alias(k.lower()) for k in ONTOLOGY))
+
+
+def ontology_categories(df: DataFrame, prefix: str = "") -> DataFrame:
+    """Adds ontology_text, ontology_categories (a JSON list), primary_ontology_category and a 0/1 column per category."""
+    text = F.lower(F.concat_ws(" | ", *(na_if(F.col(prefix + c)) for c in ONTOLOGY if prefix + c in df.columns)))
+    tags = category_tags(F.col("ontology_text"), {name: "|".join(p) for name, p in CATEGORIES.items()})
+    out = df.withColumn("ontology_text", text).withColumn("__tags", tags)
+    bits = {f"is_{name}": F.array_contains("__tags", name).cast("int") for name in CATEGORIES}
+    return out.withColumns({"ontology_categories": F.to_json("__tags"), "primary_ontology_category": F.coalesce(F.get("__tags", F.lit(0)), F.lit("other / unassigned"))} | bits).drop("__tags")
+
+
 def category_tags(text: Column, categories: dict[str, str]) -> Column:
     """Names of the categories whose pattern the lower-cased text has, in the order given; the first is the primary one."""
     return F.filter(F.array(*(F.when(F.lower(text).rlike(p), name) for name, p in categories.items())), lambda x: x.isNotNull())

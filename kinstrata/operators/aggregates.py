@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.scalars import acmg_class, is_nonsynonymous, matches, na_if, normalize_chrom, number, DNA_REPAIR, PATHWAY
-from ..plans.dialect import Dialect, GENOME
+from functools import reduce
+from operator import or_
+
+from ..functions.scalars import LITERATURE, acmg_class, is_nonsynonymous, is_positive, matches, na_if, normalize_chrom, number
+from ..plans.dialect import Dialect, GENOME, MERGED
 
 LOCUS = ["chrom", "pos", "ref", "alt", "tx"]
 
@@ -35,55 +38,125 @@ def vote(c: Column, share: float = 0.8) -> Column:
     return F.when(F.count(number(c)) >= share * F.count(na_if(c)), F.max(number(c)).cast("string")).otherwise(joined_set(c))
 
 
+def payload(df: DataFrame, taken: list[str], joined: list[str], order: Column) -> list[Column]:
+    """An aggregate for each column that isn't taken: the joined set where it is named in ``joined``, else the greatest number or the first value."""
+    return [(joined_set(F.col(c)) if c in joined else max_or_first(F.col(c).cast("string"), order)).alias(c) for c in df.columns if c not in taken]
+
+
 def with_flags(v: DataFrame, d: Dialect = GENOME) -> DataFrame:
-    """Row pass flags of a dialect: base gates, then depth and allele fraction by origin."""
-    af = F.coalesce(F.col("pop_af") < d.af_max, F.lit(d.af_null_passes))
-    acmg = F.coalesce(acmg_class(F.col("acmg_raw")).isin(*d.acmg_snv), F.lit(False))
-    base = af & is_nonsynonymous(F.col("consequence")) & acmg
+    """Row pass flags of a dialect: base gates, then depth and allele fraction by origin; or a suspect segment (loh_patho, where
+    there is such a column) under a variant of class 4 or 5."""
+    acmg = acmg_class(F.col("acmg_raw"))
+    gate = lambda classes: F.coalesce(acmg.isin(*classes), F.lit(False))
+    loh = F.coalesce(F.col("loh_patho"), F.lit(0)) if "loh_patho" in v.columns else F.lit(0)
+    base = F.coalesce(F.col("pop_af") < d.af_max, F.lit(d.af_null_passes)) & is_nonsynonymous(F.col("consequence")) & gate(d.acmg_snv)
     germ = base & (F.col("origin") == "germline") & (F.col("dp") > 10) & (F.col("vaf") > 0.25)
     som = base & (F.col("origin") == "somatic") & (F.col("dp") > 20) & (F.col("vaf") > 0.05)
+    cnv = (loh == 1) & gate((4, 5))
     return v.withColumns({
-        "chrom": normalize_chrom(F.col("chrom")), "acmg": acmg_class(F.col("acmg_raw")), "germ_pass": germ.cast("int"), "som_pass": som.cast("int"), "row_pass": (germ | som).cast("int"),
-        "pathway_hit": matches(PATHWAY, F.col("pathway")).cast("int"), "dna_repair": matches(DNA_REPAIR, F.col("pathway")).cast("int"),
+        "chrom": normalize_chrom(F.col("chrom")), "acmg": acmg, "loh_patho": loh, "germ_pass": germ.cast("int"), "som_pass": som.cast("int"), "cnv_pass": cnv.cast("int"), "row_pass": (germ | som | cnv).cast("int"),
+        "pathway_hit": matches(d.pathway, F.col("pathway")).cast("int"), "dna_repair": matches(d.repair, F.col("pathway")).cast("int"),
     })
 
 
-def collapse_patients(flagged: DataFrame) -> DataFrame:
-    """A row per family, patient and locus: presence by origin, greatest depth and fraction by origin, greatest class and flags."""
+FLAGS = ("germ_pass", "som_pass", "cnv_pass", "row_pass", "loh_patho", "pathway_hit", "dna_repair")
+
+
+def collapse_patients(flagged: DataFrame, d: Dialect = GENOME, keep: list[Column] = ()) -> DataFrame:
+    """A row per family, patient and locus: presence by origin, greatest depth and fraction by origin, greatest class and flags, and ``keep`` (payload)."""
     g, s = F.col("origin") == "germline", F.col("origin") == "somatic"
     return flagged.groupBy("family_id", "patient_id", *LOCUS).agg(
-        F.max(g.cast("int")).alias("has_germ"), F.max(s.cast("int")).alias("has_som"), F.max(F.when(g, F.col("dp"))).alias("dp_germ"), F.max(F.when(s, F.col("dp"))).alias("dp_som"),
+        F.max(g.cast("int") if d.germ_rows else F.lit(0)).alias("has_germ"), F.max(s.cast("int")).alias("has_som"), F.max(F.when(g, F.col("dp"))).alias("dp_germ"), F.max(F.when(s, F.col("dp"))).alias("dp_som"),
         F.max(F.when(g, F.col("vaf"))).alias("vaf_germ"), F.max(F.when(s, F.col("vaf"))).alias("vaf_som"), F.max(F.when(g, F.col("acmg"))).alias("acmg_germ"), F.max("acmg").alias("acmg"),
-        *(F.max(c).alias(c) for c in ("germ_pass", "som_pass", "row_pass", "pathway_hit", "dna_repair")), F.count("*").alias("n_rows"),
+        *(F.max(c).alias(c) for c in FLAGS), F.count("*").alias("n_rows"), *keep,
     )
 
 
-def segregation(n_pat: Column, n_cancer: Column, n_non: Column) -> Column:
-    """4: two or more affected and no other carrier; 3: one; 2: any affected; 1: a single carrier; else 0."""
+def patient_evidence(patients: DataFrame, d: Dialect = MERGED, genes: list[str] = (), drivers: list[str] = (), texts: list[str] = ()) -> DataFrame:
+    """Adds predisposition (a germline class of the dialect in a gene that any of ``genes`` marks), driver (somatic, any of
+    ``drivers``), two_hit (both origins, and a suspect segment or two of the three passes), literature (any of ``texts``) and
+    evidence 0..5."""
+    any_of = lambda cols: reduce(or_, (is_positive(F.col(c)) for c in cols)) if cols else F.lit(False)
+    both = (F.col("has_germ") == 1) & (F.col("has_som") == 1)
+    out = patients.withColumns({
+        "predisposition": ((F.col("has_germ") == 1) & F.coalesce(F.col("acmg_germ").isin(*d.acmg_predisposition), F.lit(False)) & any_of(genes)).cast("int"),
+        "driver": ((F.col("has_som") == 1) & any_of(drivers)).cast("int"),
+        "two_hit": (both & ((F.col("loh_patho") == 1) | (F.col("germ_pass") + F.col("som_pass") + F.col("cnv_pass") >= 2))).cast("int"),
+        "literature": (matches(LITERATURE, *(F.col(c) for c in texts)) if texts else F.lit(False)).cast("int"),
+    })
+    return out.withColumn("evidence", F.least(F.lit(5), F.col("predisposition") + 2 * F.col("driver") + 2 * F.col("two_hit") + F.col("literature")))
+
+
+def segregation(n_pat: Column, n_cancer: Column, n_non: Column, overwrites: bool = False) -> Column:
+    """4: two or more affected and no other carrier; 3: one; 2: any affected; 1: a single carrier; else 0. With ``overwrites``
+    1 comes before 2, and 3 and 4 are never reached."""
+    if overwrites:
+        return F.when(n_pat == 1, 1).when(n_cancer >= 1, 2).otherwise(0)
     return F.when((n_cancer >= 2) & (n_non == 0), 4).when((n_cancer == 1) & (n_non == 0), 3).when(n_cancer >= 1, 2).when(n_pat == 1, 1).otherwise(0)
 
 
-def collapse_families(patients: DataFrame, d: Dialect = GENOME) -> DataFrame:
-    """A row per family and locus with carrier counts, segregation, family evidence, integrated score, class and its reasons."""
+def collapse_families(patients: DataFrame, d: Dialect = GENOME, keep: list[Column] = ()) -> DataFrame:
+    """A row per family and locus with carrier counts, segregation, family evidence, integrated score, class and its reasons, and ``keep`` (payload)."""
     cancer = F.col("has_som") == 1
+    two_hit = F.col("two_hit") if "two_hit" in patients.columns else F.lit(0)
     out = patients.groupBy("family_id", *LOCUS).agg(
         F.count("*").alias("n_patients"), F.count_if(cancer).alias("n_cancer"), F.count_if(~cancer).alias("n_noncancer"), F.count_if((F.col("has_germ") == 1) & (F.col("has_som") == 0)).alias("n_germ_only"),
         F.count_if((F.col("has_germ") == 1) & (F.col("has_som") == 1)).alias("n_both"), F.array_join(F.array_sort(F.collect_set("patient_id")), ",").alias("patient_ids"),
-        *(F.max(c).alias(c) for c in ("germ_pass", "som_pass", "row_pass", "pathway_hit", "dna_repair")),
+        F.max("acmg_germ").alias("acmg_germ"), F.max(two_hit).alias("strict"), *(F.max(c).alias(c) for c in FLAGS), *keep,
     )
     passes = F.col("row_pass") == 1
     two = (F.col("n_patients") >= 2) & (passes if d.count_needs_pass else F.lit(True))
     out = out.withColumns({
-        "label_of_interest": ((F.col("n_cancer") >= 1) & (F.col("n_noncancer") == 0) & passes).cast("int"), "count_ge_2": two.cast("int"), "segregation": segregation(F.col("n_patients"), F.col("n_cancer"), F.col("n_noncancer")),
-        "family_evidence": (F.col("n_cancer") >= 1).cast("int") + (F.col("n_both") >= 1).cast("int") + F.col("row_pass") + F.col("dna_repair"),
+        "label_of_interest": ((F.col("n_cancer") >= 1) & (F.col("n_noncancer") == 0) & passes).cast("int"), "count_ge_2": two.cast("int"),
+        "segregation": segregation(F.col("n_patients"), F.col("n_cancer"), F.col("n_noncancer"), d.segregation_overwrites),
     })
+    return score_points(integrated_inputs(out)) if d.score == "points" else score_sum(out)
+
+
+def integrated_class(score: Column) -> Column:
+    return F.when(score >= 9, "TOP").when(score >= 7, "HIGH").when(score >= 4, "MODERATE").otherwise("LOW")
+
+
+def score_sum(families: DataFrame) -> DataFrame:
+    """family_evidence 0..4 (one each for an affected carrier, both origins, a pass, repair), score, integrated_class, evidence."""
+    out = families.withColumn("family_evidence", (F.col("n_cancer") >= 1).cast("int") + (F.col("n_both") >= 1).cast("int") + F.col("row_pass") + F.col("dna_repair"))
     out = out.withColumn("score", F.col("family_evidence") + F.col("segregation") + F.col("pathway_hit") + F.col("dna_repair"))
     reasons = F.concat_ws(
-        "|", F.when(F.col("germ_pass") == 1, "GERM_SNV_PASS"), F.when(F.col("som_pass") == 1, "SOM_SNV_PASS"), F.when(F.col("n_both") >= 1, "GERM_AND_SOM"), F.when(F.col("count_ge_2") == 1, "COUNT_GE_2"),
-        F.when(F.col("segregation") > 0, F.concat(F.lit("SEG"), F.col("segregation").cast("string"))), F.when(F.col("family_evidence") > 0, F.concat(F.lit("FAM_EVD"), F.col("family_evidence").cast("string"))),
-        F.when(F.col("pathway_hit") == 1, "PATHWAY_HIT"), F.when(F.col("dna_repair") == 1, "DNA_REPAIR"),
+        "|", F.when(F.col("germ_pass") == 1, "GERM_SNV_PASS"), F.when(F.col("som_pass") == 1, "SOM_SNV_PASS"), F.when(F.col("cnv_pass") == 1, "CNV_PASS"), F.when(F.col("n_both") >= 1, "GERM_AND_SOM"),
+        F.when(F.col("count_ge_2") == 1, "COUNT_GE_2"), F.when(F.col("segregation") > 0, F.concat(F.lit("SEG"), F.col("segregation").cast("string"))),
+        F.when(F.col("family_evidence") > 0, F.concat(F.lit("FAM_EVD"), F.col("family_evidence").cast("string"))), F.when(F.col("pathway_hit") == 1, "PATHWAY_HIT"), F.when(F.col("dna_repair") == 1, "DNA_REPAIR"),
     )
-    return out.withColumns({"integrated_class": F.when(F.col("score") >= 9, "TOP").when(F.col("score") >= 7, "HIGH").when(F.col("score") >= 4, "MODERATE").otherwise("LOW"), "evidence": reasons})
+    return out.withColumns({"integrated_class": integrated_class(F.col("score")), "evidence": reasons})
+
+
+def integrated_inputs(families: DataFrame) -> DataFrame:
+    """Adds what score_points reads and families lacks: germ_tier (class 5: 1, 4: 2), partial (a suspect segment), origin_profile."""
+    made = {
+        "germ_tier": F.when(F.col("acmg_germ") == 5, 1).when(F.col("acmg_germ") == 4, 2).otherwise(0), "partial": F.greatest("loh_patho", "cnv_pass"),
+        "origin_profile": F.when(F.col("n_both") > 0, "both").when(F.col("n_germ_only") > 0, "germline-only").otherwise("somatic-only"),
+    }
+    return families.withColumns({n: c for n, c in made.items() if n not in families.columns})
+
+
+def score_points(families: DataFrame) -> DataFrame:
+    """Five-axis score 0..12: family_evidence 0..4 (2 at most where others carry the variant too), score, integrated_class, evidence."""
+    b = lambda c: c.cast("int")
+    partial = b((F.col("strict") == 0) & (F.col("partial") == 1))
+    fam = F.when(F.col("n_cancer") >= 2, 2).when(F.col("n_cancer") == 1, 1).otherwise(0) + b(F.col("n_both") >= 1) + 2 * F.col("strict") + partial + F.col("row_pass")
+    out = families.withColumn("family_evidence", F.least(fam, F.when(F.col("n_noncancer") > 0, 2).otherwise(4)))
+    seg = F.when(F.col("segregation") >= 4, 3).when(F.col("segregation") == 3, 2).when(F.col("segregation") == 2, 1).otherwise(0)
+    own = F.when(F.col("family_evidence") >= 4, 2).when(F.col("family_evidence") == 3, 1).otherwise(0)
+    carriers = b((seg == 0) & (F.col("count_ge_2") == 1))
+    tier = F.when(F.col("germ_tier") == 1, 2).when(F.col("germ_tier") == 2, 1).otherwise(0)
+    origin = b(F.col("origin_profile") == "both")
+    total = 2 * F.col("germ_pass") + tier + 3 * F.col("strict") + partial + seg + own + carriers + F.col("pathway_hit") + F.col("dna_repair") + origin
+    plus = lambda name, c: F.when(c > 0, F.concat(F.lit(name), c.cast("string")))
+    reasons = F.concat_ws(
+        "|", F.when(F.col("germ_pass") == 1, "GERM_PASS"), plus("GERM_TIER+", tier), F.when(F.col("strict") == 1, "TWO_HIT_STRICT").when(F.col("partial") == 1, "TWO_HIT_EVIDENCE"), plus("SEG+", seg),
+        plus("FAM_EVD+", own), F.when(carriers == 1, "COUNT_GE_2"), F.when(F.col("pathway_hit") == 1, "PATHWAY_HIT"), F.when(origin == 1, "ORIGIN_MOD+1"),
+    )
+    out = out.withColumn("score", F.least(total, F.lit(12)))
+    return out.withColumns({"integrated_class": integrated_class(F.col("score")), "evidence": reasons})
 
 
 def collapse_all(families: DataFrame, d: Dialect = GENOME) -> DataFrame:
@@ -99,19 +172,3 @@ def collapse_runs(rows: DataFrame, run: Column) -> DataFrame:
     """Somatic rows to runs, then to a row per patient and locus: repeats summed, runs counted, greatest depth and fraction."""
     one = rows.withColumn("run", run).groupBy("patient_id", *LOCUS, "run").agg(F.count("*").alias("n"), F.max("dp").alias("dp"), F.max("vaf").alias("vaf"))
     return one.groupBy("patient_id", *LOCUS).agg(F.sum("n").alias("repeats"), F.count("*").alias("n_runs"), F.max("dp").alias("dp_som"), F.max("vaf").alias("vaf_som"))
-
-
-def score_points(df: DataFrame) -> DataFrame:
-    """Five-axis score 0..12 of a family variant with n_cancer, n_noncancer, n_both, strict, partial, row_pass, germ_pass, germ_tier,
-    segregation, count_ge_2, pathway_hit, dna_repair, both_origins: family_points, points and points_class."""
-    b = lambda c: c.cast("int")
-    fam = F.when(F.col("n_cancer") >= 2, 2).when(F.col("n_cancer") == 1, 1).otherwise(0) + b(F.col("n_both") >= 1) + 2 * F.col("strict") + b((F.col("strict") == 0) & (F.col("partial") == 1)) + F.col("row_pass")
-    fam = F.least(fam, F.when(F.col("n_noncancer") > 0, 2).otherwise(4))
-    seg = F.when(F.col("segregation") >= 4, 3).when(F.col("segregation") == 3, 2).when(F.col("segregation") == 2, 1).otherwise(0)
-    df = df.withColumn("family_points", fam)
-    axis = seg + F.when(F.col("family_points") >= 4, 2).when(F.col("family_points") == 3, 1).otherwise(0) + b((seg == 0) & (F.col("count_ge_2") == 1))
-    germ = 2 * F.col("germ_pass") + F.when(F.col("germ_tier") == 1, 2).when(F.col("germ_tier") == 2, 1).otherwise(0)
-    two = 3 * F.col("strict") + b((F.col("strict") == 0) & (F.col("partial") == 1))
-    p = F.least(germ + two + axis + F.col("pathway_hit") + F.col("dna_repair") + F.col("both_origins"), F.lit(12))
-    df = df.withColumn("points", p)
-    return df.withColumn("points_class", F.when(F.col("points") >= 9, "TOP").when(F.col("points") >= 7, "HIGH").when(F.col("points") >= 4, "MODERATE").otherwise("LOW"))

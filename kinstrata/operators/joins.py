@@ -8,8 +8,9 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def full_outer(left: DataFrame, right: DataFrame, keys: list[str], largest: tuple[str, ...] = ()) -> DataFrame:
-    """Null keys meet null keys. Shared columns: the greater of the two where named in ``largest``, else left before right. source_set: both, left or right."""
+def full_outer(left: DataFrame, right: DataFrame, keys: list[str], largest: tuple[str, ...] = (), keep_left: bool = False) -> DataFrame:
+    """Null keys meet null keys. Shared columns: the greater of the two where named in ``largest``, else left before right (with
+    ``keep_left`` left alone, as older runs came out). source_set: both, left or right."""
     l, r = left.withColumn("__l", F.lit(1)).alias("l"), right.withColumn("__r", F.lit(1)).alias("r")
     on = reduce(and_, (F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys))
     shared = [c for c in left.columns if c in right.columns]
@@ -18,7 +19,7 @@ def full_outer(left: DataFrame, right: DataFrame, keys: list[str], largest: tupl
         if c in largest:
             return F.greatest(F.col(f"l.{c}"), F.col(f"r.{c}")).alias(c)
         if c in shared:
-            return F.when(F.col("l.__l") == 1, F.col(f"l.{c}")).otherwise(F.col(f"r.{c}")).alias(c) if c in keys else F.coalesce(F.col(f"l.{c}"), F.col(f"r.{c}")).alias(c)
+            return F.when(F.col("l.__l") == 1, F.col(f"l.{c}")).otherwise(F.col(f"r.{c}")).alias(c) if c in keys else (F.col(f"l.{c}") if keep_left else F.coalesce(F.col(f"l.{c}"), F.col(f"r.{c}"))).alias(c)
         return F.col(("l." if c in left.columns else "r.") + c).alias(c)
 
     names = [*left.columns, *(c for c in right.columns if c not in left.columns)]
@@ -37,12 +38,21 @@ def annotate(left: DataFrame, right: DataFrame, keys: list[str], order: list[Col
     return left.join(payload.select(*keys, *(F.col(c).alias(prefix + c) for c in payload.columns if c not in keys)), keys, "left")
 
 
-def as_of_segment(points: DataFrame, segs: DataFrame) -> DataFrame:
+def as_of_segment(points: DataFrame, segs: DataFrame, width: int = 100_000) -> DataFrame:
     """points(chrom, pos, ...) with seg_id and hit: the segment of the chromosome with the greatest start up to pos (then the
-    greatest end and id), hit if pos is within it. One sort of both sides together, no range join."""
-    marks = segs.select(F.col("seg_chrom").alias("chrom"), F.col("seg_start").alias("pos"), F.struct("seg_start", "seg_end", "seg_id").alias("__s"))
-    both = marks.unionByName(points.withColumn("__p", F.struct(*points.columns)).select("chrom", "pos", "__p"), allowMissingColumns=True)
-    w = Window.partitionBy("chrom").orderBy("pos", F.col("__p").isNotNull(), "__s.seg_end", "__s.seg_id").rowsBetween(Window.unboundedPreceding, 0)
+    greatest end and id), hit if pos is within it.
+
+    Both sides are sorted together in bins of ``width`` bases, no range join. The last segment before a bin comes from a table
+    of bins, and stands first in its bin; so a chromosome is as many tasks' work as it has bins.
+    """
+    at = F.floor(F.col("pos") / width)
+    marks = segs.select(F.col("seg_chrom").alias("chrom"), F.col("seg_start").alias("pos"), F.struct("seg_start", "seg_end", "seg_id").alias("__s")).withColumn("__b", at)
+    rows = points.withColumn("__p", F.struct(*points.columns)).select("chrom", "pos", "__p").withColumn("__b", at)
+    bins = marks.select("chrom", "__b", "__s").unionByName(rows.select("chrom", "__b"), allowMissingColumns=True).groupBy("chrom", "__b").agg(F.max("__s").alias("__s"))
+    before = F.max("__s").over(Window.partitionBy("chrom").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    carried = bins.withColumn("__s", before).where("__s is not null").select("chrom", F.col("__s.seg_start").alias("pos"), "__s", "__b")
+    both = marks.unionByName(carried).unionByName(rows, allowMissingColumns=True)
+    w = Window.partitionBy("chrom", "__b").orderBy("pos", F.col("__p").isNotNull(), "__s.seg_end", "__s.seg_id").rowsBetween(Window.unboundedPreceding, 0)
     out = both.withColumn("__s", F.last("__s", ignorenulls=True).over(w)).where("__p is not null")
     return out.select("__p.*", F.col("__s.seg_id").alias("seg_id"), F.coalesce((F.col("pos") <= F.col("__s.seg_end")).cast("int"), F.lit(0)).alias("hit"))
 
@@ -59,3 +69,39 @@ def compare_lists(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Counts of each value in two lists, 0 where it is absent."""
     a, b = (d.groupBy(key).agg(F.count("*").alias(n)) for d, n in ((left, "n_left"), (right, "n_right")))
     return a.join(b, key, "full").na.fill(0, ["n_left", "n_right"])
+
+
+def suspect_loci(variants: DataFrame, segs: DataFrame, how: str) -> DataFrame:
+    """variants with loh_patho 0/1: whether the segment that ``how`` picks for a locus (Dialect.cnv) is a loss (seg_loh = 1)."""
+    if how == "never":
+        return variants.withColumn("loh_patho", F.lit(0))
+    loci = variants.select("chrom", "pos").distinct()
+    if how == "as_of":
+        near = as_of_segment(loci, segs).where("hit = 1").join(segs.select("seg_id", "seg_loh"), "seg_id").select("chrom", "pos", F.col("seg_loh").alias("loh_patho"))
+    else:
+        near = containing_segments(loci, segs).groupBy("chrom", "pos").agg(F.min_by("seg_loh", "seg_id").alias("loh_patho"))
+    return variants.join(near.where("loh_patho = 1"), ["chrom", "pos"], "left").withColumn("loh_patho", F.coalesce("loh_patho", F.lit(0)))
+
+
+def full_outer_annotate(calls: DataFrame, annotations: DataFrame, keys: list[str]) -> DataFrame:
+    """Full outer join on null-safe keys, where annotations give only the columns that calls lack (and keys of rows that calls lack)."""
+    new = [c for c in annotations.columns if c in keys or c not in calls.columns]
+    return full_outer(calls, annotations.select(*new), keys)
+
+
+def group_max(df: DataFrame, keys: list[str], col: str, out: str) -> DataFrame:
+    """Each row with the greatest ``col`` of its group, by an aggregate that is joined back: a large group is no task's own work."""
+    top = df.groupBy(*keys).agg(F.max(col).alias(out))
+    left, right = df.alias("l"), top.alias("r")
+    on = reduce(and_, (F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys))
+    return left.join(right, on).select("l.*", f"r.{out}")
+
+
+def one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join that fails when a key stands twice on a side."""
+    def once(df: DataFrame, side: str) -> DataFrame:
+        n = df.groupBy(key).agg(F.count("*").alias("__n"))
+        bad = F.assert_true(F.col("__n") == 1, F.concat(F.lit(f"{key} repeats on the {side}: "), F.col(key).cast("string")))
+        return df.join(n.withColumn("__ok", bad).where("__ok is null").select(key), key)
+
+    return once(left, "left").join(once(right, "right"), key)

@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .ordered import running
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -54,12 +56,13 @@ def row_softmax(pairs: DataFrame, alpha: float) -> DataFrame:
 
 
 def wasserstein_1d(df: DataFrame, group: list[str], side: Column, value: Column) -> DataFrame:
-    """Area between the distribution functions of a group's two sides (side: 0 or 1); null where one side is empty."""
+    """Area between the distribution functions of a group's two sides (side: 0 or 1); null where one side is empty. Counts per
+    value come first, and their running sums go by ranges of values, so a large group is no single task."""
     t = df.select(*group, side.alias("s"), value.alias("x")).groupBy(*group, "x").agg(F.count_if(F.col("s") == 0).alias("a"), F.count_if(F.col("s") == 1).alias("b"))
-    w, whole = Window.partitionBy(*group).orderBy("x"), Window.partitionBy(*group)
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("gap", F.abs(F.try_divide(F.sum("a").over(run), F.sum("a").over(whole)) - F.try_divide(F.sum("b").over(run), F.sum("b").over(whole))) * (F.lead("x").over(w) - F.col("x")))
-    return t.groupBy(*group).agg(F.when((F.sum("a") > 0) & (F.sum("b") > 0), F.coalesce(F.sum("gap"), F.lit(0.0))).alias("w1"))
+    whole = t.groupBy(*group).agg(F.sum("a").alias("all_a"), F.sum("b").alias("all_b"))
+    run = running(t, group, "x", ["a", "b"]).join(whole, group)
+    gap = F.abs(F.try_divide("run_a", "all_a") - F.try_divide("run_b", "all_b")) * (F.col("next") - F.col("x"))
+    return run.groupBy(*group).agg(F.when((F.max("all_a") > 0) & (F.max("all_b") > 0), F.coalesce(F.sum(gap), F.lit(0.0))).alias("w1"))
 
 
 def two_view_pairs(df: DataFrame, block: str, key: str, left: Column, right: Column) -> DataFrame:
@@ -123,7 +126,8 @@ def block_products(left: DataFrame, right: DataFrame, run: Callable[[pd.DataFram
     """run(x, y, sim) for every pair of a block of ``left`` (i, a, ...) and one of ``right`` (j, b, ...); sim holds the rounded products a . b.
 
     Each pair of rows is met once, whatever their keys; a block has about ``per_block`` rows, so the rows that ``run`` gives
-    must be few for a pair of blocks. The work is quadratic in the rows, the memory of a task is not.
+    must be few for a pair of blocks. The work is quadratic in the rows, the memory of a task is not. A column that both sides
+    have ends in "__r" on the right: Spark keeps one of two equal columns.
     """
     m, n = (max(1, -(-df.count() // per_block)) for df in (left, right))
     names = [c.split()[0] for c in schema.split(", ")]
@@ -135,6 +139,7 @@ def block_products(left: DataFrame, right: DataFrame, run: Callable[[pd.DataFram
     def both(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if x.empty or y.empty:
             return pd.DataFrame({c: [] for c in names})
+        y = y.rename(columns=lambda c: c.removesuffix("__r"))
         return run(x, y, np.round(np.stack(x["a"]) @ np.stack(y["b"]).T, 9))[names]
 
     a, b = deal(left, "p", m, "q", n), deal(right, "q", n, "p", m)
@@ -267,3 +272,180 @@ def hierarchical_diffusion(df: DataFrame, key: str, vector: str, size: int = 500
     mean = dealt.select("block", F.posexplode(vector).alias("at", "x")).groupBy("block", "at").agg(F.avg("x").alias("x")).groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("v"))
     inter = diffusion_distances(mean.withColumn("all", F.lit(0)), "all", "block", "v", k, t).where("i <> j")
     return diffusion_distances(dealt, "block", key, vector, k, t), inter.select(F.col("i").alias("a"), F.col("j").alias("b"), "d2")
+
+
+def scaled_distances(d: DataFrame, robust: bool = False) -> DataFrame:
+    """d2 over its greatest value, or with ``robust`` over the lower median of different rows' distances, as ``scaled``."""
+    off = d.where("i <> j")
+    by = off.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY d2)").alias("__by")) if robust else d.agg(F.max("d2").alias("__by"))
+    return d.join(F.broadcast(by)).withColumn("scaled", F.col("d2") / (F.coalesce("__by", F.lit(0.0)) + 1e-8)).drop("__by")
+
+
+def distance_regulariser(now: DataFrame, target: DataFrame, robust: bool = False) -> DataFrame:
+    """One row: the mean squared difference of two tables of distances (i, j, d2), each scaled first; rows of both count."""
+    a, b = scaled_distances(now, robust), scaled_distances(target, robust).select("i", "j", F.col("scaled").alias("other"))
+    return a.join(b, ["i", "j"]).agg(F.avg((F.col("scaled") - F.col("other")) * (F.col("scaled") - F.col("other"))).alias("mse"))
+
+
+# ---- contrastive losses with soft targets, every row against every row ----
+Weights = Callable[[pd.DataFrame, pd.DataFrame, np.ndarray], np.ndarray]
+
+
+def own_partner(x: pd.DataFrame, y: pd.DataFrame, same: np.ndarray) -> np.ndarray:
+    return same.astype(float)
+
+
+def same_label(x: pd.DataFrame, y: pd.DataFrame, same: np.ndarray) -> np.ndarray:
+    """Other rows of the same label."""
+    return (x["m"].to_numpy()[:, None] == y["m"].to_numpy()[None, :]) & ~same
+
+
+def _jaccards(x: pd.Series, y: pd.Series) -> np.ndarray:
+    words: dict[str, int] = {}
+    rows = [[{words.setdefault(t, len(words)) for t in (terms if terms is not None else ())} for terms in s] for s in (x, y)]
+    a, b = (np.zeros((len(s), len(words))) for s in rows)
+    for m, s in ((a, rows[0]), (b, rows[1])):
+        for i, terms in enumerate(s):
+            m[i, list(terms)] = 1
+    both = a @ b.T
+    union = a.sum(1)[:, None] + b.sum(1)[None, :] - both
+    return np.divide(both, union, out=np.zeros_like(both), where=union > 0)
+
+
+def term_similarity(x: pd.DataFrame, y: pd.DataFrame, weights: dict[str, float]) -> np.ndarray:
+    """Weighted mean of the Jaccard similarities of the columns named in ``weights``."""
+    return sum(w * _jaccards(x[c], y[c]) for c, w in weights.items()) / max(sum(weights.values()), 1e-8)
+
+
+def soft_terms(weights: dict[str, float], alpha: float = 0.3, temperature: float = 0.25) -> Weights:
+    """exp(score / temperature), score = (1 - alpha) at a row's own partner and alpha * term_similarity at others."""
+    return lambda x, y, same: np.exp(np.where(same, 1 - alpha, alpha * term_similarity(x, y, weights)) / temperature)
+
+
+def mixed_terms(weights: dict[str, float], alpha: float = 0.5) -> Weights:
+    """(1 - alpha) at a row's own partner, alpha * term_similarity at others."""
+    return lambda x, y, same: np.where(same, 1 - alpha, alpha * term_similarity(x, y, weights))
+
+
+def mixed_sources(weights: dict[str, float], pair: float = 1.0, variant: float = 1.0, group: float = 0.5, terms: float = 0.3) -> Weights:
+    """Sum of weights for a row's own partner, the same variant (column m), the same group (column g) and term_similarity of others."""
+
+    def run(x: pd.DataFrame, y: pd.DataFrame, same: np.ndarray) -> np.ndarray:
+        equal = lambda c: x[c].to_numpy()[:, None] == y[c].to_numpy()[None, :]
+        return pair * same + variant * equal("m") + group * equal("g") + terms * np.where(same, 0.0, term_similarity(x, y, weights))
+
+    return run
+
+
+def contrastive_loss(df: DataFrame, key: str, left: Column, right: Column, weights: Weights, extra: dict[str, Column] | None = None, tau: float = 0.07, back: str = "renormalised", per_block: int = 1000) -> DataFrame:
+    """One row: loss_ab, loss_ba, loss of -sum_j T_ij log softmax_j(sim_ij / tau) over the whole table, and how many rows have no target.
+
+    T_ij is weights() over its row sum (0 where that is 0). For the other direction T is transposed, and, as ``back`` says,
+    renormalised, left as it is ("transposed"), or made anew from the columns ("own"). ``extra`` columns reach weights().
+    """
+    extra = extra or {}
+    base = df.where(F.col(key).isNotNull() & left.isNotNull() & right.isNotNull()).select(F.col(key).cast("long").alias("i"), normalized(left).alias("a"), normalized(right).alias("b"), *(c.alias(n) for n, c in extra.items()))
+    y = base.select(F.col("i").alias("j"), "b", *(F.col(n).alias(f"{n}__r") for n in extra))
+    one = "side int, key long, e double, w double, wx double"
+
+    def first(p: pd.DataFrame, q: pd.DataFrame, sim: np.ndarray) -> pd.DataFrame:
+        w, x, e = np.asarray(weights(p, q, _same(p, q)), float), sim / tau, np.exp((sim - 1) / tau)
+        parts = [(0, p["i"], e.sum(1), w.sum(1), (w * x).sum(1)), (1, q["j"], e.sum(0), w.sum(0), (w * x).sum(0))]
+        return pd.concat([pd.DataFrame(dict(zip(("side", "key", "e", "w", "wx"), part, strict=True))) for part in parts])
+
+    sums = block_products(base.drop("b"), y, first, one, per_block).groupBy("side", "key").agg(*(F.sum(c).alias(c) for c in ("e", "w", "wx")))
+    lse = F.log("e") + 1 / tau
+    ab = sums.where("side = 0").select("key", lse.alias("lse"), "w", "wx")
+    loss_ab = F.coalesce(F.try_divide(F.col("w") * F.col("lse") - F.col("wx"), F.col("w")), F.lit(0.0))
+    forward = ab.agg(F.avg(loss_ab).alias("loss_ab"), F.count_if(F.col("w") <= 0).alias("without_target"))
+    if back == "own":
+        backward = sums.where("side = 1").withColumn("lse", lse).agg(F.avg(loss_ab).alias("loss_ba"))
+        return forward.join(F.broadcast(backward)).withColumn("loss", (F.col("loss_ab") + F.col("loss_ba")) / 2)
+
+    def second(p: pd.DataFrame, q: pd.DataFrame, sim: np.ndarray) -> pd.DataFrame:
+        total = p["total"].to_numpy()[:, None]
+        t = np.divide(np.asarray(weights(p, q, _same(p, q)), float), total, out=np.zeros_like(sim), where=total > 0)
+        return pd.DataFrame({"key": q["j"], "t": t.sum(0), "tx": (t * sim / tau).sum(0)})
+
+    known = ab.select(F.col("key").alias("i"), F.col("w").alias("total")).join(base.drop("b"), "i")  # the plain side goes right: Spark renames its columns
+    columns = block_products(known, y, second, "key long, t double, tx double", per_block).groupBy("key").agg(F.sum("t").alias("t"), F.sum("tx").alias("tx"))
+    columns = columns.join(sums.where("side = 1").select("key", lse.alias("lse")), "key")
+    each = F.col("t") * F.col("lse") - F.col("tx")
+    each = F.coalesce(F.try_divide(each, F.col("t")), F.lit(0.0)) if back == "renormalised" else each
+    return forward.join(F.broadcast(columns.agg(F.avg(each).alias("loss_ba")))).withColumn("loss", (F.col("loss_ab") + F.col("loss_ba")) / 2)
+
+
+def three_view_loss(df: DataFrame, key: str, seq: Column, bio: Column, text: Column, weights: Weights, extra: dict[str, Column] | None = None, tau: float = 0.07, mix: tuple[float, float, float] = (1.0, 0.8, 0.8)) -> DataFrame:
+    """One row: loss_sb, loss_st, loss_bt and their weighted sum."""
+    out = None
+    for name, a, b in (("loss_sb", seq, bio), ("loss_st", seq, text), ("loss_bt", bio, text)):
+        one = contrastive_loss(df, key, a, b, weights, extra, tau).select(F.col("loss").alias(name))
+        out = one if out is None else out.join(F.broadcast(one))
+    return out.withColumn("loss", sum((F.col(c) * w for c, w in zip(("loss_sb", "loss_st", "loss_bt"), mix, strict=True)), F.lit(0.0)))
+
+
+def multi_positive_recall(df: DataFrame, key: str, left: Column, right: Column, terms: Column, least: float = 0.5, ks: tuple[int, ...] = (1, 5, 10), per_block: int = 1000) -> DataFrame:
+    """One row: the share of rows (both directions) with their partner, or a row whose terms' Jaccard is ``least`` or more, among the k most similar.
+
+    A row's best rank is one more than the rows that beat its most similar positive, so blocks give that positive first.
+    """
+    base = df.where(F.col(key).isNotNull() & left.isNotNull() & right.isNotNull()).select(F.col(key).cast("long").alias("i"), normalized(left).alias("a"), normalized(right).alias("b"), terms.alias("terms"))
+    right = lambda v: base.select(F.col("i").alias("j"), F.col(v).alias("b"), F.col("terms").alias("terms__r"))
+    ends = ((base.drop("b"), right("b")), (base.select("i", F.col("b").alias("a"), "terms"), right("a")))
+
+    def positives(x: pd.DataFrame, y: pd.DataFrame, sim: np.ndarray) -> pd.DataFrame:
+        good = _same(x, y) | (_jaccards(x["terms"], y["terms"]) >= least)
+        by_key = np.argsort(y["j"].to_numpy(), kind="stable")
+        s = np.where(good, sim, -np.inf)[:, by_key]
+        at = s.argmax(1)
+        return pd.DataFrame({"i": x["i"], "top": s[np.arange(len(s)), at], "of": y["j"].to_numpy()[by_key][at]})
+
+    def better(x: pd.DataFrame, y: pd.DataFrame, sim: np.ndarray) -> pd.DataFrame:
+        top, of, j = x["top"].to_numpy()[:, None], x["of"].to_numpy()[:, None], y["j"].to_numpy()[None, :]
+        return pd.DataFrame({"i": x["i"], "n": ((sim > top) | ((sim == top) & (j < of))).sum(1)})
+
+    ranks = None
+    for a, b in ends:
+        best = block_products(a, b, positives, "i long, top double, of long", per_block).groupBy("i").agg(F.max(F.struct("top", (-F.col("of")).alias("minus"))).alias("t"))
+        known = best.select("i", "t.top", (-F.col("t.minus")).alias("of")).join(a.drop("terms"), "i")  # the plain side goes right: Spark renames its columns
+        r = block_products(known, b.drop("terms__r"), better, "i long, n long", per_block).groupBy("i").agg((F.sum("n") + 1).alias("rank"))
+        ranks = r if ranks is None else ranks.unionByName(r)
+    return ranks.agg(*(F.avg((F.col("rank") <= k).cast("double")).alias(f"recall_{k}") for k in ks))
+
+
+def mean_pool(tokens: Column, mask: Column, eps: float = 1e-8) -> Column:
+    """Mean of the token vectors whose mask is not 0, place by place."""
+    kept = F.filter(F.arrays_zip(tokens.alias("t"), mask.alias("m")), lambda z: z["m"] != 0)
+    size = F.greatest(F.size(kept).cast("double"), F.lit(eps))
+    zero = F.transform(F.get(tokens, F.lit(0)), lambda x: F.lit(0.0))
+    total = F.aggregate(kept, zero, lambda s, z: F.zip_with(s, z["t"], lambda x, y: x + y.cast("double")))
+    return F.transform(total, lambda x: x / size)
+
+
+def first_token(tokens: Column) -> Column:
+    return F.get(tokens, F.lit(0))
+
+
+def lifetimes(h: np.ndarray) -> np.ndarray:
+    """Lengths at which components of a point set merge as the distance grows: the edges of its minimum spanning tree, sorted (Prim)."""
+    n = len(h)
+    if n < 2:
+        return np.zeros(0)
+    out, left, near = [], np.ones(n, bool), np.full(n, np.inf)
+    at = 0
+    for _ in range(n - 1):
+        left[at] = False
+        near = np.minimum(near, np.sqrt(np.maximum(((h - h[at]) ** 2).sum(1), 0)))
+        at = int(np.where(left, near, np.inf).argmin())
+        out.append(near[at])
+    return np.sort(out)
+
+
+def persistence(df: DataFrame, block: str, vector: str) -> DataFrame:
+    """(block, rank, death): the lifetimes of components (dimension 0; all are born at 0) inside each block, longest first. A block's rows meet in one task, so blocks must be bounded."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        d = lifetimes(np.stack(pdf["v"]).astype(float))[::-1]
+        return pd.DataFrame({"block": pdf["block"].iloc[0], "rank": np.arange(1, len(d) + 1), "death": d})
+
+    return df.where(F.col(vector).isNotNull()).select(F.col(block).cast("long").alias("block"), F.col(vector).alias("v")).groupBy("block").applyInPandas(run, "block long, rank long, death double")

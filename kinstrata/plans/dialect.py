@@ -1,20 +1,42 @@
 """Named rule sets: the same pipeline with different gates, one dataclass."""
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+
+# Text patterns of the short and the long annotation texts.
+REPAIR = "dna repair|dna damage|double[- ]strand break|homologous recombination|mismatch repair|fanconi"
+REPAIR_LONG = REPAIR + "|response to dna damage|nucleotide excision repair|base excision repair|non[- ]homologous end joining|genome stability|checkpoint"
+PATHWAY = "p53|pi3k|akt|mtor|mapk|ras|wnt|notch|cell cycle|apoptosis|dna repair|fanconi"
+PATHWAY_LONG = "p53|pi3k|akt|mtor|mapk|ras|wnt|tgf[- ]?beta|notch|hippo|jak[- ]stat|cell cycle|apoptosis|dna repair|dna damage|homologous recombination|mismatch repair|excisi?on repair|fanconi"
 
 
 @dataclass(frozen=True)
 class Dialect:
+    """af_max, af_null_passes, acmg_snv: gates of a row. count_needs_pass: two carriers count only on a passing variant.
+    global_counts: sum or max over families. score: "sum" of evidence, segregation and pathway, or "points" on five axes.
+    cnv: how a segment makes a variant suspect: "as_of" (the last one to start, a loss), "containing" (the first around it, a
+    pathogenic loss) or "never". germ_rows: presence of germline rows counts; segregation_overwrites: weaker rules win.
+    roh: least homozygous and greatest heterozygous share of a homozygous run that counts as high; None: no limit."""
+
     name: str
     af_max: float
     af_null_passes: bool
     acmg_snv: tuple[int, ...]
     count_needs_pass: bool
-    global_counts: str  # sum or max
+    global_counts: str
     acmg_predisposition: tuple[int, ...] = (4, 5)
+    score: str = "points"
+    cnv: str = "never"
+    roh: tuple[float, float | None] | None = None
+    pathway: str = PATHWAY_LONG
+    repair: str = REPAIR_LONG
+    germ_rows: bool = True
+    segregation_overwrites: bool = False
 
 
-GENOME = Dialect("genome", 0.05, False, (3, 4, 5), True, "sum")
-MERGED = Dialect("merged", 0.01, True, (2, 3, 4, 5), False, "max")
+GENOME = Dialect("genome", 0.05, False, (3, 4, 5), True, "sum", score="sum", cnv="as_of", roh=(0.5, None), pathway=PATHWAY, repair=REPAIR)
+MERGED = Dialect("merged", 0.01, True, (2, 3, 4, 5), False, "max", cnv="containing", roh=(0.95, 0.05))
 EXOME = Dialect("exome", 0.01, True, (0, 3, 4, 5), True, "max", (3, 4, 5))
-DIALECTS = {d.name: d for d in (GENOME, MERGED, EXOME)}
+#: As older runs of two rule sets came out: germline presence never set; weaker segregation rules written over stronger ones.
+GENOME_COMPAT = replace(GENOME, name="genome_compat", germ_rows=False)
+MERGED_COMPAT = replace(MERGED, name="merged_compat", segregation_overwrites=True)
+DIALECTS = {d.name: d for d in (GENOME, MERGED, EXOME, GENOME_COMPAT, MERGED_COMPAT)}

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions import scalars as S
-from .operators import aggregates as A, features as E, joins as J, vectors as V
-from .plans.dialect import DIALECTS, GENOME, MERGED, Dialect
+from .operators import aggregates as A, features as E, joins as J, ordered as O, vectors as V
+from .plans.dialect import DIALECTS, EXOME, GENOME, MERGED, MERGED_COMPAT, Dialect
 from .plans.views import SEGMENTS_SQL, VARIANTS_SQL, segments, table, variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,34 +43,84 @@ ACMG = """(CASE WHEN lower(acmg_raw) LIKE '%pathogenic%' AND lower(acmg_raw) NOT
 NONSYN = "(consequence NOT LIKE '%synonymous_variant%' AND regexp_matches(consequence, '" + "|".join(S.NONSYNONYMOUS) + "'))"
 
 
-def flags_sql(d: Dialect) -> str:
+LOH_AS_OF = """, loh AS (SELECT p.chrom, p.pos, CAST(p.pos <= s.seg_end AND s.seg_loh = 1 AS INT) AS loh_patho FROM (SELECT p.chrom, p.pos, arg_max(seg_id, (seg_start, seg_end, seg_id)) AS seg_id
+  FROM (SELECT DISTINCT chrom, pos FROM variants) p JOIN segments ON chrom = seg_chrom AND seg_start <= pos GROUP BY ALL) p JOIN segments s USING (seg_id))"""
+LOH_CONTAINING = """, loh AS (SELECT chrom, pos, arg_min(seg_loh, seg_id) AS loh_patho FROM (SELECT DISTINCT chrom, pos FROM variants) p JOIN segments ON chrom = seg_chrom AND pos BETWEEN seg_start AND seg_end GROUP BY ALL)"""
+LOH_NEVER = ", loh AS (SELECT '' AS chrom, 0 AS pos, 0 AS loh_patho WHERE false)"
+
+
+def flags_sql(d: Dialect, segmented: bool = False) -> str:
+    """The CTE ``flagged`` (and before it ``loh``, if ``segmented``), to follow the CTEs variants and segments."""
     af = f"coalesce(pop_af < {d.af_max}, {str(d.af_null_passes).lower()})"
     base = f"({af} AND {NONSYN} AND coalesce({ACMG} IN {d.acmg_snv}, false))"
     germ, som = f"({base} AND origin = 'germline' AND dp > 10 AND vaf > 0.25)", f"({base} AND origin = 'somatic' AND dp > 20 AND vaf > 0.05)"
-    return f"""flagged AS (SELECT family_id, patient_id, {NORM} AS chrom, pos, ref, alt, tx, origin, dp, vaf, {ACMG} AS acmg, CAST({germ} AS INT) AS germ_pass, CAST({som} AS INT) AS som_pass,
-  CAST({germ} OR {som} AS INT) AS row_pass, CAST(regexp_matches(lower(CASE WHEN pathway = '.' THEN '' ELSE pathway END), '{S.PATHWAY}') AS INT) AS pathway_hit,
-  CAST(regexp_matches(lower(pathway), '{S.DNA_REPAIR}') AS INT) AS dna_repair, ord_key, ord_line FROM variants)"""
-
-
-PATIENTS = """patients AS (SELECT family_id, patient_id, chrom, pos, ref, alt, tx, max(CAST(origin = 'germline' AS INT)) AS has_germ, max(CAST(origin = 'somatic' AS INT)) AS has_som,
+    loh = {"as_of": LOH_AS_OF, "containing": LOH_CONTAINING, "never": LOH_NEVER}[d.cnv if segmented else "never"][2:]
+    cnv = f"(coalesce(loh_patho, 0) = 1 AND coalesce({ACMG} IN (4, 5), false))"
+    return f"""{loh}, flagged AS (SELECT family_id, patient_id, {NORM} AS chrom, v.pos, ref, alt, tx, origin, dp, vaf, {ACMG} AS acmg, coalesce(loh_patho, 0) AS loh_patho, CAST({germ} AS INT) AS germ_pass, CAST({som} AS INT) AS som_pass,
+  CAST({cnv} AS INT) AS cnv_pass, CAST({germ} OR {som} OR {cnv} AS INT) AS row_pass, CAST(regexp_matches(lower(CASE WHEN pathway = '.' THEN '' ELSE pathway END), '{d.pathway}') AS INT) AS pathway_hit,
+  CAST(regexp_matches(lower(pathway), '{d.repair}') AS INT) AS dna_repair, pathway, gene_name, CASE WHEN vaf >= 0.9 THEN 'LEVEL_1' ELSE '.' END AS level, ord_key, ord_line
+  FROM (SELECT v.*, loh_patho FROM variants v LEFT JOIN loh l ON v.chrom = l.chrom AND v.pos = l.pos) v)"""
+
+
+def patients_sql(d: Dialect) -> str:
+    """The CTEs ``p0`` (a row per patient and locus, with payload) and ``patients`` (with evidence)."""
+    pre = f"CAST(has_germ = 1 AND coalesce(acmg_germ, 0) IN {d.acmg_predisposition} AND gene <> '' AS INT)"
+    return f"""p0 AS (SELECT family_id, patient_id, chrom, pos, ref, alt, tx, {"max(CAST(origin = 'germline' AS INT))" if d.germ_rows else "0"} AS has_germ, max(CAST(origin = 'somatic' AS INT)) AS has_som,
   max(dp) FILTER (WHERE origin = 'germline') AS dp_germ, max(dp) FILTER (WHERE origin = 'somatic') AS dp_som, max(vaf) FILTER (WHERE origin = 'germline') AS vaf_germ,
-  max(vaf) FILTER (WHERE origin = 'somatic') AS vaf_som, max(acmg) FILTER (WHERE origin = 'germline') AS acmg_germ, max(acmg) AS acmg, max(germ_pass) AS germ_pass, max(som_pass) AS som_pass,
-  max(row_pass) AS row_pass, max(pathway_hit) AS pathway_hit, max(dna_repair) AS dna_repair, count(*) AS n_rows FROM flagged GROUP BY ALL)"""
+  max(vaf) FILTER (WHERE origin = 'somatic') AS vaf_som, max(acmg) FILTER (WHERE origin = 'germline') AS acmg_germ, max(acmg) AS acmg, {", ".join(f"max({c}) AS {c}" for c in A.FLAGS)}, count(*) AS n_rows,
+  coalesce(string_agg(DISTINCT pathway, '|' ORDER BY pathway) FILTER (WHERE pathway <> '.'), '') AS pathway, arg_min(gene_name, (ord_key, ord_line)) AS gene,
+  coalesce(string_agg(DISTINCT level, '|' ORDER BY level) FILTER (WHERE level <> '.'), '') AS level FROM flagged GROUP BY family_id, patient_id, chrom, pos, ref, alt, tx),
+p1 AS (SELECT *, {pre} AS predisposition, CAST(has_som = 1 AND level <> '' AS INT) AS driver, CAST(has_germ = 1 AND has_som = 1 AND (loh_patho = 1 OR germ_pass + som_pass + cnv_pass >= 2) AS INT) AS two_hit,
+  CAST(regexp_matches(lower(pathway), '{S.LITERATURE}') AS INT) AS literature FROM p0),
+patients AS (SELECT *, least(5, predisposition + 2 * driver + 2 * two_hit + literature) AS evidence FROM p1)"""
 
 
 def families_sql(d: Dialect) -> str:
     two = "n_patients >= 2" + (" AND row_pass = 1" if d.count_needs_pass else "")
+    seg = "CASE WHEN n_patients = 1 THEN 1 WHEN n_cancer >= 1 THEN 2 ELSE 0 END" if d.segregation_overwrites else "CASE WHEN n_cancer >= 2 AND n_noncancer = 0 THEN 4 WHEN n_cancer = 1 AND n_noncancer = 0 THEN 3 WHEN n_cancer >= 1 THEN 2 WHEN n_patients = 1 THEN 1 ELSE 0 END"
+    if d.score == "sum":
+        scored = """f2 AS (SELECT *, CAST(n_cancer >= 1 AS INT) + CAST(n_both >= 1 AS INT) + row_pass + dna_repair AS family_evidence FROM f1),
+f3 AS (SELECT *, family_evidence + segregation + pathway_hit + dna_repair AS score, concat_ws('|', CASE WHEN germ_pass = 1 THEN 'GERM_SNV_PASS' END, CASE WHEN som_pass = 1 THEN 'SOM_SNV_PASS' END, CASE WHEN cnv_pass = 1 THEN 'CNV_PASS' END,
+   CASE WHEN n_both >= 1 THEN 'GERM_AND_SOM' END, CASE WHEN count_ge_2 = 1 THEN 'COUNT_GE_2' END, CASE WHEN segregation > 0 THEN 'SEG' || segregation END,
+   CASE WHEN family_evidence > 0 THEN 'FAM_EVD' || family_evidence END, CASE WHEN pathway_hit = 1 THEN 'PATHWAY_HIT' END, CASE WHEN dna_repair = 1 THEN 'DNA_REPAIR' END) AS evidence FROM f2)"""
+    else:
+        scored = """g1 AS (SELECT *, CASE WHEN acmg_germ = 5 THEN 1 WHEN acmg_germ = 4 THEN 2 ELSE 0 END AS germ_tier, greatest(loh_patho, cnv_pass) AS "partial",
+  CASE WHEN n_both > 0 THEN 'both' WHEN n_germ_only > 0 THEN 'germline-only' ELSE 'somatic-only' END AS origin_profile FROM f1),
+g2 AS (SELECT *, least((CASE WHEN n_cancer >= 2 THEN 2 WHEN n_cancer = 1 THEN 1 ELSE 0 END) + CAST(n_both >= 1 AS INT) + 2 * strict + CAST(strict = 0 AND "partial" = 1 AS INT) + row_pass, CASE WHEN n_noncancer > 0 THEN 2 ELSE 4 END) AS family_evidence,
+  CASE segregation WHEN 4 THEN 3 WHEN 3 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS seg_points FROM g1),
+g3 AS (SELECT *, CASE WHEN family_evidence >= 4 THEN 2 WHEN family_evidence = 3 THEN 1 ELSE 0 END AS own_points, CAST(seg_points = 0 AND count_ge_2 = 1 AS INT) AS carrier_points, CASE germ_tier WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS tier_points,
+  CAST(origin_profile = 'both' AS INT) AS origin_points FROM g2),
+f3 AS (SELECT * EXCLUDE (seg_points, own_points, carrier_points, tier_points, origin_points), least(12, 2 * germ_pass + tier_points + 3 * strict + CAST(strict = 0 AND "partial" = 1 AS INT) + seg_points + own_points + carrier_points + pathway_hit + dna_repair + origin_points) AS score,
+  concat_ws('|', CASE WHEN germ_pass = 1 THEN 'GERM_PASS' END, CASE WHEN tier_points > 0 THEN 'GERM_TIER+' || tier_points END, CASE WHEN strict = 1 THEN 'TWO_HIT_STRICT' WHEN "partial" = 1 THEN 'TWO_HIT_EVIDENCE' END,
+   CASE WHEN seg_points > 0 THEN 'SEG+' || seg_points END, CASE WHEN own_points > 0 THEN 'FAM_EVD+' || own_points END, CASE WHEN carrier_points = 1 THEN 'COUNT_GE_2' END, CASE WHEN pathway_hit = 1 THEN 'PATHWAY_HIT' END,
+   CASE WHEN origin_points = 1 THEN 'ORIGIN_MOD+1' END) AS evidence FROM g3)"""
     return f"""f0 AS (SELECT family_id, chrom, pos, ref, alt, tx, count(*) AS n_patients, count(*) FILTER (WHERE has_som = 1) AS n_cancer, count(*) FILTER (WHERE has_som = 0) AS n_noncancer,
   count(*) FILTER (WHERE has_germ = 1 AND has_som = 0) AS n_germ_only, count(*) FILTER (WHERE has_germ = 1 AND has_som = 1) AS n_both, string_agg(DISTINCT patient_id, ',' ORDER BY patient_id) AS patient_ids,
-  max(germ_pass) AS germ_pass, max(som_pass) AS som_pass, max(row_pass) AS row_pass, max(pathway_hit) AS pathway_hit, max(dna_repair) AS dna_repair FROM patients GROUP BY ALL),
-f1 AS (SELECT *, CAST(n_cancer >= 1 AND n_noncancer = 0 AND row_pass = 1 AS INT) AS label_of_interest, CAST({two} AS INT) AS count_ge_2,
-  CASE WHEN n_cancer >= 2 AND n_noncancer = 0 THEN 4 WHEN n_cancer = 1 AND n_noncancer = 0 THEN 3 WHEN n_cancer >= 1 THEN 2 WHEN n_patients = 1 THEN 1 ELSE 0 END AS segregation,
-  CAST(n_cancer >= 1 AS INT) + CAST(n_both >= 1 AS INT) + row_pass + dna_repair AS family_evidence FROM f0),
-f2 AS (SELECT *, family_evidence + segregation + pathway_hit + dna_repair AS score FROM f1),
-families AS (SELECT *, CASE WHEN score >= 9 THEN 'TOP' WHEN score >= 7 THEN 'HIGH' WHEN score >= 4 THEN 'MODERATE' ELSE 'LOW' END AS integrated_class,
-  concat_ws('|', CASE WHEN germ_pass = 1 THEN 'GERM_SNV_PASS' END, CASE WHEN som_pass = 1 THEN 'SOM_SNV_PASS' END, CASE WHEN n_both >= 1 THEN 'GERM_AND_SOM' END, CASE WHEN count_ge_2 = 1 THEN 'COUNT_GE_2' END,
-   CASE WHEN segregation > 0 THEN 'SEG' || segregation END, CASE WHEN family_evidence > 0 THEN 'FAM_EVD' || family_evidence END, CASE WHEN pathway_hit = 1 THEN 'PATHWAY_HIT' END,
-   CASE WHEN dna_repair = 1 THEN 'DNA_REPAIR' END) AS evidence FROM f2)"""
+  max(acmg_germ) AS acmg_germ, max(two_hit) AS strict, {", ".join(f"max({c}) AS {c}" for c in A.FLAGS)}, coalesce(string_agg(DISTINCT pathway, '|' ORDER BY pathway) FILTER (WHERE pathway <> ''), '') AS pathway,
+  arg_min(gene, patient_id) AS gene FROM patients GROUP BY family_id, chrom, pos, ref, alt, tx),
+f1 AS (SELECT *, CAST(n_cancer >= 1 AND n_noncancer = 0 AND row_pass = 1 AS INT) AS label_of_interest, CAST({two} AS INT) AS count_ge_2, {seg} AS segregation FROM f0),
+{scored}, families AS (SELECT *, CASE WHEN score >= 9 THEN 'TOP' WHEN score >= 7 THEN 'HIGH' WHEN score >= 4 THEN 'MODERATE' ELSE 'LOW' END AS integrated_class FROM f3)"""
+
+
+def chain_sql(d: Dialect) -> str:
+    return f", {flags_sql(d, True)}, {patients_sql(d)}, {families_sql(d)}"
+
+
+def flagged_of(spark: SparkSession, sf_dir: str, d: Dialect) -> DataFrame:
+    """The variant view with its suspect segments, flagged."""
+    v = variants(spark, sf_dir).withColumn("level", F.when(F.col("vaf") >= 0.9, "LEVEL_1").otherwise("."))
+    return A.with_flags(J.suspect_loci(v, segments(spark, sf_dir), d.cnv), d)
+
+
+def patients_of(spark: SparkSession, sf_dir: str, d: Dialect) -> DataFrame:
+    flagged = flagged_of(spark, sf_dir, d).withColumnRenamed("gene_name", "gene")
+    kept = A.payload(flagged.select("pathway", "gene", "level"), [], ["pathway", "level"], F.struct("ord_key", "ord_line"))
+    return A.patient_evidence(A.collapse_patients(flagged, d, kept), d, ["gene"], ["level"], ["pathway"])
+
+
+def families_of(spark: SparkSession, sf_dir: str, d: Dialect) -> DataFrame:
+    p = patients_of(spark, sf_dir, d)
+    return A.collapse_families(p, d, A.payload(p.select("pathway", "gene"), [], ["pathway"], F.col("patient_id")))
 
 
 # ---- scalar rules ----
@@ -163,27 +213,21 @@ def _(v):
     return v.groupBy("patient_id").agg(F.round(F.avg(S.allele_fraction(F.when(F.col("ord_line") % 2 == 0, F.col("vaf")), ad)), 6).alias("vaf"))
 
 
-@query("revcomp", "SELECT item_id, reverse(translate(text, 'ACGTNacgtn', 'TGCANtgcan')) AS rc FROM benchmark WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
-def _(spark, d):
-    return table(spark, d, "benchmark").where(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("item_id", S.reverse_complement(F.col("text")).alias("rc"))
-
-
-@query("seq_clean", r"SELECT item_id, regexp_replace(upper(regexp_replace(text, '\s+', '', 'g')), '[^ACGTN]', 'N', 'g') AS seq FROM benchmark WHERE regexp_full_match(text, '[\x00-\x7F]*')")
-def _(spark, d):
-    return table(spark, d, "benchmark").where(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("item_id", S.clean_sequence(F.col("text")).alias("seq"))
-
-
-# All rows, without SQL: the two queries above leave texts with non-ASCII characters out, as their SQL does
-@query("revcomp_all")
+@query("revcomp", "SELECT item_id, list_aggregate(list_reverse(list_transform(generate_series(1, length(text)), lambda p: translate(substr(text, p, 1), 'ACGTNacgtn', 'TGCANtgcan'))), 'string_agg', '') AS rc FROM benchmark")
 def _(spark, d):
     return table(spark, d, "benchmark").select("item_id", S.reverse_complement(F.col("text")).alias("rc"))
 
 
-@query("seq_clean_all")
+# A null is empty, white space of all scripts goes; tests hold it against plain Python
+@query("seq_clean")
 def _(spark, d):
     return table(spark, d, "benchmark").select("item_id", S.clean_any_sequence(F.col("text")).alias("seq"))
 
 
+QUERIES["revcomp_all"], QUERIES["seq_clean_all"] = QUERIES["revcomp"], QUERIES["seq_clean"]
+SQL["revcomp_all"] = SQL["revcomp"]
+
+
 @on_variants("split_terms", " SELECT pathway, CASE WHEN pathway = '.' THEN '' ELSE array_to_string(list_transform(string_split_regex(pathway, '[;,|]+'), lambda x: trim(x)), '; ') END AS terms, count(*) AS n FROM variants GROUP BY ALL")
 def _(v):
     return v.groupBy("pathway", F.array_join(S.split_terms(F.col("pathway")), "; ").alias("terms")).agg(F.count("*").alias("n"))
@@ -264,9 +308,9 @@ def _(v):
     return v.groupBy("patient_id").agg(A.max_or_first(mixed, order).cast("double").cast("long").alias("top"), A.max_or_first(F.col("consequence"), order).alias("first"))
 
 
-@on_variants("uniq_join", " SELECT patient_id, string_agg(DISTINCT consequence, '|' ORDER BY consequence) FILTER (WHERE consequence <> '.') AS terms FROM variants GROUP BY 1 HAVING count(*) FILTER (WHERE consequence <> '.') > 0")
+@on_variants("uniq_join", " SELECT patient_id, coalesce(string_agg(DISTINCT consequence, '|' ORDER BY consequence) FILTER (WHERE consequence <> '.'), '') AS terms FROM variants GROUP BY 1")
 def _(v):
-    return v.groupBy("patient_id").agg(A.joined_set(F.col("consequence")).alias("terms")).where("terms <> ''")
+    return v.groupBy("patient_id").agg(A.joined_set(F.col("consequence")).alias("terms"))
 
 
 @on_variants("uniq_tokens", " SELECT family_id, string_agg(DISTINCT t, ',' ORDER BY t) AS tokens FROM (SELECT family_id, unnest(string_split(tx || ',' || origin, ',')) AS t FROM variants) GROUP BY 1")
@@ -274,40 +318,51 @@ def _(v):
     return v.groupBy("family_id").agg(A.joined_tokens(F.concat_ws(",", "tx", "origin")).alias("tokens"))
 
 
-@on_variants("type_vote_collapse", " SELECT pos, CASE WHEN count(*) FILTER (WHERE ord_line < 5) >= 0.8 * count(*) THEN CAST(max(ord_key) FILTER (WHERE ord_line < 5) AS STRING) ELSE 'text' END AS value FROM variants GROUP BY 1")
+@on_variants("type_vote_collapse", """, t AS (SELECT pos, ord_line, ord_key, CASE WHEN ord_line < 5 THEN CAST(ord_key AS STRING) ELSE 't' || ord_key END AS x FROM variants) SELECT pos, CASE WHEN count(*) FILTER (WHERE ord_line < 5) >= 0.8 * count(*)
+ THEN CAST(max(ord_key) FILTER (WHERE ord_line < 5) AS STRING) || '.0' ELSE string_agg(DISTINCT x, '|' ORDER BY x) END AS value FROM t GROUP BY 1""")
 def _(v):
     mixed = F.when(F.col("ord_line") < 5, F.col("ord_key").cast("string")).otherwise(F.concat(F.lit("t"), F.col("ord_key").cast("string")))
-    out = v.groupBy("pos").agg(A.vote(mixed).alias("value"))
-    return out.withColumn("value", F.when(S.number(F.col("value")).isNotNull(), S.number(F.col("value")).cast("long").cast("string")).otherwise("text"))
+    return v.groupBy("pos").agg(A.vote(mixed).alias("value"))
 
 
 for _d in DIALECTS.values():
     on_variants(f"row_pass_flags_{_d.name}", f", {flags_sql(_d)} SELECT germ_pass, som_pass, row_pass, acmg, count(*) AS n FROM flagged GROUP BY ALL")(
         lambda v, d=_d: A.with_flags(v, d).groupBy("germ_pass", "som_pass", "row_pass", "acmg").agg(F.count("*").alias("n")))
-    on_variants(f"family_collapse_{_d.name}", f", {flags_sql(_d)}, {PATIENTS}, {families_sql(_d)} SELECT * FROM families")(
-        lambda v, d=_d: A.collapse_families(A.collapse_patients(A.with_flags(v, d)), d))
-    on_variants(f"global_collapse_{_d.name}", f", {flags_sql(_d)}, {PATIENTS}, {families_sql(_d)} SELECT chrom, pos, ref, alt, tx, count(*) AS n_families, string_agg(DISTINCT family_id, ',' ORDER BY family_id) AS family_ids, "
+    query(f"family_collapse_{_d.name}", f"{WITH_V}{chain_sql(_d)} SELECT * FROM families")(lambda spark, sf, d=_d: families_of(spark, sf, d))
+    query(f"global_collapse_{_d.name}", f"{WITH_V}{chain_sql(_d)} SELECT chrom, pos, ref, alt, tx, count(*) AS n_families, string_agg(DISTINCT family_id, ',' ORDER BY family_id) AS family_ids, "
                 + ", ".join(f"CAST({_d.global_counts}({c}) AS BIGINT) AS {c}" for c in ("n_patients", "n_cancer", "n_noncancer")) + ", max(score) AS score, string_agg(DISTINCT integrated_class, ',' ORDER BY integrated_class) AS classes FROM families GROUP BY ALL")(
-        lambda v, d=_d: A.collapse_all(A.collapse_families(A.collapse_patients(A.with_flags(v, d)), d), d))
+        lambda spark, sf, d=_d: A.collapse_all(families_of(spark, sf, d), d))
 
 
-@on_variants("patient_collapse", f", {flags_sql(GENOME)}, {PATIENTS} SELECT * FROM patients")
-def _(v):
-    return A.collapse_patients(A.with_flags(v))
+@query("patient_collapse", f"{WITH_V}{chain_sql(GENOME)} SELECT * FROM patients")
+def _(spark, d):
+    return patients_of(spark, d, GENOME)
 
 
-@on_variants("patient_evidence", f", {flags_sql(MERGED)}, {PATIENTS}, e AS (SELECT *, CAST(has_germ = 1 AND coalesce(acmg_germ, 0) IN (4, 5) AS INT) AS predisposition, CAST(has_som = 1 AND pathway_hit = 1 AS INT) AS driver, CAST(has_germ = 1 AND has_som = 1 AND germ_pass + som_pass >= 2 AS INT) AS two_hit FROM patients) SELECT patient_id, chrom, pos, tx, predisposition, driver, two_hit, least(5, predisposition + 2 * driver + 2 * two_hit) AS evidence FROM e")
-def _(v):
-    p = A.collapse_patients(A.with_flags(v, MERGED))
-    both = (F.col("has_germ") == 1) & (F.col("has_som") == 1)
-    p = p.withColumns({"predisposition": ((F.col("has_germ") == 1) & F.coalesce(F.col("acmg_germ"), F.lit(0)).isin(*MERGED.acmg_predisposition)).cast("int"), "driver": ((F.col("has_som") == 1) & (F.col("pathway_hit") == 1)).cast("int"), "two_hit": (both & (F.col("germ_pass") + F.col("som_pass") >= 2)).cast("int")})
-    return p.select("patient_id", "chrom", "pos", "tx", "predisposition", "driver", "two_hit", F.least(F.lit(5), F.col("predisposition") + 2 * F.col("driver") + 2 * F.col("two_hit")).alias("evidence"))
+@query("patient_evidence", f"{WITH_V}{chain_sql(MERGED)} SELECT family_id, patient_id, chrom, pos, ref, alt, tx, predisposition, driver, two_hit, literature, evidence FROM patients")
+def _(spark, d):
+    return patients_of(spark, d, MERGED).select("family_id", "patient_id", *A.LOCUS, "predisposition", "driver", "two_hit", "literature", "evidence")
+
 
+for _name, _d in (("segregation_default", MERGED), ("segregation_compat", MERGED_COMPAT)):
+    query(_name, f"{WITH_V}{chain_sql(_d)} SELECT n_patients, n_cancer, n_noncancer, segregation, count(*) AS n FROM families GROUP BY ALL")(
+        lambda spark, sf, d=_d: families_of(spark, sf, d).groupBy("n_patients", "n_cancer", "n_noncancer", "segregation").agg(F.count("*").alias("n")))
 
-@on_variants("column_profile", " SELECT name, count(x) AS n, count(*) FILTER (WHERE x IS NULL) AS missing, count(DISTINCT x) AS n_distinct, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std, quantile_cont(x, 0.05) AS p05, median(x) AS median, quantile_cont(x, 0.95) AS p95, max(x) AS top FROM (SELECT 'dp' AS name, dp AS x FROM variants UNION ALL SELECT 'vaf', vaf FROM variants UNION ALL SELECT 'pop_af', pop_af FROM variants) GROUP BY 1")
+
+@query("family_evidence", f"{WITH_V}{chain_sql(EXOME)} SELECT family_id, chrom, pos, ref, alt, tx, strict, \"partial\", family_evidence FROM families")
+def _(spark, d):
+    return families_of(spark, d, EXOME).select("family_id", *A.LOCUS, "strict", "partial", "family_evidence")
+
+
+for _name, _d in (("integrated_sum", GENOME), ("integrated_points", MERGED)):
+    query(_name, f"{WITH_V}{chain_sql(_d)} SELECT family_id, chrom, pos, ref, alt, tx, score, integrated_class, evidence FROM families")(
+        lambda spark, sf, d=_d: families_of(spark, sf, d).select("family_id", *A.LOCUS, "score", "integrated_class", "evidence"))
+
+
+@on_variants("column_profile", " SELECT name, count(x) AS n, count(*) FILTER (WHERE x IS NULL) AS missing, count(DISTINCT x) AS n_distinct, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std, min(x) AS low, round(quantile_cont(x, 0.01), 9) AS p01, round(quantile_cont(x, 0.05), 9) AS p05, round(median(x), 9) AS median, round(quantile_cont(x, 0.95), 9) AS p95, round(quantile_cont(x, 0.99), 9) AS p99, max(x) AS top FROM (SELECT 'dp' AS name, dp AS x FROM variants UNION ALL SELECT 'vaf', vaf FROM variants UNION ALL SELECT 'pop_af', pop_af FROM variants) GROUP BY 1")
 def _(v):
     s = E.column_stats(v, ["dp", "vaf", "pop_af"])
-    return s.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
+    return s.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)} | {c: F.round(c, 9) for c in E.SHARES})
 
 
 @on_variants("median_impute", ", m AS (SELECT median(pop_af) AS m FROM variants) SELECT ord_key, ord_line, coalesce(pop_af, m) AS pop_af FROM variants, m")
@@ -330,7 +385,7 @@ def _(v):
 @on_variants("genomic_sort", f", t AS (SELECT DISTINCT {NORM} AS chrom, pos FROM variants), r AS (SELECT *, CASE WHEN chrom = 'X' THEN 23 WHEN chrom = 'Y' THEN 24 WHEN chrom = 'MT' THEN 25 ELSE CAST(chrom AS INT) END AS k FROM t) SELECT chrom, pos, row_number() OVER (PARTITION BY chrom ORDER BY pos) AS place, k AS chrom_rank FROM r")
 def _(v):
     t = v.select(S.normalize_chrom(F.col("chrom")).alias("chrom"), "pos").distinct().withColumn("chrom_rank", S.chrom_rank(F.col("chrom")))
-    return t.withColumn("place", F.row_number().over(Window.partitionBy("chrom").orderBy("pos"))).orderBy("chrom_rank", "chrom", "pos")
+    return O.places(t, ["chrom", "chrom_rank"], "pos").orderBy("chrom_rank", "chrom", "pos")
 
 
 @on_variants("topk_other", ", t AS (SELECT gene_name FROM variants GROUP BY 1 ORDER BY count(*) DESC, gene_name LIMIT 5) SELECT coalesce(t.gene_name, 'OTHER') AS value, count(*) AS n FROM variants v LEFT JOIN t ON v.gene_name = t.gene_name GROUP BY 1")
@@ -376,12 +431,11 @@ def _(v):
     return v.groupBy("patient_id").agg(F.max(S.unit_scale(F.col("dp"), 40.0)).alias("depth"))
 
 
-# ---- vectors (pairs stay inside blocks of one label) ----
+# ---- vectors: every row of the table against every row; the queries ..._by_label compare inside each label ----
 EMB = "WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT a.label AS block, a.vec_id AS i, b.vec_id AS j, list_cosine_similarity(a.v, b.v) AS sim FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id)"
 
 
 def _pairs(spark, d):
-    """Blocks of at most a few hundred vectors at any size: a label and a bucket of ids."""
     return V.pairs_in_blocks(table(spark, d, "embeddings"), "label", "vec_id", "embedding")
 
 
@@ -390,29 +444,28 @@ def _(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(F.sqrt(V.dot(F.col("embedding"), F.col("embedding"))), 6).alias("norm"))
 
 
-@query("cosine_topk", EMB + " SELECT block, i, j, rank FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(sim, 9) DESC, j) AS rank FROM p) WHERE rank <= 5")
+@query("cosine_topk_by_label", EMB + " SELECT block, i, j, rank FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(sim, 9) DESC, j) AS rank FROM p) WHERE rank <= 5")
 def _(spark, d):
     return V.top_k(_pairs(spark, d).withColumn("sim", F.round("sim", 9)), 5).select("block", "i", "j", "rank")
 
 
-@query("row_softmax", EMB + ", m AS (SELECT *, exp((sim - max(sim) OVER (PARTITION BY i)) / 0.3) AS e FROM p) SELECT i, round(max(e / s), 6) AS top FROM (SELECT *, sum(e) OVER (PARTITION BY i) AS s FROM m) GROUP BY 1")
+@query("row_softmax_by_label", EMB + ", m AS (SELECT *, exp((sim - max(sim) OVER (PARTITION BY i)) / 0.3) AS e FROM p) SELECT i, round(max(e / s), 6) AS top FROM (SELECT *, sum(e) OVER (PARTITION BY i) AS s FROM m) GROUP BY 1")
 def _(spark, d):
     return V.row_softmax(_pairs(spark, d), 0.3).groupBy("i").agg(F.round(F.max("p"), 6).alias("top"))
 
 
-@query("knn_affinity", EMB + """, d AS (SELECT block, i, j, round(sim, 9) AS sim, greatest(2 - 2 * round(sim, 9), 0) AS d2 FROM p), s AS (SELECT block, quantile_disc(d2, 0.5) AS s2 FROM d GROUP BY 1),
+@query("knn_affinity_by_label", EMB + """, d AS (SELECT block, i, j, round(sim, 9) AS sim, greatest(2 - 2 * round(sim, 9), 0) AS d2 FROM p), s AS (SELECT block, quantile_disc(d2, 0.5) AS s2 FROM d GROUP BY 1),
  k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS r FROM d) WHERE r <= 5), a AS (SELECT k.block, i, j, exp(-d2 / (2 * (s2 + 1e-8) + 1e-8)) AS a FROM k JOIN s ON k.block = s.block),
  b AS (SELECT * FROM a UNION ALL SELECT block, j, i, a FROM a) SELECT block, i, j, round(max(a), 6) AS a FROM b GROUP BY ALL""")
 def _(spark, d):
     return V.gaussian_affinity(_pairs(spark, d).withColumn("sim", F.round("sim", 9)), 5).withColumn("a", F.round("a", 6))
 
 
-@query("diffusion_two_steps")
+@query("diffusion_two_steps_by_label")
 def _(spark, d):
     return V.diffusion_step(V.gaussian_affinity(_pairs(spark, d).withColumn("sim", F.round("sim", 9)), 5)).withColumn("p", F.round("p", 6))
 
 
-# The same over the whole table: the queries above compare only rows of one label, as their SQL does
 EMB_ALL = "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.v, b.v), 9) AS sim FROM e a JOIN e b ON a.vec_id <> b.vec_id)"
 
 
@@ -426,18 +479,25 @@ def _(spark, d):
     return V.softmax_top(table(spark, d, "embeddings"), "vec_id", "embedding", 0.3).withColumn("top", F.round("top", 6))
 
 
-@query("knn_affinity_all", EMB_ALL + """, d AS (SELECT *, greatest(2 - 2 * sim, 0) AS d2 FROM p), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS r FROM d) WHERE r <= 5),
- a AS (SELECT i, j, exp(-d2 / (2 * ((SELECT quantile_disc(d2, 0.5) FROM d) + 1e-8) + 1e-8)) AS a FROM k), b AS (SELECT * FROM a UNION ALL SELECT j, i, a FROM a) SELECT i, j, round(max(a), 6) AS a FROM b GROUP BY ALL""")
+AFFINITY_SQL = """, d AS (SELECT *, greatest(2 - 2 * sim, 0) AS d2 FROM p), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS r FROM d) WHERE r <= 5),
+ a AS (SELECT i, j, exp(-d2 / (2 * ((SELECT quantile_disc(d2, 0.5) FROM d) + 1e-8) + 1e-8)) AS a FROM k), b AS (SELECT * FROM a UNION ALL SELECT j, i, a FROM a), c AS (SELECT i, j, max(a) AS a FROM b GROUP BY ALL)"""
+
+
+@query("knn_affinity_all", EMB_ALL + AFFINITY_SQL + " SELECT i, j, round(a, 6) AS a FROM c")
 def _(spark, d):
     return V.nearest_affinity(table(spark, d, "embeddings"), "vec_id", "embedding", 5).withColumn("a", F.round("a", 6))
 
 
-@query("diffusion_two_steps_all")
+@query("diffusion_two_steps_all", EMB_ALL + AFFINITY_SQL + ", w AS (SELECT i, j, a / (sum(a) OVER (PARTITION BY i) + 1e-8) AS p FROM c) SELECT x.i, y.j, round(sum(x.p * y.p), 6) AS p FROM w x JOIN w y ON x.j = y.i GROUP BY ALL")
 def _(spark, d):
     a = V.nearest_affinity(table(spark, d, "embeddings"), "vec_id", "embedding", 5)
     return V.diffusion_step(a.withColumn("block", F.lit(0))).select("i", "j", F.round("p", 6).alias("p"))
 
 
+for _name in ("cosine_topk", "row_softmax", "knn_affinity", "diffusion_two_steps"):
+    QUERIES[_name], SQL[_name] = QUERIES[f"{_name}_all"], SQL[f"{_name}_all"]
+
+
 @on_variants("wasserstein_1d", ", t AS (SELECT family_id, vaf AS x, count(*) FILTER (WHERE origin = 'germline') AS a, count(*) FILTER (WHERE origin = 'somatic') AS b FROM variants GROUP BY ALL), c AS (SELECT family_id, abs(sum(a) OVER w / sum(a) OVER f - sum(b) OVER w / sum(b) OVER f) * (lead(x) OVER w - x) AS g FROM t WINDOW w AS (PARTITION BY family_id ORDER BY x), f AS (PARTITION BY family_id)) SELECT family_id, round(sum(g), 6) AS w1 FROM c GROUP BY 1")
 def _(v):
     return V.wasserstein_1d(v, ["family_id"], F.when(F.col("origin") == "germline", 0).otherwise(1), F.col("vaf")).withColumn("w1", F.round("w1", 6))

@@ -6,8 +6,16 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.scalars import allele, info_field, normalize_chrom, number
+from ..functions.encoders import pick, unified_depth
+from ..functions.scalars import acmg_class, allele, info_field, matches, max_ignoring_null, na_if, normalize_chrom, number
+from ..plans.dialect import PATHWAY, REPAIR
 
+# Columns of population frequencies, classifications and pathway texts.
+POP_AF = ("gnomAD_AF", "GnomAD_Genome_AF", "Kaviar_AF", "EVS_MAF", "AF", "MAX_AF", "EXOME_MAX_AF")
+ACMG = ("Prediction_ACMG_tapes", "EXOME_Prediction_ACMG_tapes", "Prediction_ACMG", "EXOME_Prediction_ACMG", "Classification_ACMG", "EXOME_Classification_ACMG")
+CLNSIG = ("clinvar_CLNSIG", "ClinVar_CLNSIG", "CLIN_SIG")
+GENES = ("Gene_Name", "HGNC_Name", "SYMBOL", "Gene")
+PATHWAY_TEXTS = ("KEGG_Pathway", "GO_biological_process", "Function_description", "Disease_description", "DisGeNET_disease")
 ANN_FALLBACK = ("Allele", "Consequence", "IMPACT", "SYMBOL", "Gene", "Feature_type", "Feature", "BIOTYPE")
 
 
@@ -61,3 +69,44 @@ def manifest(spark: SparkSession, text: str) -> DataFrame:
             rows += [(family, patient, "germline", 0, role, path) for role, path in (files.get("germline_files") or {}).items()]
             rows += [(family, patient, "somatic", i, role, path) for i, run in enumerate(files.get("somatic_runs") or []) for role, path in run.items()]
     return spark.createDataFrame(rows, "family string, patient string, kind string, run int, role string, path string")
+
+
+def typed(spark: SparkSession, path: str) -> DataFrame:
+    """A row per record and ALT of a file with exactly one sample (else ValueError): CHROM, POS, REF, ALT, QUAL (double), FILTER
+    (missing: PASS), GT, allele_1, allele_2, DP, VAF (that ALT's share of REF and it in AD; null where both are 0) and AF (of that ALT in INFO)."""
+    columns = header(spark, path)["columns"]
+    if len(columns) != 10:
+        raise ValueError(f"{path} has {max(0, len(columns) - 9)} samples, not one")
+    names, values = F.split("FORMAT", ":"), F.split(F.col(f"`{columns[9]}`"), ":")
+    of = lambda k: F.try_element_at(values, F.nullif(F.array_position(names, k), F.lit(0)).cast("int"))
+    df = records(spark, path).withColumns({"__gt": of("GT"), "__dp": of("DP"), "__ad": F.split(of("AD"), ","), "__af": F.split(info_field(F.col("INFO"), "AF"), ",")})
+    df = df.select("*", F.posexplode(F.split("alt_raw", ",")).alias("__k", "__alt"))
+    part = lambda c, i: number(F.try_element_at(c, i))
+    ref, alt = part("__ad", F.lit(1)), part("__ad", F.col("__k") + 2)
+    missing = F.col("FILTER").isNull() | F.col("FILTER").isin("", ".")
+    return df.select(
+        "CHROM", "POS", "REF", F.col("__alt").alias("ALT"), number(F.col("QUAL")).alias("QUAL"), F.when(missing, "PASS").otherwise(F.col("FILTER")).alias("FILTER"), F.col("__gt").alias("GT"),
+        *(allele(F.col("__gt"), i, F.col("REF"), F.col("alt_raw")).alias(f"allele_{i}") for i in (1, 2)), number(F.col("__dp")).cast("long").alias("DP"), F.try_divide(alt, ref + alt).alias("VAF"), part("__af", F.col("__k") + 1).alias("AF"))
+
+
+def flatten_all(spark: SparkSession, files: list[str]) -> DataFrame:
+    """flatten() of each file, which may name its ANN fields differently; columns that a file lacks are null."""
+    out = None
+    for path in files:
+        one = flatten(spark, path).withColumn("file", F.lit(path))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
+
+
+def base_table(df: DataFrame, prefix: str = "") -> DataFrame:
+    """Raw columns in their settled form: CHROM normalised, missing tokens null, TX or NO_TX, gene and clnsig (the first column that
+    has a value), dp_uni and vaf_uni, acmg, max_pop_af, pathway flags."""
+    texts = [f.name for f in df.schema if f.dataType.simpleString() == "string" and f.name not in ("CHROM", "REF", "ALT")]
+    out = df.withColumns({c: na_if(F.col(f"`{c}`")) for c in texts} | {"CHROM": normalize_chrom(F.col("CHROM"))})
+    out = unified_depth(out, prefix)
+    freqs = [number(F.col(f"`{c}`")) for c in POP_AF if c in out.columns]
+    marks = [F.col(f"`{c}`") for c in PATHWAY_TEXTS if c in out.columns]
+    acmg = pick(out, ACMG)
+    first = lambda names: F.coalesce(*(F.col(f"`{c}`") for c in names if c in out.columns), F.lit(None).cast("string"))
+    made = {"gene": first(GENES), "clnsig": first(CLNSIG), "TX": F.coalesce(first(("TX",)), F.lit("NO_TX")), "acmg": acmg_class(F.col(acmg)) if acmg else F.lit(None).cast("int"), "max_pop_af": max_ignoring_null(*freqs) if freqs else F.lit(None).cast("double")}
+    return out.withColumns(made | {"pathway_hit": (matches(PATHWAY, *marks) if marks else F.lit(False)).cast("int"), "dna_repair": (matches(REPAIR, *marks) if marks else F.lit(False)).cast("int")})

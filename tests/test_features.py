@@ -50,9 +50,11 @@ def test_texts(spark):
 
 
 def test_points_and_metrics(spark):
-    cols = "n_cancer int, n_noncancer int, n_both int, strict int, partial int, row_pass int, germ_pass int, germ_tier int, segregation int, count_ge_2 int, pathway_hit int, dna_repair int, both_origins int"
-    got = A.score_points(spark.createDataFrame([(2, 0, 1, 1, 0, 1, 1, 1, 4, 1, 1, 1, 1), (1, 1, 0, 0, 1, 1, 0, 2, 2, 1, 0, 0, 0), (0, 1, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0)], cols)).collect()
-    assert sorted((r.family_points, r.points, r.points_class) for r in got) == [(0, 0, "LOW"), (2, 3, "LOW"), (4, 12, "TOP")]
+    cols = "n_cancer int, n_noncancer int, n_both int, strict int, partial int, row_pass int, germ_pass int, germ_tier int, segregation int, count_ge_2 int, pathway_hit int, dna_repair int, origin_profile string"
+    rows = [(2, 0, 1, 1, 0, 1, 1, 1, 4, 1, 1, 1, "both"), (1, 1, 0, 0, 1, 1, 0, 2, 2, 1, 0, 0, "germline-only"), (0, 1, 0, 0, 0, 0, 0, 0, 0, 1, 0, 0, "somatic-only")]
+    got = A.score_points(spark.createDataFrame(rows, cols)).collect()
+    assert sorted((r.family_evidence, r.score, r.integrated_class, r.evidence) for r in got) == [
+        (0, 1, "LOW", "COUNT_GE_2"), (2, 3, "LOW", "GERM_TIER+1|TWO_HIT_EVIDENCE|SEG+1"), (4, 12, "TOP", "GERM_PASS|GERM_TIER+2|TWO_HIT_STRICT|SEG+3|FAM_EVD+2|PATHWAY_HIT|ORIGIN_MOD+1")]
     m = E.classification_metrics(spark.createDataFrame([(0, 0), (0, 1), (1, 1), (2, 0), (None, 1)], "l int, p int"), "l", "p").first()
     assert m.accuracy == 0.5 and abs(m.macro_f1 - (0.5 + 2 / 3 + 0) / 3) < 1e-9 and abs(m.weighted_f1 - (0.5 * 2 + 2 / 3) / 4) < 1e-9
 
