@@ -9,11 +9,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import BASES, Scratch, Windows, components, mix, slices, table, word_hashes
 
-GROUPS, LEAF, BLOCK = 256, 16, 2000
+GROUPS, LEAF, BLOCK = 64, 16, 1000
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -94,9 +94,12 @@ def _scan(k: int, num: int, den: int):
 
 
 def point(s: np.ndarray) -> bytes:
-    """Counts of a set's hashes by group, as unsigned 16-bit numbers; where one is too great, all are, which bounds nothing wrongly."""
-    counts = np.bincount((s >> np.uint64(64 - GROUPS.bit_length() + 1)).astype(np.int64), minlength=GROUPS)
-    return (counts if counts.max() < 65536 else np.full(GROUPS, 65535)).astype("<u2").tobytes()
+    """Counts of a set's hashes by group, as unsigned 32-bit numbers."""
+    return np.bincount((s >> np.uint64(64 - GROUPS.bit_length() + 1)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes()
+
+
+def points_of(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, GROUPS)
 
 
 def _points(k: int):
@@ -114,53 +117,52 @@ def needed(sizes, num: int, den: int):
     return -(-num * sizes // (num + den))
 
 
-class RTree:
-    """Points packed by size and counts into boxes of LEAF, and boxes of boxes; a node keeps its greatest counts and least size."""
+class RTrees:
+    """A tree for each bucket, side by side in arrays. Points are packed by size and counts into boxes of LEAF, and boxes into
+    boxes, up to one root a bucket; a node keeps its greatest counts and its least size. first[d][i] is node i's first child."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, bucket: np.ndarray):
         half = points[:, : GROUPS // 2].sum(1, dtype=np.int64)
-        self.order = np.lexsort([half, sizes // max(1, int(sizes.max()) // 50)])
-        hi, low = points[self.order], sizes[self.order]
-        self.levels = [(hi, low)]
-        while len(low) > 1:
-            cut = np.arange(0, len(low), LEAF)
-            hi, low = np.maximum.reduceat(hi, cut), np.minimum.reduceat(low, cut)
+        self.order = np.lexsort([half, sizes // max(1, int(sizes.max()) // 50), bucket])
+        hi, low, owner = points[self.order], sizes[self.order], bucket[self.order]
+        self.levels, self.first = [(hi, low)], []
+        while True:
+            starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            if len(starts) == len(owner):
+                break
+            place = np.arange(len(owner)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(owner)]])))
+            cut = np.flatnonzero(place % LEAF == 0)
+            hi, low, owner = np.maximum.reduceat(hi, cut), np.minimum.reduceat(low, cut), owner[cut]
+            self.first.append(np.concatenate([cut, [len(self.levels[-1][1])]]))
             self.levels.append((hi, low))
 
-    def pairs(self, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-        """All i, j of points (i before j in the tree) whose summed minima reach the overlap that their sizes need."""
-        a = b = np.zeros(1, np.int64)
-        for depth in range(len(self.levels) - 1, -1, -1):
+    def pairs(self, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(i, j, bound): all pairs of a bucket's points whose summed minima, the bound, reach the overlap that their sizes need."""
+        a = b = np.arange(len(self.levels[-1][1]))
+        bound = np.zeros(0, np.int64)
+        for depth in range(len(self.levels) - 2, -1, -1):
             hi, low = self.levels[depth]
-            if depth < len(self.levels) - 1:
-                child = np.arange(LEAF)
-                a, b = (np.broadcast_arrays(a[:, None, None] * LEAF + child[:, None], b[:, None, None] * LEAF + child[None, :]))
-                a, b = a.reshape(-1), b.reshape(-1)
-                ok = (a < len(low)) & (b < len(low)) & ((a <= b) if depth else (a < b))
-                a, b = a[ok], b[ok]
-            keep = np.zeros(len(a), bool)
-            for at in range(0, len(a), 1 << 14):
-                i, j = a[at : at + (1 << 14)], b[at : at + (1 << 14)]
-                keep[at : at + (1 << 14)] = np.minimum(hi[i], hi[j]).sum(1, dtype=np.int64) >= needed(low[i] + low[j], num, den)
-            a, b = a[keep], b[keep]
+            first = self.first[depth]
+            na, nb = first[a + 1] - first[a], first[b + 1] - first[b]
+            total = na * nb
+            at = np.repeat(np.arange(len(a)), total)
+            within = np.arange(len(at)) - np.repeat(np.cumsum(total) - total, total)
+            a, b = first[a[at]] + within // nb[at], first[b[at]] + within % nb[at]
+            ok = (a <= b) if depth else (a < b)
+            a, b = a[ok], b[ok]
+            bound = np.zeros(len(a), np.int64)
+            for k in range(0, len(a), 1 << 14):
+                i, j = a[k : k + (1 << 14)], b[k : k + (1 << 14)]
+                bound[k : k + (1 << 14)] = np.minimum(hi[i], hi[j]).sum(1, dtype=np.int64)
+            keep = bound >= needed(low[a] + low[b], num, den)
+            a, b, bound = a[keep], b[keep], bound[keep]
         if len(self.levels) == 1:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return self.order[a], self.order[b]
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), bound
+        return self.order[a], self.order[b], bound
 
 
-def _cross(num: int, den: int):
-    """Pairs of different components from each run of equal (sig, x, y) whose count vectors allow a link."""
-    names = ["sig", "x", "y"]
-
-    def group(t: pa.Table):
-        ids, comp, side = (t.column(c).to_numpy() for c in ("id", "comp", "side"))
-        if t.num_rows < 2 or comp.min() == comp.max():
-            return None
-        points = np.frombuffer(b"".join(t.column("point").to_pylist()), "<u2").reshape(-1, GROUPS)
-        i, j = RTree(points, t.column("n").to_numpy()).pairs(num, den)
-        ok = (comp[i] != comp[j]) & ((side[i] != side[j]) | (side[i] == 2))
-        i, j = ids[i[ok]], ids[j[ok]]
-        return (np.minimum(i, j), np.maximum(i, j)) if len(i) else None
+def _from_trees(keys: list[str], pick, pairs: int = 1 << 20):
+    """Runs of rows with equal keys become trees, as many at once as can have about ``pairs`` pairs; pick makes a batch of what they leave."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -168,21 +170,60 @@ def _cross(num: int, den: int):
             now = rest if batch is None else pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
             if now is None or not now.num_rows:
                 continue
-            k = np.stack([now.column(c).to_numpy().astype(np.int64) for c in names], 1)
-            cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1).tolist(), *([now.num_rows] if batch is None else [])]
-            done = [g for a, b in itertools.pairwise(cuts) if (g := group(now.slice(a, b - a))) is not None]
-            rest = now.slice(cuts[-1])
-            if done:
-                both = np.unique(np.stack([np.concatenate(c) for c in zip(*done, strict=True)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+            k = np.stack([now.column(c).to_numpy().astype(np.int64) for c in keys], 1)
+            new = np.concatenate([[True], (k[1:] != k[:-1]).any(1)])
+            cuts = np.concatenate([np.flatnonzero(new), [now.num_rows] * (batch is None)]).astype(np.int64)
+            bucket = np.cumsum(new)
+            cost = np.cumsum(np.diff(cuts) ** 2)
+            at = 0
+            while at < len(cuts) - 1:
+                to = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + pairs, "right")))
+                lo, hi = int(cuts[at]), int(cuts[to])
+                if hi - lo > 1 and (found := pick(now.slice(lo, hi - lo), bucket[lo:hi])) is not None:
+                    yield found
+                at = to
+            rest = now.slice(int(cuts[-1]))
 
     return run
 
 
+def _likeliest(num: int, den: int):
+    """For each class of a bucket, of the classes with smaller ids that the tree leaves, the one with the greatest possible similarity."""
+
+    def pick(t: pa.Table, bucket: np.ndarray) -> pa.RecordBatch | None:
+        ids, sizes = t.column("id").to_numpy(), t.column("n").to_numpy()
+        i, j, bound = RTrees(points_of(t.column("point")), sizes, bucket).pairs(num, den)
+        if not len(i):
+            return None
+        most = bound / (sizes[i] + sizes[j] - bound)
+        a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+        order = np.lexsort([a, -most, b])
+        order = order[np.concatenate([[True], np.diff(b[order]) != 0])]
+        return pa.RecordBatch.from_arrays([pa.array(a[order]), pa.array(b[order]), pa.array(most[order])], ["a", "b", "most"])
+
+    return _from_trees(["sig", "x"], pick)
+
+
+def _cross(num: int, den: int):
+    """All pairs of different components that the trees leave. side 0/1: only across, 2: all."""
+
+    def pick(t: pa.Table, bucket: np.ndarray) -> pa.RecordBatch | None:
+        ids, comp, side = (t.column(c).to_numpy() for c in ("id", "comp", "side"))
+        i, j, _ = RTrees(points_of(t.column("point")), t.column("n").to_numpy(), bucket).pairs(num, den)
+        ok = (comp[i] != comp[j]) & ((side[i] != side[j]) | (side[i] == 2))
+        if not ok.any():
+            return None
+        a, b = ids[i[ok]], ids[j[ok]]
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+    return _from_trees(["sig", "x", "y"], pick)
+
+
 def _bound(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, GROUPS) for c in ("pa", "pb"))
+            p, q = points_of(batch.column("pa")), points_of(batch.column("pb"))
             total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
             ok = np.minimum(p, q).sum(1, dtype=np.int64) >= needed(total, num, den)
             yield batch.select(["a", "b", "na"]).filter(pa.array(ok))
@@ -229,75 +270,115 @@ def _linked(pairs: DataFrame, points: DataFrame, scratch: Scratch, num: int, den
     return out
 
 
+def _classes(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, n, id) per row: the smallest doc_id with an equal set; null for empty sets and null doc_ids."""
+    able = rows.where("n > 0 and doc_id is not null")
+    least = scratch.write(able.groupBy("c1", "c2").agg(F.min("doc_id").alias("id")), "classes")
+    named = able.join(least, ["c1", "c2"]).select("doc_id", "n", "id")
+    rest = rows.where("n = 0 or doc_id is null").select("doc_id", "n", F.lit(None).cast("long").alias("id"))
+    return scratch.write(named.unionByName(rest), "rows")
+
+
+def _buckets(sigs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(sig, id, low, m) of classes that share a part's content, with the bucket's smallest id and size. Of buckets with the same members one stays."""
+    often = sigs.groupBy("sig").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("sig")
+    often = scratch.write(often, "often")
+    ids = scratch.write(rows.where("id is not null").select("doc_id", "id").distinct(), "ids")
+    hits = scratch.write(sigs.join(often, "sig").join(ids, "doc_id").select("sig", "id").distinct(), "hits")
+    scratch.drop(often, ids)
+    members = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"k{k}") for k in (1, 2)]
+    kept = hits.groupBy("sig").agg(F.min("id").alias("low"), F.count("*").alias("m"), *members).where("m > 1")
+    kept = scratch.write(kept.groupBy("low", "m", "k1", "k2").agg(F.min("sig").alias("sig")).select("sig", "low", "m"), "kept")
+    buckets = scratch.write(hits.join(kept, "sig").select("sig", "id", "low", "m"), "buckets")
+    scratch.drop(hits, kept)
+    return buckets
+
+
 def jaccard_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row: texts link when den * |A & B| >= num * |A | B| of their sets of shingles.
 
-    Equal sets are one class. Classes that share the content of a part (SizeClasses) are candidates. Each class is
-    first held against one small member of its buckets, then components that still meet against one another; what is in
-    one component needs no more comparing, and an R-tree of count vectors finds all pairs across components that may yet
-    link. Survivors are verified by their whole sets. A bucket of over ``block`` classes is dealt out as pairs of blocks. Components are exact; pairs inside a component that add nothing are not listed.
+    Equal sets are one class. Classes that share the content of a part (SizeClasses) are dealt to a bucket, whose classes'
+    count vectors are the points of an R-tree. Of the pairs that the trees leave, each class's likeliest one with a smaller
+    class is verified by whole sets; then, for components that still meet in a bucket, one pair of members; then all pairs
+    that the trees leave between different components. Components are exact; a pair inside a component needs no verifying.
+
+    A bucket of over ``block`` classes is dealt to trees of about ``block`` points, each with the bucket's smallest class;
+    in the last step blocks meet in pairs, but none of the same component.
 
     Null and empty texts have no shingles and link with nothing. Null doc_ids link with nothing; their component is null.
-    Rows that repeat a doc_id are one node, and each gets a row. Other columns are ignored; an empty table gives no rows.
+    Rows that repeat a doc_id are one node, and each gets a row. Very long texts are read whole, one at a time. Other
+    columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     scan = scratch.write(docs.mapInArrow(_scan(words, num, den), _SCAN), "scan")
-    rows, sigs = scan.where("n is not null").drop("sig"), scan.where("sig is not null").select("sig", "doc_id")
-    classes = rows.where("n > 0 and doc_id is not null").groupBy("c1", "c2").agg(F.min("doc_id").alias("id"))
-    rows = scratch.write(rows.join(classes, ["c1", "c2"], "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("id")).alias("id")), "rows")
-
-    def shared(who: DataFrame, node: str) -> DataFrame:
-        return who.groupBy("sig").agg(F.min(node).alias("low"), F.max(node).alias("high")).where("low < high").select("sig", "low")
-
-    often = scratch.write(shared(sigs, "doc_id").select("sig"), "often")
-    hits = sigs.join(often, "sig").join(rows.where("id is not null").select("doc_id", "id").distinct(), "doc_id").select("sig", "id").distinct()
-    hits = scratch.write(hits, "hits")
+    rows = _classes(scan.where("n is not null").drop("sig"), scratch)
+    buckets = _buckets(scan.where("sig is not null").select("sig", "doc_id"), rows, scratch)
     scratch.drop(scan)
-    buckets = scratch.write(hits.join(shared(hits, "id"), "sig"), "buckets")
-    scratch.drop(hits)
-    wanted = buckets.select(F.col("id").alias("doc_id")).distinct()
+    wanted = scratch.write(buckets.select(F.col("id").alias("doc_id")).distinct(), "wanted")
     points = scratch.write(docs.join(wanted, "doc_id").mapInArrow(_points(words), "id long, n long, point binary, elements binary"), "points")
 
-    # one pair for each class: with the smallest member that most of its buckets have
-    star = buckets.where("id <> low").groupBy("id", "low").agg(F.count("*").alias("m"))
-    tried = scratch.write(star.groupBy("id").agg(F.max_by("low", F.struct("m", -F.col("low"))).alias("a")).select("a", F.col("id").alias("b")), "stars")
-    links = _linked(tried, points, scratch, num, den)
-    found = components(links, scratch)
+    # for each class, the likeliest pair that the trees of its buckets leave
+    nb = F.ceil(F.col("m") / block).cast("int")
+    dealt = buckets.select("sig", F.pmod(F.xxhash64("id"), nb).cast("int").alias("x"), "id")
+    lows = buckets.where((F.col("id") == F.col("low")) & (nb > 1)).select("sig", "id", nb.alias("nb"), F.explode(F.sequence(F.lit(0), nb - 1)).alias("x"))
+    lows = lows.where(F.pmod(F.xxhash64("id"), F.col("nb")) != F.col("x")).select("sig", "x", "id")
+    dealt = dealt.unionByName(lows).join(points.select("id", "n", "point"), "id")
+    dealt = dealt.select("sig", "x", "id", "n", "point").repartition("sig", "x").sortWithinPartitions("sig", "x")
+    tried = dealt.mapInArrow(_likeliest(num, den), "a long, b long, most double").groupBy("b").agg(F.max_by("a", F.struct("most", -F.col("a"))).alias("a"))
+    tried = scratch.write(tried.select("a", "b"), "likeliest")
+    found = components(_linked(tried, points, scratch, num, den), scratch)
 
     def mixed(found: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Buckets' rows with their components, and the buckets that have more than one."""
         now = buckets.select("sig", "id").join(found, F.col("id") == F.col("node"), "left").select("sig", "id", F.coalesce("component", "id").alias("comp"))
-        return now, now.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi")
+        several = now.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig", "lo")
+        several = scratch.write(several, "several")
+        return scratch.write(now.join(several, "sig"), "mixed"), several
+
+    def joined(found: DataFrame, links: DataFrame) -> DataFrame:
+        if links.isEmpty():
+            return found
+        return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links), scratch)
 
     # one pair for each two components that meet: of their smallest members, those that meet most often
-    now, several = mixed(found)
-    heads = now.join(several.select("sig", "lo"), "sig").groupBy("sig", "lo", "comp").agg(F.min("id").alias("head"))
+    now, _ = mixed(found)
+    heads = scratch.write(now.groupBy("sig", "lo", "comp").agg(F.min("id").alias("head")), "heads")
     base = heads.where("comp = lo").select("sig", F.col("head").alias("a"))
     met = heads.where("comp <> lo").join(base, "sig").groupBy("lo", "comp", "a", F.col("head").alias("b")).agg(F.count("*").alias("m"))
     met = met.groupBy("lo", "comp").agg(F.max_by(F.struct("a", "b"), F.struct("m", -F.col("a"), -F.col("b"))).alias("p"))
     ends = [F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")]
     met = scratch.write(met.select(*ends).distinct().join(tried, ["a", "b"], "left_anti"), "meetings")
-    more = _linked(met, points, scratch, num, den)
-    if not more.isEmpty():
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), scratch)
-
-    # all that the trees' bounds leave of the pairs across components
-    now, several = mixed(found)
-    several = several.select("sig", F.ceil(F.col("m") / block).cast("int").alias("nb"))
-    dealt = now.join(several, "sig").join(points.select("id", "n", "point"), "id")
-    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    found = joined(found, _linked(met, points, scratch, num, den))
+
+    # all that the trees leave of the pairs across components; a component of over ``block`` of a bucket's rows has its own blocks
+    now, _ = mixed(found)
+    counts = now.groupBy("sig", "comp").agg(F.count("*").alias("c"))
+    counts = scratch.write(counts, "counts")
+    blocks = F.ceil(F.col("c") / block).cast("int")
+    small = counts.where(F.col("c") < block).groupBy("sig").agg(F.ceil(F.sum("c") / block).cast("int").alias("ns"))
+    whole = counts.groupBy("sig").agg(F.sum(F.when(F.col("c") >= block, blocks).otherwise(0)).cast("int").alias("nw"))
+    size = scratch.write(whole.join(small, "sig", "left").select("sig", F.coalesce("ns", F.lit(0)).alias("ns"), "nw"), "sizes")
+    before = F.sum(blocks).over(Window.partitionBy("sig").orderBy("comp").rowsBetween(Window.unboundedPreceding, -1))
+    own = counts.where(F.col("c") >= block).select("sig", "comp", blocks.alias("n_own"), F.coalesce(before, F.lit(0)).cast("int").alias("at"))
+    own = scratch.write(own, "own")
+    dealt = now.select("sig", "id", "comp").join(size, "sig").join(own, ["sig", "comp"], "left")
+    at = F.col("ns") + F.col("at")
+    mine = F.when(F.col("n_own").isNull(), F.pmod(F.xxhash64("id"), F.col("ns"))).otherwise(at + F.pmod(F.xxhash64("id"), F.col("n_own"))).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("ns") + F.col("nw") - 1), lambda k: F.col("n_own").isNull() | (k < at) | (k >= at + F.col("n_own")))
+    dealt = dealt.withColumns({"mine": mine, "other": F.explode(others)})
     dealt = dealt.withColumns({"x": F.least("mine", "other"), "y": F.greatest("mine", "other")})
     dealt = dealt.withColumn("side", F.when(F.col("x") == F.col("y"), 2).otherwise((F.col("mine") == F.col("y")).cast("int")))
-    dealt = dealt.select("sig", "x", "y", "side", "id", "comp", "n", "point").repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y")
+    dealt = dealt.select("sig", "x", "y", "side", "id", "comp").join(points.select("id", "n", "point"), "id")
+    dealt = dealt.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y")
     rest = dealt.mapInArrow(_cross(num, den), "a long, b long").distinct()
     rest = scratch.write(rest.join(tried.unionByName(met), ["a", "b"], "left_anti"), "rest")
-    last = _linked(rest, points, scratch, num, den)
-    if not last.isEmpty():
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(last), scratch)
-    named = rows.join(found, F.col("id") == F.col("node"), "left")
-    return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id", "doc_id").alias("component_id"))
+    found = joined(found, _linked(rest, points, scratch, num, den))
+    scratch.drop(buckets, points)
+    known = rows.where("id is not null").join(found, F.col("id") == F.col("node"), "left").select("doc_id", "n", F.coalesce("component", "id").alias("component_id"))
+    alone = rows.where("id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return known.unionByName(alone).withColumnRenamed("n", "n_shingles")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
