@@ -16,6 +16,7 @@ from .common import BASES, mix, shared_dir, slices, small_batches, table
 
 BLANK = "▁"
 NORMAL, BYTE = 1, 6
+UNIGRAM = 1  # a model's type in its training notes; others have scores that are no log probabilities
 _CHUNK = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
@@ -45,20 +46,35 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         at += n
 
 
+def zipf(scores: np.ndarray) -> np.ndarray:
+    """Log probabilities by Zipf's law (rank r: 1/r) of pieces ranked by falling score; float32, as model files hold them."""
+    p = np.empty(len(scores))
+    p[np.argsort(-scores, kind="stable")] = 1 / np.arange(1, len(scores) + 1)
+    return np.log(p / p.sum()).astype(np.float32)
+
+
 def _mixed(units: np.ndarray, lengths) -> np.ndarray:
     return mix(units + np.asarray(lengths, np.uint64) * np.uint64(BASES[1]))
 
 
 class Pieces:
-    """A vocabulary: pieces with scores in a table sorted by hash, and what each id decodes to."""
+    """A vocabulary: pieces with scores in a table sorted by hash, and what each id decodes to.
+
+    A unigram model's scores are taken as they are. A model trained by merges has ranks for scores, whose sums mean nothing;
+    its pieces get log probabilities from their ranks (zipf), so it is read as a unigram model of the same pieces.
+    """
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
-            entries = [dict(_fields(v)) for k, v in _fields(f.read()) if k == 1]
+            fields = list(_fields(f.read()))
+        entries = [dict(_fields(v)) for k, v in fields if k == 1]
+        kind = next((dict(_fields(v)).get(3, UNIGRAM) for k, v in fields if k == 2), UNIGRAM)
         self.names = [e.get(1, b"").decode() for e in entries]
         kinds = np.array([e.get(3, NORMAL) for e in entries])
         scores = np.array([struct.unpack("<f", e[2])[0] if 2 in e else 0.0 for e in entries])
         normal = np.flatnonzero(kinds == NORMAL)
+        if kind != UNIGRAM:
+            scores[normal] = zipf(scores[normal])
         if any(BLANK in self.names[i].lstrip(BLANK) for i in normal):
             raise ValueError("pieces that go on after a blank are not supported")
         self.longest = max(len(self.names[i]) for i in normal)
@@ -189,9 +205,10 @@ def encoder(path: str) -> Encoder:
 def encode_pieces(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids): each text's piece ids, as a binary of little-endian unsigned 32-bit numbers.
 
-    The segmentation with the greatest sum of the vocabulary's scores, blanks as marks and one more before the text, as the
-    unigram model defines it (also for a vocabulary that was trained by merges). Null and empty texts have no ids. Null and
-    repeated doc_ids stay; other columns are ignored; an empty table gives no rows.
+    The segmentation with the greatest sum of the pieces' log probabilities, blanks as marks and one more before the text, as
+    the unigram model defines it. A vocabulary trained by merges is read as a unigram one (Pieces), so the ids are not those
+    of its merges. Null and empty texts have no ids. Null and repeated doc_ids stay; very long texts are read whole; other
+    columns are ignored; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
 
@@ -205,7 +222,7 @@ def encode_pieces(docs: DataFrame, path: str) -> DataFrame:
 
 
 def decode_pieces(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids, text) of (doc_id, ids). The mark itself, where a text had it, comes back as a blank."""
+    """(doc_id, ids, text) of (doc_id, ids). Null ids give "". The mark itself, where a text had it, comes back as a blank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
