@@ -91,7 +91,7 @@ def format_chat(conversations: DataFrame) -> DataFrame:
     stay; repeated rows are turns of their own; other columns are ignored; an empty table gives an empty result.
     """
     small_batches(conversations.sparkSession)
-    return conversations.select("conv_id", "turn", "role", "text").mapInArrow(_format, "conv_id long, turn long, role string, text string, formatted string")
+    return conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")).mapInArrow(_format, "conv_id long, turn long, role string, text string, formatted string")
 
 
 _READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"

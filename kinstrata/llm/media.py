@@ -82,24 +82,32 @@ def decode(data: bytes) -> np.ndarray:
     return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
 
 
-def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean over each cell of a height x width grid, with fractions of pixels at its borders, from one integral image."""
-    grey = pixels.astype(np.float64)
-    grey = grey @ np.array([0.299, 0.587, 0.114]) if grey.ndim == 3 else grey
-    h, w = grey.shape
+def area_resize(pixels: np.ndarray, height: int, width: int, band: int = 1 << 20) -> np.ndarray:
+    """Mean over each cell of a height x width grid, with fractions of pixels at its borders, from integral images.
+
+    The image is read in bands of about ``band`` samples; a band's integral image starts with the last line of the one before.
+    """
+    h, w = pixels.shape[:2]
     if not h or not w:
         return np.zeros((height, width))
-    whole = np.zeros((h + 1, w + 1))
-    whole[1:, 1:] = grey.cumsum(0).cumsum(1)
-
-    def at(edges: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        low = np.minimum(edges.astype(np.int64), size - 1)
-        return low, low + 1, edges - low
-
-    y0, y1, fy = at(np.linspace(0, h, height + 1), h)
-    x0, x1, fx = at(np.linspace(0, w, width + 1), w)
-    rows = whole[y0] * (1 - fy)[:, None] + whole[y1] * fy[:, None]
-    grid = rows[:, x0] * (1 - fx) + rows[:, x1] * fx
+    x = np.linspace(0, w, width + 1)
+    x0 = np.minimum(x.astype(np.int64), w - 1)
+    y = np.linspace(0, h, height + 1)
+    y0 = np.minimum(y.astype(np.int64), h - 1)
+    low, high = np.zeros((height + 1, w + 1)), np.zeros((height + 1, w + 1))  # the integral image's lines y0 and y0 + 1
+    rows, last = max(1, band // w), np.zeros(w + 1)
+    for at in range(0, h, rows):
+        part = pixels[at : at + rows].astype(np.float64)
+        part = part @ np.array([0.299, 0.587, 0.114]) if part.ndim == 3 else part
+        lines = np.zeros((len(part) + 1, w + 1))
+        lines[1:, 1:] = part.cumsum(0).cumsum(1)
+        lines += last
+        for into, line in ((low, y0), (high, y0 + 1)):
+            mine = (line >= at) & (line <= at + len(part))
+            into[mine] = lines[line[mine] - at]
+        last = lines[-1].copy()
+    edges = low + (high - low) * (y - y0)[:, None]
+    grid = edges[:, x0] * (1 - (x - x0)) + edges[:, x0 + 1] * (x - x0)
     return np.diff(np.diff(grid, axis=0), axis=1) / (h / height * w / width)
 
 
@@ -147,7 +155,8 @@ def media_tiles(media: DataFrame, key: str = "path", content: str = "content", t
 def text_media(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): each text's UTF-8 bytes, padded with bytes 0 to a positive multiple of 64, as an 8-bit P5 image 64 samples wide.
 
-    Null texts are empty (64 padding bytes). Null and repeated doc_ids stay; other columns are ignored.
+    Null texts are empty (64 padding bytes). Null and repeated doc_ids stay; a very long text is one image; other columns are
+    ignored; an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
 
@@ -165,7 +174,7 @@ _FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 strin
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Decode each stored image, cut it to NPY tiles, and take payload and features from the tiles as read back."""
+    """Decode each stored image, cut it to NPY tiles, and take payload and features from the tiles as read back. Rows stay as they are, nulls and repeats too."""
 
     def run(batches):
         for batch in batches:
@@ -185,3 +194,17 @@ def media_features(media: DataFrame) -> DataFrame:
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared_dir(spark)
     return media_features(text_media(table(spark, sf_dir, "documents")))
+
+
+def media_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lengths and digests of op7_media, which SQL can express."""
+    return op7_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "media_bytes", "media_sha256")
+
+
+MEDIA_DIGESTS_SQL = r"""
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents),
+p AS (SELECT doc_id, octet_length(raw) AS n, greatest(64, (octet_length(raw) + 63) // 64 * 64) AS size, raw FROM b),
+q AS (SELECT doc_id, n, size, CASE WHEN size > n THEN raw || repeat('\x00'::BLOB, size - n) ELSE raw END AS payload FROM p),
+m AS (SELECT *, encode('P5' || chr(10) || '64 ' || size // 64 || chr(10) || '255' || chr(10)) || payload AS media FROM q)
+SELECT doc_id, n AS n_bytes, size AS payload_bytes, sha256(payload) AS payload_sha256, octet_length(media) AS media_bytes, sha256(media) AS media_sha256 FROM m
+"""

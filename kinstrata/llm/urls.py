@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import string
 from collections.abc import Iterator
 
@@ -12,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .common import Scratch, table
 
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
-MAX_WORD = 24
 
 
 def host_of(url: Column) -> Column:
@@ -42,15 +42,29 @@ def tokens_of(text: Column) -> Column:
     return F.transform(words, lambda w: F.when(w.rlike(r"^\p{N}+$"), F.concat(F.lit("#"), F.length(w).cast("string"))).otherwise(w))
 
 
+def rule_tokens(rules=RULES) -> list[str]:
+    """Tokens that the rules themselves name: on pages that a rule decides they say which rule it was, and no more."""
+    parts = [(text[: text.find("/")], text[text.find("/") :]) if "/" in text else (text, "") for text, _ in rules]
+    hosts = {"host:" + w for host, _ in parts for w in re.split(r"[.\-_:@]+", host) if w}
+    return sorted(hosts | {"path:" + w.lower() for _, path in parts for w in re.split(r"[^A-Za-z0-9]+", path) if w})
+
+
 def segment(word: str, known: dict[tuple[int, int], int], total: int) -> list[str]:
     """The likeliest split of ``word`` under unigram counts; known: (start, length) -> count. An unknown part of n letters has probability 10/(total*10^n)."""
-    best, back = [0.0] + [-math.inf] * len(word), [0] * (len(word) + 1)
+    ends: dict[int, list[tuple[int, float]]] = {}
+    for (at, n), count in known.items():
+        if count:
+            ends.setdefault(at + n, []).append((n, math.log(count / total)))
+    best, back = [0.0], [0]
+    unknown = (0.0, 0)  # of all starts, the greatest best[at] + at * log(10): an unknown part from there to here
     for to in range(1, len(word) + 1):
-        for n in range(1, min(MAX_WORD, to) + 1):
-            count = known.get((to - n, n))
-            p = math.log(count / total) if count else math.log(10 / total) - n * math.log(10)
-            if best[to - n] + p > best[to]:
-                best[to], back[to] = best[to - n] + p, to - n
+        score, at = unknown[0] + math.log(10 / total) - to * math.log(10), unknown[1]
+        for n, p in ends.get(to, ()):
+            if (best[to - n] + p, n) > (score, to - at):
+                score, at = best[to - n] + p, to - n
+        best.append(score)
+        back.append(at)
+        unknown = max(unknown, (score + to * math.log(10), to), key=lambda u: u[0])
     out, to = [], len(word)
     while to:
         out.append(word[back[to] : to])
@@ -67,20 +81,28 @@ def segmented(labels: DataFrame, counts: DataFrame, total: int) -> DataFrame:
             out = [segment(r["label"], {(k["at"], k["n"]): k["c"] for k in r["known"] or ()}, total) for r in rows]
             yield pa.RecordBatch.from_arrays([pa.array([r["label"] for r in rows], pa.string()), pa.array(out, pa.list_(pa.string()))], ["label", "words"])
 
+    most = counts.agg(F.coalesce(F.max(F.length("word")), F.lit(1))).first()[0]
     starts = labels.select("label", F.explode(F.sequence(F.lit(0), F.length("label") - 1)).alias("at"))
-    longest = F.least(F.lit(MAX_WORD), F.length("label") - F.col("at"))
+    longest = F.least(F.lit(most), F.length("label") - F.col("at"))
     subs = starts.select("label", "at", F.explode(F.sequence(F.lit(1), longest)).alias("n")).withColumn("word", F.substr("label", F.col("at") + 1, F.col("n")))
     found = subs.join(counts, "word").groupBy("label").agg(F.collect_list(F.struct("at", "n", F.col("c"))).alias("known"))
     return labels.join(found, "label", "left").select("label", "known").mapInArrow(run, "label string, words array<string>")
 
 
-def url_filter(pages: DataFrame, rules=RULES) -> DataFrame:
-    """A row per page: page_id, host, path, rule, verdict.
+def held_out(page_id: Column) -> Column:
+    """A fifth of the pages, by the digest of their ids."""
+    return F.coalesce(F.crc32(page_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def url_filter(pages: DataFrame, rules=RULES, hold_out: bool = False) -> DataFrame:
+    """A row per page: page_id, host, path, rule, verdict, method (what naive Bayes says, also where a rule decides).
 
     Words for splitting come from all titles and paths, and from hyphenated parts of hosts. Naive Bayes is trained on all
     pages that a rule decides (add-one smoothing); it decides the rest, ties go to allow. Host words and path tokens are
-    separate features. Null urls, or those without "://", have empty host and path. Null and repeated page_ids stay; other
-    columns but html are ignored, and html may be null or absent; an empty table gives no rows.
+    separate features; tokens that the rules name are none. With ``hold_out`` it is not trained on pages in held_out().
+
+    Null urls, or those without "://", have empty host and path. Null and repeated page_ids stay; very long urls are split
+    whole; other columns but html are ignored, and html may be null or absent; an empty table gives no rows.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "urls")
@@ -89,7 +111,9 @@ def url_filter(pages: DataFrame, rules=RULES) -> DataFrame:
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), title.alias("title"))
     rows = scratch.write(rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)), "rows")
     verdicts = F.create_map(*[F.lit(x) for r in rules for x in r]) if rules else F.create_map().cast("map<string,string>")
-    rows = rows.withColumn("decided", verdicts[F.col("rule")])
+    rows = rows.withColumn("verdict", verdicts[F.col("rule")])
+    rows = rows.withColumn("decided", F.when(~held_out(F.col("page_id")), F.col("verdict")) if hold_out else F.col("verdict"))
+    named = F.array(*map(F.lit, rule_tokens(rules))).cast("array<string>")
 
     hosts = scratch.write(rows.groupBy("host").agg(F.count_if(F.col("decided") == "allow").alias("allow"), F.count_if(F.col("decided") == "block").alias("block"), F.count("*").alias("n")), "hosts")
     paths = rows.select(F.transform(tokens_of(F.col("path")), lambda w: F.concat(F.lit("path:"), w)).alias("tokens"), "decided")
@@ -103,8 +127,8 @@ def url_filter(pages: DataFrame, rules=RULES) -> DataFrame:
     total = counts.agg(F.sum("c")).first()[0] or 1
     split = segmented(parts, counts, total).select("label", F.transform("words", lambda w: F.concat(F.lit("host:"), w)).alias("words"))
     by_host = hosts.select("host", F.explode(F.filter(F.split("host", r"[.\-_:@]+"), lambda w: w != "")).alias("label")).join(split, "label")
-    by_host = scratch.write(by_host.select("host", F.explode("words").alias("token")), "host_tokens")
-    by_path = paths.select("tokens", "allow", "block", F.explode("tokens").alias("token"))
+    by_host = scratch.write(by_host.select("host", F.explode(F.filter("words", lambda w: ~F.array_contains(named, w))).alias("token")), "host_tokens")
+    by_path = paths.select("tokens", "allow", "block", F.explode(F.filter("tokens", lambda w: ~F.array_contains(named, w))).alias("token"))
 
     seen = by_host.join(hosts, "host").select("token", "allow", "block").unionByName(by_path.select("token", "allow", "block"))
     stats = scratch.write(seen.groupBy("token").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")), "stats")
@@ -112,16 +136,32 @@ def url_filter(pages: DataFrame, rules=RULES) -> DataFrame:
     prior = hosts.agg(F.coalesce(F.sum("allow"), F.lit(0)), F.coalesce(F.sum("block"), F.lit(0))).first()
     base = math.log((prior[1] + 1) / (prior[0] + 1))
     scale = math.log((sums[0] + sums[2] + 1) / (sums[1] + sums[2] + 1))
-    stats = stats.select("token", (F.log((F.col("block") + 1) / (F.col("allow") + 1)) + F.lit(scale)).alias("llr"))
+    stats = scratch.write(stats.select("token", (F.log((F.col("block") + 1) / (F.col("allow") + 1)) + F.lit(scale)).alias("llr")), "ratios")
 
-    host_score = by_host.join(stats, "token").groupBy("host").agg(F.sum("llr").alias("host_llr"))
-    path_score = by_path.join(stats, "token").groupBy("tokens").agg(F.sum("llr").alias("path_llr"))
-    ruled = rows.where("rule is not null").select("page_id", "host", "path", "rule", F.col("decided").alias("verdict"))
-    free = rows.where("rule is null").select("page_id", "host", "path", "rule", F.transform(tokens_of(F.col("path")), lambda w: F.concat(F.lit("path:"), w)).alias("tokens"))
-    free = free.join(host_score, "host", "left").join(path_score, "tokens", "left")
+    host_score = scratch.write(by_host.join(stats, "token").groupBy("host").agg(F.sum("llr").alias("host_llr")), "host_scores")
+    path_score = scratch.write(by_path.join(stats, "token").groupBy("tokens").agg(F.sum("llr").alias("path_llr")), "path_scores")
+    scored = rows.withColumn("tokens", F.transform(tokens_of(F.col("path")), lambda w: F.concat(F.lit("path:"), w)))
+    scored = scored.select("page_id", "host", "path", "rule", "verdict", "tokens").join(host_score, "host", "left").join(path_score, "tokens", "left")
     score = F.round(F.lit(base) + F.coalesce("host_llr", F.lit(0.0)) + F.coalesce("path_llr", F.lit(0.0)), 9)
-    return ruled.unionByName(free.select("page_id", "host", "path", "rule", F.when(score > 0, "block").otherwise("allow").alias("verdict")))
+    scored = scored.withColumn("method", F.when(score > 0, "block").otherwise("allow"))
+    return scored.select("page_id", "host", "path", "rule", F.coalesce("verdict", "method").alias("verdict"), "method")
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"))
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path and rule alone, which SQL can express."""
+    pages = table(spark, sf_dir, "pages").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    return pages.withColumn("rule", rule_of(F.col("host"), F.col("path")))
+
+
+URL_RULES_SQL = r"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u)
+SELECT page_id, host, path, CASE WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+  WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+  WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/' WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+  WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM p
+"""
