@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .common import shared_dir, slices, small_batches, table
 
 FOLDS, THRESHOLD, SAMPLE = 5, 0.3, 20_000
-SCORE = "__quality"  # no name that a table is likely to have
 _PUNCT = [c for c in range(33, 127) if not chr(c).isalnum()]
 
 
@@ -78,17 +77,28 @@ def held_out(doc_id: str) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == 0
 
 
-def _features_of(docs: DataFrame) -> np.ndarray:
-    def run(batches):
+_DRAWS = 1_000_000_000
+
+
+def _sampled(docs: DataFrame, about: int, seed: int, most: int) -> np.ndarray:
+    """Feature vectors of at most ``most`` rows of docs, which has ``about`` rows: those with the least hashes of doc_id and text.
+
+    Rows that a share of the hashes rules out are dropped first, so that few texts are read and few vectors are sorted.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([features(t).tolist() for t in batch.column("text").to_pylist()], pa.list_(pa.float64()))], ["x"])
+            for part in slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([part.column("draw"), pa.array([features(t).tolist() for t in part.column("text").to_pylist()], pa.list_(pa.float64()))], ["draw", "x"])
 
-    got = docs.select("text").mapInArrow(run, "x array<double>").toArrow().column("x")
+    rows = docs.select(F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(_DRAWS)).alias("draw"), "text")
+    rows = rows.where(F.col("draw") < int(min(1.0, 1.2 * most / max(1, about)) * _DRAWS)).mapInArrow(run, "draw long, x array<double>")
+    got = rows.orderBy("draw", "x").limit(most).toArrow().column("x")
     return np.array(got.to_pylist(), np.float64).reshape(len(got), -1)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
-    """Fit on at most about ``sample`` trusted positives and as many unlabelled documents, drawn by hashes of ids.
+    """Fit on at most ``sample`` trusted positives and as many unlabelled documents, drawn by hashes of ids and texts.
 
     Labels are used of rows out of the held-out fold alone: quality 1 as positives, and the share of 1 as the class prior.
     None if there are no positives. Only feature vectors of the samples reach the driver.
@@ -97,19 +107,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     n, ones = known.agg(F.count("*"), F.coalesce(F.sum((F.col("quality") == 1).cast("long")), F.lit(0))).first()
     if not ones:
         return None
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000))
-    ids = known.where("quality = 1").where(draw < 1_000_000 * sample / ones).select("doc_id").limit(2 * sample)
-    positive = _features_of(docs.join(F.broadcast(ids), "doc_id"))
-    total = docs.count()
-    rest = F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1_000_000))
-    unlabelled = _features_of(docs.where(F.coalesce(rest, F.lit(0)) < 1_000_000 * sample / max(1, total)))
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    positive = _sampled(docs.join(known.where("quality = 1").select("doc_id"), "doc_id", "left_semi"), ones, 9, sample)
+    unlabelled = _sampled(docs, docs.count(), 10, sample)
     if not len(positive) or not len(unlabelled):
         return None
     return fit_nnpu(positive, unlabelled, min(0.99, (ones + 1) / (n + 2)))
 
 
-def quality_scores(docs: DataFrame, model, keep: list[str] = ()) -> DataFrame:
-    """docs' columns ``keep`` with score; a null text is empty; without a model each score is 0.5. Whole texts are read."""
+def quality_scores(docs: DataFrame, model, keep: list[str] = (), name: str = "score") -> DataFrame:
+    """docs' columns ``keep`` with the score as ``name``; a null text is empty; without a model each score is 0.5. Whole texts are read."""
     small_batches(docs.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
 
@@ -118,17 +125,21 @@ def quality_scores(docs: DataFrame, model, keep: list[str] = ()) -> DataFrame:
             for part in slices(batch, "text"):
                 texts = part.column("text").to_pylist()
                 s = score(np.array([features(t) for t in texts]), model) if model else np.full(len(texts), 0.5)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(s)], [*keep, SCORE])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(s)], [*keep, name])
 
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"{SCORE} double"])
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{name}` double"])
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of each document. Null and repeated doc_ids stay (a null one is not held out); empty tables give no rows."""
+    """(doc_id, held_out, score, predicted) of each document.
+
+    Null and repeated doc_ids stay (a null one is not held out); null texts are empty; very long texts are read whole, one at
+    a time; other columns are ignored; an empty table gives no rows; labels of no known document have no effect.
+    """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     out = quality_scores(docs, train(docs, labels, sample), ["doc_id"])
-    return out.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
