@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import base64
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -76,7 +76,7 @@ def _encoder(json_path: str, ranks_path: str):
             else:
                 first, *parts[i] = text.split(" ")
                 out.append(np.array(cache.encode(first), "<u4").tobytes())
-        cache.learn(set(chain.from_iterable(parts.values())))
+        cache.learn(set(itertools.chain.from_iterable(parts.values())))
         for i, chunks in parts.items():
             out[i] = b"".join([out[i], *map(cache.__getitem__, chunks)])
         return out
@@ -167,18 +167,18 @@ def _pack(items: DataFrame, n_parts: int, seed: int, capacity: int) -> DataFrame
     return dealt.groupBy("part").applyInPandas(run, _PACKED)
 
 
-def best_fit_pack(items: DataFrame, scratch: Scratch, capacity: int = 1024, per_part: int = 20_000, rounds: int = 4) -> DataFrame:
+def best_fit_pack(items: DataFrame, scratch: Scratch, capacity: int = 1024, per_part: int = 20_000) -> DataFrame:
     """items (doc_id, piece, start, length, ids_crc32, salt) with sequence_id and offset.
 
     Parts have about ``per_part`` items at any size of the table. A part whose bins equal its bound is done. The others give
-    the items of all bins with room into new, mixed parts, which are packed again; this goes on while it saves bins,
-    ``rounds`` times at most. What a round doesn't better stays as it was.
+    the items of all bins with room into new, mixed parts, which are packed again; this goes on while it saves bins. What a
+    round doesn't better stays as it was.
     """
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "salt"]
     n = items.count()
     state = scratch.write(_pack(items, max(1, -(-n // per_part)), 0, capacity), "packed")
     done = []
-    for r in range(1, rounds + 1):
+    for r in itertools.count(1):
         opened = state.where("gap > 0 and room > 0")
         before = opened.agg(F.count("*").alias("n"), F.sum((F.col("offset") == 0).cast("long")).alias("bins")).first()
         if not before["n"]:
@@ -192,15 +192,16 @@ def best_fit_pack(items: DataFrame, scratch: Scratch, capacity: int = 1024, per_
     out = state.withColumn("round", F.lit(len(done)))
     for other in done:
         out = out.unionByName(other)
-    sequence = F.shiftleft(F.col("round").cast("long"), 58).bitwiseOR(F.shiftleft("part", 24)).bitwiseOR(F.col("bin"))
+    sequence = F.shiftleft(F.col("round").cast("long"), 54).bitwiseOR(F.shiftleft("part", 24)).bitwiseOR(F.col("bin"))
     return out.select(*names[:-1], sequence.alias("sequence_id"), "offset")
 
 
-def pack_documents(docs: DataFrame, json_path: str | None = None, ranks_path: str | None = None, capacity: int = 1024, per_part: int = 20_000, rounds: int = 4) -> DataFrame:
+def pack_documents(docs: DataFrame, json_path: str | None = None, ranks_path: str | None = None, capacity: int = 1024, per_part: int = 20_000) -> DataFrame:
     """Pack documents into as few sequences of at most ``capacity`` ids as best-fit decreasing with exchanges finds.
 
     A document is its text's ids and then id 2; a null text is empty, so it is one id. Only documents over ``capacity`` are
-    cut. Null and repeated doc_ids are documents of their own; other columns are ignored; an empty table gives no rows.
+    cut; very long texts are encoded whole. Null and repeated doc_ids are documents of their own; other columns are ignored; an
+    empty table gives no rows.
     """
     import public_tokenizers
 
@@ -208,7 +209,7 @@ def pack_documents(docs: DataFrame, json_path: str | None = None, ranks_path: st
     ranks_path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     scratch = Scratch(docs.sparkSession, "packing")
     items = scratch.write(pieces(docs, json_path, ranks_path, capacity), "pieces")
-    return best_fit_pack(items, scratch, capacity, per_part, rounds)
+    return best_fit_pack(items, scratch, capacity, per_part)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
