@@ -8,17 +8,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinstrata.llm.common import Scratch, table
+from kinstrata.llm.common import Scratch, free_names, table
 from kinstrata.llm.jaccard import jaccard_groups
 from kinstrata.llm.packing import pack_documents
-from kinstrata.llm.quality import SCORE, THRESHOLD, quality_scores, train
+from kinstrata.llm.quality import THRESHOLD, quality_scores, train
 from kinstrata.llm.substring import substring_dedup
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores under its threshold go."""
     model = train(docs, table(spark, sf_dir, "labels"))
-    return quality_scores(docs, model, docs.columns).where(F.col(SCORE) >= THRESHOLD).drop(SCORE)
+    (score,) = free_names(docs.columns, "score")
+    return quality_scores(docs, model, docs.columns, score).where(F.col(score) >= THRESHOLD).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +32,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in 13-word windows that an earlier document has go; texts without such words stay as they are."""
     out = substring_dedup(docs, 13, docs.columns)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    chars = F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    removed, kept = free_names(docs.columns, "n_removed", "kept")
+    text = F.when(F.col(removed) > 0, F.col(kept)).otherwise(F.col("text"))
+    chars = F.when(F.col(removed) > 0, F.length(kept)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return out.select(*[text.alias(c) if c == "text" else chars.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
@@ -43,7 +45,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("packing", packing)]
 
-# The classifier's score is no SQL expression; tests hold the pipeline against a brute-force version.
+# The classifier's score is no SQL expression; tests/llm holds run() against a plain Python version of the stages.
 ORACLE_SQL = None
 
 
