@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import shared_dir, slices, small_batches, table
 
 FRAME, CONTENT, OTHER = 0, 1, 2
+UNSEEN = ".?"  # the fact that an element has a name which training pages don't
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(>|\Z)""", re.S)
 _ATTR = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -139,7 +140,7 @@ _SIDE = (
     "nav", "header", "footer", "aside", "form", "menu", "dialog", "div.ad", "div.ads", "div.advert", "div.advertisement", "div.sponsored", "div.promo", "div.banner", "div.cookie-notice", "div.notice", "div.consent",
     "div.gdpr", "div.alert", "div.popup", "div.modal", "div.sidebar", "aside.sidebar", "div.rail", "div.widget", "div.related", "div.recommended", "div.share", "div.social", "div.menu", "div.navbar", "div.breadcrumb",
     "div.header", "div.masthead", "div.topbar", "div.footer", "div.copyright", "div.legal", "div.disclaimer", "div.newsletter", "div.subscribe", "div.login", "div.search", "form.search", "section.comments", "div.comments",
-    "div.comment", "ol.comment-list", "div.replies", "div.discussion", "div.reviews", "div.tags", "div.pagination", "div.toolbar", "ul.nav", "ul.menu", "button", "select", "noscript", "template", "p.notice", "p.copyright", "p.ad",
+    "div.comment", "ol.comment-list", "div.replies", "div.discussion", "div.thread", "div.disqus-thread", "div.responses", "section.respond", "div.reviews", "div.tags", "div.pagination", "div.toolbar", "ul.nav", "ul.menu", "button", "select", "noscript", "template", "p.notice", "p.copyright", "p.ad",
 )
 
 
@@ -153,6 +154,8 @@ def labelled_pages(n: int = 2000, seed: int = 7) -> Iterator[tuple[str, dict[str
 
     def open_tag(spec: str, y: int) -> tuple[str, str]:
         name, _, kind = spec.partition(".")
+        if r.random() < 0.1:  # a name that says nothing
+            kind = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
         at = f' {r.choice(["class", "id", "class"])}="{kind}"' if kind else ""
         return f'<{name}{at} data-y="{y}">', f"</{name}>"
 
@@ -175,7 +178,7 @@ def labelled_pages(n: int = 2000, seed: int = 7) -> Iterator[tuple[str, dict[str
             body = f"<ul>{''.join(f'<li><a href=/y>{words(1, 3)}</a></li>' for _ in range(r.randint(2, 8)))}</ul>"
         elif how < 0.6:
             body = words(1, 30)
-        elif how < 0.85 or "comment" in spec:
+        elif how < 0.85 or "comment" in spec or "thread" in spec or "respon" in spec:
             body = "".join(f"<p>{words(1, 60)}</p>" for _ in range(r.randint(1, 5)))
         else:
             body = f"<div><h3>{words(1, 5)}</h3><p>{words(2, 25)} <a href=/z>{words(1, 3)}</a></p></div>"
@@ -218,6 +221,8 @@ class Model:
                 pair[tree.tag[i]][up, y[i]] += 1
                 for f in tree.facts[i]:
                     fact[f"{'#' if tree.tag[i] == '#run' else '.'}{f}"][y[i]] += 1
+        for f in [f for f, c in fact.items() if f[0] == "." and c.sum() <= 3]:  # names seen once or so stand for all unknown ones
+            fact[UNSEEN] += fact.pop(f)
         every = sum(pair.values())
         self.other = self._rows(every + smooth)
         # a tag seen in few places leans on what holds for all tags
@@ -251,7 +256,7 @@ def marginals(trees: list[Tree], model: Model) -> list[np.ndarray]:
     def own(tag: str, facts: tuple) -> np.ndarray:
         key = (tag == "#run", facts)
         if key not in known:
-            known[key] = sum((model.fact.get(f"{'#' if key[0] else '.'}{f}", zero) for f in facts), zero)
+            known[key] = sum((model.fact.get(f"#{f}", zero) if key[0] else model.fact.get(f".{f}", model.fact.get(UNSEEN, zero)) for f in facts), zero)
         return known[key]
 
     up = np.array([own(t, f) for tree in trees for t, f in zip(tree.tag, tree.facts, strict=True)])
@@ -285,7 +290,8 @@ def extract(pages: list[str | None], model: Model | None = None, least: float =
 
 
 def main_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
-    """(page_id, url, text) of each page. Null html is empty; a page without content gives ""; null and repeated ids stay; other columns are ignored."""
+    """(page_id, url, text) of each page. Null html is empty; a page without content gives ""; null and repeated ids stay; very long
+    pages are read whole, a few at a time; other columns are ignored; an empty table gives no rows."""
     small_batches(pages.sparkSession)
     model = model or default_model()
 
