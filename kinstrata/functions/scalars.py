@@ -25,6 +25,7 @@ SEVERITY = {
 
 # Text patterns.
 LITERATURE = "(cancer|tumou?r|carcinoma|leukemia|lymphoma|sarcoma|melanoma)"
+LOSS_CALL = r"\bloh\b|loss|deletion|del"
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
@@ -98,6 +99,22 @@ def loh_class(maf: Column, cn: Column, log2: Column) -> Column:
     )
 
 
+def pathogenic_rank(c: Column) -> Column:
+    """1 if a segment's ranking is a whole number of 3 or more."""
+    t = F.trim(c.cast("string"))
+    return F.coalesce(F.when(t.rlike(r"^[+-]?\d+$"), t.try_cast("long") >= 3), F.lit(False)).cast("int")
+
+
+def pathogenic_call(*cols: Column) -> Column:
+    """1 if the text of a segment's call or type speaks of a loss."""
+    return matches(LOSS_CALL, *cols).cast("int")
+
+
+def suspect_loss(loh: Column, pathogenic: Column) -> Column:
+    """1 for a pathogenic segment of a class that is or may be a loss."""
+    return (loh.isin("Deletion_LOH", "CopyNeutral_LOH", "Possible_Subclonal_LOH", "Possible_LOH") & (pathogenic == 1)).cast("int")
+
+
 def predictor_score(c: Column) -> Column:
     """The number in parentheses, else the whole as a number."""
     return F.coalesce(number(F.nullif(F.regexp_extract(c, r"\(([^()]+)\)", 1), F.lit(""))), number(c))

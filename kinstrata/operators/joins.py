@@ -105,3 +105,14 @@ def one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
         return df.join(n.withColumn("__ok", bad).where("__ok is null").select(key), key)
 
     return once(left, "left").join(once(right, "right"), key)
+
+
+def homozygous_runs(points: DataFrame, runs: DataFrame, limits: tuple[float, float | None] | None) -> DataFrame:
+    """points(chrom, pos, ...) with in_roh and high 0/1: whether any run (seg_chrom, seg_start, seg_end, phom, phet) contains the place,
+    and any such run has at least limits[0] homozygous and at most limits[1] heterozygous sites. None: both are 0."""
+    if limits is None:
+        return points.withColumns({"in_roh": F.lit(0), "high": F.lit(0)})
+    high = (F.col("phom") >= limits[0]) & (F.col("phet") <= limits[1] if limits[1] is not None else F.lit(True))
+    loci = points.select("chrom", "pos").distinct()
+    hits = containing_segments(loci, runs).groupBy("chrom", "pos").agg(F.lit(1).alias("in_roh"), F.max(F.coalesce(high, F.lit(False)).cast("int")).alias("high"))
+    return points.join(hits, ["chrom", "pos"], "left").na.fill(0, ["in_roh", "high"])

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from .functions import encoders as C, scalars as S, texts as T
 from .operators import features as E, joins as J, vectors as V
 from .plans.columns import BINARY, NUMERIC
-from .plans.views import table, variants
-from .queries import SIDES, on_variants, query
+from .plans.dialect import EXOME, GENOME, MERGED
+from .plans.views import segments, table, variants
+from .queries import SIDES, WITH_V, on_variants, query
 
 
 # ---- joins ----
@@ -35,6 +36,21 @@ def _(v):
     return J.one_to_one(left, v.where("origin = 'somatic'").groupBy("pos").agg(F.max("vaf").alias("vaf")), "pos")
 
 
+for _d in (GENOME, MERGED, EXOME):
+    _high = "0" if _d.roh is None else f"max(CAST((seg_id % 21) / 20 >= {_d.roh[0]}" + (f" AND (seg_id % 5) / 50 <= {_d.roh[1]}" if _d.roh[1] is not None else "") + " AS INT))"
+    query(f"roh_flags_{_d.name}", f"{WITH_V}, p AS (SELECT DISTINCT chrom, pos FROM variants) SELECT p.chrom, p.pos, {'0' if _d.roh is None else 'CAST(count(seg_id) > 0 AS INT)'} AS in_roh, coalesce({_high}, 0) AS high FROM p LEFT JOIN segments ON chrom = seg_chrom AND pos BETWEEN seg_start AND seg_end GROUP BY ALL")(
+        lambda spark, sf, d=_d: J.homozygous_runs(variants(spark, sf).select("chrom", "pos").distinct(), segments(spark, sf).withColumns({"phom": F.col("seg_id") % 21 / 20, "phet": F.col("seg_id") % 5 / 50}), d.roh))
+
+
+@query("cnv_pathogenic", f"""{WITH_V}, s AS (SELECT seg_id, CASE seg_id % 4 WHEN 0 THEN 'Deletion_LOH' WHEN 1 THEN 'No_LOH' WHEN 2 THEN 'Possible_LOH' ELSE 'Unknown' END AS loh, CAST(seg_id % 7 >= 3 AND seg_id % 3 <> 0 AS INT) AS by_rank, CAST(seg_id % 2 = 0 AS INT) AS by_call FROM segments)
+ SELECT seg_id, by_rank, by_call, CAST(loh IN ('Deletion_LOH', 'Possible_LOH') AND by_rank = 1 AS INT) AS suspect FROM s""")
+def _(spark, d):
+    i = F.col("seg_id")
+    s = segments(spark, d).select("seg_id", F.element_at(F.array(*map(F.lit, ("Deletion_LOH", "No_LOH", "Possible_LOH", "Unknown"))), (i % 4 + 1).cast("int")).alias("loh"), F.when(i % 3 != 0, (i % 7).cast("string")).otherwise("3.5").alias("rank"), F.when(i % 2 == 0, "copy-neutral LOH").otherwise("gain").alias("call"))
+    s = s.withColumns({"by_rank": S.pathogenic_rank(F.col("rank")), "by_call": S.pathogenic_call(F.col("call"))})
+    return s.select("seg_id", "by_rank", "by_call", S.suspect_loss(F.col("loh"), F.col("by_rank")).alias("suspect"))
+
+
 # ---- profiles, means, samples ----
 DESCRIBED = ("family_id", "origin", "consequence", "dp", "pop_af", "pathway")
 
