@@ -56,9 +56,9 @@ def test_settled_spans_double_and_have_earlier_sources(spark):
 
 
 def test_components_of_a_hot_node(spark):
-    edges = [(0, i) for i in range(1, 400)] + [(i, i + 1) for i in range(1000, 1040)] + [(5, 5)]
+    edges = [(0, i) for i in range(1, 400)] + [(i, i + 1) for i in range(1000, 1009)] + [(5, 5)]
     got = {x.node: x.component for x in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test")).collect()}
-    assert got == dict.fromkeys(range(400), 0) | dict.fromkeys(range(1000, 1041), 1000)
+    assert got == dict.fromkeys(range(400), 0) | dict.fromkeys(range(1000, 1010), 1000)
 
 
 def test_a_written_aggregate_lets_spark_split_a_hot_key(spark):

