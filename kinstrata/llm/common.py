@@ -172,21 +172,22 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     now = scratch.write(now, "edges")
-    seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = scratch.write(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "low")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = scratch.write(large, "large")
-        least = scratch.write(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = scratch.write(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small")
-        scratch.drop(now, low, large, least)
-        state = new.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        least = scratch.write(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        # stars alone are left: each node has one smaller neighbour, which has none
+        if not least.where("n > 1").isEmpty() or not large.join(least.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+            small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            new, done = scratch.write(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small"), False
+        else:
+            new, done = large, True
+        scratch.drop(now, low, least, *([] if done else [large]))
         now = new
-        if seen == state:
+        if done:
             break
-        seen = state
     tree = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = tree.select("component").distinct().select(F.col("component").alias("node"), "component")
     out = scratch.write(tree.unionByName(roots), "components")

@@ -257,6 +257,8 @@ def _linked(pairs: DataFrame, points: DataFrame, scratch: Scratch, num: int, den
             p = p.join(named, end)
         return p
 
+    if pairs.isEmpty():
+        return pairs.select("a", "b")
     left = with_both(pairs, "point", "n").select("a", "b", "pa", "pb", "na", "nb").mapInArrow(_bound(num, den), "a long, b long, na long")
     left = scratch.write(left, "bounded")
     moved = left.agg(F.coalesce(F.sum("na"), F.lit(0))).first()[0]
@@ -294,6 +296,37 @@ def _buckets(sigs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
     return buckets
 
 
+def _meetings(now: DataFrame, points: DataFrame, scratch: Scratch, num: int, den: int, block: int) -> DataFrame:
+    """One pair for each two components that meet in a bucket: of their smallest members there, those that meet most often."""
+    heads = scratch.write(now.groupBy("sig", "lo", "comp").agg(F.min("id").alias("head")), "heads")
+    base = heads.where("comp = lo").select("sig", F.col("head").alias("a"))
+    met = heads.where("comp <> lo").join(base, "sig").groupBy("lo", "comp", "a", F.col("head").alias("b")).agg(F.count("*").alias("m"))
+    met = met.groupBy("lo", "comp").agg(F.max_by(F.struct("a", "b"), F.struct("m", -F.col("a"), -F.col("b"))).alias("p"))
+    return met.select(F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")).distinct()
+
+
+def _across(now: DataFrame, points: DataFrame, scratch: Scratch, num: int, den: int, block: int) -> DataFrame:
+    """All pairs of different components that the trees leave. A component of over ``block`` of a bucket's rows has its own blocks, which don't meet."""
+    counts = scratch.write(now.groupBy("sig", "comp").agg(F.count("*").alias("c")), "counts")
+    blocks = F.ceil(F.col("c") / block).cast("int")
+    small = counts.where(F.col("c") < block).groupBy("sig").agg(F.ceil(F.sum("c") / block).cast("int").alias("ns"))
+    whole = counts.groupBy("sig").agg(F.sum(F.when(F.col("c") >= block, blocks).otherwise(0)).cast("int").alias("nw"))
+    size = scratch.write(whole.join(small, "sig", "left").select("sig", F.coalesce("ns", F.lit(0)).alias("ns"), "nw"), "sizes")
+    before = F.sum(blocks).over(Window.partitionBy("sig").orderBy("comp").rowsBetween(Window.unboundedPreceding, -1))
+    own = counts.where(F.col("c") >= block).select("sig", "comp", blocks.alias("n_own"), F.coalesce(before, F.lit(0)).cast("int").alias("at"))
+    own = scratch.write(own, "own")
+    dealt = now.select("sig", "id", "comp").join(size, "sig").join(own, ["sig", "comp"], "left")
+    at = F.col("ns") + F.col("at")
+    mine = F.when(F.col("n_own").isNull(), F.pmod(F.xxhash64("id"), F.col("ns"))).otherwise(at + F.pmod(F.xxhash64("id"), F.col("n_own"))).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("ns") + F.col("nw") - 1), lambda k: F.col("n_own").isNull() | (k < at) | (k >= at + F.col("n_own")))
+    dealt = dealt.withColumns({"mine": mine, "other": F.explode(others)})
+    dealt = dealt.withColumns({"x": F.least("mine", "other"), "y": F.greatest("mine", "other")})
+    dealt = dealt.withColumn("side", F.when(F.col("x") == F.col("y"), 2).otherwise((F.col("mine") == F.col("y")).cast("int")))
+    dealt = dealt.select("sig", "x", "y", "side", "id", "comp").join(points.select("id", "n", "point"), "id")
+    dealt = dealt.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y")
+    return dealt.mapInArrow(_cross(num, den), "a long, b long").distinct()
+
+
 def jaccard_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row: texts link when den * |A & B| >= num * |A | B| of their sets of shingles.
 
@@ -342,39 +375,13 @@ def jaccard_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
             return found
         return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links), scratch)
 
-    # one pair for each two components that meet: of their smallest members, those that meet most often
-    now, _ = mixed(found)
-    heads = scratch.write(now.groupBy("sig", "lo", "comp").agg(F.min("id").alias("head")), "heads")
-    base = heads.where("comp = lo").select("sig", F.col("head").alias("a"))
-    met = heads.where("comp <> lo").join(base, "sig").groupBy("lo", "comp", "a", F.col("head").alias("b")).agg(F.count("*").alias("m"))
-    met = met.groupBy("lo", "comp").agg(F.max_by(F.struct("a", "b"), F.struct("m", -F.col("a"), -F.col("b"))).alias("p"))
-    ends = [F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")]
-    met = scratch.write(met.select(*ends).distinct().join(tried, ["a", "b"], "left_anti"), "meetings")
-    found = joined(found, _linked(met, points, scratch, num, den))
-
-    # all that the trees leave of the pairs across components; a component of over ``block`` of a bucket's rows has its own blocks
-    now, _ = mixed(found)
-    counts = now.groupBy("sig", "comp").agg(F.count("*").alias("c"))
-    counts = scratch.write(counts, "counts")
-    blocks = F.ceil(F.col("c") / block).cast("int")
-    small = counts.where(F.col("c") < block).groupBy("sig").agg(F.ceil(F.sum("c") / block).cast("int").alias("ns"))
-    whole = counts.groupBy("sig").agg(F.sum(F.when(F.col("c") >= block, blocks).otherwise(0)).cast("int").alias("nw"))
-    size = scratch.write(whole.join(small, "sig", "left").select("sig", F.coalesce("ns", F.lit(0)).alias("ns"), "nw"), "sizes")
-    before = F.sum(blocks).over(Window.partitionBy("sig").orderBy("comp").rowsBetween(Window.unboundedPreceding, -1))
-    own = counts.where(F.col("c") >= block).select("sig", "comp", blocks.alias("n_own"), F.coalesce(before, F.lit(0)).cast("int").alias("at"))
-    own = scratch.write(own, "own")
-    dealt = now.select("sig", "id", "comp").join(size, "sig").join(own, ["sig", "comp"], "left")
-    at = F.col("ns") + F.col("at")
-    mine = F.when(F.col("n_own").isNull(), F.pmod(F.xxhash64("id"), F.col("ns"))).otherwise(at + F.pmod(F.xxhash64("id"), F.col("n_own"))).cast("int")
-    others = F.filter(F.sequence(F.lit(0), F.col("ns") + F.col("nw") - 1), lambda k: F.col("n_own").isNull() | (k < at) | (k >= at + F.col("n_own")))
-    dealt = dealt.withColumns({"mine": mine, "other": F.explode(others)})
-    dealt = dealt.withColumns({"x": F.least("mine", "other"), "y": F.greatest("mine", "other")})
-    dealt = dealt.withColumn("side", F.when(F.col("x") == F.col("y"), 2).otherwise((F.col("mine") == F.col("y")).cast("int")))
-    dealt = dealt.select("sig", "x", "y", "side", "id", "comp").join(points.select("id", "n", "point"), "id")
-    dealt = dealt.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y")
-    rest = dealt.mapInArrow(_cross(num, den), "a long, b long").distinct()
-    rest = scratch.write(rest.join(tried.unionByName(met), ["a", "b"], "left_anti"), "rest")
-    found = joined(found, _linked(rest, points, scratch, num, den))
+    for step in (_meetings, _across):
+        now, several = mixed(found)
+        if several.isEmpty():
+            break
+        pairs = scratch.write(step(now, points, scratch, num, den, block).join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = joined(found, _linked(pairs, points, scratch, num, den))
+        tried = tried.unionByName(pairs)
     scratch.drop(buckets, points)
     known = rows.where("id is not null").join(found, F.col("id") == F.col("node"), "left").select("doc_id", "n", F.coalesce("component", "id").alias("component_id"))
     alone = rows.where("id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
