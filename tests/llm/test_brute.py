@@ -65,7 +65,7 @@ def test_a_written_aggregate_lets_spark_split_a_hot_key(spark):
     scratch = Scratch(spark, "test")
     rows = scratch.write(spark.range(300_000).selectExpr("if(id % 3 < 2, 7, id) AS k", "id AS v", "xxhash64(id) AS w"), "rows")
     least = scratch.write(rows.groupBy("k").min("v").withColumnRenamed("min(v)", "m"), "least")
-    hard = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+    hard = {"spark.sql.shuffle.partitions": "8", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
             "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
     before = {k: spark.conf.get(k, None) for k in hard}
     try:
