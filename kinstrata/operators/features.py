@@ -140,10 +140,13 @@ def worker_share(df: DataFrame, place: str, worker: int, workers: int) -> DataFr
 
 
 def vocabulary(df: DataFrame, col: str, most: int | None = None) -> list[str]:
-    """Values of a text column (null: NA), the most frequent first where ``most`` bounds them, else all in order. A column of names, not of texts."""
+    """Values of a text column (null: NA), the most frequent first where ``most`` bounds them, else all in order. ValueError beyond
+    10,000: each value becomes a column."""
     counts = df.groupBy(F.coalesce(F.col(f"`{col}`").cast("string"), F.lit("NA")).alias("v")).agg(F.count("*").alias("n"))
-    rows = counts.orderBy("v") if most is None else counts.orderBy(F.desc("n"), "v").limit(most)
-    return [r["v"] for r in rows.collect()]
+    rows = counts.orderBy("v").limit(10_001).collect() if most is None else counts.orderBy(F.desc("n"), "v").limit(most).collect()
+    if len(rows) > 10_000:
+        raise ValueError(f"{col} has over 10,000 values")
+    return [r["v"] for r in rows]
 
 
 def encoded(df: DataFrame) -> DataFrame:
