@@ -284,9 +284,9 @@ def _classes(rows: DataFrame, scratch: Scratch) -> DataFrame:
 def _buckets(sigs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
     """(sig, id, low, m) of classes that share a part's content, with the bucket's smallest id and size. Of buckets with the same members one stays."""
     often = sigs.groupBy("sig").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("sig")
-    often = scratch.write(often, "often")
+    often = scratch.write(often, "often")  # grows with the documents: never broadcast, at any size
     ids = scratch.write(rows.where("id is not null").select("doc_id", "id").distinct(), "ids")
-    hits = scratch.write(sigs.join(often, "sig").join(ids, "doc_id").select("sig", "id").distinct(), "hits")
+    hits = scratch.write(sigs.join(often.hint("merge"), "sig").join(ids, "doc_id").select("sig", "id").distinct(), "hits")
     scratch.drop(often, ids)
     members = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"k{k}") for k in (1, 2)]
     kept = hits.groupBy("sig").agg(F.min("id").alias("low"), F.count("*").alias("m"), *members).where("m > 1")

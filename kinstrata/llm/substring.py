@@ -233,8 +233,9 @@ def substring_dedup(docs: DataFrame, words: int = 13, carry: list[str] = ("doc_i
     scratch.drop(same)
 
     first = scratch.write(named.mapInArrow(_first_level(words), "anchor long, doc_id long, tag long"), "anchors")
+    # tables that grow with the documents are never broadcast, at any size
     repeated = scratch.write(_recurring(first, ["anchor"]).select("anchor"), "repeated")
-    flagged = first.join(repeated, "anchor").groupBy("doc_id", "tag").agg(F.collect_set("anchor").alias("anchors"))
+    flagged = first.join(repeated.hint("merge"), "anchor").groupBy("doc_id", "tag").agg(F.collect_set("anchor").alias("anchors"))
     flagged = scratch.write(flagged.join(copies, ["doc_id", "tag"], "left_anti"), "flagged")
     scratch.drop(first, repeated)
 
@@ -244,7 +245,7 @@ def substring_dedup(docs: DataFrame, words: int = 13, carry: list[str] = ("doc_i
     second = scratch.write(second, "windows")
     scratch.drop(flagged, chosen)
     source = scratch.write(_recurring(second, ["h1", "h2"]).select("h1", "h2", "lo"), "sources")
-    covered = second.select("doc_id", "tag", "pos", "h1", "h2").join(source, ["h1", "h2"]).where("doc_id > lo")
+    covered = second.select("doc_id", "tag", "pos", "h1", "h2").join(source.hint("merge"), ["h1", "h2"]).where("doc_id > lo")
     covered = scratch.write(covered.groupBy("doc_id", "tag").agg(F.collect_set("pos").alias("at")), "covered")
     scratch.drop(second, source)
 
