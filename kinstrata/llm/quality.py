@@ -108,7 +108,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     if not ones:
         return None
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    positive = _sampled(docs.join(known.where("quality = 1").select("doc_id"), "doc_id", "left_semi"), ones, 9, sample)
+    # at most ``sample`` ids, so that they are sent to the documents and no text is shuffled
+    draw = F.xxhash64("doc_id", F.lit(9))
+    ids = known.where("quality = 1").orderBy(draw, "doc_id").limit(sample).select("doc_id")
+    positive = _sampled(docs.join(F.broadcast(ids), "doc_id", "left_semi"), min(ones, sample), 9, sample)
     unlabelled = _sampled(docs, docs.count(), 10, sample)
     if not len(positive) or not len(unlabelled):
         return None
