@@ -152,16 +152,22 @@ def labelled_pages(n: int = 2000, seed: int = 7) -> Iterator[tuple[str, dict[str
         out = " ".join(r.choice(_WORDS) for _ in range(r.randint(a, b)))
         return out.capitalize() + r.choice([".", ".", ".", "!", "", ""])
 
+    def nothing() -> str:
+        """A name that says nothing."""
+        return "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+
     def open_tag(spec: str, y: int) -> tuple[str, str]:
         name, _, kind = spec.partition(".")
-        if r.random() < 0.1:  # a name that says nothing
-            kind = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+        if r.random() < 0.1:
+            kind = nothing()
         at = f' {r.choice(["class", "id", "class"])}="{kind}"' if kind else ""
         return f'<{name}{at} data-y="{y}">', f"</{name}>"
 
     def para(short: bool) -> str:
         if short:
             return f"<p>{words(1, 3)}</p>"
+        if r.random() < 0.06:  # a list of links that belongs to the article
+            return f"<p>{' '.join(f'<a href=/x>{words(1, 6)}</a>' for _ in range(r.randint(1, 4)))}</p>"
         tag = r.choice(["p"] * 8 + ["blockquote", "h2", "h3", "pre", "figcaption"])
         body = words(2, 9) if tag[0] == "h" else words(3, r.choice([12, 40, 90]))
         if r.random() < 0.2:
@@ -200,7 +206,7 @@ def labelled_pages(n: int = 2000, seed: int = 7) -> Iterator[tuple[str, dict[str
         body = [side() for _ in range(r.randint(0, 4))] + [a + "".join(inner) + z] + [side() for _ in range(r.randint(0, 4))]
         page = "".join(body)
         for _ in range(r.choice([0, 0, 1, 2])):
-            page = f"<div{r.choice(['', ' class=wrapper', ' id=page', ' class=container'])}>{page}</div>"
+            page = f"<div{r.choice(['', ' class=wrapper', ' id=page', ' class=container', f' class={nothing()}', f' id={nothing()}'])}>{page}</div>"
         yield f"<html><head><meta charset=utf-8><title>t</title></head><body>{page}</body></html>"
 
 
