@@ -43,14 +43,19 @@ def small_batches(spark: SparkSession) -> None:
 
 
 @contextmanager
-def shuffle_files_go(spark: SparkSession):
-    """Shuffle files of a query go when it ends; its result is a table that all executors can read."""
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting for as long as the block runs."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def shuffle_files_go(spark: SparkSession):
+    """Shuffle files of a query go when it ends; its result is a table that all executors can read."""
+    return setting(spark, CLEANUP, "true")
 
 
 class Scratch:
@@ -64,10 +69,15 @@ class Scratch:
         self.spark, self.base, self.paths = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}", {}
         small_batches(spark)
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """df as a table; with ``by`` a folder for each of that column's (few) values, which are written side by side without a sort."""
         path = f"{self.base}/{name}-{len(self.paths)}"
         with shuffle_files_go(self.spark):
-            df.write.parquet(path)
+            if by:
+                with setting(self.spark, "spark.sql.maxConcurrentOutputFileWriters", "16"):
+                    df.write.partitionBy(by).parquet(path)
+            else:
+                df.write.parquet(path)
         if not self.paths:
             fs, at = self._store(self.base)
             fs.deleteOnExit(at)

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .common import BASES, Scratch, Windows, components, mix, slices, table, word_hashes
 
 GROUPS, LEAF, BLOCK = 64, 16, 1000
+#: Parts' hashes are looked at in so many rounds, at every size: a round's shuffles go before the next one begins.
+ROUNDS = 4
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -68,27 +70,31 @@ class SizeClasses:
         return np.concatenate(out)
 
 
-_SCAN = "doc_id long, n long, c1 long, c2 long, sig long"
+_SCAN = "doc_id long, n long, c1 long, c2 long, point binary, sig long, round int"
 
 
 def _scan(k: int, num: int, den: int):
+    """A row per text (round -1) with its set's size, digest and counts, and rows of its parts' hashes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = SizeClasses(num, den)
         for batch in batches:
             for part in slices(batch, "text"):
-                heads, sigs, owners = [], [], []
+                heads, points, sigs, owners = [], [], [], []
                 for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                     s = shingles(text, k)
                     both = xxhash.xxh3_128_intdigest(s.tobytes())
                     heads.append((doc, len(s), (both >> 64) - 2**63, (both & (2**64 - 1)) - 2**63))
+                    points.append(point(s))
                     if len(s) and doc is not None:
                         sigs.append(classes.signatures(s).view(np.int64))
                         owners.append(np.full(len(sigs[-1]), doc, np.int64))
-                names, n = ["doc_id", "n", "c1", "c2", "sig"], len(heads)
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*heads, strict=True)), pa.nulls(n, pa.int64())], names)
+                names, n = ["doc_id", "n", "c1", "c2", "point", "sig", "round"], len(heads)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*heads, strict=True)), pa.array(points, pa.binary()), pa.nulls(n, pa.int64()), pa.array(np.full(n, -1, np.int32))], names)
                 if sigs:
-                    none = pa.nulls(sum(map(len, sigs)), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(owners)), none, none, none, pa.array(np.concatenate(sigs))], names)
+                    sig = np.concatenate(sigs)
+                    none = pa.nulls(len(sig), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(owners)), none, none, none, pa.nulls(len(sig), pa.binary()), pa.array(sig), pa.array((sig % ROUNDS).astype(np.int32))], names)
 
     return run
 
@@ -102,12 +108,12 @@ def points_of(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, GROUPS)
 
 
-def _points(k: int):
+def _elements(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 sets = [shingles(t, k) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([point(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "n", "point", "elements"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "n", "elements"])
 
     return run
 
@@ -245,30 +251,35 @@ def _verify(num: int, den: int):
     return run
 
 
-def _linked(pairs: DataFrame, points: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
-    """Of distinct pairs (a, b), those that link: first by their points, then by their sets.
+def _linked(pairs: DataFrame, points: DataFrame, docs: DataFrame, k: int, scratch: Scratch, num: int, den: int) -> DataFrame:
+    """Of distinct pairs (a, b), those that link: first by their points, then by their sets, which only texts get whose points allow a link.
 
-    Sets travel with pairs, so pairs are dealt into so many rounds that each moves about twice what all points hold.
+    Sets travel with pairs, so pairs are dealt into so many rounds that each moves about twice what all these sets hold.
     """
 
-    def with_both(p: DataFrame, *cols: str) -> DataFrame:
+    def with_both(p: DataFrame, sets: DataFrame, *cols: str) -> DataFrame:
         for end in "ab":
-            named = points.select(F.col("id").alias(end), *(F.col(c).alias(to + end) for c, to in zip(cols, "pn", strict=False)))
+            named = sets.select(F.col("id").alias(end), *(F.col(c).alias(to + end) for c, to in zip(cols, "pn", strict=False)))
             p = p.join(named, end)
         return p
 
     if pairs.isEmpty():
         return pairs.select("a", "b")
-    left = with_both(pairs, "point", "n").select("a", "b", "pa", "pb", "na", "nb").mapInArrow(_bound(num, den), "a long, b long, na long")
+    left = with_both(pairs, points, "point", "n").select("a", "b", "pa", "pb", "na", "nb").mapInArrow(_bound(num, den), "a long, b long, na long")
     left = scratch.write(left, "bounded")
+    if left.isEmpty():
+        return left.select("a", "b")
+    ends = scratch.write(left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
+    sets = scratch.write(docs.join(ends, "doc_id").mapInArrow(_elements(k), "id long, n long, elements binary"), "elements")
     moved = left.agg(F.coalesce(F.sum("na"), F.lit(0))).first()[0]
-    held = points.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    held = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     rounds = max(1, -(-moved // max(1, 2 * held)))
     out = None
     for r in range(rounds):
         some = left.select("a", "b") if rounds == 1 else left.where(F.pmod(F.xxhash64("a", "b"), F.lit(rounds)) == r).select("a", "b")
-        found = scratch.write(with_both(some, "elements").select("a", "b", "pa", "pb").mapInArrow(_verify(num, den), "a long, b long"), "links")
+        found = scratch.write(with_both(some, sets, "elements").select("a", "b", "pa", "pb").mapInArrow(_verify(num, den), "a long, b long"), "links")
         out = found if out is None else out.unionByName(found)
+    scratch.drop(ends, sets, left)
     return out
 
 
@@ -281,18 +292,25 @@ def _classes(rows: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.write(named.unionByName(rest), "rows")
 
 
-def _buckets(sigs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
+def _buckets(scan: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
     """(sig, id, low, m) of classes that share a part's content, with the bucket's smallest id and size. Of buckets with the same members one stays."""
-    often = sigs.groupBy("sig").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("sig")
-    often = scratch.write(often, "often")  # grows with the documents: never broadcast, at any size
     ids = scratch.write(rows.where("id is not null").select("doc_id", "id").distinct(), "ids")
-    hits = scratch.write(sigs.join(often.hint("merge"), "sig").join(ids, "doc_id").select("sig", "id").distinct(), "hits")
-    scratch.drop(often, ids)
+    shared = []
+    for r in range(ROUNDS):
+        sigs = scan.where(F.col("round") == r).select("sig", "doc_id")
+        often = sigs.groupBy("sig").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("sig")
+        often = scratch.write(often, "often")  # grows with the documents: never broadcast, at any size
+        shared.append(scratch.write(sigs.join(often.hint("merge"), "sig").join(ids, "doc_id").select("sig", "id").distinct(), "hits"))
+        scratch.drop(often)
+    scratch.drop(ids, scan)
+    hits = shared[0]
+    for more in shared[1:]:
+        hits = hits.unionByName(more)
     members = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"k{k}") for k in (1, 2)]
     kept = hits.groupBy("sig").agg(F.min("id").alias("low"), F.count("*").alias("m"), *members).where("m > 1")
     kept = scratch.write(kept.groupBy("low", "m", "k1", "k2").agg(F.min("sig").alias("sig")).select("sig", "low", "m"), "kept")
     buckets = scratch.write(hits.join(kept, "sig").select("sig", "id", "low", "m"), "buckets")
-    scratch.drop(hits, kept)
+    scratch.drop(*shared, kept)
     return buckets
 
 
@@ -330,7 +348,7 @@ def _across(now: DataFrame, points: DataFrame, scratch: Scratch, num: int, den:
 def jaccard_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row: texts link when den * |A & B| >= num * |A | B| of their sets of shingles.
 
-    Equal sets are one class. Classes that share the content of a part (SizeClasses) are dealt to a bucket, whose classes'
+    Equal sets, copies and repeated rows among them, are one class. Classes that share the content of a part (SizeClasses) are dealt to a bucket, whose classes'
     count vectors are the points of an R-tree. Of the pairs that the trees leave, each class's likeliest one with a smaller
     class is verified by whole sets; then, for components that still meet in a bucket, one pair of members; then all pairs
     that the trees leave between different components. Components are exact; a pair inside a component needs no verifying.
@@ -345,12 +363,13 @@ def jaccard_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    scan = scratch.write(docs.mapInArrow(_scan(words, num, den), _SCAN), "scan")
-    rows = _classes(scan.where("n is not null").drop("sig"), scratch)
-    buckets = _buckets(scan.where("sig is not null").select("sig", "doc_id"), rows, scratch)
-    scratch.drop(scan)
+    scan = scratch.write(docs.mapInArrow(_scan(words, num, den), _SCAN), "scan", by="round")
+    heads = scratch.write(scan.where("round = -1").select("doc_id", "n", "c1", "c2", "point"), "heads")
+    rows = _classes(heads.drop("point"), scratch)
+    buckets = _buckets(scan, rows, scratch)
     wanted = scratch.write(buckets.select(F.col("id").alias("doc_id")).distinct(), "wanted")
-    points = scratch.write(docs.join(wanted, "doc_id").mapInArrow(_points(words), "id long, n long, point binary, elements binary"), "points")
+    points = scratch.write(heads.where("n > 0").join(wanted, "doc_id").select(F.col("doc_id").alias("id"), "n", "point").distinct(), "points")
+    scratch.drop(heads)
 
     # for each class, the likeliest pair that the trees of its buckets leave
     nb = F.ceil(F.col("m") / block).cast("int")
@@ -361,7 +380,7 @@ def jaccard_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
     dealt = dealt.select("sig", "x", "id", "n", "point").repartition("sig", "x").sortWithinPartitions("sig", "x")
     tried = dealt.mapInArrow(_likeliest(num, den), "a long, b long, most double").groupBy("b").agg(F.max_by("a", F.struct("most", -F.col("a"))).alias("a"))
     tried = scratch.write(tried.select("a", "b"), "likeliest")
-    found = components(_linked(tried, points, scratch, num, den), scratch)
+    found = components(_linked(tried, points, docs, words, scratch, num, den), scratch)
 
     def mixed(found: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Buckets' rows with their components, and the buckets that have more than one."""
@@ -380,7 +399,7 @@ def jaccard_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
         if several.isEmpty():
             break
         pairs = scratch.write(step(now, points, scratch, num, den, block).join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = joined(found, _linked(pairs, points, scratch, num, den))
+        found = joined(found, _linked(pairs, points, docs, words, scratch, num, den))
         tried = tried.unionByName(pairs)
     scratch.drop(buckets, points)
     known = rows.where("id is not null").join(found, F.col("id") == F.col("node"), "left").select("doc_id", "n", F.coalesce("component", "id").alias("component_id"))
