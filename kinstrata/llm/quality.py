@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .common import shared_dir, slices, small_batches, table
 
 FOLDS, THRESHOLD, SAMPLE = 5, 0.3, 20_000
+CUTS = 200  # thresholds at which the class prior is looked for
 _PUNCT = [c for c in range(33, 127) if not chr(c).isalnum()]
 
 
@@ -35,11 +36,22 @@ def features(text: str | None) -> np.ndarray:
     ])
 
 
+WIDTH = len(features(""))
+
+
+def risk(fp: np.ndarray, fu: np.ndarray, prior: float) -> tuple[float, float]:
+    """(risk, negative part) of scores of positives and of unlabelled texts, with the logistic loss l.
+
+    The negative part, E_U[l(-f)] - prior * E_P[l(-f)], estimates the risk on negatives; below 0 it counts as 0.
+    """
+    negative = float(np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean())
+    return float(prior * np.logaddexp(0, -fp).mean()) + max(0.0, negative), negative
+
+
 def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """(mean, scale, weights, bias) of a logistic scorer, by Adam on whole samples.
+    """(mean, scale, weights, bias) of a logistic scorer that minimises ``risk``, by Adam on whole samples.
 
-    Risk: prior * E_P[l(f)] + max(0, E_U[l(-f)] - prior * E_P[l(-f)]) with logistic l. Where the second part is negative,
-    the step goes against its gradient, so that the scorer doesn't overfit the positives.
+    Where the negative part is below 0, the step goes against its gradient, so that the scorer doesn't overfit the positives.
     """
     every = np.concatenate([positive, unlabelled])
     mean, scale = every.mean(0), every.std(0) + 1e-3
@@ -53,7 +65,7 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
 
     for t in range(1, steps + 1):
         fp, fu = p @ w + b, u @ w + b
-        negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+        _, negative = risk(fp, fu, prior)
         gp, gu = prior * (sigma(fp) - 1) / len(p), sigma(fu) / len(u)
         gn = -prior * sigma(fp) / len(p)
         if negative >= 0:
@@ -67,6 +79,20 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     return mean, scale, w, float(b)
 
 
+def class_prior(held: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among the unlabelled, from scores of both; no fit has seen the positives ``held``.
+
+    At a cut that unlabelled texts pass as often as that share of the positives would, no negative passes: the prior is the least
+    ratio of the two shares over the cuts, where the uncertainty of the counts is added before ratios are compared.
+    """
+    cuts = np.unique(np.quantile(held, np.linspace(0, 1, CUTS)))
+    p = 1 - np.searchsorted(np.sort(held), cuts) / len(held)
+    u = 1 - np.searchsorted(np.sort(unlabelled), cuts) / len(unlabelled)
+    doubt = np.sqrt(np.log(40) / 2 / len(unlabelled)) + np.sqrt(np.log(40) / 2 / len(held))
+    best = int(np.argmin((u + doubt) / p))
+    return float(np.clip(u[best] / p[best], 0.01, 0.99))
+
+
 def score(x: np.ndarray, model) -> np.ndarray:
     mean, scale, w, b = model
     z = np.clip((x - mean) / scale, -8, 8)
@@ -94,28 +120,33 @@ def _sampled(docs: DataFrame, about: int, seed: int, most: int) -> np.ndarray:
     rows = docs.select(F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(_DRAWS)).alias("draw"), "text")
     rows = rows.where(F.col("draw") < int(min(1.0, 1.2 * most / max(1, about)) * _DRAWS)).mapInArrow(run, "draw long, x array<double>")
     got = rows.orderBy("draw", "x").limit(most).toArrow().column("x")
-    return np.array(got.to_pylist(), np.float64).reshape(len(got), -1)
+    return np.array(got.to_pylist(), np.float64).reshape(len(got), WIDTH)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     """Fit on at most ``sample`` trusted positives and as many unlabelled documents, drawn by hashes of ids and texts.
 
-    Labels are used of rows out of the held-out fold alone: quality 1 as positives, and the share of 1 as the class prior.
-    None if there are no positives. Only feature vectors of the samples reach the driver.
+    Labels are used of rows out of the held-out fold alone, and of these quality 1 alone, as positives; the class prior comes from
+    positives and unlabelled texts (a fit on half of the positives scores the other half). None if no positive is a document.
+    Only feature vectors of the samples reach the driver.
     """
-    known = labels.where("doc_id is not null and quality is not null").where(~held_out("doc_id")).select(F.col("doc_id").cast("long"), "quality").distinct()
-    n, ones = known.agg(F.count("*"), F.coalesce(F.sum((F.col("quality") == 1).cast("long")), F.lit(0))).first()
+    known = labels.where("doc_id is not null and quality = 1").where(~held_out("doc_id")).select(F.col("doc_id").cast("long")).distinct()
+    ones = known.count()
     if not ones:
         return None
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     # at most ``sample`` ids, so that they are sent to the documents and no text is shuffled
     draw = F.xxhash64("doc_id", F.lit(9))
-    ids = known.where("quality = 1").orderBy(draw, "doc_id").limit(sample).select("doc_id")
+    ids = known.orderBy(draw, "doc_id").limit(sample)
     positive = _sampled(docs.join(F.broadcast(ids), "doc_id", "left_semi"), min(ones, sample), 9, sample)
     unlabelled = _sampled(docs, docs.count(), 10, sample)
     if not len(positive) or not len(unlabelled):
         return None
-    return fit_nnpu(positive, unlabelled, min(0.99, (ones + 1) / (n + 2)))
+    prior = 0.5
+    if len(positive) >= 20:
+        first = fit_nnpu(positive[::2], unlabelled, prior, steps=150)
+        prior = class_prior(score(positive[1::2], first), score(unlabelled, first))
+    return fit_nnpu(positive, unlabelled, prior)
 
 
 def quality_scores(docs: DataFrame, model, keep: list[str] = (), name: str = "score") -> DataFrame:
@@ -127,7 +158,7 @@ def quality_scores(docs: DataFrame, model, keep: list[str] = (), name: str = "sc
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = part.column("text").to_pylist()
-                s = score(np.array([features(t) for t in texts]), model) if model else np.full(len(texts), 0.5)
+                s = score(np.array([features(t) for t in texts]).reshape(len(texts), WIDTH), model) if model else np.full(len(texts), 0.5)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(s)], [*keep, name])
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{name}` double"])
