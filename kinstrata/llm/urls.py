@@ -72,8 +72,16 @@ def segment(word: str, known: dict[tuple[int, int], int], total: int) -> list[st
     return out[::-1]
 
 
+#: Words of at most so many letters are looked up whole; longer ones by so many first letters, and then compared.
+SHORT = 24
+
+
 def segmented(labels: DataFrame, counts: DataFrame, total: int) -> DataFrame:
-    """(label, words) of distinct labels. Substrings meet the word counts in a join, so the word list is never sent to tasks."""
+    """(label, words) of distinct labels. Substrings meet the word counts in joins, so the word list is never sent to tasks.
+
+    A label has a row for each place and each of at most SHORT lengths of short words, and one for each place where a long word may
+    begin; rows carry a digest in place of a long label. So a label of m letters makes at most (SHORT + 1) * m short rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,12 +89,18 @@ def segmented(labels: DataFrame, counts: DataFrame, total: int) -> DataFrame:
             out = [segment(r["label"], {(k["at"], k["n"]): k["c"] for k in r["known"] or ()}, total) for r in rows]
             yield pa.RecordBatch.from_arrays([pa.array([r["label"] for r in rows], pa.string()), pa.array(out, pa.list_(pa.string()))], ["label", "words"])
 
-    most = counts.agg(F.coalesce(F.max(F.length("word")), F.lit(1))).first()[0]
-    starts = labels.select("label", F.explode(F.sequence(F.lit(0), F.length("label") - 1)).alias("at"))
-    longest = F.least(F.lit(most), F.length("label") - F.col("at"))
-    subs = starts.select("label", "at", F.explode(F.sequence(F.lit(1), longest)).alias("n")).withColumn("word", F.substr("label", F.col("at") + 1, F.col("n")))
-    found = subs.join(counts, "word").groupBy("label").agg(F.collect_list(F.struct("at", "n", F.col("c"))).alias("known"))
-    return labels.join(found, "label", "left").select("label", "known").mapInArrow(run, "label string, words array<string>")
+    named = F.when(F.length("label") <= 40, F.col("label")).otherwise(F.concat(F.lit("#"), F.sha2("label", 256)))
+    labels = labels.withColumn("id", named)
+    starts = labels.select("id", "label", F.explode(F.sequence(F.lit(0), F.length("label") - 1)).alias("at"))
+    starts = starts.select("id", "at", (F.length("label") - F.col("at")).alias("left"), F.substr("label", F.col("at") + 1, F.lit(SHORT)).alias("head"))
+    subs = starts.select("id", "at", "head", F.explode(F.sequence(F.lit(1), F.length("head"))).alias("n")).select("id", "at", "n", F.substr("head", F.lit(1), F.col("n")).alias("word"))
+    found = subs.join(counts.where(F.length("word") <= SHORT), "word").select("id", "at", "n", "c")
+    heads = starts.where(F.col("left") > SHORT)
+    long = counts.where(F.length("word") > SHORT).select("word", "c", F.length("word").alias("n"), F.substring("word", 1, SHORT).alias("head"))
+    maybe = heads.join(long, "head").where("n <= left").join(labels, "id")
+    found = found.unionByName(maybe.where(F.substr("label", F.col("at") + 1, F.col("n")) == F.col("word")).select("id", "at", "n", "c"))
+    found = found.groupBy("id").agg(F.collect_list(F.struct("at", "n", "c")).alias("known"))
+    return labels.join(found, "id", "left").select("label", "known").mapInArrow(run, "label string, words array<string>")
 
 
 def held_out(page_id: Column) -> Column:
