@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from html import unescape
 
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import shared_dir, slices, small_batches, table
 
 FRAME, CONTENT, OTHER = 0, 1, 2
+DEEPEST = 512  # elements nested deeper stand beside one another at this depth, as in browsers; their text stays
 UNSEEN = ".?"  # the fact that an element has a name which training pages don't
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(>|\Z)""", re.S)
 _ATTR = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -44,6 +45,8 @@ class Tree:
         self.text: dict[int, str] = {}
 
     def add(self, parent: int, tag: str, facts: tuple[str, ...]) -> int:
+        if self.depth[parent] >= DEEPEST:
+            parent = self.parent[parent]
         self.parent.append(parent)
         self.depth.append(self.depth[parent] + 1)
         self.tag.append(tag)
@@ -54,6 +57,7 @@ class Tree:
 def parse_html(page: str) -> Tree:
     """A forgiving reading: end tags may be missing or stray, tags cut off at the end are dropped, raw elements have no text."""
     tree, stack = Tree(), [("#root", 0)]
+    opened: dict[str, list[int]] = defaultdict(list)  # places in the stack by name, so that no tag walks the stack
     run: list[str] = []
     linked, in_link, at = 0, 0, 0
 
@@ -74,9 +78,19 @@ def parse_html(page: str) -> Tree:
         nonlocal in_link
         if any(t not in _INLINE for t, _ in stack[k:]):
             close_run()
-        in_link -= sum(t == "a" for t, _ in stack[k:])
+        for t, _ in reversed(stack[k:]):
+            opened[t].pop()
+            in_link -= t == "a"
         del stack[k:]
 
+    def last(names: Iterable[str]) -> int:
+        """The place in the stack of the innermost open element with one of the names; 0 if there is none."""
+        return max((opened[t][-1] for t in names if opened.get(t)), default=0)
+
+    def push(name: str, node: int) -> None:
+        opened[name].append(len(stack))
+        stack.append((name, node))
+
     while at < len(page):
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else len(page)]
@@ -91,8 +105,7 @@ def parse_html(page: str) -> Tree:
             continue
         name = name.lower()
         if ends:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
-            if k:
+            if k := last((name,)):
                 pop_to(k)
             continue
         if name == "br":
@@ -105,29 +118,21 @@ def parse_html(page: str) -> Tree:
                 at = page.find(">", at) + 1 or len(page)
             continue
         if name in _P_ENDS:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    pop_to(k)
-                    break
-                if stack[k][0] in _SCOPE:
-                    break
+            if (k := last(("p",))) > last(_SCOPE):
+                pop_to(k)
         if same := _SAME_ENDS.get(name):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in same:
-                    pop_to(k)
-                    break
-                if stack[k][0] in _SCOPE - same:
-                    break
+            if (k := last(same)) > last(_SCOPE - same):
+                pop_to(k)
         if name in _VOID:
             if name not in _INLINE:
                 close_run() if name == "hr" else None
             continue
         if name in _INLINE:
-            stack.append((name, stack[-1][1]))
+            push(name, stack[-1][1])
             in_link += name == "a"
             continue
         close_run()
-        stack.append((name, tree.add(stack[-1][1], name, _attr_words(attrs) if attrs.strip() else ())))
+        push(name, tree.add(stack[-1][1], name, _attr_words(attrs) if attrs.strip() else ()))
     close_run()
     return tree
 
@@ -140,7 +145,11 @@ _SIDE = (
     "nav", "header", "footer", "aside", "form", "menu", "dialog", "div.ad", "div.ads", "div.advert", "div.advertisement", "div.sponsored", "div.promo", "div.banner", "div.cookie-notice", "div.notice", "div.consent",
     "div.gdpr", "div.alert", "div.popup", "div.modal", "div.sidebar", "aside.sidebar", "div.rail", "div.widget", "div.related", "div.recommended", "div.share", "div.social", "div.menu", "div.navbar", "div.breadcrumb",
     "div.header", "div.masthead", "div.topbar", "div.footer", "div.copyright", "div.legal", "div.disclaimer", "div.newsletter", "div.subscribe", "div.login", "div.search", "form.search", "section.comments", "div.comments",
-    "div.comment", "ol.comment-list", "div.replies", "div.discussion", "div.thread", "div.disqus-thread", "div.responses", "section.respond", "div.reviews", "div.tags", "div.pagination", "div.toolbar", "ul.nav", "ul.menu", "button", "select", "noscript", "template", "p.notice", "p.copyright", "p.ad",
+    "div.comment", "ol.comment-list", "div.replies", "div.discussion", "div.thread", "div.disqus-thread", "div.responses", "section.respond", "div.reviews", "div.tags", "div.pagination", "div.toolbar", "ul.nav", "ul.menu", "ol.breadcrumb", "ul.pagination", "table.calendar", "dl.meta", "button", "select", "noscript", "template", "p.notice", "p.copyright", "p.ad",
+    "div.secondary", "div.complementary", "div.cc-window", "div.cookiebar", "div.onetrust", "div.toc", "div.colophon", "div.tertiary", "div.side", "div.sidenav", "div.footnav", "div.teaser", "div.outbrain", "div.taboola", "div.trending", "div.author-box",
+    "div.kommentare", "div.kommentar", "div.seitenleiste", "div.randspalte", "div.fusszeile", "div.kopfzeile", "div.werbung", "div.anzeige", "div.hinweis", "div.impressum", "div.datenschutz", "div.verwandt", "div.anmeldung", "div.suche", "div.leiste",
+    "div.commentaires", "div.commentaire", "div.barre-laterale", "div.pied-page", "div.entete", "div.publicite", "div.annonce", "div.avis", "div.mentions-legales", "div.recherche", "div.connexion", "div.partager", "div.abonnement", "div.liens",
+    "div.comentarios", "div.comentario", "div.barra-lateral", "div.pie-pagina", "div.cabecera", "div.publicidad", "div.anuncio", "div.aviso", "div.aviso-legal", "div.buscar", "div.iniciar-sesion", "div.compartir", "div.suscripcion", "div.relacionados",
 )
 
 
@@ -173,7 +182,13 @@ def labelled_pages(n: int = 2000, seed: int = 7) -> Iterator[tuple[str, dict[str
         if r.random() < 0.2:
             body += f' <a href="/x">{words(1, 4)}</a> {words(1, 20)}'
         if r.random() < 0.1:
-            return f"<ul>{''.join(f'<li>{words(2, 18)}</li>' for _ in range(r.randint(2, 6)))}</ul>"
+            kind = r.choice(["ul", "ul", "ol", "ol", "dl", "table"])
+            items = [words(2, 18) for _ in range(r.randint(2, 6))]
+            if kind == "dl":
+                return f"<dl>{''.join(f'<dt>{words(1, 3)}</dt><dd>{x}</dd>' for x in items)}</dl>"
+            if kind == "table":
+                return f"<table>{''.join(f'<tr><td>{words(1, 3)}</td><td>{x}</td></tr>' for x in items)}</table>"
+            return f"<{kind}>{''.join(f'<li>{x}</li>' for x in items)}</{kind}>"
         return f"<{tag}>{body}</{tag}>"
 
     def side() -> str:
@@ -184,7 +199,7 @@ def labelled_pages(n: int = 2000, seed: int = 7) -> Iterator[tuple[str, dict[str
             body = f"<ul>{''.join(f'<li><a href=/y>{words(1, 3)}</a></li>' for _ in range(r.randint(2, 8)))}</ul>"
         elif how < 0.6:
             body = words(1, 30)
-        elif how < 0.85 or "comment" in spec or "thread" in spec or "respon" in spec:
+        elif how < 0.85 or any(x in spec for x in ("comment", "thread", "respon", "komment", "coment")):
             body = "".join(f"<p>{words(1, 60)}</p>" for _ in range(r.randint(1, 5)))
         else:
             body = f"<div><h3>{words(1, 5)}</h3><p>{words(2, 25)} <a href=/z>{words(1, 3)}</a></p></div>"
