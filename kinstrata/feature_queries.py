@@ -49,7 +49,7 @@ def _(spark, d):
     return table(spark, d, "documents").groupBy(Q.problems(F.col("text")).alias("problem")).agg(F.count("*").alias("n"))
 
 
-@on_variants("kb_summary", " SELECT DISTINCT concat_ws('; ', CASE WHEN pathway <> '.' THEN 'PATHWAY=' || CASE WHEN length(pathway) > 20 THEN substr(pathway, 1, 20) || '...' ELSE pathway END END, 'CLASS=' || CASE WHEN length(acmg_raw) > 20 THEN substr(acmg_raw, 1, 20) || '...' ELSE acmg_raw END) AS kb FROM variants")
+@on_variants("kb_fields", " SELECT DISTINCT concat_ws('; ', CASE WHEN pathway <> '.' THEN 'PATHWAY=' || CASE WHEN length(pathway) > 20 THEN substr(pathway, 1, 20) || '...' ELSE pathway END END, 'CLASS=' || CASE WHEN length(acmg_raw) > 20 THEN substr(acmg_raw, 1, 20) || '...' ELSE acmg_raw END) AS kb FROM variants")
 def _(v):
     return v.select(T.summary(20, PATHWAY=F.col("pathway"), CLASS=F.col("acmg_raw")).alias("kb")).distinct()
 
@@ -109,7 +109,7 @@ def _(v):
     return v.groupBy("consequence", *(c.alias(n) for n, c in hot.items())).agg(F.count("*").alias("n"))
 
 
-@query("tfidf_cosine_all", f"""WITH w AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '{T.WORD}') AS ws FROM benchmark), t AS (SELECT item_id, unnest(ws) AS term FROM w UNION ALL SELECT item_id, ws[p] || ' ' || ws[p + 1] FROM (SELECT item_id, ws, unnest(generate_series(1, len(ws) - 1)) AS p FROM w)),
+@query("tfidf_cosine", f"""WITH w AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '{T.WORD}') AS ws FROM benchmark), t AS (SELECT item_id, unnest(ws) AS term FROM w UNION ALL SELECT item_id, ws[p] || ' ' || ws[p + 1] FROM (SELECT item_id, ws, unnest(generate_series(1, len(ws) - 1)) AS p FROM w)),
  c AS (SELECT item_id, term, count(*) AS tf FROM t GROUP BY ALL), k AS (SELECT term, count(*) AS df FROM c GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 5000), r AS (SELECT item_id, term, tf * (ln((1 + (SELECT count(*) FROM benchmark)) / (1 + df)) + 1) AS w FROM c JOIN k USING (term)),
  u AS (SELECT item_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS w FROM r) SELECT a.item_id AS i, b.item_id AS j, round(sum(a.w * b.w), 6) AS sim FROM u a JOIN u b ON a.term = b.term AND a.item_id < b.item_id GROUP BY ALL""")
 def _(spark, d):
@@ -149,12 +149,12 @@ def _all_views(spark, d):
     return V.two_view_rows(table(spark, d, "embeddings"), "vec_id", F.slice("embedding", 1, 32), F.slice("embedding", 33, 32))
 
 
-@query("infonce_all", TWO_ALL + ", l AS (SELECT ln(sum(exp(sim / 0.07))) - max(sim / 0.07) FILTER (WHERE i = j) AS l FROM p GROUP BY i UNION ALL SELECT ln(sum(exp(sim / 0.07))) - max(sim / 0.07) FILTER (WHERE i = j) FROM p GROUP BY j) SELECT round(avg(l), 6) AS loss FROM l")
+@query("infonce", TWO_ALL + ", l AS (SELECT ln(sum(exp(sim / 0.07))) - max(sim / 0.07) FILTER (WHERE i = j) AS l FROM p GROUP BY i UNION ALL SELECT ln(sum(exp(sim / 0.07))) - max(sim / 0.07) FILTER (WHERE i = j) FROM p GROUP BY j) SELECT round(avg(l), 6) AS loss FROM l")
 def _(spark, d):
     return _all_views(spark, d).agg(F.round(F.avg("loss"), 6).alias("loss"))
 
 
-@query("recall_at_k_all", TWO_ALL + ", r AS (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS r FROM p UNION ALL SELECT i, j, row_number() OVER (PARTITION BY j ORDER BY sim DESC, i) FROM p) SELECT " + ", ".join(f"round(avg(CAST(r <= {k} AS INT)), 6) AS recall_{k}" for k in (1, 5, 10)) + " FROM r WHERE i = j")
+@query("recall_at_k", TWO_ALL + ", r AS (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS r FROM p UNION ALL SELECT i, j, row_number() OVER (PARTITION BY j ORDER BY sim DESC, i) FROM p) SELECT " + ", ".join(f"round(avg(CAST(r <= {k} AS INT)), 6) AS recall_{k}" for k in (1, 5, 10)) + " FROM r WHERE i = j")
 def _(spark, d):
     return _all_views(spark, d).agg(*(F.round(F.avg((F.col("rank") <= k).cast("double")), 6).alias(f"recall_{k}") for k in (1, 5, 10)))
 
@@ -166,7 +166,7 @@ def _(spark, d):
 
 
 @query("mutation_features", """WITH e AS (SELECT vec_id, p, CAST(embedding[p] AS DOUBLE) AS r, CAST(embedding[p + 32] AS DOUBLE) AS a FROM embeddings, generate_series(1, 32) AS s(p)),
- f AS (SELECT vec_id, p - 1 AS place, r AS x FROM e UNION ALL SELECT vec_id, p + 31, a FROM e UNION ALL SELECT vec_id, p + 63, a - r FROM e UNION ALL SELECT vec_id, p + 95, abs(a - r) FROM e UNION ALL SELECT vec_id, p + 127, a * r FROM e) SELECT vec_id, \"at\", round(x, 6) AS x FROM f""")
+ f AS (SELECT vec_id, p - 1 AS place, r AS x FROM e UNION ALL SELECT vec_id, p + 31, a FROM e UNION ALL SELECT vec_id, p + 63, a - r FROM e UNION ALL SELECT vec_id, p + 95, abs(a - r) FROM e UNION ALL SELECT vec_id, p + 127, a * r FROM e) SELECT vec_id, place, round(x, 6) + 0.0 AS x FROM f""")
 def _(spark, d):
     e = F.transform("embedding", lambda x: x.cast("double"))
     t = table(spark, d, "embeddings").select("vec_id", F.posexplode(V.mutation_features(F.slice(e, 1, 32), F.slice(e, 33, 32))).alias("place", "x"))
@@ -195,6 +195,3 @@ def _(spark, d):
     m = E.classification_metrics(table(spark, d, "labels"), "quality", "toxic")
     return m.select(*(F.round(c, 6).alias(c) for c in m.columns))
 
-
-for _name in ("infonce", "recall_at_k", "tfidf_cosine"):
-    QUERIES[_name], SQL[_name] = QUERIES[f"{_name}_all"], SQL[f"{_name}_all"]

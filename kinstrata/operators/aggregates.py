@@ -63,13 +63,21 @@ FLAGS = ("germ_pass", "som_pass", "cnv_pass", "row_pass", "loh_patho", "pathway_
 
 
 def collapse_patients(flagged: DataFrame, d: Dialect = GENOME, keep: list[Column] = ()) -> DataFrame:
-    """A row per family, patient and locus: presence by origin, greatest depth and fraction by origin, greatest class and flags, and ``keep`` (payload)."""
+    """A row per family, patient and locus: presence by origin, greatest depth and fraction by origin, greatest class and flags, and
+    ``keep`` (payload). affected 0/1: the patient's cancer status as the dialect counts it (Dialect.cancer)."""
     g, s = F.col("origin") == "germline", F.col("origin") == "somatic"
-    return flagged.groupBy("family_id", "patient_id", *LOCUS).agg(
+    patients = flagged.groupBy("family_id", "patient_id", *LOCUS).agg(
         F.max(g.cast("int") if d.germ_rows else F.lit(0)).alias("has_germ"), F.max(s.cast("int")).alias("has_som"), F.max(F.when(g, F.col("dp"))).alias("dp_germ"), F.max(F.when(s, F.col("dp"))).alias("dp_som"),
         F.max(F.when(g, F.col("vaf"))).alias("vaf_germ"), F.max(F.when(s, F.col("vaf"))).alias("vaf_som"), F.max(F.when(g, F.col("acmg"))).alias("acmg_germ"), F.max("acmg").alias("acmg"),
         *(F.max(c).alias(c) for c in FLAGS), F.count("*").alias("n_rows"), *keep,
     )
+    if d.cancer == "row":
+        return patients.withColumn("affected", F.col("has_som"))
+    # a row per patient, few beside the loci
+    status = flagged.groupBy("family_id", "patient_id").agg(F.max(s.cast("int")).alias("affected"))
+    a, b = patients.alias("a"), status.alias("b")
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in ("family_id", "patient_id")]
+    return a.join(b, same, "left").select("a.*", F.coalesce("b.affected", F.lit(0)).alias("affected"))
 
 
 def patient_evidence(patients: DataFrame, d: Dialect = MERGED, genes: list[str] = (), drivers: list[str] = (), texts: list[str] = ()) -> DataFrame:
@@ -96,8 +104,8 @@ def segregation(n_pat: Column, n_cancer: Column, n_non: Column, overwrites: bool
 
 
 def collapse_families(patients: DataFrame, d: Dialect = GENOME, keep: list[Column] = ()) -> DataFrame:
-    """A row per family and locus with carrier counts, segregation, family evidence, integrated score, class and its reasons, and ``keep`` (payload)."""
-    cancer = F.col("has_som") == 1
+    """A row per family and locus with carrier counts (affected ones by ``affected``), segregation, family evidence, integrated score, class and its reasons, and ``keep`` (payload)."""
+    cancer = F.col("affected") == 1
     two_hit = F.col("two_hit") if "two_hit" in patients.columns else F.lit(0)
     out = patients.groupBy("family_id", *LOCUS).agg(
         F.count("*").alias("n_patients"), F.count_if(cancer).alias("n_cancer"), F.count_if(~cancer).alias("n_noncancer"), F.count_if((F.col("has_germ") == 1) & (F.col("has_som") == 0)).alias("n_germ_only"),

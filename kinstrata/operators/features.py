@@ -119,19 +119,25 @@ def stratified(df: DataFrame, key: str, label: str, n: int, seed: int = 0) -> Da
 
 def held_out_families(df: DataFrame, families: Column, held: list[str] | None = None, pattern: str | None = None, share: float | None = None, seed: int = 0) -> DataFrame:
     """split: test where any of a row's families is held out: those named, else those whose name has the pattern (ValueError if
-    none has), else that share of all families, those with the least hashes (one at least)."""
-    if held is None:
-        every = df.select(F.explode(families).alias("f")).distinct()
-        if pattern is not None:
-            chosen = every.where(F.col("f").rlike(pattern))
-            if chosen.isEmpty():
-                raise ValueError(f"no family matches {pattern!r}")
-        else:
-            chosen = every.orderBy(F.xxhash64("f", F.lit(seed)), "f").limit(max(1, round((share or 0.0) * every.count())))
-        rows = df.withColumn("__row", F.monotonically_increasing_id()).withColumn("__f", families)
-        hit = rows.select("__row", F.explode("__f").alias("f")).join(chosen, "f", "left_semi").select("__row").distinct().withColumn("__hit", F.lit(1))
-        return rows.join(hit, "__row", "left").withColumn("split", F.when(F.col("__hit") == 1, "test").otherwise("train")).drop("__row", "__f", "__hit")
-    return df.withColumn("split", F.when(F.arrays_overlap(families, F.array(*map(F.lit, held))), "test").otherwise("train"))
+    none has), else that share of all families, those with the least hashes (one at least).
+
+    A row's split follows from its own families: by the pattern, or by the greatest hash that is held out, a single value
+    found beforehand. So it doesn't depend on how rows are dealt or computed again. Rows without families are train.
+    """
+    if held is not None:
+        hit = F.arrays_overlap(families, F.array(*map(F.lit, held)))
+    elif pattern is not None:
+        hit = F.exists(families, lambda f: f.rlike(pattern))
+        if df.where(hit).isEmpty():
+            raise ValueError(f"no family matches {pattern!r}")
+    else:
+        place = lambda f: F.struct(F.xxhash64(f, F.lit(seed)).alias("h"), f.alias("f"))
+        every = df.select(F.explode(families).alias("f")).where("f is not null").distinct().select(place(F.col("f")).alias("p"))
+        last = every.orderBy("p").limit(max(1, round((share or 0.0) * every.count()))).agg(F.max("p").alias("p")).first()["p"]
+        if last is None:
+            return df.withColumn("split", F.lit("train"))
+        hit = F.exists(families, lambda f: place(f) <= F.struct(F.lit(last["h"]).cast("long").alias("h"), F.lit(last["f"]).alias("f")))
+    return df.withColumn("split", F.when(hit, "test").otherwise("train"))
 
 
 def worker_share(df: DataFrame, place: str, worker: int, workers: int) -> DataFrame:

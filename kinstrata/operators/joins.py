@@ -57,12 +57,36 @@ def as_of_segment(points: DataFrame, segs: DataFrame, width: int = 100_000) -> D
     return out.select("__p.*", F.col("__s.seg_id").alias("seg_id"), F.coalesce((F.col("pos") <= F.col("__s.seg_end")).cast("int"), F.lit(0)).alias("hit"))
 
 
-def containing_segments(points: DataFrame, segs: DataFrame, width: int = 100_000) -> DataFrame:
-    """Pairs with seg_start <= pos <= seg_end: segments are dealt into bins of ``width`` bases, so the join is by equality first."""
-    bins = segs.withColumn("__b", F.explode(F.sequence(F.floor(F.col("seg_start") / width), F.floor(F.col("seg_end") / width))))
-    p = points.withColumn("__b", F.floor(F.col("pos") / width))
-    on = (p["chrom"] == bins["seg_chrom"]) & (p["__b"] == bins["__b"]) & p["pos"].between(bins["seg_start"], bins["seg_end"])
-    return p.join(bins, on).drop("__b", "seg_chrom")
+LEVELS = 8  # widths of 10 kb, 80 kb ... 21 Gb
+
+
+def interval_bins(segs: DataFrame, width: int = 10_000) -> DataFrame:
+    """segs, each once or twice, with __level and __b: the narrowest bins (of width * 8**level bases) that a segment's length fits in,
+    so that it lies in one of them or in two neighbours. A segment that ends before it starts is dropped: it contains nothing."""
+    length = F.col("seg_end") - F.col("seg_start") + 1
+    level, size = F.lit(LEVELS - 1), F.lit(width * 8 ** (LEVELS - 1))
+    for k in range(LEVELS - 2, -1, -1):
+        fits = length <= width * 8**k
+        level, size = F.when(fits, k).otherwise(level), F.when(fits, width * 8**k).otherwise(size)
+    dealt = segs.where("seg_end >= seg_start").withColumns({"__level": level, "__size": size.cast("long")})
+    ends = F.array_distinct(F.array(F.floor(F.col("seg_start") / F.col("__size")), F.floor(F.col("seg_end") / F.col("__size"))))
+    return dealt.withColumn("__b", F.explode(ends)).drop("__size")
+
+
+def containing_segments(points: DataFrame, segs: DataFrame, width: int = 10_000) -> DataFrame:
+    """Pairs with seg_start <= pos <= seg_end, by an index of bins of eight widths: a segment is dealt into one or two bins whatever
+    its length, and a point asks one bin of each width that any segment has. The join is by equality first."""
+    bins = interval_bins(segs, width)
+    levels = bins.select("__level").distinct()  # LEVELS rows at most
+    p = points.crossJoin(F.broadcast(levels)).withColumn("__b", F.floor(F.col("pos") / (F.lit(width) * F.pow(F.lit(8.0), F.col("__level")))))
+    on = F.expr("p.chrom = s.seg_chrom AND p.__level = s.__level AND p.__b = s.__b AND p.pos BETWEEN s.seg_start AND s.seg_end")
+    kept = [f"p.`{c}`" for c in points.columns] + [f"s.`{c}`" for c in segs.columns if c != "seg_chrom"]
+    return p.alias("p").join(bins.alias("s"), on).select(*kept)
+
+
+def in_order(segs: DataFrame) -> DataFrame:
+    """Segments whose ends were swapped are turned round."""
+    return segs.withColumns({"seg_start": F.least("seg_start", "seg_end"), "seg_end": F.greatest("seg_start", "seg_end")})
 
 
 def compare_lists(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -77,7 +101,7 @@ def suspect_loci(variants: DataFrame, segs: DataFrame, how: str) -> DataFrame:
         return variants.withColumn("loh_patho", F.lit(0))
     loci = variants.select("chrom", "pos").distinct()
     if how == "as_of":
-        near = as_of_segment(loci, segs).where("hit = 1").join(segs.select("seg_id", "seg_loh"), "seg_id").select("chrom", "pos", F.col("seg_loh").alias("loh_patho"))
+        near = as_of_segment(loci, in_order(segs)).where("hit = 1").join(segs.select("seg_id", "seg_loh"), "seg_id").select("chrom", "pos", F.col("seg_loh").alias("loh_patho"))
     else:
         near = containing_segments(loci, segs).groupBy("chrom", "pos").agg(F.min_by("seg_loh", "seg_id").alias("loh_patho"))
     return variants.join(near.where("loh_patho = 1"), ["chrom", "pos"], "left").withColumn("loh_patho", F.coalesce("loh_patho", F.lit(0)))
@@ -90,7 +114,8 @@ def full_outer_annotate(calls: DataFrame, annotations: DataFrame, keys: list[str
 
 
 def group_max(df: DataFrame, keys: list[str], col: str, out: str) -> DataFrame:
-    """Each row with the greatest ``col`` of its group, by an aggregate that is joined back: a large group is no task's own work."""
+    """Each row with the greatest ``col`` of its group, by an aggregate that is joined back. The aggregate is summed map-side; Spark splits a
+    large group's rows in the join only where both sides are shuffled, so write ``df`` as a table first if one group may be very large."""
     top = df.groupBy(*keys).agg(F.max(col).alias(out))
     left, right = df.alias("l"), top.alias("r")
     on = reduce(and_, (F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys))
@@ -107,12 +132,22 @@ def one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return once(left, "left").join(once(right, "right"), key)
 
 
-def homozygous_runs(points: DataFrame, runs: DataFrame, limits: tuple[float, float | None] | None) -> DataFrame:
-    """points(chrom, pos, ...) with in_roh and high 0/1: whether any run (seg_chrom, seg_start, seg_end, phom, phet) contains the place,
-    and any such run has at least limits[0] homozygous and at most limits[1] heterozygous sites. None: both are 0."""
+def homozygous_runs(points: DataFrame, runs: DataFrame, limits: tuple[float, float | None] | None, pick: str = "any") -> DataFrame:
+    """points(chrom, pos, ...) with in_roh and high 0/1: whether a run (seg_chrom, seg_start, seg_end, phom, phet) contains the place,
+    and such a run has at least limits[0] homozygous and at most limits[1] heterozygous sites. None: both are 0.
+
+    pick "any": any run around the place. "as_of": only the run with the greatest start up to the place (then the greatest
+    end, then a high one), as one list per chromosome is searched; earlier runs that go on don't count. Ends may be swapped there.
+    """
     if limits is None:
         return points.withColumns({"in_roh": F.lit(0), "high": F.lit(0)})
     high = (F.col("phom") >= limits[0]) & (F.col("phet") <= limits[1] if limits[1] is not None else F.lit(True))
+    runs = runs.withColumn("seg_id", F.coalesce(high, F.lit(False)).cast("int"))
     loci = points.select("chrom", "pos").distinct()
-    hits = containing_segments(loci, runs).groupBy("chrom", "pos").agg(F.lit(1).alias("in_roh"), F.max(F.coalesce(high, F.lit(False)).cast("int")).alias("high"))
+    if pick == "as_of":
+        whole = in_order(runs.where("seg_chrom is not null and seg_start is not null and seg_end is not null"))
+        hits = as_of_segment(loci.where("chrom is not null and pos is not null"), whole.select("seg_chrom", "seg_start", "seg_end", "seg_id")).where("hit = 1")
+        hits = hits.select("chrom", "pos", F.lit(1).alias("in_roh"), F.col("seg_id").alias("high"))
+    else:
+        hits = containing_segments(loci, runs).groupBy("chrom", "pos").agg(F.lit(1).alias("in_roh"), F.max("seg_id").alias("high"))
     return points.join(hits, ["chrom", "pos"], "left").na.fill(0, ["in_roh", "high"])

@@ -133,7 +133,8 @@ def block_products(left: DataFrame, right: DataFrame, run: Callable[[pd.DataFram
     names = [c.split()[0] for c in schema.split(", ")]
 
     def deal(df: DataFrame, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
-        place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(own_n)).cast("int")
+        # by the row's own values: a row that is computed again, say after a join, falls into the same block
+        place = F.pmod(F.xxhash64(*(c for c in ("i", "j", "a", "b") if c in df.columns)), F.lit(own_n)).cast("int")
         return df.withColumn(own, place).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))))
 
     def both(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:

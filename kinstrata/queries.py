@@ -65,12 +65,13 @@ def flags_sql(d: Dialect, segmented: bool = False) -> str:
 def patients_sql(d: Dialect) -> str:
     """The CTEs ``p0`` (a row per patient and locus, with payload) and ``patients`` (with evidence)."""
     pre = f"CAST(has_germ = 1 AND coalesce(acmg_germ, 0) IN {d.acmg_predisposition} AND gene <> '' AS INT)"
+    status = "has_som" if d.cancer == "row" else "(SELECT max(CAST(f.origin = 'somatic' AS INT)) FROM flagged f WHERE f.family_id IS NOT DISTINCT FROM p0.family_id AND f.patient_id IS NOT DISTINCT FROM p0.patient_id)"
     return f"""p0 AS (SELECT family_id, patient_id, chrom, pos, ref, alt, tx, {"max(CAST(origin = 'germline' AS INT))" if d.germ_rows else "0"} AS has_germ, max(CAST(origin = 'somatic' AS INT)) AS has_som,
   max(dp) FILTER (WHERE origin = 'germline') AS dp_germ, max(dp) FILTER (WHERE origin = 'somatic') AS dp_som, max(vaf) FILTER (WHERE origin = 'germline') AS vaf_germ,
   max(vaf) FILTER (WHERE origin = 'somatic') AS vaf_som, max(acmg) FILTER (WHERE origin = 'germline') AS acmg_germ, max(acmg) AS acmg, {", ".join(f"max({c}) AS {c}" for c in A.FLAGS)}, count(*) AS n_rows,
   coalesce(string_agg(DISTINCT pathway, '|' ORDER BY pathway) FILTER (WHERE pathway <> '.'), '') AS pathway, arg_min(gene_name, (ord_key, ord_line)) AS gene,
   coalesce(string_agg(DISTINCT level, '|' ORDER BY level) FILTER (WHERE level <> '.'), '') AS level FROM flagged GROUP BY family_id, patient_id, chrom, pos, ref, alt, tx),
-p1 AS (SELECT *, {pre} AS predisposition, CAST(has_som = 1 AND level <> '' AS INT) AS driver, CAST(has_germ = 1 AND has_som = 1 AND (loh_patho = 1 OR germ_pass + som_pass + cnv_pass >= 2) AS INT) AS two_hit,
+p1 AS (SELECT *, {status} AS affected, {pre} AS predisposition, CAST(has_som = 1 AND level <> '' AS INT) AS driver, CAST(has_germ = 1 AND has_som = 1 AND (loh_patho = 1 OR germ_pass + som_pass + cnv_pass >= 2) AS INT) AS two_hit,
   CAST(regexp_matches(lower(pathway), '{S.LITERATURE}') AS INT) AS literature FROM p0),
 patients AS (SELECT *, least(5, predisposition + 2 * driver + 2 * two_hit + literature) AS evidence FROM p1)"""
 
@@ -94,7 +95,7 @@ f3 AS (SELECT * EXCLUDE (seg_points, own_points, carrier_points, tier_points, or
   concat_ws('|', CASE WHEN germ_pass = 1 THEN 'GERM_PASS' END, CASE WHEN tier_points > 0 THEN 'GERM_TIER+' || tier_points END, CASE WHEN strict = 1 THEN 'TWO_HIT_STRICT' WHEN "partial" = 1 THEN 'TWO_HIT_EVIDENCE' END,
    CASE WHEN seg_points > 0 THEN 'SEG+' || seg_points END, CASE WHEN own_points > 0 THEN 'FAM_EVD+' || own_points END, CASE WHEN carrier_points = 1 THEN 'COUNT_GE_2' END, CASE WHEN pathway_hit = 1 THEN 'PATHWAY_HIT' END,
    CASE WHEN origin_points = 1 THEN 'ORIGIN_MOD+1' END) AS evidence FROM g3)"""
-    return f"""f0 AS (SELECT family_id, chrom, pos, ref, alt, tx, count(*) AS n_patients, count(*) FILTER (WHERE has_som = 1) AS n_cancer, count(*) FILTER (WHERE has_som = 0) AS n_noncancer,
+    return f"""f0 AS (SELECT family_id, chrom, pos, ref, alt, tx, count(*) AS n_patients, count(*) FILTER (WHERE affected = 1) AS n_cancer, count(*) FILTER (WHERE affected = 0) AS n_noncancer,
   count(*) FILTER (WHERE has_germ = 1 AND has_som = 0) AS n_germ_only, count(*) FILTER (WHERE has_germ = 1 AND has_som = 1) AS n_both, string_agg(DISTINCT patient_id, ',' ORDER BY patient_id) AS patient_ids,
   max(acmg_germ) AS acmg_germ, max(two_hit) AS strict, {", ".join(f"max({c}) AS {c}" for c in A.FLAGS)}, coalesce(string_agg(DISTINCT pathway, '|' ORDER BY pathway) FILTER (WHERE pathway <> ''), '') AS pathway,
   arg_min(gene, patient_id) AS gene FROM patients GROUP BY family_id, chrom, pos, ref, alt, tx),
@@ -224,10 +225,6 @@ def _(spark, d):
     return table(spark, d, "benchmark").select("item_id", S.clean_any_sequence(F.col("text")).alias("seq"))
 
 
-QUERIES["revcomp_all"], QUERIES["seq_clean_all"] = QUERIES["revcomp"], QUERIES["seq_clean"]
-SQL["revcomp_all"] = SQL["revcomp"]
-
-
 @on_variants("split_terms", " SELECT pathway, CASE WHEN pathway = '.' THEN '' ELSE array_to_string(list_transform(string_split_regex(pathway, '[;,|]+'), lambda x: trim(x)), '; ') END AS terms, count(*) AS n FROM variants GROUP BY ALL")
 def _(v):
     return v.groupBy("pathway", F.array_join(S.split_terms(F.col("pathway")), "; ").alias("terms")).agg(F.count("*").alias("n"))
@@ -469,12 +466,12 @@ def _(spark, d):
 EMB_ALL = "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.v, b.v), 9) AS sim FROM e a JOIN e b ON a.vec_id <> b.vec_id)"
 
 
-@query("cosine_topk_all", EMB_ALL + " SELECT i, j, rank FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS rank FROM p) WHERE rank <= 5")
+@query("cosine_topk", EMB_ALL + " SELECT i, j, rank FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS rank FROM p) WHERE rank <= 5")
 def _(spark, d):
     return V.nearest(table(spark, d, "embeddings"), "vec_id", "embedding", 5).select("i", "j", "rank")
 
 
-@query("row_softmax_all", EMB_ALL + " SELECT i, round(max(exp((sim - 1) / 0.3)) / sum(exp((sim - 1) / 0.3)), 6) AS top FROM p GROUP BY 1")
+@query("row_softmax", EMB_ALL + " SELECT i, round(max(exp((sim - 1) / 0.3)) / sum(exp((sim - 1) / 0.3)), 6) AS top FROM p GROUP BY 1")
 def _(spark, d):
     return V.softmax_top(table(spark, d, "embeddings"), "vec_id", "embedding", 0.3).withColumn("top", F.round("top", 6))
 
@@ -483,21 +480,17 @@ AFFINITY_SQL = """, d AS (SELECT *, greatest(2 - 2 * sim, 0) AS d2 FROM p), k AS
  a AS (SELECT i, j, exp(-d2 / (2 * ((SELECT quantile_disc(d2, 0.5) FROM d) + 1e-8) + 1e-8)) AS a FROM k), b AS (SELECT * FROM a UNION ALL SELECT j, i, a FROM a), c AS (SELECT i, j, max(a) AS a FROM b GROUP BY ALL)"""
 
 
-@query("knn_affinity_all", EMB_ALL + AFFINITY_SQL + " SELECT i, j, round(a, 6) AS a FROM c")
+@query("knn_affinity", EMB_ALL + AFFINITY_SQL + " SELECT i, j, round(a, 6) AS a FROM c")
 def _(spark, d):
     return V.nearest_affinity(table(spark, d, "embeddings"), "vec_id", "embedding", 5).withColumn("a", F.round("a", 6))
 
 
-@query("diffusion_two_steps_all", EMB_ALL + AFFINITY_SQL + ", w AS (SELECT i, j, a / (sum(a) OVER (PARTITION BY i) + 1e-8) AS p FROM c) SELECT x.i, y.j, round(sum(x.p * y.p), 6) AS p FROM w x JOIN w y ON x.j = y.i GROUP BY ALL")
+@query("diffusion_two_steps", EMB_ALL + AFFINITY_SQL + ", w AS (SELECT i, j, a / (sum(a) OVER (PARTITION BY i) + 1e-8) AS p FROM c) SELECT x.i, y.j, round(sum(x.p * y.p), 6) AS p FROM w x JOIN w y ON x.j = y.i GROUP BY ALL")
 def _(spark, d):
     a = V.nearest_affinity(table(spark, d, "embeddings"), "vec_id", "embedding", 5)
     return V.diffusion_step(a.withColumn("block", F.lit(0))).select("i", "j", F.round("p", 6).alias("p"))
 
 
-for _name in ("cosine_topk", "row_softmax", "knn_affinity", "diffusion_two_steps"):
-    QUERIES[_name], SQL[_name] = QUERIES[f"{_name}_all"], SQL[f"{_name}_all"]
-
-
 @on_variants("wasserstein_1d", ", t AS (SELECT family_id, vaf AS x, count(*) FILTER (WHERE origin = 'germline') AS a, count(*) FILTER (WHERE origin = 'somatic') AS b FROM variants GROUP BY ALL), c AS (SELECT family_id, abs(sum(a) OVER w / sum(a) OVER f - sum(b) OVER w / sum(b) OVER f) * (lead(x) OVER w - x) AS g FROM t WINDOW w AS (PARTITION BY family_id ORDER BY x), f AS (PARTITION BY family_id)) SELECT family_id, round(sum(g), 6) AS w1 FROM c GROUP BY 1")
 def _(v):
     return V.wasserstein_1d(v, ["family_id"], F.when(F.col("origin") == "germline", 0).otherwise(1), F.col("vaf")).withColumn("w1", F.round("w1", 6))

@@ -7,15 +7,14 @@ import json
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.encoders import pick, unified_depth
-from ..functions.scalars import acmg_class, allele, info_field, matches, max_ignoring_null, na_if, normalize_chrom, number
-from ..plans.dialect import PATHWAY, REPAIR
+from ..functions.scalars import acmg_class, allele, info_field, is_nonsynonymous, matches, max_ignoring_null, na_if, normalize_chrom, number
+from ..plans.dialect import GENOME, Dialect
 
-# Columns of population frequencies, classifications and pathway texts.
-POP_AF = ("gnomAD_AF", "GnomAD_Genome_AF", "Kaviar_AF", "EVS_MAF", "AF", "MAX_AF", "EXOME_MAX_AF")
+# Columns of classifications, transcripts, clinical significance and genes.
 ACMG = ("Prediction_ACMG_tapes", "EXOME_Prediction_ACMG_tapes", "Prediction_ACMG", "EXOME_Prediction_ACMG", "Classification_ACMG", "EXOME_Classification_ACMG")
 CLNSIG = ("clinvar_CLNSIG", "ClinVar_CLNSIG", "CLIN_SIG")
 GENES = ("Gene_Name", "HGNC_Name", "SYMBOL", "Gene")
-PATHWAY_TEXTS = ("KEGG_Pathway", "GO_biological_process", "Function_description", "Disease_description", "DisGeNET_disease")
+TRANSCRIPTS = ("TX", "Feature_RefSeq", "Transcript", "NM", "Feature")
 ANN_FALLBACK = ("Allele", "Consequence", "IMPACT", "SYMBOL", "Gene", "Feature_type", "Feature", "BIOTYPE")
 
 
@@ -98,15 +97,62 @@ def flatten_all(spark: SparkSession, files: list[str]) -> DataFrame:
     return out
 
 
-def base_table(df: DataFrame, prefix: str = "") -> DataFrame:
-    """Raw columns in their settled form: CHROM normalised, missing tokens null, TX or NO_TX, gene and clnsig (the first column that
-    has a value), dp_uni and vaf_uni, acmg, max_pop_af, pathway flags."""
+def headers(lines: DataFrame) -> DataFrame:
+    """(file, columns, ann_fields, info_ids, format_ids) of lines (file, value): a row per file, from an aggregate over all files' header lines.
+
+    ``columns`` is null for a file without a #CHROM line; ``ann_fields`` are those that this file's own ANN line names, else the usual ones.
+    """
+    v = F.col("value")
+    ids = lambda kind: F.collect_list(F.when(v.startswith(f"##{kind}=<ID="), F.regexp_extract(v, "ID=([^,>]*)", 1)))
+    ann = F.max(F.when(v.startswith("##INFO=<ID=ANN"), v))
+    h = lines.where("value like '#%'").groupBy("file").agg(F.max(F.when(v.startswith("#CHROM"), v)).alias("chrom"), ann.alias("a"), ids("INFO").alias("info_ids"), ids("FORMAT").alias("format_ids"))
+    quoted = F.coalesce(F.nullif(F.regexp_extract("a", "'([^']*)'", 1), F.lit("")), F.regexp_replace(F.regexp_extract("a", "Format: (.*)", 1), '["> ]+$', ""), F.lit(""))
+    fields = F.filter(F.transform(F.split(quoted, r"\|"), lambda f: F.replace(F.trim(f), F.lit(" "), F.lit(""))), lambda f: f != "")
+    usual = F.array(*map(F.lit, ANN_FALLBACK))
+    return h.select("file", F.split(F.substring("chrom", 2, 1 << 30), "\t").alias("columns"), F.when(F.size(fields) > 0, fields).otherwise(usual).alias("ann_fields"), "info_ids", "format_ids")
+
+
+def flatten_many(spark: SparkSession, paths: str | list[str], ann: list[str] = ANN_FALLBACK, info: list[str] = (), sample: list[str] = ("GT", "AD", "DP")) -> DataFrame:
+    """Rows as flatten() gives them, of any number of files in one scan: file, the fixed columns, alt_index and alt, info_<key>,
+    sample_<key> of the first sample, allele_1 and allele_2, ann_<field>.
+
+    Each file has its own header, so fields are found by name in a row of ``headers`` that is joined to the file's records; the
+    plan's size depends on the fields asked for, not on the files. Fields that a file doesn't declare are null. A file with
+    records but no #CHROM line fails the query when its rows are read. Spark picks the join by the headers' size.
+    """
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), "value")
+    h = headers(lines)
+    records = lines.where("value not like '#%' and value <> ''").join(h, "file", "left")
+    known = F.when(F.col("columns").isNull(), F.raise_error(F.concat("file", F.lit(": no #CHROM line")))).otherwise(F.col("columns"))
+    df = records.withColumns({"__c": known.cast("array<string>"), "__p": F.split("value", "\t")})
+    at = lambda values, names, name: F.try_element_at(values, F.nullif(F.array_position(names, F.lit(name)), F.lit(0)).cast("int"))
+    df = df.select("file", "ann_fields", "info_ids", "format_ids", "__p", *(at(F.col("__p"), F.col("__c"), c).alias(c) for c in ("CHROM", "POS", "ID", "REF", "ALT", "QUAL", "INFO", "FORMAT")))
+    df = df.withColumnRenamed("ALT", "alt_raw").withColumns({"CHROM": normalize_chrom(F.col("CHROM")), "POS": number(F.col("POS")).cast("long")})
+    declared = lambda kind, k, c: F.when(F.array_contains(kind, k), c).alias
+    names, values = F.split("FORMAT", ":"), F.split(F.try_element_at("__p", F.lit(10)), ":")
+    made = {f"info_{k}": declared("info_ids", k, info_field(F.col("INFO"), k))(f"info_{k}") for k in info}
+    made |= {f"sample_{k}": declared("format_ids", k, at(values, names, k))(f"sample_{k}") for k in dict.fromkeys([*sample, "GT"])}
+    df = df.withColumns(made)
+    df = df.withColumns({f"allele_{i}": allele(F.col("sample_GT"), i, F.col("REF"), F.col("alt_raw")) for i in (1, 2)})
+    df = df.select("*", F.posexplode(F.split("alt_raw", ",")).alias("__i", "alt")).withColumn("alt_index", F.col("__i") + 1)
+    entries = F.transform(F.split(F.coalesce(info_field(F.col("INFO"), "ANN"), F.lit("")), ","), lambda e: F.split(e, r"\|"))
+    df = df.withColumn("__m", F.filter(entries, lambda e: F.try_element_at(e, F.lit(1)) == F.col("alt"))).select("*", F.explode_outer("__m").alias("__e"))
+    return df.select(
+        "file", "CHROM", "POS", "ID", "REF", "QUAL", "FORMAT", "alt_raw", "alt_index", "alt", *made, "allele_1", "allele_2", *(at(F.col("__e"), F.col("ann_fields"), f).alias(f"ann_{f}") for f in ann),
+    )
+
+
+def base_table(df: DataFrame, prefix: str = "", d: Dialect = GENOME) -> DataFrame:
+    """Raw columns in their settled form: CHROM normalised, missing tokens null, TX or NO_TX (of the first transcript column there is),
+    gene and clnsig (the first column that has a value), dp_uni and vaf_uni, acmg, max_pop_af over the dialect's frequency
+    columns, pathway flags by its patterns, nonsyn (without a Consequence column: as the dialect says)."""
     texts = [f.name for f in df.schema if f.dataType.simpleString() == "string" and f.name not in ("CHROM", "REF", "ALT")]
     out = df.withColumns({c: na_if(F.col(f"`{c}`")) for c in texts} | {"CHROM": normalize_chrom(F.col("CHROM"))})
     out = unified_depth(out, prefix)
-    freqs = [number(F.col(f"`{c}`")) for c in POP_AF if c in out.columns]
-    marks = [F.col(f"`{c}`") for c in PATHWAY_TEXTS if c in out.columns]
-    acmg = pick(out, ACMG)
+    freqs = [number(F.col(f"`{c}`")) for c in d.pop_af if c in out.columns]
+    marks = [F.coalesce(*some) for names in d.pathway_texts if (some := [F.col(f"`{c}`") for c in names if c in out.columns])]
+    acmg, tx, consequence = pick(out, ACMG), pick(out, TRANSCRIPTS), pick(out, d.consequence)
     first = lambda names: F.coalesce(*(F.col(f"`{c}`") for c in names if c in out.columns), F.lit(None).cast("string"))
-    made = {"gene": first(GENES), "clnsig": first(CLNSIG), "TX": F.coalesce(first(("TX",)), F.lit("NO_TX")), "acmg": acmg_class(F.col(acmg)) if acmg else F.lit(None).cast("int"), "max_pop_af": max_ignoring_null(*freqs) if freqs else F.lit(None).cast("double")}
-    return out.withColumns(made | {"pathway_hit": (matches(PATHWAY, *marks) if marks else F.lit(False)).cast("int"), "dna_repair": (matches(REPAIR, *marks) if marks else F.lit(False)).cast("int")})
+    made = {"gene": first(GENES), "clnsig": first(CLNSIG), "TX": F.coalesce(F.col(f"`{tx}`").cast("string") if tx else F.lit(None), F.lit("NO_TX")), "acmg": acmg_class(F.col(acmg)) if acmg else F.lit(None).cast("int"), "max_pop_af": max_ignoring_null(*freqs) if freqs else F.lit(None).cast("double")}
+    made["nonsyn"] = (is_nonsynonymous(F.col(f"`{consequence}`")) if consequence else F.lit(d.no_consequence_passes)).cast("int")
+    return out.withColumns(made | {"pathway_hit": (matches(d.pathway, *marks) if marks else F.lit(False)).cast("int"), "dna_repair": (matches(d.repair, *marks) if marks else F.lit(False)).cast("int")})

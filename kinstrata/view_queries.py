@@ -37,9 +37,13 @@ def _(v):
 
 
 for _d in (GENOME, MERGED, EXOME):
-    _high = "0" if _d.roh is None else f"max(CAST((seg_id % 21) / 20 >= {_d.roh[0]}" + (f" AND (seg_id % 5) / 50 <= {_d.roh[1]}" if _d.roh[1] is not None else "") + " AS INT))"
-    query(f"roh_flags_{_d.name}", f"{WITH_V}, p AS (SELECT DISTINCT chrom, pos FROM variants) SELECT p.chrom, p.pos, {'0' if _d.roh is None else 'CAST(count(seg_id) > 0 AS INT)'} AS in_roh, coalesce({_high}, 0) AS high FROM p LEFT JOIN segments ON chrom = seg_chrom AND pos BETWEEN seg_start AND seg_end GROUP BY ALL")(
-        lambda spark, sf, d=_d: J.homozygous_runs(variants(spark, sf).select("chrom", "pos").distinct(), segments(spark, sf).withColumns({"phom": F.col("seg_id") % 21 / 20, "phet": F.col("seg_id") % 5 / 50}), d.roh))
+    _high = "0" if _d.roh is None else f"CAST((seg_id % 21) / 20 >= {_d.roh[0]}" + (f" AND (seg_id % 5) / 50 <= {_d.roh[1]}" if _d.roh[1] is not None else "") + " AS INT)"
+    _any = f"SELECT p.chrom, p.pos, {'0' if _d.roh is None else 'CAST(count(seg_id) > 0 AS INT)'} AS in_roh, coalesce(max({_high}), 0) AS high FROM p LEFT JOIN segments ON chrom = seg_chrom AND pos BETWEEN seg_start AND seg_end GROUP BY ALL"
+    # of the runs that start up to a place the last one alone counts, whether others go on or not
+    _last = f"""SELECT chrom, pos, CAST(coalesce(pos <= l.e, false) AS INT) AS in_roh, CASE WHEN pos <= l.e THEN l.h ELSE 0 END AS high
+ FROM (SELECT p.chrom, p.pos, max({{'s': seg_start, 'e': seg_end, 'h': {_high}}}) FILTER (WHERE seg_id IS NOT NULL) AS l FROM p LEFT JOIN segments ON chrom = seg_chrom AND seg_start <= pos GROUP BY ALL)"""
+    query(f"roh_flags_{_d.name}", f"{WITH_V}, p AS (SELECT DISTINCT chrom, pos FROM variants) {_last if _d.roh_pick == 'as_of' else _any}")(
+        lambda spark, sf, d=_d: J.homozygous_runs(variants(spark, sf).select("chrom", "pos").distinct(), segments(spark, sf).withColumns({"phom": F.col("seg_id") % 21 / 20, "phet": F.col("seg_id") % 5 / 50}), d.roh, d.roh_pick))
 
 
 @query("cnv_pathogenic", f"""{WITH_V}, s AS (SELECT seg_id, CASE seg_id % 4 WHEN 0 THEN 'Deletion_LOH' WHEN 1 THEN 'No_LOH' WHEN 2 THEN 'Possible_LOH' ELSE 'Unknown' END AS loh, CAST(seg_id % 7 >= 3 AND seg_id % 3 <> 0 AS INT) AS by_rank, CAST(seg_id % 2 = 0 AS INT) AS by_call FROM segments)
