@@ -70,11 +70,11 @@ class SizeClasses:
         return np.concatenate(out)
 
 
-_SCAN = "doc_id long, n long, c1 long, c2 long, point binary, sig long, round int"
+_SCAN = "doc_id long, n long, c1 long, c2 long, point binary, sig long"
 
 
 def _scan(k: int, num: int, den: int):
-    """A row per text (round -1) with its set's size, digest and counts, and rows of its parts' hashes."""
+    """A row per text with its set's size, digest and counts, and rows of its parts' hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = SizeClasses(num, den)
@@ -89,12 +89,12 @@ def _scan(k: int, num: int, den: int):
                     if len(s) and doc is not None:
                         sigs.append(classes.signatures(s).view(np.int64))
                         owners.append(np.full(len(sigs[-1]), doc, np.int64))
-                names, n = ["doc_id", "n", "c1", "c2", "point", "sig", "round"], len(heads)
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*heads, strict=True)), pa.array(points, pa.binary()), pa.nulls(n, pa.int64()), pa.array(np.full(n, -1, np.int32))], names)
+                names, n = ["doc_id", "n", "c1", "c2", "point", "sig"], len(heads)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*heads, strict=True)), pa.array(points, pa.binary()), pa.nulls(n, pa.int64())], names)
                 if sigs:
                     sig = np.concatenate(sigs)
                     none = pa.nulls(len(sig), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(owners)), none, none, none, pa.nulls(len(sig), pa.binary()), pa.array(sig), pa.array((sig % ROUNDS).astype(np.int32))], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(owners)), none, none, none, pa.nulls(len(sig), pa.binary()), pa.array(sig)], names)
 
     return run
 
@@ -297,7 +297,7 @@ def _buckets(scan: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
     ids = scratch.write(rows.where("id is not null").select("doc_id", "id").distinct(), "ids")
     shared = []
     for r in range(ROUNDS):
-        sigs = scan.where(F.col("round") == r).select("sig", "doc_id")
+        sigs = scan.where(F.col("sig").isNotNull() & (F.pmod("sig", F.lit(ROUNDS)) == r)).select("sig", "doc_id")
         often = sigs.groupBy("sig").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("sig")
         often = scratch.write(often, "often")  # grows with the documents: never broadcast, at any size
         shared.append(scratch.write(sigs.join(often.hint("merge"), "sig").join(ids, "doc_id").select("sig", "id").distinct(), "hits"))
@@ -363,8 +363,8 @@ def jaccard_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    scan = scratch.write(docs.mapInArrow(_scan(words, num, den), _SCAN), "scan", by="round")
-    heads = scratch.write(scan.where("round = -1").select("doc_id", "n", "c1", "c2", "point"), "heads")
+    scan = scratch.write(docs.mapInArrow(_scan(words, num, den), _SCAN), "scan")
+    heads = scratch.write(scan.where("n is not null").select("doc_id", "n", "c1", "c2", "point"), "heads")
     rows = _classes(heads.drop("point"), scratch)
     buckets = _buckets(scan, rows, scratch)
     wanted = scratch.write(buckets.select(F.col("id").alias("doc_id")).distinct(), "wanted")

@@ -90,7 +90,7 @@ def test_class_prior_from_positives_and_unlabelled():
 def test_sets_are_made_of_candidates_alone(spark, monkeypatch):
     seen = []
     write = Scratch.write
-    monkeypatch.setattr(Scratch, "write", lambda self, df, name, **more: (out := write(self, df, name, **more), seen.append((name, out.count())) if name == "elements" else None)[0])
+    monkeypatch.setattr(Scratch, "write", lambda self, df, name: (out := write(self, df, name), seen.append((name, out.count())) if name == "elements" else None)[0])
     rows = [(i, " ".join(f"w{i}_{k}" for k in range(60))) for i in range(50)]
     rows += [(100 + i, " ".join(f"same{k}" for k in range(200)) + f" end{i}") for i in range(3)]
     got = {r.doc_id: r.component_id for r in jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()}
