@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from kinstrata.llm import chat, html_main, media, packing, pieces, quality, substring, urls
 from kinstrata.llm.common import components, Scratch
-from kinstrata.llm.embeddings import PLAN, Lattice
+from kinstrata.llm.embeddings import Lattice, plan_for
 from kinstrata.llm.jaccard import GROUPS, RTrees, needed, point
 from kinstrata.llm.substring import substring_dedup
 
@@ -91,10 +91,25 @@ def test_lattice_recall_at_cosine_09(dim):
     y = r.normal(size=x.shape)
     y -= (y * x).sum(1, keepdims=True) * x
     y = 0.9 * x + math.sqrt(1 - 0.81) * y / np.linalg.norm(y, axis=1, keepdims=True)
-    lattice = Lattice(dim, **PLAN)
-    a, b = lattice.cells(x), lattice.cells(y)
-    meet = ((a[:, :, :1] == b).any(2) | (b[:, :, :1] == a).any(2)).any(1)
-    assert meet.mean() >= 0.95
+    for n in (1_000, 100_000, 10_000_000):
+        lattice = Lattice(dim, **plan_for(n))
+        a, b = lattice.cells(x), lattice.cells(y)
+        meet = ((a[:, :, :1] == b).any(2) | (b[:, :, :1] == a).any(2)).any(1)
+        assert meet.mean() >= 0.93
+
+
+def test_the_share_of_compared_vectors_falls():
+    r = np.random.default_rng(1)
+    shares = []
+    for n in (1_500, 6_000, 24_000):
+        x = r.normal(size=(n, 64))
+        cells = Lattice(64, **plan_for(n)).cells(x / np.linalg.norm(x, axis=1, keepdims=True))
+        met = 0
+        for t in range(cells.shape[1]):
+            homes, every = Counter(cells[:, t, 0].tolist()), Counter(cells[:, t].ravel().tolist())
+            met += sum(h * every[c] for c, h in homes.items()) - n
+        shares.append(met / n / n)
+    assert shares[0] > 1.9 * shares[1] > 1.9**2 * shares[2]  # the root of four: each vector meets at most twice as many in four times the rows
 
 
 # ---- op4
