@@ -185,7 +185,7 @@ def _(spark, d):
 
 @query("diffusion_inter")
 def _(spark, d):
-    return V.hierarchical_diffusion(table(spark, d, "embeddings"), "vec_id", "embedding")[1].withColumn("d2", F.round("d2", 6))
+    return V.hierarchical_diffusion(table(spark, d, "embeddings"), "vec_id", "embedding", 50)[1].withColumn("d2", F.round("d2", 6))
 
 
 @query("classification_metrics", """WITH x AS (SELECT quality AS l, toxic AS p FROM labels), c AS (SELECT DISTINCT l AS c FROM x UNION SELECT p FROM x), s AS (SELECT c, (SELECT count(*) FROM x WHERE l = c) AS sup, (SELECT count(*) FROM x WHERE p = c) AS pre, (SELECT count(*) FROM x WHERE l = c AND p = c) AS tp FROM c),

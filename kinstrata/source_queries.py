@@ -1,10 +1,12 @@
-"""Queries of sources and indexes: array files by row, many variant files in one scan, an inverted file of vectors, interval bins."""
+"""Queries of sources, indexes and fitted objects: array files by row, many variant files in one scan, an inverted file of vectors,
+interval bins, similar sets, mergeable profiles, saved encoders."""
 
 from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from .operators import joins as J, neighbours as N, ordered as O
+from .operators import joins as J, neighbours as N, ordered as O, profiles as P, setjoin as S
+from .operators.fitted import FeatureEncoder
 from .plans.views import segments, table, variants
 from .queries import WITH_V, query
 from .sources import arrays, vcf
@@ -63,3 +65,44 @@ def _(spark, d):
     p = variants(spark, d).groupBy("chrom", "pos").agg(F.count("*").alias("n"))
     under = J.containing_segments(p, every).groupBy("seg_id").agg(F.sum("n").alias("depth"), F.count("*").alias("loci"))
     return every.select("seg_id").join(under, "seg_id", "left").na.fill(0, ["depth", "loci"])
+
+
+DAYS = "SELECT CAST(ts AS DATE) AS day, value, event_type, CASE WHEN user_id % 7 > 0 THEN user_id END AS user_id FROM events"
+PROFILED = {"value": ("value", "CAST(value AS DOUBLE)"), "user_id": ("user_id", "CAST(user_id AS DOUBLE)"), "event_type": ("event_type", "CAST(NULL AS DOUBLE)")}
+
+
+@query("profile_by_day", f"WITH d AS ({DAYS}) " + " UNION ALL ".join(
+    f"SELECT '{n}' AS name, count({c}) AS n, count(*) - count({c}) AS missing, round(avg({x}), 6) AS mean, min({x}) AS low, max({x}) AS top FROM d" for n, (c, x) in PROFILED.items()))
+def _(spark, d):
+    """Sketches of each day, written as a table and merged to the whole: the exact part of the profile."""
+    day = table(spark, d, "events").select(F.to_date("ts").alias("day"), "value", "event_type", F.when(F.col("user_id") % 7 > 0, F.col("user_id")).alias("user_id"))
+    path = shared_folder(spark, "profiles") + "/days"
+    P.profile_sketches(day, ["day"], ["value", "user_id"], ["event_type"]).write.parquet(path)
+    merged = P.read_profiles(P.merge_profiles(spark.read.parquet(path)), {})
+    return merged.select("name", "n", "missing", F.round(F.when(F.col("low").isNotNull(), F.col("mean")), 6).alias("mean"), "low", "top")
+
+
+@query("encoded_unseen", f"""{WITH_V}, r AS (SELECT family_id, ord_key, ord_line, dp, pop_af, consequence FROM variants), f AS (SELECT * FROM r WHERE family_id <> 'F4'),
+ m AS (SELECT median(pop_af) AS med FROM f), s AS (SELECT avg(dp) AS dm, stddev_samp(dp) AS ds, avg(coalesce(pop_af, med)) AS pm, stddev_samp(coalesce(pop_af, med)) AS ps FROM f, m),
+ v AS (SELECT consequence AS c, row_number() OVER (ORDER BY count(*) DESC, consequence) AS k FROM f GROUP BY 1)
+ SELECT ord_key, ord_line, round((dp - dm) / ds, 6) + 0.0 AS dp, round((coalesce(pop_af, med) - pm) / ps, 6) + 0.0 AS pop_af, CAST(consequence IN (SELECT c FROM v WHERE k = 1) AS DOUBLE) AS most,
+ CAST(consequence NOT IN (SELECT c FROM v WHERE k <= 3) AS DOUBLE) AS other FROM r, m, s WHERE family_id = 'F4'""")
+def _(spark, d):
+    """Fitted without family F4, saved, loaded and applied to F4."""
+    v = variants(spark, d)
+    path = shared_folder(spark, "encoder") + "/encoder.json"
+    FeatureEncoder(["dp", "pop_af"], {"consequence": 3}).fit(v.where("family_id <> 'F4'")).save(spark, path)
+    enc = FeatureEncoder.load(spark, path)
+    out = enc.transform(v.where("family_id = 'F4'"), ["ord_key", "ord_line"])
+    first = enc.values["consequence"][0]
+    return out.select("ord_key", "ord_line", *((F.round(c, 6) + 0.0).alias(c) for c in ("dp", "pop_af")), F.col(f"`consequence_{first}`").alias("most"), F.col("consequence_OTHER").alias("other"))
+
+
+@query("similar_term_sets", f"""{WITH_V}, t AS (SELECT pos, list_sort(list(DISTINCT consequence || '/' || origin)) AS terms FROM variants GROUP BY 1), s AS (SELECT min(pos) AS set_id, terms FROM t GROUP BY terms)
+ SELECT a, b, round(o / (na + nb - o), 6) AS jaccard FROM (SELECT x.set_id AS a, y.set_id AS b, len(x.terms) AS na, len(y.terms) AS nb, len(list_intersect(x.terms, y.terms)) AS o FROM s x JOIN s y ON x.set_id < y.set_id)
+ WHERE o / (na + nb - o) >= 0.5""")
+def _(spark, d):
+    """Loci by what is seen at them: pairs of different sets with a Jaccard similarity of a half or more."""
+    t = variants(spark, d).groupBy("pos").agg(F.collect_set(F.concat_ws("/", "consequence", "origin")).alias("terms"))
+    _, sets = S.term_sets(t, "pos", F.col("terms"))
+    return S.similar_sets(sets, 0.5).select("a", "b", F.round("jaccard", 6).alias("jaccard"))

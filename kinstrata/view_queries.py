@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from .functions import encoders as C, scalars as S, texts as T
 from .operators import features as E, joins as J, vectors as V
+from .operators.setjoin import soft_target_loss
 from .plans.columns import BINARY, NUMERIC
 from .plans.dialect import EXOME, GENOME, MERGED
 from .plans.views import segments, table, variants
-from .queries import SIDES, WITH_V, on_variants, query
+from .queries import QUERIES, SIDES, WITH_V, on_variants, query
 
 
 # ---- joins ----
@@ -279,6 +282,10 @@ for _name, (_w, _back, _weights, _extra) in LOSSES.items():
     query(_name, _loss_sql(_w, _back))(
         lambda spark, d, w=_weights, x=_extra, b=_back: V.contrastive_loss(table(spark, d, "embeddings"), "vec_id", _seq(), _bio(), w, x(), back=b).select(*(F.round(c, 5).alias(c) for c in ("loss_ab", "loss_ba", "loss"))))
 
+# where terms alone make the targets, these are rows of similar sets
+for _name, _weight, _own in (("loss_soft_terms", lambda s: F.exp(0.3 * s / 0.25), math.exp(0.7 / 0.25)), ("loss_mixed_terms", lambda s: 0.5 * s, 0.5)):
+    QUERIES[_name] = lambda spark, d, w=_weight, o=_own: soft_target_loss(table(spark, d, "embeddings"), "vec_id", _seq(), _bio(), _tags(), w, o).select(*(F.round(c, 5).alias(c) for c in ("loss_ab", "loss_ba", "loss")))
+
 
 @query("three_view_loss")
 def _(spark, d):
