@@ -61,9 +61,13 @@ def _(v):
     return v.withColumn("t", tags).groupBy(F.array_join("t", ",").alias("tags"), F.coalesce(F.get("t", 0), F.lit("other / unassigned")).alias("first")).agg(F.count("*").alias("n"))
 
 
-@query("rule_prototypes", "SELECT * FROM (VALUES (0.1::DOUBLE), (0.2), (0.3)) AS a(af), (VALUES (5::DOUBLE), (7)) AS b(score), (VALUES (1::DOUBLE)) AS c(hit)")
-def _(spark, d):
-    return T.prototypes(spark, {"af": {"values": [0.1, 0.2, 0.3]}, "score": {"values": [5, 7]}, "hit": 1})
+@on_variants("rule_prototypes", """, p AS (SELECT *, row_number() OVER (ORDER BY af, score, hit) - 1 AS rank FROM (VALUES (0.02::DOUBLE), (0.04), (0.06)) AS a(af), (VALUES (0.25::DOUBLE), (0.75)) AS b(score), (VALUES (20::DOUBLE)) AS c(hit)),
+ d AS (SELECT ord_key, ord_line, (SELECT arg_min({'rank': rank, 'd2': d2}, (d2, rank)) FROM (SELECT rank, round(coalesce((pop_af - af) * (pop_af - af), 0) + (vaf - score) * (vaf - score) + (dp - hit) * (dp - hit), 9) AS d2 FROM p)) AS best FROM variants)
+ SELECT ord_key, ord_line, CAST(best.rank AS INT) AS prototype, round(best.d2, 6) AS d2 FROM d""")
+def _(v):
+    rules = {"pop_af": {"min": 0.02, "max": 0.06}, "vaf": {"values": [0.25, 0.75]}, "dp": 20}
+    best = v.select("ord_key", "ord_line", T.nearest_prototype(rules).alias("p"))
+    return best.select("ord_key", "ord_line", F.col("p.rank").alias("prototype"), F.round("p.d2", 6).alias("d2"))
 
 
 @on_variants("view_assembly", """, k AS (SELECT family_id, pos, tx, arg_min(dp, (ord_key, ord_line)) AS dp FROM variants GROUP BY ALL), t AS (SELECT family_id, pos, tx, arg_min(pathway, (ord_key, ord_line)) AS pathway FROM variants WHERE vaf > 0.5 GROUP BY ALL)

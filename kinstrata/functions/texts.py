@@ -87,6 +87,16 @@ def prototypes(spark: SparkSession, rules: dict, most: int = 64) -> DataFrame:
     return spark.createDataFrame(rows, ", ".join(f"{k} double" for k in rules))
 
 
+def nearest_prototype(rules: dict, most: int = 64) -> Column:
+    """(rank, d2) of the prototype of the rules (the first ``most`` combinations of their values) that is nearest to a row's columns.
+
+    Squared distances, rounded to 9 places, add up over the columns named in the rules; a null column adds nothing. Ties go to the first prototype, rank 0.
+    """
+    rows = list(itertools.islice(itertools.product(*(rule_values(r) for r in rules.values())), most))
+    d2 = lambda row: sum((F.coalesce((F.col(c) - v) * (F.col(c) - v), F.lit(0.0)) for c, v in zip(rules, row, strict=True)), F.lit(0.0))
+    return F.array_min(F.array(*(F.struct(F.round(d2(row), 9).alias("d2"), F.lit(k).alias("rank")) for k, row in enumerate(rows))))
+
+
 def tfidf(df: DataFrame, key: str, text: str, features: int = 5000) -> DataFrame:
     """(key, term, w): words and word pairs, the ``features`` most frequent (ties by term), tf * (ln((1 + n) / (1 + df)) + 1), of length 1."""
     words = df.select(key, F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0)).alias("ws"))

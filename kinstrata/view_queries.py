@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .functions import encoders as C, scalars as S, texts as T
 from .operators import features as E, joins as J, vectors as V
+from .operators.clusters import lifetimes, members, spanning_tree
 from .operators.setjoin import soft_target_loss
 from .plans.columns import BINARY, NUMERIC
 from .plans.dialect import EXOME, GENOME, MERGED
@@ -318,4 +319,12 @@ def _(spark, d):
 
 @query("persistence")
 def _(spark, d):
-    return V.persistence(table(spark, d, "embeddings").withColumn("block", F.floor(F.col("vec_id") / 500)), "block", "embedding").withColumn("death", F.round("death", 6))
+    tree = spanning_tree(table(spark, d, "embeddings"), "vec_id", "embedding")
+    return lifetimes(tree).select("rank", F.round("death", 6).alias("death"))
+
+
+@query("cluster_members", """WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id AND list_distance(a.v, b.v) <= 0.5),
+ r AS (SELECT vec_id, vec_id AS c FROM e UNION SELECT l.a, r.c FROM l JOIN r ON l.b = r.vec_id WHERE r.c < l.a) SELECT vec_id, min(c) AS cluster FROM r GROUP BY 1""")
+def _(spark, d):
+    e = table(spark, d, "embeddings")
+    return members(e, "vec_id", spanning_tree(e, "vec_id", "embedding"), 0.5)

@@ -10,14 +10,14 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from kinstrata.operators import profiles as P, setjoin as S, vectors as V
+from kinstrata.operators import clusters as C, profiles as P, setjoin as S, vectors as V
 from kinstrata.operators.features import column_stats
 from kinstrata.operators.fitted import FeatureEncoder
 
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["profile_by_day", "encoded_unseen", "similar_term_sets", "loss_soft_terms", "loss_mixed_terms"])
+@pytest.mark.parametrize("name", ["profile_by_day", "encoded_unseen", "similar_term_sets", "loss_soft_terms", "loss_mixed_terms", "rule_prototypes", "cluster_members"])
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
@@ -96,3 +96,30 @@ def test_profiles_of_halves_merge_to_the_whole(spark):
     whole = {r["name"]: r for r in P.read_profiles(P.profile_sketches(df, [], ["x"], ["s"]), shares).collect()}
     assert all(abs(whole[c].n_distinct / merged[c].n_distinct - 1) < 0.01 for c in ("x", "s"))
     assert P.read_profiles(P.profile_sketches(df.where("half = 9"), [], ["x"]), shares).count() == 0
+
+
+def test_spanning_tree_of_all_rows_equals_prim(spark):
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    x = {r.vec_id: np.array(r.embedding, float) for r in e.collect()}
+    tree = C.spanning_tree(e, "vec_id", "embedding", per_block=40)
+    got = C.lifetimes(tree).orderBy("rank").collect()
+    assert [r["rank"] for r in got] == list(range(1, len(x)))
+    assert np.allclose([r.death for r in got], V.lifetimes(np.stack(list(x.values())))[::-1], atol=1e-8)
+    cut = got[len(got) // 2].death
+    keys = sorted(x)
+    reach = {k: k for k in keys}
+    for _ in keys:
+        for a in keys:
+            reach[a] = min([reach[a], *(reach[b] for b in keys if round(float(np.linalg.norm(x[a] - x[b])), 9) <= cut)])
+        if all(reach[reach[k]] == reach[k] for k in keys) and _ > 8:
+            break
+    assert {r.vec_id: r.cluster for r in C.members(e, "vec_id", tree, cut).collect()} == reach
+
+
+def test_spanning_tree_of_ties_and_few_rows(spark):
+    rows = [(k, [float(k // 2), 0.0]) for k in range(8)] + [(None, [0.0, 0.0]), (99, None)]
+    df = spark.createDataFrame(rows, "k long, v array<double>")
+    tree = C.spanning_tree(df, "k", "v", per_block=3)
+    assert sorted((r.a, r.b, r.d) for r in tree.collect()) == [(0, 1, 0.0), (0, 2, 1.0), (2, 3, 0.0), (2, 4, 1.0), (4, 5, 0.0), (4, 6, 1.0), (6, 7, 0.0)]
+    assert {(r.k, r.cluster) for r in C.members(df, "k", tree, 0.5).collect()} == {(k, k // 2 * 2) for k in range(8)} | {(99, 99)}
+    assert C.spanning_tree(df.where("k = 1"), "k", "v").count() == 0 and C.lifetimes(C.spanning_tree(df.where("k < 0"), "k", "v")).count() == 0
