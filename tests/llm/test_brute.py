@@ -158,6 +158,22 @@ def test_pieces_equal_the_library_in_unigram_mode():
     assert sum(a == b for a, b in zip(got, want, strict=True)) >= 0.98 * len(texts)  # the rest are ties of float32 sums
     assert [len(a) for a in got] == [len(b) for b in want] or sum(len(a) != len(b) for a, b in zip(got, want, strict=True)) < 4
     assert [mine.pieces.decode(b) for b in mine.encode(texts)] == texts
+    score = dict(zip(mine.pieces.ids.tolist(), mine.pieces.scores.tolist(), strict=True))
+    total = lambda ids: sum(score.get(i, mine.pieces.unknown) for i in ids)
+    assert all(abs(total(a) - total(b)) < 1e-3 for a, b in zip(got, want, strict=True))  # where ids differ, the sums are equal
+
+
+def test_a_unigram_model_is_taken_as_it_is(tmp_path):
+    import public_tokenizers
+    import sentencepiece
+
+    first = pieces.encoder(public_tokenizers.path("piece_bpe_32k.model")).pieces
+    made = unigram_model(public_tokenizers.path("piece_bpe_32k.model"), first)
+    (tmp_path / "unigram.model").write_bytes(made)
+    mine, library = pieces.encoder(str(tmp_path / "unigram.model")), sentencepiece.SentencePieceProcessor(model_proto=made)
+    assert np.allclose(mine.pieces.scores, first.scores) and (mine.pieces.ids == first.ids).all()
+    texts = ["the state of the water", "Grüße aus München", "", "a b c"]
+    assert [np.frombuffer(b, "<u4").tolist() for b in mine.encode(texts)] == library.encode(texts, num_threads=1)
 
 
 def test_pieces_tables(spark):
