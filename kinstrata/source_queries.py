@@ -9,7 +9,7 @@ from .operators import joins as J, neighbours as N, ordered as O, profiles as P,
 from .operators.fitted import FeatureEncoder
 from .plans.views import segments, table, variants
 from .queries import WITH_V, query
-from .sources import arrays, vcf
+from .sources import arrays, fasta_index, vcf
 from .sources.shared import shared_folder
 
 
@@ -106,3 +106,17 @@ def _(spark, d):
     t = variants(spark, d).groupBy("pos").agg(F.collect_set(F.concat_ws("/", "consequence", "origin")).alias("terms"))
     _, sets = S.term_sets(t, "pos", F.col("terms"))
     return S.similar_sets(sets, 0.5).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
+@query("fasta_windows", f"""{WITH_V}, p AS (SELECT DISTINCT chrom, pos, ref FROM variants), g AS (SELECT chrom, string_agg(ref || 'n' || lower(ref), '' ORDER BY pos) AS s FROM p GROUP BY 1),
+ w AS (SELECT DISTINCT chrom, CAST(pos // 1000 % 250 AS BIGINT) AS start FROM p) SELECT replace(w.chrom, 'chr', '') AS contig, start, upper(substr(s, start + 1, 41)) AS seq FROM w JOIN g USING (chrom)""")
+def _(spark, d):
+    """The variants' reference letters as FASTA files with lines of 60 letters, and windows of 41 letters by byte offset."""
+    p = variants(spark, d).select("chrom", "pos", "ref").distinct()
+    seq = p.groupBy("chrom").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ref"))), lambda x: F.concat(x["ref"], F.lit("n"), F.lower(x["ref"]))), "").alias("s"))
+    body = seq.select("chrom", F.explode(F.sequence(F.lit(0), F.floor((F.length("s") - 1) / 60).cast("int"))).alias("k"), "s").select("chrom", "k", F.substr("s", F.col("k") * 60 + 1, F.lit(60)).alias("value"))
+    heads = seq.select("chrom", F.lit(-1).alias("k"), F.concat(F.lit(">"), "chrom").alias("value"))
+    path = shared_folder(spark, "fasta") + "/genome"
+    body.unionByName(heads).repartition("chrom").sortWithinPartitions("chrom", "k").select("value").write.text(path)
+    windows = p.select(F.col("chrom").alias("contig"), (F.floor(F.col("pos") / 1000) % 250).alias("start"), F.lit(41).alias("length")).distinct()
+    return fasta_index.fasta_windows(windows, fasta_index.fasta_index(spark, path)).select("contig", "start", "seq")

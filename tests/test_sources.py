@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from kinstrata.operators import aggregates as A, features as E, joins as J, neighbours as N, vectors as V
 from kinstrata.plans.dialect import EXOME, GENOME, MERGED
-from kinstrata.sources import arrays, vcf
+from kinstrata.sources import arrays, fasta_index, vcf
 
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["array_rows", "vcf_scan", "interval_depth", "mutation_features", "roh_flags_genome", "roh_flags_merged", "family_collapse_exome", "cnv_first_containment", "held_out_pattern"])
+@pytest.mark.parametrize("name", ["array_rows", "vcf_scan", "interval_depth", "fasta_windows", "mutation_features", "roh_flags_genome", "roh_flags_merged", "family_collapse_exome", "cnv_first_containment", "held_out_pattern"])
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
@@ -182,3 +182,26 @@ def test_blocks_of_a_join_meet_once(spark):
     got = V.nearest(rows, "vec_id", "embedding", 3, per_block=60)
     want = V.nearest(rows, "vec_id", "embedding", 3, per_block=10_000)
     assert sorted(got.select("i", "j", "rank").collect()) == sorted(want.select("i", "j", "rank").collect())
+
+
+def test_fasta_windows_by_byte_offset(spark, tmp_path):
+    r = random.Random(8)
+    genome = {f"chr{k}": "".join(r.choice("ACGTacgtN") for _ in range(n)) for k, n in enumerate((1, 59, 60, 61, 5000, 300_000, 0))}
+    for name, ending in (("a.fa", "\n"), ("b.fa", "\r\n")):
+        with open(tmp_path / name, "w", newline="") as f:
+            for contig, s in genome.items():
+                f.write(f">{contig}{name[0]} some words{ending}" + "".join(s[i : i + 60] + ending for i in range(0, len(s), 60)))
+    index = fasta_index.fasta_index(spark, str(tmp_path), partitionbytes=1000)
+    got = {x.contig: (x.length, x.even) for x in index.collect()}
+    assert got == {f"{k[3:]}{e}": (len(s), True) for k, s in genome.items() for e in "ab"}
+    asked = [(f"{k}{e}", r.randint(-30, len(s) + 20), r.randint(0, 200)) for k, s in genome.items() for e in "ab" for _ in range(40)] + [("nowhere", 5, 9)]
+    counter = spark.sparkContext.accumulator(0)
+    out = fasta_index.fasta_windows(spark.createDataFrame(asked, "contig string, start long, length long"), index, counter=counter).collect()
+    want = lambda c, s, n: genome.get(f"chr{c[:-1]}", "")[max(0, s) : max(0, s + n)].upper()
+    assert {(x.contig, x.start, x.length): x.seq for x in out} == {(c.removeprefix("chr"), s, n): want(c.removeprefix("chr"), s, n) for c, s, n in asked}
+    assert 0 < counter.value < 250_000 < sum(f.stat().st_size for f in tmp_path.iterdir())  # of 620 kB
+    (tmp_path / "uneven.fa").write_text(">u\nACGT\nAC\nACGT\n")
+    uneven = fasta_index.fasta_index(spark, str(tmp_path / "uneven.fa"))
+    assert not uneven.first().even
+    with pytest.raises(Exception, match="lines differ in length"):
+        fasta_index.fasta_windows(spark.createDataFrame([("u", 0, 5)], "contig string, start long, length long"), uneven).collect()
