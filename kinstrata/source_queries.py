@@ -7,6 +7,7 @@ from pyspark.sql import Window, functions as F
 
 from .operators import joins as J, neighbours as N, ordered as O, profiles as P, setjoin as S
 from .operators.fitted import FeatureEncoder
+from .plans import ledger
 from .plans.views import segments, table, variants
 from .queries import WITH_V, query
 from .sources import arrays, fasta_index, vcf
@@ -120,3 +121,13 @@ def _(spark, d):
     body.unionByName(heads).repartition("chrom").sortWithinPartitions("chrom", "k").select("value").write.text(path)
     windows = p.select(F.col("chrom").alias("contig"), (F.floor(F.col("pos") / 1000) % 250).alias("start"), F.lit(41).alias("length")).distinct()
     return fasta_index.fasta_windows(windows, fasta_index.fasta_index(spark, path)).select("contig", "start", "seq")
+
+
+@query("families_incremental", f"{WITH_V} SELECT family_id, count(*) AS n, count(DISTINCT patient_id) AS patients, round(max(vaf), 6) AS vaf FROM variants GROUP BY 1")
+def _(spark, d):
+    """Built without one patient first, then with all: only that patient's family is built again, and the table equals a whole run."""
+    v = variants(spark, d)
+    one = lambda rows: rows.groupBy("family_id").agg(F.count("*").alias("n"), F.count_distinct("patient_id").alias("patients"), F.round(F.max("vaf"), 6).alias("vaf"))
+    path, first = shared_folder(spark, "ledger"), v.agg(F.min("patient_id")).first()[0]
+    ledger.refresh(v.where(F.col("patient_id") != first), "family_id", one, path)
+    return ledger.refresh(v, "family_id", one, path)[0].select("family_id", "n", "patients", "vaf")

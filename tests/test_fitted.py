@@ -13,11 +13,12 @@ import __spark_entry__ as entry
 from kinstrata.operators import clusters as C, profiles as P, setjoin as S, vectors as V
 from kinstrata.operators.features import column_stats
 from kinstrata.operators.fitted import FeatureEncoder
+from kinstrata.plans import ledger
 
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["profile_by_day", "encoded_unseen", "similar_term_sets", "loss_soft_terms", "loss_mixed_terms", "rule_prototypes", "cluster_members"])
+@pytest.mark.parametrize("name", ["profile_by_day", "encoded_unseen", "similar_term_sets", "loss_soft_terms", "loss_mixed_terms", "rule_prototypes", "cluster_members", "families_incremental"])
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
@@ -123,3 +124,24 @@ def test_spanning_tree_of_ties_and_few_rows(spark):
     assert sorted((r.a, r.b, r.d) for r in tree.collect()) == [(0, 1, 0.0), (0, 2, 1.0), (2, 3, 0.0), (2, 4, 1.0), (4, 5, 0.0), (4, 6, 1.0), (6, 7, 0.0)]
     assert {(r.k, r.cluster) for r in C.members(df, "k", tree, 0.5).collect()} == {(k, k // 2 * 2) for k in range(8)} | {(99, 99)}
     assert C.spanning_tree(df.where("k = 1"), "k", "v").count() == 0 and C.lifetimes(C.spanning_tree(df.where("k < 0"), "k", "v")).count() == 0
+
+
+def test_only_changed_groups_are_built_again(spark, tmp_path):
+    built = []
+
+    def total(rows):
+        return rows.groupBy("g").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
+
+    def run(data):
+        df = spark.createDataFrame(data, "g string, x long")
+        out, diff = ledger.refresh(df, "g", total, str(tmp_path / "t"))
+        built.append({(r.g, r.change) for r in diff.collect()})
+        assert sorted(map(repr, out.select("g", "x", "n").collect())) == sorted(map(repr, total(df).select("g", "x", "n").collect()))
+
+    first = [("a", 1), ("a", 1), ("b", 2), ("c", 3), (None, 4)]
+    run(first)
+    run(first[::-1])
+    run([("a", 1), ("a", 1), ("b", 2), ("b", 5), ("d", 1), (None, 4)])
+    run([("a", 1), ("a", 1), ("a", 1), ("b", 2), ("b", 5), ("d", 1)])
+    run([])
+    assert built == [{(g, "new") for g in ("a", "b", "c", None)}, set(), {("b", "changed"), ("c", "gone"), ("d", "new")}, {("a", "changed"), (None, "gone")}, {(g, "gone") for g in "abd"}]
