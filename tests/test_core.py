@@ -100,8 +100,8 @@ def test_sequences_of_any_text(spark, tmp_path):
     texts += [f"A{chr(c)}g" for c in [*range(1, 0xD800), *range(0xE000, 0x3000 + 0xE000, 7), *range(0x10000, 0x11000, 5)]]
     spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     swap = str.maketrans("ACGTNacgtn", "TGCANtgcan")
-    rc = {r.item_id: r.rc for r in QUERIES["revcomp_all"](spark, str(tmp_path)).collect()}
+    rc = {r.item_id: r.rc for r in QUERIES["revcomp"](spark, str(tmp_path)).collect()}
     assert rc == {i: None if t is None else t.translate(swap)[::-1] for i, t in enumerate(texts)}
-    seq = {r.item_id: r.seq for r in QUERIES["seq_clean_all"](spark, str(tmp_path)).collect()}
+    seq = {r.item_id: r.seq for r in QUERIES["seq_clean"](spark, str(tmp_path)).collect()}
     want = {i: re.sub("[^ACGTN]", "N", re.sub(r"\s+", "", (t or "").upper())) for i, t in enumerate(texts)}
     assert seq == want, [(texts[i], seq[i], want[i]) for i in want if seq.get(i) != want[i]][:20]

@@ -110,7 +110,7 @@ def test_nearest_crosses_labels_and_blocks(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
-@pytest.mark.parametrize("name", ["cosine_topk_all", "row_softmax_all", "knn_affinity_all", "infonce_all", "recall_at_k_all", "tfidf_cosine_all"])
+@pytest.mark.parametrize("name", ["cosine_topk", "row_softmax", "knn_affinity", "infonce", "recall_at_k", "tfidf_cosine"])
 def test_whole_table_against_sql(spark, name):
     test_against_sql(spark, name)
 
