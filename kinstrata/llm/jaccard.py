@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import BASES, Scratch, Windows, components, mix, slices, table, word_hashes
 
-GROUPS, LEAF, BLOCK = 64, 16, 1000
+GROUPS, LEAF, BLOCK = 256, 16, 1000
 #: Parts' hashes are looked at in so many rounds, at every size: a round's shuffles go before the next one begins.
 ROUNDS = 4
 
