@@ -131,36 +131,35 @@ def _(v):
 TWO = "WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT a.label AS block, a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.v[1:32], b.v[33:64]), 9) AS sim FROM e a JOIN e b ON a.label = b.label)"
 
 
-def _views(spark, d):
-    pairs = V.two_view_pairs(table(spark, d, "embeddings"), "label", "vec_id", F.slice("embedding", 1, 32), F.slice("embedding", 33, 32))
-    return pairs.withColumn("sim", F.round("sim", 9))
+def _views(spark, d, part, by=None):
+    return V.two_view_rows(table(spark, d, "embeddings"), "vec_id", F.slice("embedding", 1, 32), F.slice("embedding", 33, 32), by=by, parts=(part,))
+
+
+def _recalls():
+    return [F.round(F.avg((F.col("rank") <= k).cast("double")), 6).alias(f"recall_{k}") for k in (1, 5, 10)]
 
 
 @query("infonce_by_label", TWO + ", l AS (SELECT block, i, ln(sum(exp(sim / 0.07))) - max(sim / 0.07) FILTER (WHERE i = j) AS l FROM p GROUP BY 1, 2 UNION ALL SELECT block, j, ln(sum(exp(sim / 0.07))) - max(sim / 0.07) FILTER (WHERE i = j) FROM p GROUP BY 1, 2) SELECT block, round(avg(l), 6) AS loss FROM l GROUP BY 1")
 def _(spark, d):
-    return V.infonce(_views(spark, d)).withColumn("loss", F.round("loss", 6))
+    return _views(spark, d, "loss", "label").groupBy(F.col("block").cast("int").alias("block")).agg(F.round(F.avg("loss"), 6).alias("loss"))
 
 
 @query("recall_at_k_by_label", TWO + ", r AS (SELECT block, i, j, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS r FROM p UNION ALL SELECT block, i, j, row_number() OVER (PARTITION BY j ORDER BY sim DESC, i) FROM p) SELECT block, " + ", ".join(f"round(avg(CAST(r <= {k} AS INT)), 6) AS recall_{k}" for k in (1, 5, 10)) + " FROM r WHERE i = j GROUP BY 1")
 def _(spark, d):
-    return V.recall_at_k(_views(spark, d)).select("block", *(F.round(f"recall_{k}", 6).alias(f"recall_{k}") for k in (1, 5, 10)))
+    return _views(spark, d, "rank", "label").groupBy(F.col("block").cast("int").alias("block")).agg(*_recalls())
 
 
 TWO_ALL = "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.v[1:32], b.v[33:64]), 9) AS sim FROM e a, e b)"
 
 
-def _all_views(spark, d):
-    return V.two_view_rows(table(spark, d, "embeddings"), "vec_id", F.slice("embedding", 1, 32), F.slice("embedding", 33, 32))
-
-
 @query("infonce", TWO_ALL + ", l AS (SELECT ln(sum(exp(sim / 0.07))) - max(sim / 0.07) FILTER (WHERE i = j) AS l FROM p GROUP BY i UNION ALL SELECT ln(sum(exp(sim / 0.07))) - max(sim / 0.07) FILTER (WHERE i = j) FROM p GROUP BY j) SELECT round(avg(l), 6) AS loss FROM l")
 def _(spark, d):
-    return _all_views(spark, d).agg(F.round(F.avg("loss"), 6).alias("loss"))
+    return _views(spark, d, "loss").agg(F.round(F.avg("loss"), 6).alias("loss"))
 
 
 @query("recall_at_k", TWO_ALL + ", r AS (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS r FROM p UNION ALL SELECT i, j, row_number() OVER (PARTITION BY j ORDER BY sim DESC, i) FROM p) SELECT " + ", ".join(f"round(avg(CAST(r <= {k} AS INT)), 6) AS recall_{k}" for k in (1, 5, 10)) + " FROM r WHERE i = j")
 def _(spark, d):
-    return _all_views(spark, d).agg(*(F.round(F.avg((F.col("rank") <= k).cast("double")), 6).alias(f"recall_{k}") for k in (1, 5, 10)))
+    return _views(spark, d, "rank").agg(*_recalls())
 
 
 @query("field_pool", "SELECT vec_id, p - 1 AS place, round((CAST(embedding[p] AS DOUBLE) + 1.5 * (vec_id % 2) * CAST(embedding[65 - p] AS DOUBLE)) / (1 + 1.5 * (vec_id % 2) + 1e-8), 6) AS x FROM embeddings, generate_series(1, 64) AS s(p)")

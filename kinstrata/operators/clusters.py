@@ -6,20 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..sources.shared import shared_folder
-from .vectors import block_products
-
-
-class Rounds:
-    """Tables that the rounds of a loop write in the shared folder, so that plans stay small and outlive a lost executor."""
-
-    def __init__(self, df: DataFrame, label: str):
-        self.spark, self.path, self.n = df.sparkSession, shared_folder(df.sparkSession, label), 0
-
-    def write(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        df.write.parquet(f"{self.path}/{self.n}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{self.n}")
+from ..sources.shared import Rounds
+from .vectors import SMALL, Blocks, block_products, k_best
 
 
 def _roots(links: DataFrame, rounds: Rounds) -> DataFrame:
@@ -38,38 +26,80 @@ def _relabelled(labels: DataFrame, links: DataFrame, rounds: Rounds) -> DataFram
     return rounds.write(labels.join(roots, "c", "left").select("i", F.coalesce("p", "c").alias("c")))
 
 
-def spanning_tree(df: DataFrame, key: str, vector: str, per_block: int = 2000) -> DataFrame:
-    """(a, b, d), a < b: the minimum spanning tree of the rows by Euclidean distance (rounded to 9 places; ties by a, then b).
+def _shortest(t: Blocks, k: int, apart: bool) -> pd.DataFrame:
+    """(i, d, j, o): each row's k shortest edges to other rows (``apart``: of other components), by distance to 9 places and then j."""
+    left, right = (t.a * t.a).sum(1), (t.b * t.b).sum(1)
+    slack = 1e-12 * (left.max(initial=0) + right.max(initial=0)) + 1e-15
+    mine, other = t.x["c"].to_numpy(), t.y["o"].to_numpy()
+
+    def value(r: slice, c: slice, s: np.ndarray) -> np.ndarray:
+        s *= 2
+        s -= left[r][:, None]
+        s -= right[c][None, :]
+        s[(mine[r][:, None] == other[c][None, :]) if apart else t.same(r, c)] = -np.inf
+        return s
+
+    def exact(row: np.ndarray, column: np.ndarray, _: np.ndarray) -> np.ndarray:
+        out = np.empty(len(row))
+        for at in range(0, len(row), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            out[part] = -np.round(np.sqrt(((t.a[row[part]] - t.b[column[part]]) ** 2).sum(1)), 9)
+        return out
 
-    In each round every component takes its shortest edge to another one (Boruvka), so there are at most log2 of n rounds; rows are
-    compared a pair of blocks at a time, and a pair of blocks gives an edge a component. Work is quadratic in the rows, a task's
-    memory is not. Keys differ; rows without a key or a vector are left out; one row or none has no edge.
+    wide = 4e-9 * np.sqrt(left.max(initial=0) + right.max(initial=0)) + 1e-17  # what rounding a distance can do to its square
+    best, who = k_best(t, k, value, exact, lambda last: -last * last - slack - 4e-9 * np.where(np.isfinite(last), -last, 0), slack + 2 * wide)
+    row, place = np.nonzero(np.isfinite(best))
+    return pd.DataFrame({"i": t.i[row], "d": -best[row, place], "j": t.j[who[row, place]], "o": other[who[row, place]]})
+
+
+EDGE = "i long, d double, j long, o long"
+
+
+def spanning_tree(df: DataFrame, key: str, vector: str, per_block: int = SMALL, most: float | None = None, near: int = 8) -> DataFrame:
+    """(a, b, d), a < b: the minimum spanning tree of the rows by Euclidean distance (rounded to 9 places; ties by a, then b); with
+    ``most`` only its edges of at most that length.
+
+    In each round every component takes its shortest edge to another one (Boruvka), so there are at most log2 of n rounds. All rows are compared
+    once for each row's ``near`` nearest rows. A component whose shortest edge is in these lists (each row of it has another component's row in its list, or
+    a list that ends beyond that edge) is settled by joins; for the others only the rows whose lists end too soon are compared with all rows.
+    The largest component may wait: that the others take an edge is enough. Work is quadratic in the rows, a task's memory and what is shuffled are not.
+    Keys differ; rows without a key or a vector are left out; one row or none has no edge.
     """
     rounds = Rounds(df, "spanning-tree")
     rows = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("a"))
     rows = rounds.write(rows)
-    labels, tree = rounds.write(rows.select("i", F.col("i").alias("c"))), None
-
-    def run(x: pd.DataFrame, y: pd.DataFrame, product: np.ndarray) -> pd.DataFrame:
-        a, b = np.stack(x["a"]), np.stack(y["b"])
-        d = np.round(np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T), 0)), 9)
-        i, j, c, other = (v.to_numpy() for v in (x["i"], y["j"], x["c"], y["o"]))
-        lo, hi = np.minimum(i[:, None], j[None, :]), np.maximum(i[:, None], j[None, :])
-        d[c[:, None] == other[None, :]] = np.inf
-        best = d.min(1)
-        tied = d == best[:, None]  # of a row's shortest edges the first by its ends
-        ends = np.where(tied, lo, np.iinfo(np.int64).max)
-        tied &= lo == ends.min(1)[:, None]
-        at = np.where(tied, hi, np.iinfo(np.int64).max).argmin(1)
-        row = np.arange(len(x))
-        out = pd.DataFrame({"c": c, "o": other[at], "d": best, "lo": lo[row, at], "hi": hi[row, at]})
-        return out[np.isfinite(out["d"])].sort_values(["c", "d", "lo", "hi"]).drop_duplicates("c")
-
+    labels, tree, limit = rounds.write(rows.select("i", F.col("i").alias("c"))), None, float("inf") if most is None else most
+    edge = F.struct("d", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "o")
+
+    def compared(asking: DataFrame, k: int, apart: bool) -> DataFrame:
+        left = rows.join(asking, "i").select("i", "a", "c")
+        right = rows.join(labels, "i").select(F.col("i").alias("j"), F.col("a").alias("b"), F.col("c").alias("o"))
+        return block_products(left, right, lambda t: _shortest(t.finite(), k, apart), EDGE, per_block)
+
+    ranked = F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))
+    lists = rounds.write(compared(labels, near, False).withColumn("r", ranked).where(F.col("r") <= near).select("i", "d", "j", "r"))
+    ends = rounds.write(lists.groupBy("i").agg(F.when(F.count("*") < near, float("inf")).otherwise(F.max("d")).alias("end")))
+    searched = None  # rows that have no other component's row within ``most``: with none now, they never get one
     while True:
-        left = rows.join(labels, "i").select("i", "a", "c")
-        right = left.select(F.col("i").alias("j"), F.col("a").alias("b"), F.col("c").alias("o"))
-        found = block_products(left, right, run, "c long, o long, d double, lo long, hi long", per_block)
-        found = rounds.write(found.groupBy("c").agg(F.min(F.struct("d", "lo", "hi", "o")).alias("e")).select("c", "e.*"))
+        known = lists.where(F.col("d") <= limit).join(labels, "i").join(labels.select(F.col("i").alias("j"), F.col("c").alias("o")), "j").where("c <> o")
+        first = known.groupBy("i").agg(F.min(edge).alias("e"))
+        rest = labels.join(ends, "i").join(first, "i", "left")
+        if searched is not None:
+            rest = rest.join(searched, "i", "left_anti")
+        rest = rounds.write(rest)
+        ours = rest.groupBy("c").agg(F.min("e").alias("e"))
+        largest = labels.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "c").select("c").limit(1)
+        asking = rest.where(F.col("e").isNull() & (F.col("end") <= limit)).select("i", "c", "end").join(ours, "c", "left")
+        asking = rounds.write(asking.where(F.col("e").isNull() | (F.col("end") <= F.col("e.d"))).join(largest, "c", "left_anti").select("i", "c"))
+        waiting = rest.where(F.col("e").isNull() & (F.col("end") <= limit)).select("c", "end").join(ours, "c", "left").where(F.col("e").isNull() | (F.col("end") <= F.col("e.d"))).select("c").distinct()
+        waiting = waiting.join(largest, "c")  # the largest component, if its shortest edge isn't known
+        best = ours.where("e IS NOT NULL")
+        if not asking.isEmpty():
+            more = rounds.write(compared(asking, 1, True).where(F.col("d") <= limit).groupBy("i").agg(F.min(edge).alias("e")))
+            best = best.unionByName(more.join(labels, "i").select("c", "e"))
+            none = asking.join(more, "i", "left_anti").select("i")
+            searched = rounds.write(none if searched is None else searched.unionByName(none))
+        found = rounds.write(best.join(waiting, "c", "left_anti").groupBy("c").agg(F.min("e").alias("e")).select("c", "e.*"))
         if found.isEmpty():
             break
         edges = found.select(F.col("lo").alias("a"), F.col("hi").alias("b"), "d").distinct()
