@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from kinstrata.operators import clusters as C, vectors as V
+from kinstrata.operators import clusters as C, setjoin as S, vectors as V
 
 
 def test_blocks_stay_few_as_a_table_grows(spark):
@@ -68,3 +68,27 @@ def test_tree_of_groups_that_lists_do_not_leave(spark):
     short = C.spanning_tree(df, "k", "v", per_block=40, most=0.5, near=3)
     assert sorted(row.d for row in short.collect()) == d[:116]
     assert {row.k: row.cluster for row in C.members(df, "k", short, 0.5).collect()} == {i: i // 30 * 30 for i in range(120)}
+
+
+def test_regulariser_without_a_row_a_pair(spark):
+    r = np.random.default_rng(9)
+    df = spark.createDataFrame([(i, i // 30, r.normal(size=4).tolist(), r.normal(size=4).tolist() if i else None) for i in range(70)], "k long, block long, x array<double>, y array<double>")
+    a, b = (V.diffusion_distances(df, "block", "k", c).select("i", "j", "d2") for c in ("x", "y"))
+    for robust in (True, False):
+        want = V.distance_regulariser(a, b, robust).first().mse
+        got = V.block_regulariser(df, "block", "k", F.col("x"), F.col("y"), robust=robust).first().mse
+        assert abs(got - want) < 1e-9 * max(1, want)
+
+
+def test_targets_of_several_kinds_equal_dense_weights(spark):
+    r = np.random.default_rng(10)
+    rows = [(i, r.normal(size=4).tolist(), r.normal(size=4).tolist(), int(i % 3), int(i % 5), [f"t{i % 4}", f"u{i % 2}"]) for i in range(40)]
+    df = spark.createDataFrame(rows, "k long, a array<double>, b array<double>, m int, g int, terms array<string>")
+    one = lambda c: F.array(F.col(c).cast("string"))
+    views = df, "k", F.col("a"), F.col("b")
+    want = V.contrastive_loss(*views, V.mixed_sources({"terms": 1.0}), {c: F.col(c) for c in ("m", "g", "terms")}, back="transposed").first()
+    got = S.soft_target_loss(*views, [one("m"), one("g"), F.col("terms")], [lambda s: s, lambda s: 0.5 * s, lambda s: 0.3 * s], 2.5, back="transposed").first()
+    assert abs(got.loss_ab - want.loss_ab) < 1e-6 and abs(got.loss_ba - want.loss_ba) < 1e-6
+    want = V.contrastive_loss(*views, V.same_label, {"m": F.col("m")}, back="own").first()
+    got = S.soft_target_loss(*views, one("m"), lambda s: s, 0.0, back="own").first()
+    assert abs(got.loss_ab - want.loss_ab) < 1e-6 and abs(got.loss_ba - want.loss_ba) < 1e-6
