@@ -47,7 +47,10 @@ def refresh(df: DataFrame, by: str, build: Callable[[DataFrame], DataFrame], pat
     now = digests(df, by)
     before, names = _ledger(spark, path, by, now.limit(0))
     number = int(names[-1].split("-")[0]) + 1 if names else 0
-    found = f"{path}/changes/{number:08d}-{uuid.uuid4().hex[:8]}"
+    run = f"{number:08d}-{uuid.uuid4().hex[:8]}"
+    now.write.parquet(f"{path}/digests/{run}")  # a row per group: the rows are read once for it, and the ledger is a copy
+    now = spark.read.schema(now.schema).parquet(f"{path}/digests/{run}")
+    found = f"{path}/changes/{run}"
     changes(now, before, by).write.parquet(found)
     diff = spark.read.parquet(found)
     fs, _ = _store(spark, path)
@@ -58,7 +61,7 @@ def refresh(df: DataFrame, by: str, build: Callable[[DataFrame], DataFrame], pat
     for row in diff.where("change = 'gone'").select(F.coalesce(F.col(by).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")).alias("g")).toLocalIterator():
         fs.delete(_store(spark, f"{path}/data/{by}={row['g']}")[1], True)
     if not diff.isEmpty() or not names:
-        now.write.parquet(f"{path}/ledger/{number:08d}-{uuid.uuid4().hex[:8]}")
+        now.write.parquet(f"{path}/ledger/{run}")
     kind = df.schema[by].dataType
     out = spark.read.schema(build(df).schema).parquet(f"{path}/data") if fs.exists(_store(spark, f"{path}/data")[1]) else build(df.limit(0))
     return out.withColumn(by, F.col(by).cast(kind)), diff

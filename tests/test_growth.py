@@ -1,8 +1,10 @@
 """What grows with the input: rows read and shuffled by the collapses and the ledger, batches of the inverted file."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from kinstrata.plans import ledger
 
 DATA = "/root/testdata/sf0.001"
 
@@ -22,3 +24,19 @@ def test_collapses_shuffle_rows_by_place_once(spark, name, reads):
     assert sum("lineitem.parquet" in x for x in lines) == reads
     first = next(k for k, x in enumerate(lines) if "Join" in x)
     assert sum("Aggregate" in x for x in lines[:first]) >= 2 and not any("Exchange" in x for x in lines[:first])
+
+
+def test_refresh_reads_rows_once_for_digests_and_once_to_build(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame([(f"g{k % 3}", k) for k in range(30)], "g string, x long").mapInArrow(count, "g string, x long")
+    out, _ = ledger.refresh(df, "g", lambda rows: rows.groupBy("g").agg(F.sum("x").alias("x")), str(tmp_path / "t"))
+    assert {r.g: r.x for r in out.collect()} == {"g0": 135, "g1": 145, "g2": 155} and seen.value == 60
+    seen.value = 0
+    _, diff = ledger.refresh(df, "g", lambda rows: rows.groupBy("g").agg(F.sum("x").alias("x")), str(tmp_path / "t"))
+    assert diff.count() == 0 and seen.value == 30
