@@ -14,6 +14,8 @@ from .vectors import nearest, normalized
 
 #: At most so many centroids, fitted on at most SAMPLE vectors a centroid: what reaches the driver and is sent to tasks.
 MOST_LISTS, SAMPLE = 4096, 40
+#: A batch that copies vectors to their lists holds about so many numbers, however many lists are probed.
+BATCH = 1_000_000
 
 
 def centroids_of(x: np.ndarray, lists: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -61,11 +63,15 @@ def in_lists(df: DataFrame, key: str, vector: str, centroids: np.ndarray, probes
         for batch in batches:
             if not batch.num_rows:
                 continue
-            v = batch.column("v")
-            x = v.flatten().to_numpy().reshape(batch.num_rows, -1)
-            at, _ = assign(x.astype(np.float32), centroids, probes)
-            which = np.repeat(np.arange(batch.num_rows), at.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(at.ravel(), pa.int64()), batch.column("id").take(pa.array(which)), v.take(pa.array(which))], ["list", "id", "v"])
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
+                x = part.column("v").flatten().to_numpy().reshape(part.num_rows, -1)
+                at, _ = assign(x.astype(np.float32), centroids, probes)
+                step = max(1, BATCH // max(1, at.shape[1] * x.shape[1]))
+                for j in range(0, part.num_rows, step):
+                    some = at[j : j + step]
+                    which = pa.array(np.repeat(np.arange(j, j + len(some)), some.shape[1]))
+                    yield pa.RecordBatch.from_arrays([pa.array(some.ravel(), pa.int64()), part.column("id").take(which), part.column("v").take(which)], ["list", "id", "v"])
 
     rows = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), normalized(F.col(vector)).alias("v"))
     return rows.mapInArrow(run, "list long, id long, v array<double>")

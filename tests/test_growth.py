@@ -1,9 +1,12 @@
 """What grows with the input: rows read and shuffled by the collapses and the ledger, batches of the inverted file."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from kinstrata.operators import neighbours as N
 from kinstrata.plans import ledger
 
 DATA = "/root/testdata/sf0.001"
@@ -40,3 +43,21 @@ def test_refresh_reads_rows_once_for_digests_and_once_to_build(spark, tmp_path):
     seen.value = 0
     _, diff = ledger.refresh(df, "g", lambda rows: rows.groupBy("g").agg(F.sum("x").alias("x")), str(tmp_path / "t"))
     assert diff.count() == 0 and seen.value == 30
+
+
+def test_vectors_go_to_many_lists_in_small_batches(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    x, centroids = r.normal(size=(300, 16)), r.normal(size=(64, 16)).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "k long, v array<double>").coalesce(1)
+    assert N.BATCH > 0
+    monkeypatch.setattr(N, "BATCH", 10_000)
+    run = []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: run.append(f))
+    N.in_lists(df, "k", "v", centroids, 50)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(x.tolist())], ["id", "v"])
+    got = list(run[0](iter([batch])))
+    assert max(b.num_rows * 16 for b in got) <= 10_000 and sum(b.num_rows for b in got) == 300 * 50
+    at, _ = N.assign(x.astype(np.float32), centroids, 50)
+    assert [b for g in got for b in g.column("list").to_pylist()] == at.ravel().tolist()
+    assert np.array_equal(np.concatenate([g.column("v").flatten().to_numpy() for g in got]).reshape(-1, 16), np.repeat(x, 50, axis=0))
+    assert [b for g in got for b in g.column("id").to_pylist()] == np.repeat(np.arange(300), 50).tolist()
