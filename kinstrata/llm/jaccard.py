@@ -16,6 +16,8 @@ from .common import BASES, Scratch, Windows, components, mix, slices, table, wor
 GROUPS, LEAF, BLOCK = 256, 16, 1000
 #: Parts' hashes are looked at in so many rounds, at every size: a round's shuffles go before the next one begins.
 ROUNDS = 4
+#: Pairs of points are compared in slices of SLICE, whose counts take 12 MB, and pairs of nodes are opened EXPANDED children pairs at a time.
+SLICE, EXPANDED = 1 << 12, 1 << 16
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -147,28 +149,35 @@ class RTrees:
         a = b = np.arange(len(self.levels[-1][1]))
         bound = np.zeros(0, np.int64)
         for depth in range(len(self.levels) - 2, -1, -1):
-            hi, low = self.levels[depth]
-            first = self.first[depth]
-            na, nb = first[a + 1] - first[a], first[b + 1] - first[b]
-            total = na * nb
-            at = np.repeat(np.arange(len(a)), total)
-            within = np.arange(len(at)) - np.repeat(np.cumsum(total) - total, total)
-            a, b = first[a[at]] + within // nb[at], first[b[at]] + within % nb[at]
-            ok = (a <= b) if depth else (a < b)
-            a, b = a[ok], b[ok]
-            bound = np.zeros(len(a), np.int64)
-            for k in range(0, len(a), 1 << 14):
-                i, j = a[k : k + (1 << 14)], b[k : k + (1 << 14)]
-                bound[k : k + (1 << 14)] = np.minimum(hi[i], hi[j]).sum(1, dtype=np.int64)
-            keep = bound >= needed(low[a] + low[b], num, den)
-            a, b, bound = a[keep], b[keep], bound[keep]
+            step = max(1, EXPANDED // LEAF**2)
+            kept = [self._children(a[k : k + step], b[k : k + step], depth, num, den) for k in range(0, len(a), step)]
+            a, b, bound = (np.concatenate(c) for c in zip(*kept, strict=True)) if kept else (a, b, bound)
         if len(self.levels) == 1:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), bound
         return self.order[a], self.order[b], bound
 
+    def _children(self, a: np.ndarray, b: np.ndarray, depth: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(i, j, bound): the pairs of children of the pairs of nodes (a, b) that may hold a pair of points that link."""
+        hi, low = self.levels[depth]
+        first = self.first[depth]
+        na, nb = first[a + 1] - first[a], first[b + 1] - first[b]
+        total = na * nb
+        at = np.repeat(np.arange(len(a)), total)
+        within = np.arange(len(at)) - np.repeat(np.cumsum(total) - total, total)
+        a, b = first[a[at]] + within // nb[at], first[b[at]] + within % nb[at]
+        ok = (a <= b) if depth else (a < b)
+        a, b = a[ok], b[ok]
+        bound = np.zeros(len(a), np.int64)
+        for k in range(0, len(a), SLICE):
+            i, j = a[k : k + SLICE], b[k : k + SLICE]
+            bound[k : k + SLICE] = np.minimum(hi[i], hi[j]).sum(1, dtype=np.int64)
+        keep = bound >= needed(low[a] + low[b], num, den)
+        return a[keep], b[keep], bound[keep]
+
 
 def _from_trees(keys: list[str], pick, pairs: int = 1 << 20):
-    """Runs of rows with equal keys become trees, as many at once as can have about ``pairs`` pairs; pick makes a batch of what they leave."""
+    """Runs of rows with equal keys become trees, as many at once as can have about ``pairs`` pairs, where a point
+    counts as GROUPS pairs; pick makes a batch of what they leave."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -180,7 +189,7 @@ def _from_trees(keys: list[str], pick, pairs: int = 1 << 20):
             new = np.concatenate([[True], (k[1:] != k[:-1]).any(1)])
             cuts = np.concatenate([np.flatnonzero(new), [now.num_rows] * (batch is None)]).astype(np.int64)
             bucket = np.cumsum(new)
-            cost = np.cumsum(np.diff(cuts) ** 2)
+            cost = np.cumsum(np.diff(cuts) ** 2 + GROUPS * np.diff(cuts))
             at = 0
             while at < len(cuts) - 1:
                 to = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + pairs, "right")))
@@ -228,11 +237,13 @@ def _cross(num: int, den: int):
 
 def _bound(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p, q = points_of(batch.column("pa")), points_of(batch.column("pb"))
-            total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
-            ok = np.minimum(p, q).sum(1, dtype=np.int64) >= needed(total, num, den)
-            yield batch.select(["a", "b", "na"]).filter(pa.array(ok))
+        for whole in batches:
+            for k in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(k, SLICE)
+                p, q = points_of(batch.column("pa")), points_of(batch.column("pb"))
+                total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+                ok = np.minimum(p, q).sum(1, dtype=np.int64) >= needed(total, num, den)
+                yield batch.select(["a", "b", "na"]).filter(pa.array(ok))
 
     return run
 

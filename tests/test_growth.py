@@ -1,11 +1,14 @@
 """What grows with the input: rows read and shuffled by the collapses and the ledger, batches of the inverted file."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from kinstrata.llm import jaccard as J
 from kinstrata.operators import neighbours as N
 from kinstrata.plans import ledger
 
@@ -61,3 +64,25 @@ def test_vectors_go_to_many_lists_in_small_batches(spark, monkeypatch):
     assert [b for g in got for b in g.column("list").to_pylist()] == at.ravel().tolist()
     assert np.array_equal(np.concatenate([g.column("v").flatten().to_numpy() for g in got]).reshape(-1, 16), np.repeat(x, 50, axis=0))
     assert [b for g in got for b in g.column("id").to_pylist()] == np.repeat(np.arange(300), 50).tolist()
+
+
+def test_trees_compare_pairs_in_bounded_memory():
+    """A bucket whose 1,000 points leave each pair, and many buckets of few points: the pairs of a plain search, and no table of all pairs' counts."""
+    r = np.random.default_rng(4)
+    for n, bucket in ((1000, np.zeros(1000, np.int64)), (1200, np.arange(1200) // 3)):
+        points = r.poisson(3, (n, J.GROUPS)).astype("<u4")
+        sizes = points.sum(1, dtype=np.int64)
+        trees = J.RTrees(points, sizes, bucket)
+        tracemalloc.start()
+        i, j, bound = trees.pairs(50, 100)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        most = {}
+        for x, y, b in zip(i.tolist(), j.tolist(), bound.tolist(), strict=True):
+            most[min(x, y), max(x, y)] = b
+        want = {}
+        for x in range(n):
+            ys = x + 1 + np.flatnonzero(bucket[x + 1 :] == bucket[x])
+            b = np.minimum(points[x], points[ys]).sum(1, dtype=np.int64)
+            want |= {(x, y): v for y, v, s in zip(ys.tolist(), b.tolist(), (sizes[x] + sizes[ys]).tolist(), strict=True) if 100 * v >= 50 * (s - v)}
+        assert most == want and len(i) == len(want) and peak < 45e6
