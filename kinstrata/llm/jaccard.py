@@ -18,6 +18,8 @@ GROUPS, LEAF, BLOCK = 256, 16, 1000
 ROUNDS = 4
 #: Pairs of points are compared in slices of SLICE, whose counts take 12 MB, and pairs of nodes are opened EXPANDED children pairs at a time.
 SLICE, EXPANDED = 1 << 12, 1 << 16
+#: Each class takes so many of its buckets along, the least ones, so that a pair of classes that meets in many is listed once.
+FIRST = 32
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -219,13 +221,32 @@ def _likeliest(num: int, den: int):
     return _from_trees(["sig", "x"], pick)
 
 
+def met_before(first: np.ndarray, sig: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs of rows (i, j) of a bucket sig[i] are known to share a smaller bucket. first: a row's least buckets, in order."""
+    out = np.zeros(len(i), bool)
+    for k in range(0, len(i), SLICE):
+        p, q = i[k : k + SLICE], j[k : k + SLICE]
+        both = np.sort(np.concatenate([first[p], first[q]], 1), axis=1)
+        out[k : k + SLICE] = ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] < sig[p][:, None])).any(1)
+    return out
+
+
 def _cross(num: int, den: int):
-    """All pairs of different components that the trees leave. side 0/1: only across, 2: all."""
+    """All pairs of different components that the trees leave, but those that share a smaller bucket. side 0/1: only across, 2: all.
+
+    Two classes of different components are compared in each bucket that has both, and always with the same bound, so a pair
+    that is left out here is found in the smallest one.
+    """
 
     def pick(t: pa.Table, bucket: np.ndarray) -> pa.RecordBatch | None:
-        ids, comp, side = (t.column(c).to_numpy() for c in ("id", "comp", "side"))
+        ids, comp, side, sig = (t.column(c).to_numpy() for c in ("id", "comp", "side", "sig"))
         i, j, _ = RTrees(points_of(t.column("point")), t.column("n").to_numpy(), bucket).pairs(num, den)
         ok = (comp[i] != comp[j]) & ((side[i] != side[j]) | (side[i] == 2))
+        i, j = i[ok], j[ok]
+        lists = t.column("first").combine_chunks()
+        first = np.full((len(ids), FIRST), np.iinfo(np.int64).max)
+        first[np.arange(FIRST) < lists.value_lengths().to_numpy()[:, None]] = lists.flatten().to_numpy()
+        ok = ~met_before(first, sig, i, j)
         if not ok.any():
             return None
         a, b = ids[i[ok]], ids[j[ok]]
@@ -351,7 +372,10 @@ def _across(now: DataFrame, points: DataFrame, scratch: Scratch, num: int, den:
     dealt = dealt.withColumns({"mine": mine, "other": F.explode(others)})
     dealt = dealt.withColumns({"x": F.least("mine", "other"), "y": F.greatest("mine", "other")})
     dealt = dealt.withColumn("side", F.when(F.col("x") == F.col("y"), 2).otherwise((F.col("mine") == F.col("y")).cast("int")))
-    dealt = dealt.select("sig", "x", "y", "side", "id", "comp").join(points.select("id", "n", "point"), "id")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("sig"))
+    first = now.select("id", "sig").withColumn("rank", rank).where(F.col("rank") <= FIRST).groupBy("id").agg(F.sort_array(F.collect_list("sig")).alias("first"))
+    named = scratch.write(points.select("id", "n", "point").join(first, "id"), "named")
+    dealt = dealt.select("sig", "x", "y", "side", "id", "comp").join(named, "id")
     dealt = dealt.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y")
     return dealt.mapInArrow(_cross(num, den), "a long, b long").distinct()
 

@@ -40,7 +40,7 @@ def _first_level(n: int):
     return run
 
 
-_CHOSEN = "doc_id long, tag long, pos int, chain array<struct<a:long,b:int>>"
+_CHOSEN = "doc_id long, tag long, places array<int>, chain array<struct<a:long,b:int>>"
 _SECOND = "doc_id long, tag long, pos int, h1 long, h2 int"
 
 
@@ -88,7 +88,7 @@ def chosen_places(hit: np.ndarray, h: np.ndarray, width: int) -> np.ndarray:
 
 
 def _choose(n: int):
-    """Rows of chosen places with the hashes of n, 2n, 4n ... words from there, as far as hits go unbroken."""
+    """Rows of chosen places with the hashes of n, 2n, 4n ... words from there, as far as hits go unbroken. A text's places with the same hashes are one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,9 +104,15 @@ def _choose(n: int):
                 has = reach[:, None] >= np.array(levels)[None, :]
                 for k, length in enumerate(levels):
                     a[has[:, k], k], b[has[:, k], k] = t.hashes(p[has[:, k]], length)
+                count = has.sum(1)
+                last = np.stack([count, *(x[np.arange(len(p)), count - 1] for x in (a, b))], 1)
+                order = np.lexsort(last.T)  # places of a chain stay in order
+                starts = np.flatnonzero(np.concatenate([[True], (np.diff(last[order], axis=0) != 0).any(1)]))
+                places = pa.ListArray.from_arrays(pa.array(np.append(starts, len(p)).astype(np.int32)), pa.array(p[order].astype(np.int32)))
+                a, b, has = (x[order[starts]] for x in (a, b, has))
                 offsets = np.concatenate([[0], np.cumsum(has.sum(1))]).astype(np.int32)
                 chain = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(a[has]), pa.array(b[has])], ["a", "b"]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), doc.as_py(), np.int64)), pa.array(np.full(len(p), tag.as_py(), np.int64)), pa.array(p.astype(np.int32)), chain], ["doc_id", "tag", "pos", "chain"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), doc.as_py(), np.int64)), pa.array(np.full(len(starts), tag.as_py(), np.int64)), places, chain], ["doc_id", "tag", "places", "chain"])
 
     return lambda batches: _few_batches(run(batches), 20_000)
 
@@ -182,26 +188,28 @@ def _recurring(rows: DataFrame, keys: list[str]) -> DataFrame:
 def settled_spans(chosen: DataFrame, scratch: Scratch, words: int) -> DataFrame:
     """(doc_id, tag, settled): spans of words, 2*words, 4*words ... words from chosen places that an earlier document has too.
 
-    A window that recurs at one length alone is held against the next; this ends when none recurs.
+    A window that recurs at one length alone is held against the next; this ends when none recurs. A text that repeats itself
+    has one row for its equal windows, so a line that fills very many texts costs a few rows for each of them.
     """
     alive, found, level = chosen, [], 0
     while True:
         step = F.col("chain")[level]
-        now = alive.where(F.size("chain") > level).select("doc_id", "tag", "pos", "chain", step["a"].alias("a"), step["b"].alias("b"))
+        now = alive.where(F.size("chain") > level).select("doc_id", "tag", "places", "chain", step["a"].alias("a"), step["b"].alias("b"))
         shared = scratch.write(_recurring(now, ["a", "b"]).select("a", "b", "lo"), "shared")
-        new = scratch.write(now.join(shared, ["a", "b"]).select("doc_id", "tag", "pos", "chain", (F.col("doc_id") > F.col("lo")).alias("later")), "alive")
+        new = scratch.write(now.join(shared, ["a", "b"]).select("doc_id", "tag", "places", "chain", (F.col("doc_id") > F.col("lo")).alias("later")), "alive")
         scratch.drop(shared)
         if new.isEmpty():
             break
-        found.append(new.where("later").select("doc_id", "tag", F.struct("pos", F.lit(words << level).alias("size")).alias("span")))
+        found.append(new.where("later").select("doc_id", "tag", "places", F.lit(words << level).alias("size")))
         alive, level = new, level + 1
     if not found:
         return chosen.sparkSession.createDataFrame([], "doc_id long, tag long, settled array<struct<pos:int,size:int>>")
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
-    best = every.groupBy("doc_id", "tag", "span.pos").agg(F.max("span.size").alias("size"))
-    return scratch.write(best.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("pos", "size")).alias("settled")), "settled")
+    best = every.groupBy("doc_id", "tag", "places").agg(F.max("size").alias("size"))
+    spans = F.transform("places", lambda p: F.struct(p.alias("pos"), F.col("size").alias("size")))
+    return scratch.write(best.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list(spans)).alias("settled")), "settled")
 
 
 def substring_dedup(docs: DataFrame, words: int = 13, carry: list[str] = ("doc_id",)) -> DataFrame:
