@@ -18,7 +18,7 @@ def dot(a: Column, b: Column) -> Column:
 
 def normalized(v: Column, eps: float = 1e-8) -> Column:
     n = F.greatest(F.sqrt(dot(v, v)), F.lit(eps))
-    return F.transform(v, lambda x: x.cast("double") / n)
+    return F.get(F.transform(F.array(n), lambda m: F.transform(v, lambda x: x.cast("double") / m)), 0)  # a bound variable, so that the norm is made once a row
 
 
 def pairs_in_blocks(df: DataFrame, block: str, key: str, vector: str) -> DataFrame:
@@ -168,6 +168,20 @@ def rounded(sim: np.ndarray) -> np.ndarray:
     return np.divide(sim, 1e9, out=sim)
 
 
+def dealt(df: DataFrame, vector: str, own: str, per_block: int) -> tuple[DataFrame, DataFrame | int]:
+    """df with the number ``own`` of each row's block and ``n_own``, the number of blocks (of its group, with a column ``block``), and these numbers."""
+    rows, width = df.agg(F.count("*"), F.max(F.size(vector))).first()
+    size = max(1, min(max(per_block, -(-rows // BLOCKS)), LARGE // max(width or 1, 1)))
+    # by the row's own values: a row that is computed again, say after a join, falls into the same block
+    place = lambda n: F.pmod(F.xxhash64(*(c for c in ("i", "j", "a", "b") if c in df.columns)), n).cast("int")
+    if "block" not in df.columns:
+        n = max(1, -(-rows // size))
+        return df.withColumn(f"n_{own}", F.lit(n)).withColumn(own, place(F.lit(n))), n
+    sizes = df.where("block is not null").groupBy("block").agg(F.ceil(F.count("*") / size).cast("int").alias(f"n_{own}"))
+    sizes = sizes.select(F.col("block").alias("__of"), f"n_{own}")
+    return df.join(sizes, F.col("block") == F.col("__of")).withColumn(own, place(F.col(f"n_{own}"))).drop("__of"), sizes
+
+
 def block_products(left: DataFrame, right: DataFrame, run: Callable[[Blocks], pd.DataFrame], schema: str, per_block: int = SMALL) -> DataFrame:
     """run(blocks) for every pair of a block of ``left`` (i, a, ...) and one of ``right`` (j, b, ...).
 
@@ -181,16 +195,8 @@ def block_products(left: DataFrame, right: DataFrame, run: Callable[[Blocks], pd
     grouped = "block" in left.columns
 
     def deal(df: DataFrame, vector: str, own: str) -> tuple[DataFrame, DataFrame | int]:
-        rows, width = df.agg(F.count("*"), F.max(F.size(vector))).first()
-        size = max(1, min(max(per_block, -(-rows // BLOCKS)), LARGE // max(width or 1, 1)))
-        # by the row's own values: a row that is computed again, say after a join, falls into the same block
-        place = lambda n: F.pmod(F.xxhash64(*(c for c in ("i", "j", "a", "b") if c in df.columns)), n).cast("int")
-        if not grouped:
-            n = max(1, -(-rows // size))
-            return df.withColumn(own, place(F.lit(n))), n
-        sizes = df.where("block is not null").groupBy("block").agg(F.ceil(F.count("*") / size).cast("int").alias(f"n_{own}"))
-        sizes = sizes.select(F.col("block").alias("__of"), f"n_{own}")
-        return df.join(sizes, F.col("block") == F.col("__of")).withColumn(own, place(F.col(f"n_{own}"))).drop(f"n_{own}", "__of"), sizes
+        out, n = dealt(df, vector, own, per_block)
+        return out.drop(f"n_{own}"), n
 
     def against(df: DataFrame, other: str, n: DataFrame | int) -> DataFrame:
         spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
@@ -247,24 +253,251 @@ def k_best(t: Blocks, k: int, value: Callable[[slice, slice, np.ndarray], np.nda
     return best, who
 
 
-def nearest(df: DataFrame, key: str, vector: str, k: int, per_block: int = SMALL, by: str | None = None) -> DataFrame:
-    """(i, j, sim, rank): the k rows of the whole table (or with the same ``by``, as block) that are most similar to each row; blocks keep k, and the lists are merged."""
-    group = ["block"] if by else []
+# ---- a table's rows against one another: each pair of blocks once, float products first ----
+ONE = 10**9
+#: Distances are counted in at most FINE ranges at a time. A tile in which more than DENSE of the products are looked at exactly is made anew in
+#: double precision. A block gives at most GUESSES tiles to the first guess of a median.
+FINE, DENSE, GUESSES = 1 << 20, 0.02, 64
+FOLDED = "block long, i long, j long, sim double, v long, n long"
+
+
+class Cosine:
+    """Scores are cosines of unit vectors, rounded to 9 places; a distance 1 - cosine is a whole number of 10^-9."""
+
+    most, rounding, unit = 1.0, 5e-10, 1 / ONE
+
+    def sides(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors whose products are the scores."""
+        return a, b
+
+    def exact(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.round(np.einsum("ij,ij->i", a, b), 9)
+
+    def units(self, score: np.ndarray) -> np.ndarray:
+        return np.clip(ONE - np.rint(score * ONE), 0, 2 * ONE).astype(np.int64)
+
+    def score(self, units: float) -> float:
+        return 1 - units / ONE
+
+
+COSINE = Cosine()
+
+
+class Best:
+    """The k greatest scores of each row so far, ties by column; -inf where there are fewer."""
+
+    def __init__(self, rows: int, k: int):
+        self.k, self.score, self.who = k, np.full((rows, k), -np.inf), np.full((rows, k), -1)
+
+    def low(self, rows: np.ndarray, s: np.ndarray, error: float, metric: Cosine, rising: bool) -> np.ndarray:
+        """What a score of s (a row for each of ``rows``, off by at most ``error``) must be over to get on the list; ``rising``: later columns lose ties."""
+        last = self.score[rows, -1]
+        low = last - error - metric.rounding
+        if rising:
+            low[last >= metric.most] = np.inf
+        open_ = np.flatnonzero(np.isneginf(last))
+        if len(open_):
+            at = s.shape[1] - min(self.k, s.shape[1])
+            low[open_] = np.partition(s[open_], at, axis=1)[:, at] - 2 * error - 4 * metric.rounding
+        return low.astype(s.dtype)
+
+    def put(self, row: np.ndarray, column: np.ndarray, score: np.ndarray) -> None:
+        good = score >= self.score[row, -1]
+        row, column, score = row[good], column[good], score[good]
+        if not len(row):
+            return
+        rows = np.unique(row)
+        row = np.concatenate([np.repeat(rows, self.k), row])
+        score = np.concatenate([self.score[rows].ravel(), score])
+        column = np.concatenate([self.who[rows].ravel(), column])
+        order = np.lexsort((column, -score, row))
+        row, score, column = row[order], score[order], column[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = place < self.k
+        self.score[row[kept], place[kept]], self.who[row[kept], place[kept]] = score[kept], column[kept]
 
-    def run(t: Blocks) -> pd.DataFrame:
-        block, t = t.x["block"].iloc[0] if by else 0, t.finite()
 
-        def others(r: slice, c: slice, s: np.ndarray) -> np.ndarray:
-            s[t.same(r, c)] = -np.inf
-            return s
+class Products:
+    """Scores of the rows a and b as float products, with a bound of their error, or as double ones."""
 
-        best, who = k_best(t, k, others, lambda r, c, s: np.round(s, 9), lambda last: last + 4e-10, 2e-9)
-        row, place = np.nonzero(np.isfinite(best))
-        return pd.DataFrame({"block": block, "i": t.i[row], "j": t.j[who[row, place]], "sim": best[row, place]})
+    def __init__(self, a: np.ndarray, b: np.ndarray, metric: Cosine):
+        self.a, self.b, self.metric = a, b, metric
+        self.wide = metric.sides(a, b)
+        self.size = [np.sqrt(np.einsum("ij,ij->i", x, x)) for x in self.wide]
+        self.float = all(x.max(initial=0) < 1e18 for x in self.size)
+        self.narrow = [x.astype(np.float32) for x in self.wide] if self.float else self.wide
 
+    def tile(self, r, c, double: bool = False) -> tuple[np.ndarray, float]:
+        """(scores, error) of the rows r and columns c."""
+        a, b = self.wide if double or not self.float else self.narrow
+        bound = (a.shape[1] + 16) * self.size[0][r].max(initial=0) * self.size[1][c].max(initial=0)
+        return a[r] @ b[c].T, bound * (2.0**-53 if a.dtype == np.float64 else 2.0**-24) + 1e-30
+
+    def exact(self, row: np.ndarray, column: np.ndarray) -> np.ndarray:
+        out = np.empty(len(row))
+        for at in range(0, len(row), 1 << 15):
+            part = slice(at, at + (1 << 15))
+            out[part] = self.metric.exact(self.a[row[part]], self.b[column[part]])
+        return out
+
+
+def folded(t: Blocks, own: bool, metric: Cosine, k: int, counting: bool = False) -> pd.DataFrame:
+    """A pair of blocks as rows of FOLDED: each row's k best of the other block (i, j, sim) and, ``counting``, the pairs in ranges (v, n).
+
+    x has the columns lo, hi, shift then: units of lo up to hi are counted in ranges v of 2^shift, v = -1 are all below and -2 all pairs. Float products
+    tell which pairs need an exact look. ``own``: both blocks are one, and its pairs come from both sides.
+    """
+    block = int(t.x["block"].iloc[0]) if "block" in t.x else 0
+    lo, hi, shift = (int(t.x[c].iloc[0]) for c in ("lo", "hi", "shift")) if counting else (0, 0, 0)
+    t = t.finite()
+    products, twice = Products(t.a, t.b, metric), 1 if own else 2
+    lists = [Best(len(x), k) for x in ((t.a,) if own else (t.a, t.b))] if k else []
+    ranges, below, every, kept = np.zeros((max(hi - lo - 1, 0) >> shift) + 1, np.int64), 0, 0, []
+
+    def count_kept() -> None:
+        if kept:
+            ranges[:] += np.bincount(np.concatenate(kept), minlength=len(ranges))
+            kept.clear()
+
+    def look(r: slice, c: slice, same: tuple[np.ndarray, np.ndarray], double: bool):
+        s, error = products.tile(r, c, double)
+        s[same] = -np.inf
+        places = (np.arange(r.start, r.start + s.shape[0]), np.arange(c.start, c.start + s.shape[1]))
+        hits = [np.flatnonzero(s > (best.low(p, s, error, metric, True)[:, None] if side == 0 else best.low(p, s.T, error, metric, True)[None, :])) for side, (best, p) in enumerate(zip(lists, places))]
+        near, inside = 0, np.zeros(0, np.int64)
+        if counting:
+            margin, least = error + 2 * metric.unit, float(np.finfo(s.dtype).min)
+            top = metric.score(lo) + margin if lo > 0 else np.inf
+            there = s >= s.dtype.type(max(metric.score(hi) - margin, least))
+            near = np.count_nonzero(there)
+            there &= s <= s.dtype.type(top)
+            inside = np.flatnonzero(there)
+            near -= len(inside)
+        return s, hits, near, inside
+
+    for r0 in range(0, len(t.a), TILE[0]):
+        for c0 in range(0, len(t.b), TILE[1]):
+            r, c = slice(r0, r0 + TILE[0]), slice(c0, c0 + TILE[1])
+            same, double = t.same(r, c), not products.float
+            s, hits, near, inside = look(r, c, same, double)
+            if not double and max(len(h) for h in (*hits, inside)) > DENSE * s.size:
+                double = True
+                s, hits, near, inside = look(r, c, same, double)
+            for side, hit in enumerate(hits):
+                row, column = np.divmod(hit, s.shape[1])
+                score = products.exact(row + r0, column + c0)
+                lists[side].put(*((row + r0, column + c0) if side == 0 else (column + c0, row + r0)), score)
+            if counting:
+                row, column = np.divmod(inside, s.shape[1])
+                units = metric.units(s.ravel()[inside] if double and len(inside) > DENSE * s.size else products.exact(row + r0, column + c0))
+                below += near + np.count_nonzero(units < lo)
+                every += s.size - len(same[0])
+                kept.append((units[(units >= lo) & (units < hi)] - lo) >> shift)
+                if sum(map(len, kept)) > len(ranges):
+                    count_kept()
+    count_kept()
+    out = []
+    for (mine, other), best in zip(((t.i, t.j), (t.j, t.i)), lists):
+        row, place = np.nonzero(np.isfinite(best.score))
+        out.append(pd.DataFrame({"i": mine[row], "j": other[best.who[row, place]], "sim": best.score[row, place]}))
+    if counting:
+        some = np.flatnonzero(ranges)
+        out.append(pd.DataFrame({"v": np.concatenate([some, [-1, -2]]), "n": twice * np.concatenate([ranges[some], [below, every]])}))
+    out = pd.concat(out).reindex(columns=["i", "j", "sim", "v", "n"]).astype({c: "Int64" for c in ("i", "j", "v", "n")})
+    return out.assign(block=block)
+
+
+def block_pairs(rows: DataFrame, run: Callable[[Blocks, bool], pd.DataFrame], schema: str, per_block: int = SMALL) -> DataFrame:
+    """run(blocks, own) for every two blocks of ``rows`` (i, a, ...) and for every block with itself (own); with a column ``block``, inside its groups.
+
+    As block_products of rows with themselves, but two blocks meet once only, so that run() has to fold both directions of a pair of rows.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+    group = ["block"] if "block" in rows.columns else []
+    a, _ = dealt(rows, "a", "p", per_block)
+    x = a.withColumn("q", F.explode(F.sequence("p", F.col("n_p") - 1))).drop("n_p")
+    y = a.where("p > 0").select(*(F.col(c).alias("block__r") for c in group), F.col("p").alias("q__r"), F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("p__r"), F.col("i").alias("j"), F.col("a").alias("b"))
+
+    def both(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        own = not x.empty and x["p"].iloc[0] == x["q"].iloc[0]
+        if x.empty or (y.empty and not own):
+            return pd.DataFrame({c: [] for c in names})
+        return run(Blocks.of(x, x[["i", "a"]].rename(columns={"i": "j", "a": "b"}) if own else y), own)[names]
+
+    return x.groupBy(*group, "p", "q").cogroup(y.groupBy(*(f"{c}__r" for c in group), "p__r", "q__r")).applyInPandas(both, schema)
+
+
+def _ranked(found: DataFrame, k: int, group: list[str]) -> DataFrame:
+    """(i, j, sim, rank) of the lists that folded() gives."""
     w = Window.partitionBy(*group, "i").orderBy(F.desc("sim"), "j")
-    out = block_products(*_sides(df, key, vector, by), run, ("block long, " if by else "") + "i long, j long, sim double", per_block)
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.where("i is not null").select(*group, "i", "j", "sim", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
+
+
+def _guess(rows: DataFrame, metric: Cosine, per_block: int) -> DataFrame:
+    """(block, mid, half): where the median score of different rows should be, from a few tiles of each block with itself."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        t, out = Blocks.of(pdf, pdf[["i", "a"]].rename(columns={"i": "j", "a": "b"})).finite(), []
+        products, n = Products(t.a, t.b, metric), max(1, -(-len(t.a) // min(TILE)))
+        side = max(1, -(-len(t.a) // n))
+        for at in range(min(n * n, GUESSES)):
+            r, c = (slice(k * side, (k + 1) * side) for k in (at % n, (at + at // n) % n))
+            s, error = products.tile(r, c)
+            apart = np.ones(s.shape, bool)
+            apart[t.same(r, c)] = False
+            s = s[apart]
+            if len(s):
+                some = [min(len(s) - 1, int(q * len(s))) for q in (0.45, 0.5, 0.55)]
+                a, mid, b = np.partition(s, some)[some].astype(float)
+                out.append((mid, b - a, error, len(t.a)))
+        return pd.DataFrame(out, columns=["mid", "wide", "error", "rows"]).assign(block=int(pdf["block"].iloc[0]) if "block" in pdf else 0)
+
+    tiles = dealt(rows, "a", "p", per_block)[0].groupBy(*(["block"] if "block" in rows.columns else []), "p").applyInPandas(run, "mid double, wide double, error double, rows long, block long")
+    half = 6 * F.coalesce(F.stddev("mid"), F.lit(0.0)) / F.sqrt(F.count("*")) + F.when(F.count("*") > 1, 0.04 * F.avg("wide") / F.count("*")).otherwise(0.0) + 4 * F.max("error") + 2 * metric.unit
+    return tiles.groupBy("block").agg(F.avg("mid").alias("mid"), half.alias("half"))
+
+
+def pairs_and_median(rounds: Rounds, rows: DataFrame, metric: Cosine, k: int, per_block: int = SMALL) -> tuple[DataFrame, DataFrame]:
+    """(lists of folded(), (block, v)): each row's k best, and the lower median distance of all pairs of different rows, in the metric's units.
+
+    A guess says where the median should be. One pass over all pairs counts what is nearer and, in ranges, what is there; where the median is
+    elsewhere, or the ranges are wide, another pass looks there. The counts are of all pairs, so the median is exact whatever the guess.
+    """
+    grouped, rows = "block" in rows.columns, rounds.write(rows)
+    width = lambda lo, hi: F.greatest(F.lit(0), F.ceil(F.log2((hi - lo) / FINE))).cast("int")
+    ends = [F.greatest(F.lit(0).cast("long"), F.floor((metric.score(0) - F.col("mid") + sign * F.col("half")) / metric.unit)) for sign in (-1, 1)]
+    at = rounds.write(_guess(rows, metric, per_block).select("block", ends[0].alias("lo"), (ends[1] + 1).alias("hi")).withColumn("shift", width(F.col("lo"), F.col("hi"))))
+    lists, done = None, None
+    while True:
+        if grouped:
+            asked = rows.join(at.select(F.col("block").alias("__at"), "lo", "hi", "shift"), F.col("block") == F.col("__at"), "left" if lists is None else "inner").drop("__at").na.fill(0, ["lo", "hi", "shift"])
+        else:
+            row = at.first()
+            asked = rows.withColumns({c: F.lit(row[c] if row else 0).cast("long") for c in ("lo", "hi", "shift")})
+        found = rounds.write(block_pairs(asked, lambda t, own, k=k if lists is None else 0: folded(t, own, metric, k, True), FOLDED, per_block))
+        lists = found if lists is None else lists
+        counts = found.where("v is not null").groupBy("block", "v").agg(F.sum("n").alias("n")).where("n > 0")
+        sums = counts.groupBy("block").agg(F.sum(F.when(F.col("v") == -1, F.col("n")).otherwise(0)).alias("below"), F.sum(F.when(F.col("v") == -2, F.col("n")).otherwise(0)).alias("all"))
+        run = counts.where("v >= 0").join(sums, "block").withColumn("run", F.col("below") + F.sum("n").over(Window.partitionBy("block").orderBy("v")))
+        hit = run.where(2 * F.col("run") >= F.col("all")).groupBy("block").agg(F.min("v").alias("v"))
+        state = rounds.write(sums.where("all > 0").join(at, "block").join(hit, "block", "left"))
+        lower, here = 2 * F.col("below") >= F.col("all"), F.col("v").isNotNull()
+        settled = state.where(here & ~lower & (F.col("shift") == 0)).select("block", (F.col("lo") + F.col("v")).alias("v"))
+        done = settled if done is None else done.unionByName(settled)
+        step = F.lit(1).cast("long") * F.pow(F.lit(2), "shift").cast("long")
+        far = 8 * (F.col("hi") - F.col("lo"))
+        first = F.when(lower, F.greatest(F.lit(0).cast("long"), F.col("lo") - far)).when(here, F.col("lo") + F.col("v") * step).otherwise(F.col("hi"))
+        last = F.when(lower, F.col("lo")).when(here, F.col("lo") + (F.col("v") + 1) * step).otherwise(F.col("hi") + far)
+        at = rounds.write(state.where(lower | ~here | (F.col("shift") > 0)).select("block", first.alias("lo"), last.alias("hi")).withColumn("shift", width(F.col("lo"), F.col("hi"))))
+        if at.isEmpty():
+            return lists, done
+
+
+def nearest(df: DataFrame, key: str, vector: str, k: int, per_block: int = SMALL, by: str | None = None) -> DataFrame:
+    """(i, j, sim, rank): the k rows of the whole table (or with the same ``by``, as block) that are most similar to each row; blocks keep k, and the lists are merged."""
+    rows = Rounds(df, "nearest").write(_sides(df, key, vector, by)[0])
+    found = block_pairs(rows, lambda t, own: folded(t, own, COSINE, k), FOLDED, per_block)
+    return _ranked(found, k, ["block"] if by else [])
 
 
 def softmax_top(df: DataFrame, key: str, vector: str, alpha: float, per_block: int = SMALL, by: str | None = None) -> DataFrame:
@@ -288,49 +521,11 @@ def softmax_top(df: DataFrame, key: str, vector: str, alpha: float, per_block: i
 def median_distances(df: DataFrame, key: str, vector: str, per_block: int = SMALL, by: str | None = None) -> DataFrame:
     """(block, s2): the lower median of the squared distances 2 - 2 sim of all pairs of different rows of each group (of the table: block 0).
 
-    Rounded to 9 places, a cosine is a whole number of 10^-9. These are counted in 61,036 ranges, and then one by one in the range of the median.
+    Rounded to 9 places, a cosine is a whole number of 10^-9; these are counted (see pairs_and_median).
     """
-    rounds, low_bits, one = Rounds(df, "medians"), 15, 10**9
-    a, b = _sides(df, key, vector, by)
-    a, b = (a, b) if by else (a.withColumn("block", F.lit(0).cast("long")), b.withColumn("block", F.lit(0).cast("long")))
-
-    def coarse(t: Blocks) -> pd.DataFrame:
-        block, t = t.x["block"].iloc[0], t.finite()
-        n = np.zeros((2 * one >> low_bits) + 2, np.int64)
-        for r, c, s in t.tiles():
-            s *= one
-            np.rint(s, out=s)
-            np.subtract(one, s, out=s)
-            at = np.clip(s, 0, 2 * one, out=s).astype(np.int32)
-            at >>= low_bits
-            n += np.bincount(at.ravel(), minlength=len(n))
-            n -= np.bincount(at[t.same(r, c)], minlength=len(n))
-        some = np.flatnonzero(n)
-        return pd.DataFrame({"block": block, "v": some, "n": n[some]})
-
-    def fine(t: Blocks) -> pd.DataFrame:
-        block, bin_ = t.x["block"].iloc[0], int(t.x["bin"].iloc[0])
-        t, n = t.finite(), np.zeros(1 << low_bits, np.int64)
-        first = bin_ << low_bits
-        low, high = 1 - (first + (1 << low_bits)) / one - 1e-9, 1 - first / one + 1e-9
-        low, high = low if bin_ << low_bits < 2 * one - (1 << low_bits) else -np.inf, high if bin_ else np.inf
-        for r, c, s in t.tiles():
-            s[t.same(r, c)] = np.nan
-            at = np.clip(one - np.rint(s[(s >= low) & (s <= high)] * one), 0, 2 * one).astype(np.int64)
-            n += np.bincount(at[at >> low_bits == bin_] - first, minlength=len(n))
-        some = np.flatnonzero(n)
-        return pd.DataFrame({"block": block, "v": some + first, "n": n[some]})
-
-    def middle(counts: DataFrame, below: str) -> DataFrame:
-        run = counts.withColumn("run", F.sum("n").over(Window.partitionBy("block").orderBy("v")) + F.col(below))
-        return run.where(2 * F.col("run") >= F.col("all")).groupBy("block").agg(F.min_by(F.struct("v", (F.col("run") - F.col("n")).alias("below"), "all"), "v").alias("m")).select("block", "m.*")
-
-    counts = rounds.write(block_products(a, b, coarse, "block long, v long, n long", per_block).groupBy("block", "v").agg(F.sum("n").alias("n")))
-    sizes = counts.groupBy("block").agg(F.sum("n").alias("all"))
-    at = rounds.write(middle(counts.join(sizes, "block").withColumn("below", F.lit(0)), "below"))
-    inside = block_products(a.join(at.select("block", F.col("v").alias("bin")), "block"), b.join(at.select("block"), "block"), fine, "block long, v long, n long", per_block)
-    found = middle(inside.groupBy("block", "v").agg(F.sum("n").alias("n")).join(at.select("block", "below", "all"), "block"), "below")
-    return rounds.write(found.select("block", F.greatest(2 - 2 * ((one - F.col("v")) / one), F.lit(0.0)).alias("s2")))
+    rounds = Rounds(df, "medians")
+    _, at = pairs_and_median(rounds, _sides(df, key, vector, by)[0], COSINE, 0, per_block)
+    return at.select("block", F.greatest(2 - 2 * ((ONE - F.col("v")) / ONE), F.lit(0.0)).alias("s2"))
 
 
 def median_distance(df: DataFrame, key: str, vector: str, per_block: int = SMALL) -> float | None:
@@ -342,11 +537,14 @@ def median_distance(df: DataFrame, key: str, vector: str, per_block: int = SMALL
 def nearest_affinity(df: DataFrame, key: str, vector: str, k: int, per_block: int = SMALL, by: str | None = None) -> DataFrame:
     """gaussian_affinity of the whole table, (i, j, a), or inside each group, (block, i, j, a): from each row's k nearest rows and the median of all pairs."""
     group = ["block"] if by else []
-    near = nearest(df, key, vector, k, per_block, by)
+    found, at = pairs_and_median(Rounds(df, "affinity"), _sides(df, key, vector, by)[0], COSINE, k, per_block)
+    s2 = F.greatest(2 - 2 * ((ONE - F.col("v")) / ONE), F.lit(0.0))
+    near = _ranked(found, k, group)
     if by:
-        near = near.join(median_distances(df, key, vector, per_block, by), "block")
+        near = near.join(at.select("block", s2.alias("s2")), "block")
     else:
-        near = near.withColumn("s2", F.lit(median_distance(df, key, vector, per_block) or 0.0))
+        row = at.select(s2.alias("s2")).first()
+        near = near.withColumn("s2", F.lit(row.s2 if row else 0.0))
     near = near.withColumn("a", F.exp(-F.greatest(2 - 2 * F.col("sim"), F.lit(0.0)) / (2 * (F.col("s2") + 1e-8) + 1e-8)))
     both = near.select(*group, "i", "j", "a").unionByName(near.select(*group, F.col("j").alias("i"), F.col("i").alias("j"), "a"))
     return both.groupBy(*group, "i", "j").agg(F.max("a").alias("a"))

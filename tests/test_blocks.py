@@ -92,3 +92,41 @@ def test_targets_of_several_kinds_equal_dense_weights(spark):
     want = V.contrastive_loss(*views, V.same_label, {"m": F.col("m")}, back="own").first()
     got = S.soft_target_loss(*views, one("m"), lambda s: s, 0.0, back="own").first()
     assert abs(got.loss_ab - want.loss_ab) < 1e-6 and abs(got.loss_ba - want.loss_ba) < 1e-6
+
+
+def test_two_blocks_of_a_table_meet_once(spark):
+    n = 600
+    df = spark.range(n).select(F.col("id").alias("i"), F.array(F.col("id").cast("double")).alias("a"))
+    run = lambda t, own: pd.DataFrame({"x": [len(t.a)], "y": [len(t.b)], "own": [own]})
+    got = V.block_pairs(df, run, "x long, y long, own boolean", per_block=5).collect()
+    assert len(got) <= V.BLOCKS * (V.BLOCKS + 1) // 2 and sum(r.x * r.y * (1 if r.own else 2) for r in got) == n * n
+
+
+def test_float_products_only_choose_what_is_looked_at(spark):
+    """Cosines that differ by less than a float can tell, copies, and vectors that are one another's negatives: lists are those of the rounded cosines."""
+    r = np.random.default_rng(11)
+    x = np.repeat(r.normal(size=(4, 5)), 30, axis=0) + 1e-5 * r.normal(size=(120, 5)) * (np.arange(120) % 3 > 0)[:, None]
+    x[60:90] *= -1e6
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(500, [float("nan")] * 5)], "k long, v array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sim = np.round(np.einsum("ik,jk->ijk", u, u).sum(2), 9)
+    near = {}
+    for row in V.nearest(df, "k", "v", 4, 25).orderBy("i", "rank").collect():
+        near.setdefault(row.i, []).append(row.j)
+    assert near == {i: sorted((j for j in range(120) if j != i), key=lambda j: (-sim[i, j], j))[:4] for i in range(120)}
+
+
+def test_median_is_exact_whatever_the_guess(spark, monkeypatch):
+    r = np.random.default_rng(12)
+    x = r.normal(size=(70, 3))
+    df = spark.createDataFrame([(i, i % 2, v.tolist()) for i, v in enumerate(x)], "k long, g int, v array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    off = ~np.eye(70, dtype=bool)
+    want = lambda some: (d := np.sort(2 - 2 * np.round(u @ u.T, 9)[some & off]))[(len(d) - 1) // 2]
+    for mid, half, fine in ((0.9, 0.05, 1 << 20), (-0.9, 0.05, 1 << 20), (0.0, 1.0, 1 << 10)):
+        monkeypatch.setattr(V, "FINE", fine)
+        monkeypatch.setattr(V, "_guess", lambda rows, metric, per_block: (rows if "block" in rows.columns else rows.withColumn("block", F.lit(0).cast("long"))).select("block").distinct().select("block", F.lit(mid).alias("mid"), F.lit(half).alias("half")))
+        assert abs(V.median_distance(df, "k", "v", 20) - want(np.ones((70, 70), bool))) < 1e-12
+    groups = np.arange(70) % 2
+    got = {row.block: row.s2 for row in V.median_distances(df, "k", "v", 20, by="g").collect()}
+    assert all(abs(got[g] - want((groups == g)[:, None] & (groups == g)[None, :])) < 1e-12 for g in (0, 1)) and len(got) == 2
