@@ -10,7 +10,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .vectors import nearest, normalized
+from ..sources.shared import Rounds
+from .vectors import BLOCKS, COSINE, DENSE, LARGE, TILE, Best, Products, nearest, normalized
 
 #: At most so many centroids, fitted on at most SAMPLE vectors a centroid: what reaches the driver and is sent to tasks.
 MOST_LISTS, SAMPLE = 4096, 40
@@ -39,7 +40,7 @@ def assign(x: np.ndarray, c: np.ndarray, probes: int, rows: int = 1024) -> tuple
     lists, sims = [], []
     for k in range(0, len(x), rows):
         s = x[k : k + rows] @ c.T
-        at = np.argsort(-s, axis=1, kind="stable")[:, :probes]
+        at = s.argmax(1)[:, None] if probes == 1 else np.argsort(-s, axis=1, kind="stable")[:, :probes]
         lists.append(at)
         sims.append(np.take_along_axis(s, at, 1))
     return np.concatenate(lists), np.concatenate(sims)
@@ -77,36 +78,78 @@ def in_lists(df: DataFrame, key: str, vector: str, centroids: np.ndarray, probes
     return rows.mapInArrow(run, "list long, id long, v array<double>")
 
 
+def in_groups(df: DataFrame, key: str, vector: str, centroids: np.ndarray, probes: int, groups: int) -> DataFrame:
+    """(group, asked, id, v): each vector once for every group (list modulo ``groups``) with some of its ``probes`` nearest lists; bit n of
+    ``asked`` stands for the group's n-th list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1)
+            step = max(1, BATCH // max(1, groups * x.shape[1]))
+            for k in range(0, batch.num_rows, step):
+                at, _ = assign(x[k : k + step].astype(np.float32), centroids, probes)
+                bits = np.zeros((len(at), groups, -(-len(centroids) // groups)), bool)
+                bits[np.arange(len(at))[:, None], at % groups, at // groups] = True
+                row, group = np.nonzero(bits.any(2))
+                asked = [m.tobytes() for m in np.packbits(bits[row, group], axis=1, bitorder="little")]
+                which = pa.array(row + k)
+                yield pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), pa.array(asked, pa.binary()), batch.column("id").take(which), batch.column("v").take(which)], ["group", "asked", "id", "v"])
+
+    rows = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), normalized(F.col(vector)).alias("v"))
+    return rows.mapInArrow(lambda batches: run(b for b in batches if b.num_rows), "group int, asked binary, id long, v array<double>")
+
+
 def search(queries: DataFrame, items: DataFrame, key: str, vector: str, k: int, probes: int = 8, centroids: np.ndarray | None = None, per_block: int = 2000) -> DataFrame:
     """(i, j, sim, rank): the k most similar items of each query (never the row with its own key), by cosine rounded to 9 places.
 
     Items lie in the list of their nearest centroid; a query asks ``probes`` lists. With about the root of n lists the compared
-    share is probes / root(n), up to MOST_LISTS lists; from there it stays at probes / MOST_LISTS. A list of over
-    ``per_block`` items is dealt into blocks that queries meet one by one, so that no task holds a list. Each block gives k
+    share is probes / root(n), up to MOST_LISTS lists; from there it stays at probes / MOST_LISTS. Lists are dealt into at most BLOCKS groups (more
+    only where a group would hold over LARGE numbers; a group of too many items is split), and queries into as many blocks: a query is copied to the
+    groups it asks, however many of their lists that are, and an item to the blocks of queries. Each task gives k
     rows a query, which are merged by rank. Recall depends on how vectors cluster; ``probes`` = lists gives exact results.
     Rows without a key or a vector are left out; vectors have one length.
     """
     centroids = fit_lists(items, key, vector) if centroids is None else centroids
-    home = in_lists(items, key, vector, centroids, 1)
-    asked = in_lists(queries, key, vector, centroids, max(1, min(probes, len(centroids))))
-    sizes = F.broadcast(home.groupBy("list").agg(F.ceil(F.count("*") / per_block).cast("int").alias("n")))  # MOST_LISTS rows at most
-    asking = F.broadcast(asked.groupBy("list").agg(F.ceil(F.count("*") / per_block).cast("int").alias("m")))
-    both = sizes.join(asking, "list")
-    y = home.join(F.broadcast(both), "list").select("list", F.pmod(F.xxhash64("id"), F.col("n")).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("p"), "id", "v")
-    x = asked.join(F.broadcast(both), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("q"), F.pmod(F.xxhash64("id"), F.col("m")).cast("int").alias("p"), "id", "v")
+    home = Rounds(items, "lists").write(in_lists(items, key, vector, centroids, 1))
+    size = lambda rows: max(1, min(max(per_block, -(-rows // BLOCKS)), LARGE // max(1, centroids.shape[-1])))
+    n, asking = home.count(), queries.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).count()
+    groups, blocks, most = max(1, min(len(centroids), -(-n // size(n)))), max(1, -(-asking // size(asking))), size(n)
+    group = F.pmod(F.col("list"), F.lit(groups)).cast("int").alias("group")
+    parts = {r["group"]: -(-r["n"] // most) for r in home.groupBy(group).agg(F.count("*").alias("n")).collect()}  # a row a group
+    split = F.element_at(F.array(*(F.lit(parts.get(g, 1)) for g in range(groups))), F.col("group") + 1)
+    y = home.select(group, "list", "id", "v").select("group", F.pmod(F.xxhash64("id"), split).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("p"), "list", "id", "v")
+    asked = in_groups(queries, key, vector, centroids, max(1, min(probes, len(centroids))), groups) if len(centroids) else queries.limit(0).selectExpr("0 AS group", "CAST('' AS binary) AS asked", "0L AS id", "CAST(array() AS array<double>) AS v")
+    x = asked.select("group", F.explode(F.sequence(F.lit(0), split - 1)).alias("q"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("p"), "asked", "id", "v")
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"i": [], "j": [], "sim": []})
         b = b.sort_values("id", kind="stable")
-        own, other = a["id"].to_numpy(), b["id"].to_numpy()
-        sim = np.round(np.stack(a["v"]) @ np.stack(b["v"]).T, 9)
-        sim[own[:, None] == other[None, :]] = -np.inf
-        at = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-        out = pd.DataFrame({"i": np.repeat(own, at.shape[1]), "j": other[at].ravel(), "sim": np.take_along_axis(sim, at, 1).ravel()})
-        return out[np.isfinite(out["sim"])]
-
-    found = x.groupBy("list", "p", "q").cogroup(y.groupBy("list", "p", "q")).applyInPandas(run, "i long, j long, sim double")
+        own, other, lists = a["id"].to_numpy(), b["id"].to_numpy(), b["list"].to_numpy()
+        same = [np.searchsorted(other, own, end) for end in ("left", "right")]
+        asks = np.unpackbits(np.stack([np.frombuffer(m, np.uint8) for m in a["asked"]]), axis=1, bitorder="little")
+        products, best = Products(np.stack(a["v"]).astype(float), np.stack(b["v"]).astype(float), COSINE), Best(len(a), k)
+
+        def look(r: np.ndarray, c: np.ndarray, double: bool) -> np.ndarray:
+            s, error = products.tile(r, c, double)
+            low, high = np.searchsorted(c, same[0][r]), np.searchsorted(c, same[1][r])
+            n = high - low
+            s[np.repeat(np.arange(len(r)), n), np.arange(n.sum()) + np.repeat(high - np.cumsum(n), n)] = -np.inf
+            return np.flatnonzero(s > best.low(r, s, error, COSINE, c[0])[:, None])
+
+        for one in np.unique(lists):
+            rows, columns = np.flatnonzero(asks[:, one // groups]), np.flatnonzero(lists == one)
+            for r in (rows[at : at + TILE[0]] for at in range(0, len(rows), TILE[0])):
+                for c in (columns[at : at + TILE[1]] for at in range(0, len(columns), TILE[1])):
+                    hit = look(r, c, False)
+                    if len(hit) > DENSE * len(r) * len(c):
+                        hit = look(r, c, True)
+                    row, column = np.divmod(hit, len(c))
+                    best.put(r[row], c[column], products.exact(r[row], c[column]))
+        row, place = np.nonzero(np.isfinite(best.score))
+        return pd.DataFrame({"i": own[row], "j": other[best.who[row, place]], "sim": best.score[row, place]})
+
+    found = x.groupBy("group", "p", "q").cogroup(y.groupBy("group", "p", "q")).applyInPandas(run, "i long, j long, sim double")
     w = Window.partitionBy("i").orderBy(F.desc("sim"), "j")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

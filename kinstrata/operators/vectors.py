@@ -289,12 +289,11 @@ class Best:
     def __init__(self, rows: int, k: int):
         self.k, self.score, self.who = k, np.full((rows, k), -np.inf), np.full((rows, k), -1)
 
-    def low(self, rows: np.ndarray, s: np.ndarray, error: float, metric: Cosine, rising: bool) -> np.ndarray:
-        """What a score of s (a row for each of ``rows``, off by at most ``error``) must be over to get on the list; ``rising``: later columns lose ties."""
+    def low(self, rows: np.ndarray, s: np.ndarray, error: float, metric: Cosine, first: int) -> np.ndarray:
+        """What a score of s (a row for each of ``rows``, off by at most ``error``; columns from ``first`` on) must be over to get on the list."""
         last = self.score[rows, -1]
         low = last - error - metric.rounding
-        if rising:
-            low[last >= metric.most] = np.inf
+        low[(last >= metric.most) & (self.who[rows, -1] < first)] = np.inf  # the list is full of the greatest score, and later columns lose ties
         open_ = np.flatnonzero(np.isneginf(last))
         if len(open_):
             at = s.shape[1] - min(self.k, s.shape[1])
@@ -363,7 +362,7 @@ def folded(t: Blocks, own: bool, metric: Cosine, k: int, counting: bool = False)
         s, error = products.tile(r, c, double)
         s[same] = -np.inf
         places = (np.arange(r.start, r.start + s.shape[0]), np.arange(c.start, c.start + s.shape[1]))
-        hits = [np.flatnonzero(s > (best.low(p, s, error, metric, True)[:, None] if side == 0 else best.low(p, s.T, error, metric, True)[None, :])) for side, (best, p) in enumerate(zip(lists, places))]
+        hits = [np.flatnonzero(s > (best.low(p, s, error, metric, c.start)[:, None] if side == 0 else best.low(p, s.T, error, metric, r.start)[None, :])) for side, (best, p) in enumerate(zip(lists, places))]
         near, inside = 0, np.zeros(0, np.int64)
         if counting:
             margin, least = error + 2 * metric.unit, float(np.finfo(s.dtype).min)

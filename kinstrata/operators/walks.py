@@ -89,7 +89,7 @@ class Walk:
         out = np.zeros_like(x)
         for rows in self.alike:
             wide = int(self.count[rows[0]])
-            size = max(1, (1 << 18) // (wide * x.shape[1]))
+            size = max(1, (1 << 15) // (wide * x.shape[1]))
             for k in range(0, len(rows), size):
                 some = rows[k : k + size]
                 at = self.start[some][:, None] + np.arange(wide)

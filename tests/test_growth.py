@@ -66,6 +66,32 @@ def test_vectors_go_to_many_lists_in_small_batches(spark, monkeypatch):
     assert [b for g in got for b in g.column("id").to_pylist()] == np.repeat(np.arange(300), 50).tolist()
 
 
+def test_queries_go_once_to_a_group_of_lists(spark):
+    """50 of 64 lists are asked: copies follow the 5 groups, not the lists, and name the same lists."""
+    r = np.random.default_rng(5)
+    x, centroids = r.normal(size=(300, 16)), r.normal(size=(64, 16)).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "k long, v array<double>")
+    got = N.in_groups(df, "k", "v", centroids, 50, 5).collect()
+    assert len(got) == 300 * 5
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    lists = [set() for _ in x]
+    for row in got:
+        lists[row.id] |= {5 * n + row.group for n in np.flatnonzero(np.unpackbits(np.frombuffer(row.asked, np.uint8), bitorder="little")).tolist()}
+    assert lists == [set(at) for at in N.assign(u.astype(np.float32), centroids, 50)[0].tolist()]
+
+
+def test_search_of_many_copies_in_small_groups(spark):
+    r = np.random.default_rng(6)
+    x = np.vstack([r.normal(size=(90, 6)), np.ones((60, 6)), np.ones((20, 6)) + 1e-6 * r.normal(size=(20, 6))])[r.permutation(170)]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "k long, v array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sim = np.round(u @ u.T, 9)
+    got = {}
+    for row in N.search(df, df, "k", "v", 4, probes=10**6, per_block=11).orderBy("i", "rank").collect():
+        got.setdefault(row.i, []).append(row.j)
+    assert got == {i: sorted((j for j in range(170) if j != i), key=lambda j: (-sim[i, j], j))[:4] for i in range(170)}
+
+
 def test_trees_compare_pairs_in_bounded_memory():
     """A bucket whose 1,000 points leave each pair, and many buckets of few points: the pairs of a plain search, and no table of all pairs' counts."""
     r = np.random.default_rng(4)
