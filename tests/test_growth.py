@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from kinstrata.llm import jaccard as J
-from kinstrata.operators import neighbours as N
+from kinstrata.operators import neighbours as N, vectors as V
 from kinstrata.plans import ledger
 
 DATA = "/root/testdata/sf0.001"
@@ -80,6 +80,32 @@ def test_queries_go_once_to_a_group_of_lists(spark):
     assert lists == [set(at) for at in N.assign(u.astype(np.float32), centroids, 50)[0].tolist()]
 
 
+def test_search_copies_a_query_to_few_groups(spark, monkeypatch):
+    r = np.random.default_rng(7)
+    x, centroids = r.normal(size=(300, 16)), r.normal(size=(64, 16)).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "k long, v array<double>")
+    run, plain = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: run.append(f) or plain(self, f, schema))
+    N.search(df, df, "k", "v", 5, 50, centroids, 20)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(x.tolist())], ["id", "v"])
+    assert run and max(sum(b.num_rows for b in f(iter([batch]))) for f in run) <= 300 * 16
+
+
+def test_affinity_reads_and_norms_rows_once(spark):
+    """Lists and median come from one table of unit vectors, however often blocks are dealt from it."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    x = np.random.default_rng(8).normal(size=(50, 4))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "k long, v array<double>").mapInArrow(count, "k long, v array<double>")
+    V.nearest_affinity(df, "k", "v", 3, 20).collect()
+    assert seen.value == 50
+
+
 def test_search_of_many_copies_in_small_groups(spark):
     r = np.random.default_rng(6)
     x = np.vstack([r.normal(size=(90, 6)), np.ones((60, 6)), np.ones((20, 6)) + 1e-6 * r.normal(size=(20, 6))])[r.permutation(170)]
